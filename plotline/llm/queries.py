@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from plotline.llm.chat_format import OP3_SQL, op3_chat_format
+from plotline.llm.decontaminate import OP9_SQL, op9_decontaminate
+from plotline.llm.secret_scan import op2_secret_scan
 from plotline.llm.topk_search import OP10_SQL, op10_topk_search
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_chat_format": op3_chat_format,
+    "op9_decontaminate": op9_decontaminate,
     "op10_topk_search": op10_topk_search,
 }
 ORACLE_SQL = {
     "op3_chat_format": OP3_SQL,
+    "op9_decontaminate": OP9_SQL,
     "op10_topk_search": OP10_SQL,
 }
