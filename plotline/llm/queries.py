@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from plotline.llm.chat_format import OP3_SQL, op3_chat_format
 from plotline.llm.decontaminate import OP9_SQL, op9_decontaminate
+from plotline.llm.ngram_join import op1_ngram_join
 from plotline.llm.secret_scan import op2_secret_scan
 from plotline.llm.substring_dedup import op5_substring_dedup
 from plotline.llm.topk_search import OP10_SQL, op10_topk_search
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_secret_scan": op2_secret_scan,
     "op3_chat_format": op3_chat_format,
     "op5_substring_dedup": op5_substring_dedup,
