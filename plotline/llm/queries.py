@@ -6,6 +6,7 @@ from plotline.llm.chat_format import OP3_SQL, op3_chat_format
 from plotline.llm.decontaminate import OP9_SQL, op9_decontaminate
 from plotline.llm.ngram_join import op1_ngram_join
 from plotline.llm.secret_scan import op2_secret_scan
+from plotline.llm.sharding import op7_sharding
 from plotline.llm.substring_dedup import op5_substring_dedup
 from plotline.llm.topk_search import OP10_SQL, op10_topk_search
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_chat_format": op3_chat_format,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_sharding": op7_sharding,
     "op9_decontaminate": op9_decontaminate,
     "op10_topk_search": op10_topk_search,
 }
