@@ -6,6 +6,7 @@ from plotline.llm.chat_format import OP3_SQL, op3_chat_format
 from plotline.llm.decontaminate import OP9_SQL, op9_decontaminate
 from plotline.llm.html_extract import op6_html_extract
 from plotline.llm.ngram_join import op1_ngram_join
+from plotline.llm.quality_classifier import op4_quality_classifier
 from plotline.llm.secret_scan import op2_secret_scan
 from plotline.llm.sharding import op7_sharding
 from plotline.llm.substring_dedup import op5_substring_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_secret_scan": op2_secret_scan,
     "op3_chat_format": op3_chat_format,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_html_extract": op6_html_extract,
     "op7_sharding": op7_sharding,
