@@ -6,6 +6,7 @@ from plotline.llm.chat_format import OP3_SQL, op3_chat_format
 from plotline.llm.decontaminate import OP9_SQL, op9_decontaminate
 from plotline.llm.html_extract import op6_html_extract
 from plotline.llm.ngram_join import op1_ngram_join
+from plotline.llm.piece_sampling import op8_piece_sampling
 from plotline.llm.quality_classifier import op4_quality_classifier
 from plotline.llm.secret_scan import op2_secret_scan
 from plotline.llm.sharding import op7_sharding
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_html_extract": op6_html_extract,
     "op7_sharding": op7_sharding,
+    "op8_piece_sampling": op8_piece_sampling,
     "op9_decontaminate": op9_decontaminate,
     "op10_topk_search": op10_topk_search,
 }
