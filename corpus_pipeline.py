@@ -1,16 +1,75 @@
-"""The corpus pipeline: documents through the stages of STAGES, each written and read again."""
+"""The corpus pipeline: documents through the stages of STAGES, each written and read again.
+
+Every stage takes the session, the documents that its predecessor kept and the folder of the tables,
+and returns a DataFrame; all but the last return the columns of ``documents``. No stage depends on what
+another computed: the classifier is fitted, copies are grouped and texts are searched on its own input.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plotline.llm.decontaminate import without_items
+from plotline.llm.ngram_join import similar_groups
+from plotline.llm.piece_sampling import encode
+from plotline.llm.quality_classifier import kept_documents
+from plotline.llm.secret_scan import redact
+from plotline.operators.checkpoints import ensure_checkpoint_dir
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return kept_documents(docs, "doc_id", "text")
+
+
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id.
+
+    Rows that repeat an id are one document and stay or go together; rows without an id stay.
+    """
+    groups = similar_groups(docs, "doc_id", "text")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of ``benchmark``."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return without_items(docs, "text", items, "item_id", "text")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced by their kind in brackets; n_chars follows."""
+    masked = redact(docs, "text")
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The encoding of every document, whether it decodes to the text, and sampled segmentations."""
+    return encode(docs, "doc_id", "text").withColumn("n_tokens", F.size("ids").cast("long"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_copies),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("secret scans", mask_secrets),
+    ("SentencePiece encoding and decoding", encode_pieces),
+]
+#: SQL can't express the classifier, the sampling and the token-efficiency test.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``."""
+    """Apply all stages to ``documents``; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{i}")
+            docs = spark.read.parquet(f"{folder}/{i}")
     return docs
