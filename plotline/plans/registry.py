@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from plotline.plans import parcel_queries, raster_queries
+
+QUERIES = parcel_queries.QUERIES | raster_queries.QUERIES
+ORACLE_SQL = parcel_queries.ORACLE_SQL | raster_queries.ORACLE_SQL
