@@ -9,22 +9,30 @@ blocks agree. Blocks are joined per size band; candidate pairs are verified on t
 
 Sets join in the band of the larger one; a set is sketched for its own band and, if partners may lie
 beyond it, for the next. Equal sets are one class and only its representative is joined. Within a
-block's group the pairs with the smallest member are verified first; what remains between different
-components is verified pair by pair, so no link between classes is lost and a group of near copies is
-never expanded into all its pairs.
+block's group the pairs with the smallest member are verified first. What a group still holds of
+different components is compared by a second parity sketch of 1024 bits, in tiles of bounded size: the
+Hamming distance of two sketches bounds the sets' difference from below, so pairs beyond the largest
+difference of linked sets are refused without their texts. Each member's nearest pair is verified, and
+when these have merged components, all pairs that remain. So no link between classes is lost, and a
+group of near copies is never expanded into all its pairs.
 
 Up to ``MAX_BLOCKS`` blocks the pigeonhole argument is certain. Of larger sketches the first
 ``MAX_BLOCKS`` blocks are used: shingles fall into blocks by their hash, so a pair at exactly J has each
-of them agree with probability above 0.45 and is missed with probability below 0.55 ** 48 (4e-13).
-A block whose group is large, or which is empty, identifies nothing. A set may leave such groups as
-long as blocks remain that suffice for the same argument; a set that cannot stays in them.
+of them agree with probability 0.45 or more, and fewer than ``LEAST_SHARED`` of 40 agree with
+probability 1.4e-9 or less. A block whose group is large, or which is empty, identifies nothing. A set
+may leave such groups as long as blocks remain that suffice for the same argument (32 of 40: 1.4e-7 at
+exactly J, and far less above); a set that cannot stays in them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotline.llm._text import arrow_pass, as_bytes, list_of, mix64, shingle_set
@@ -33,14 +41,19 @@ from plotline.operators.components import connected_components
 
 #: Similarity 0.8 as a ratio of whole numbers, so that the test is exact.
 NUMERATOR, DENOMINATOR = 80, 100
-BAND_RATIO = 1.5
-MAX_BLOCKS = 64
+BAND_RATIO = 1.25
+MAX_BLOCKS = 40
 #: Blocks that must remain for a set that leaves large groups, of a sketch that is cut to MAX_BLOCKS.
-ENOUGH_BLOCKS = 48
+ENOUGH_BLOCKS = 32
+#: Blocks that linked sets share at least.
+LEAST_SHARED = 2
 #: A group of more members is large.
-LARGE_GROUP = 32
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, blocks array<long>, spare array<int>, owners array<int>"
-SETS_SCHEMA = "doc_id long, shingles array<long>"
+LARGE_GROUP = 16
+#: ``blocks`` holds the keys of the set's sketches one after the other, ``cuts`` how many each has and ``spare`` how many it may do without.
+SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, blocks array<long>, cuts array<int>, spare array<int>, bits binary"
+#: Bits of the sketch that bounds a pair's difference, and members of a group that are compared at once.
+BITS = 1024
+TILE = 1024
 
 
 def band_limits(largest: int, ratio: float = BAND_RATIO) -> np.ndarray:
@@ -77,51 +90,139 @@ def sketch(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int
     np.bitwise_xor.at(sums, place[kept].astype(np.int64), mix64(shingles[kept]))
     empty = np.bincount(place[kept].astype(np.int64), minlength=used) == 0
     keys = mix64(sums + np.uint64(band * MAX_BLOCKS) + np.arange(used, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return keys, empty, blocks - differing - 1 if used == blocks else used - ENOUGH_BLOCKS
+    return keys, empty, blocks - differing - LEAST_SHARED if used == blocks else used - ENOUGH_BLOCKS
+
+
+def parity_bits(shingles: np.ndarray) -> bytes:
+    """The parity sketch of a set: each shingle flips one of ``BITS`` bits."""
+    counts = np.bincount((shingles & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
 def _sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sizes, first, second, keys, spares, owners = [], [], [], [], [], []
+    sizes, first, second, keys, spares, cuts, bits = [], [], [], [], [], [], []
     for text in batch.column(1).to_pylist():
         shingles = shingle_set(text)
         sizes.append(len(shingles))
+        bits.append(parity_bits(shingles))
         first.append(int(np.bitwise_xor.reduce(mix64(shingles))) if len(shingles) else 0)
         second.append(int(np.sum(mix64(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)) if len(shingles) else 0)
-        own_keys, own_spare, own_owner = [], [], []
+        own_keys, own_spare = [np.empty(0, np.uint64)], []
         for band in bands_of(len(shingles)) if len(shingles) else []:
             if not max_difference(int(LIMITS[band]), int(LIMITS[band])):
                 continue
             found, empty, spare = sketch(shingles, band)
             if empty.sum() <= spare:
                 found, spare = found[~empty], spare - int(empty.sum())
-            own_owner.append(np.full(len(found), len(own_spare), np.int32))
             own_spare.append(spare)
             own_keys.append(found)
-        keys.append(np.concatenate(own_keys).view(np.int64) if own_keys else np.empty(0, np.int64))
-        owners.append(np.concatenate(own_owner) if own_owner else np.empty(0, np.int32))
+        keys.append(np.concatenate(own_keys).view(np.int64))
+        cuts.append(np.array([len(k) for k in own_keys[1:]], np.int32))
         spares.append(np.array(own_spare, np.int32))
     signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
     return pa.record_batch(
-        [batch.column(0), pa.array(sizes, pa.int64()), signed(first), signed(second), list_of(keys, pa.int64()), list_of(spares, pa.int32()), list_of(owners, pa.int32())],
-        names=["doc_id", "n_shingles", "set_a", "set_b", "blocks", "spare", "owners"],
+        [batch.column(0), pa.array(sizes, pa.int64()), signed(first), signed(second), list_of(keys, pa.int64()), list_of(cuts, pa.int32()), list_of(spares, pa.int32()), pa.array(bits, pa.binary())],
+        names=["doc_id", "n_shingles", "set_a", "set_b", "blocks", "cuts", "spare", "bits"],
     )
 
 
-def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-    sets = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
-    return pa.record_batch([batch.column(0), list_of(sets, pa.int64())], names=["doc_id", "shingles"])
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts compressed, as they travel to their partners."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.record_batch([batch.column(0), pa.array([pack(t or b"") for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
+
+
+def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows ``src, dst, left, right`` whose texts are similar enough, by their whole sets."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    kept, left_text, left = [], None, None
+    for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        if a != left_text:
+            left_text, left = a, shingle_set(unpack(a))
+        right = shingle_set(unpack(b))
+        shared = len(np.intersect1d(left, right, assume_unique=True))
+        kept.append(shared * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (len(left) + len(right)))
+    return batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``src, dst`` that are linked."""
+    left = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("left"))
+    right = texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("right"))
+    joined = pairs.join(right, "dst").join(left, "src").select("src", "dst", "left", "right")
+    return arrow_pass(joined, _similar, "src long, dst long").distinct()
+
+
+def close_pairs(ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray, bits: np.ndarray, tiles: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group and two of its tiles that may be linked, of different components.
+
+    ``tiles`` tells for each member whether it is of the first tile; in a tile with itself all are. With
+    ``nearest`` each member has only its pair of the smallest distance.
+    """
+    left = np.flatnonzero(tiles)
+    right = np.flatnonzero(~tiles) if not tiles.all() else left
+    if not len(left) or not len(right) or (parts == parts[0]).all():
+        return ids[:0], ids[:0]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for at in range(0, len(left), 128):
+        own = left[at : at + 128]
+        a, b = sizes[own][:, None], sizes[right][None, :]
+        limit = (a + b) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+        distance = np.bitwise_count(bits[own][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64)
+        fits = (distance <= limit) & (np.minimum(a, b) * DENOMINATOR >= np.maximum(a, b) * NUMERATOR) & (parts[own][:, None] != parts[right][None, :])
+        i, j = np.nonzero(fits)
+        found.append((own[i], right[j], distance[i, j]))
+    i, j, distance = (np.concatenate(x) for x in zip(*found, strict=True))
+    if nearest and len(i):
+        order = np.lexsort((ids[j], distance, i))
+        of_left = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        order = np.lexsort((ids[i], distance, j))
+        of_right = order[np.flatnonzero(np.diff(j[order], prepend=-1))]
+        chosen = np.unique(np.concatenate([of_left, of_right]))
+        i, j = i[chosen], j[chosen]
+    return np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+
 
+def _compared(members: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs ``src, dst`` of ``members`` (key, doc_id, n, component, bits, members) that may be linked.
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``src, dst`` whose sets are similar enough, by their exact intersection."""
-    left = sets.select(F.col("doc_id").alias("src"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("doc_id").alias("dst"), F.col("shingles").alias("right"))
-    shared = F.size(F.array_intersect("left", "right"))
-    return (
-        pairs.join(left, "src").join(right, "dst")
-        .where(shared * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (F.size("left") + F.size("right")))
-        .select("src", "dst")
+    A group is dealt into tiles by a hash of its members and each pair of tiles is compared in one place;
+    rows stream in sorted order, so a task holds two tiles at most.
+    """
+    tiles = F.ceil(F.col("members") / TILE).cast("int")
+    dealt = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int"))
+    placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "doc_id", "n", "component", "bits"
     )
+    ordered = placed.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
+
+    def compare(keys, tiles, ids, sizes, parts, bits):
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+        for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if b - a > 1:
+                yield close_pairs(ids[a:b], sizes[a:b], parts[a:b], bits[a:b], tiles[a:b] == keys[a, 1], nearest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                bits = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("bits")).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+                new = [np.stack([column("key"), column("low"), column("high")], axis=1), column("tile"), column("doc_id"), column("n").astype(np.int64), column("component"), bits]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+                # The last group may go on in the next batch.
+                end = int(np.flatnonzero((held[0] == held[0][-1]).all(axis=1))[0])
+            elif held is not None:
+                end = len(held[0])
+            else:
+                return
+            pairs = list(compare(*[x[:end] for x in held])) if end else []
+            held = [x[end:] for x in held]
+            if pairs:
+                src, dst = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                yield pa.record_batch([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return ordered.mapInArrow(run, "src long, dst long").distinct()
 
 
 def similar_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,7 +231,8 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Two documents link when 100 * shared >= 80 * united distinct shingles of five words (``_text``); a
     shorter text is one shingle; a null, empty or blank text has none and is linked with nothing.
     ``class_id`` is the smallest id with an equal set, ``component_id`` the smallest id reachable by
-    links, itself included. Rows that repeat an id are nodes of one name. A row without an id takes no
+    links, itself included. Rows that repeat an id are one node, linked where any of
+    them is. A row without an id takes no
     part: its class and component are null. An empty table gives an empty result. Other columns are
     ignored.
     """
@@ -141,41 +243,49 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     member = ["n_shingles", "set_a", "set_b"]
     leaders = usable.join(classes.select("class_id"), F.col("doc_id") == F.col("class_id"), "left_semi")
 
-    keyed = leaders.select("doc_id", "spare", F.explode(F.arrays_zip("blocks", "owners")).alias("x")).select(
-        "doc_id", F.col("x.owners").alias("sketch"), F.col("x.blocks").alias("key"), F.get("spare", F.col("x.owners")).alias("spare")
+    keyed = leaders.select("doc_id", "cuts", F.posexplode("blocks").alias("at", "key")).select(
+        "key", "doc_id", F.when(F.col("at") >= F.get("cuts", F.lit(0)), 1).otherwise(0).alias("sketch")
     )
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    found = checkpointed(keyed.join(shared, "key"))
-    large = found.groupBy("doc_id", "sketch").agg(F.count(F.when(F.col("members") > LARGE_GROUP, 1)).alias("large"))
+    # Written first, so that Spark deals out both sides of the join and can split a large group.
+    shared = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    own = Window.partitionBy("doc_id", "sketch")
+    bounds = leaders.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("spare").alias("sketch", "spare"))
     kept = checkpointed(
-        found.join(large, ["doc_id", "sketch"])
-        .where((F.col("members") <= LARGE_GROUP) | (F.col("large") > F.col("spare"))).select("key", "doc_id")
+        keyed.join(shared, "key").withColumn("large", F.count(F.when(F.col("members") > LARGE_GROUP, 1)).over(own))
+        .join(bounds, ["doc_id", "sketch"])
+        .where((F.col("members") <= LARGE_GROUP) | (F.col("large") > F.col("spare"))).select("key", "doc_id", "n")
+    )
+    # The sizes of linked sets alone bound their similarity: the smaller has 0.8 of the larger or more.
+    sizes_fit = F.least("n", "m") * DENOMINATOR >= F.greatest("n", "m") * NUMERATOR
+    centres = checkpointed(
+        kept.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
     )
-    centres = kept.groupBy("key").agg(F.min("doc_id").alias("src"), F.count("*").alias("members")).where("members > 1")
     near = checkpointed(
-        kept.join(centres, "key").where("doc_id <> src").select("src", F.col("doc_id").alias("dst")).distinct()
+        kept.join(centres.select("key", F.col("c.doc_id").alias("src"), F.col("c.n").alias("m")), "key")
+        .where((F.col("doc_id") != F.col("src")) & sizes_fit).select("src", F.col("doc_id").alias("dst")).distinct()
     )
-    wanted = near.select(F.col("src").alias("doc_id")).unionByName(near.select(F.col("dst").alias("doc_id"))).distinct()
-    sets = checkpointed(arrow_pass(texts.join(wanted, "doc_id", "left_semi"), _sets, SETS_SCHEMA).dropDuplicates(["doc_id"]))
-    links = checkpointed(_verified(near, sets))
+    wanted = kept.select("doc_id").distinct()
+    needed = checkpointed(arrow_pass(texts, _packed, "doc_id long, text binary").join(wanted, "doc_id", "left_semi"))
+    sketched = checkpointed(leaders.join(wanted, "doc_id", "left_semi").select("doc_id", "bits"))
+    links = checkpointed(_verified(near, needed))
     parts = connected_components(links)
 
-    placed = checkpointed(
-        kept.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    )
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_members = checkpointed(placed.join(open_keys.select("key"), "key"))
-    other = open_members.select("key", F.col("doc_id").alias("dst"), F.col("component").alias("other"))
-    rest = (
-        open_members.withColumnRenamed("doc_id", "src").join(other, "key")
-        .where("src < dst and component <> other").select("src", "dst").distinct()
-        .join(near, ["src", "dst"], "left_anti")
-    )
-    late = checkpointed(_verified(rest, sets))
-    final = connected_components(
-        parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(late)
-    )
+    done = near
+    for nearest in (True, False):
+        # What a group still holds of different components.
+        placed = checkpointed(
+            kept.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sketched, "doc_id")
+            .select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "bits")
+        )
+        open_keys = checkpointed(
+            placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+            .where("low <> high").select("key", "members")
+        )
+        rest = checkpointed(_compared(placed.join(open_keys, "key"), nearest).join(done, ["src", "dst"], "left_anti"))
+        found = checkpointed(_verified(rest, needed))
+        done = done.unionByName(rest)
+        parts = connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found))
+    final = parts
     named = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         *member, "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
