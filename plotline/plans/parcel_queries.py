@@ -164,10 +164,9 @@ def road_face_filter(spark, sf_dir):
     return p.join(road, "id", "left").withColumn("share", share).where("share <= 0.5").select("id", F.round("share", 6).alias("road_share"))
 
 
-SPARSE_POINTS = "q AS (SELECT * FROM points WHERE seq % 5 = 0)"
-NEAREST = f"""near AS (
-  SELECT q.seq, q.d, p.id AS parcel, q.x, q.y, p.x0, p.y0, p.x1, p.y1, sqrt(pow(greatest(p.x0 - q.x, q.x - p.x1, 0), 2) + pow(greatest(p.y0 - q.y, q.y - p.y1, 0), 2)) AS distance
-  FROM points q JOIN parcels p ON true QUALIFY row_number() OVER (PARTITION BY q.seq ORDER BY distance, p.id) = 1),
+NEAREST = f"""best AS (
+  SELECT q.seq, min({{'d': sqrt(pow(greatest(p.x0 - q.x, q.x - p.x1, 0), 2) + pow(greatest(p.y0 - q.y, q.y - p.y1, 0), 2)), 'id': p.id}}) AS m FROM points q, parcels p GROUP BY q.seq),
+near AS (SELECT q.seq, q.d, p.id AS parcel, q.x, q.y, p.x0, p.y0, p.x1, p.y1, b.m.d AS distance FROM best b JOIN points q USING (seq) JOIN parcels p ON p.id = b.m.id),
 matches AS (SELECT seq, parcel, CASE WHEN distance = 0 THEN least(x - x0, x1 - x, y - y0, y1 - y) ELSE distance END AS "offset" FROM near)"""
 
 
@@ -192,8 +191,9 @@ def gt_metrics(spark, sf_dir):
     return survey.offset_metrics(m, survey.folded_offsets(m))
 
 
-@query("bridge_endpoints", f"""WITH {ENDPOINTS} SELECT a.seq AS a_seq, b.seq AS b_seq, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS distance
-FROM endpoints a JOIN endpoints b ON a.seq < b.seq AND a.line <> b.line AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) BETWEEN 0.05000000001::DOUBLE AND 2.5::DOUBLE""")
+@query("bridge_endpoints", f"""WITH {ENDPOINTS}, p AS (SELECT a.seq AS a_seq, b.seq AS b_seq, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS distance
+FROM endpoints a JOIN endpoints b ON a.seq < b.seq AND a.line <> b.line AND abs(a.x - b.x) < 2.6::DOUBLE AND abs(a.y - b.y) < 2.6::DOUBLE)
+SELECT a_seq, b_seq, round(distance, 6) AS distance FROM p WHERE distance > 0.05::DOUBLE AND distance <= 2.5::DOUBLE""")
 def bridge_endpoints(spark, sf_dir):
     return network.bridges(endpoints(spark, sf_dir)).select("a_seq", "b_seq", F.round("distance", 6).alias("distance"))
 
