@@ -18,6 +18,7 @@ alone. Steps run over all units of a block of rows at once.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -36,8 +37,8 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 ALPHA = 1.0
 #: Units whose lattices a worker keeps, and units that are sampled at once.
-KEPT_UNITS = 300_000
-BLOCK_UNITS = 200_000
+KEPT_UNITS = 150_000
+BLOCK_UNITS = 60_000
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
 _SPACE = "▁"
 _BASE = np.uint64(0x2545F4914F6CDD1D)
@@ -103,7 +104,16 @@ class Lattices:
         if any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces):
             raise ValueError("a piece of this model crosses the units' borders")
         #: Neighbouring characters of any piece; where two others meet no piece crosses.
-        self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        self.pairs = {pair for p in pieces for pair in zip(p, p[1:])}
+        lower, marks = "abcdefghijklmnopqrstuvwxyz", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+        known_pairs = {(a, b) for a in (*lower, *lower.upper(), _SPACE) for b in lower} <= self.pairs
+        #: Words that certainly aren't cut.
+        self.plain = re.compile(r" ?[A-Za-z]?[a-z]*" if known_pairs else r"(?!)")
+        # Marks that stand beside no letter or digit in any piece, but for a few odd ones, part words by themselves.
+        beside = {(c, x) for a, b in self.pairs for c, x in ((a, b), (b, a)) if c in marks and x.isalnum()}
+        self.odd = "".join(sorted({x for _, x in beside if x not in lower + lower.upper() + "0123456789"}))
+        apart = "".join(re.escape(c) for c in marks if not any(m == c and x not in self.odd for m, x in beside))
+        self.words_of = re.compile(rf" *[^ \n{apart}]+| *[{apart}]+| +|\n" if apart else _UNIT.pattern)
         self.bytes = np.array([self.processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.longest = max(map(len, pieces))
         self.log_weights = np.full(n, -30.0)
@@ -114,6 +124,9 @@ class Lattices:
         self.hashes, self.numbers = hashes[order], np.array(list(pieces.values()), np.int32)[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.hashes >> np.uint64(44)] = True
+        self.spelling = [self.processor.id_to_piece(i) for i in range(n)]
+        #: A line break before a unit, so that decoding doesn't take its first space for the text's own.
+        self.lead = self.processor.encode("\n")[-1:]
         self.clear()
 
     def _hash_one(self, piece: str) -> int:
@@ -124,6 +137,8 @@ class Lattices:
         self.units: dict[str, int] = {}
         self.words: dict[str, list[int]] = {}
         self.best: list[list[int]] = []
+        #: Whether decoding gives the unit back; a text returns if all its units do, as no piece crosses them.
+        self.returns: list[bool] = []
         self.columns = {"roots": _Column(np.int64), "first": _Column(np.int64), "targets": _Column(np.int64), "ids": _Column(np.int32), "logs": _Column(np.float64), "upto": _Column(np.float64)}
         self._extend({})
 
@@ -132,11 +147,18 @@ class Lattices:
             self.columns[name].extend(values)
         self.roots, self.first, self.targets, self.ids, self.logs, self.upto = (c.values for c in self.columns.values())
 
+    def cut(self, text: str) -> list[str]:
+        """Words of a text as the model sees it, with a space before it; words are cut further into units."""
+        odd = any(c in text for c in self.odd)
+        return (_UNIT if odd else self.words_of).findall(" " + text)
+
     def cut_word(self, word: str) -> list[str]:
         """Units of a word: it is cut where no piece crosses."""
+        if self.plain.fullmatch(word):
+            return [word]
         seen = word.replace(" ", _SPACE)
-        cuts = [i for i in range(1, len(word)) if seen[i - 1 : i + 1] not in self.pairs]
-        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+        cuts = [i for i, pair in enumerate(zip(seen, seen[1:]), 1) if pair not in self.pairs]
+        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
 
     def add(self, words: set[str]) -> None:
         """Build what isn't known yet of ``words``."""
@@ -148,6 +170,9 @@ class Lattices:
             for u, i, ids in zip(new, inner, self.processor.encode(inner, num_threads=1), strict=True):
                 self.units[u] = len(self.best)
                 self.best.append(ids[2:] if i[0] == "\n" else ids)
+            for u, ids in zip(new, self.best[-len(new) :], strict=True):
+                same = "".join(map(self.spelling.__getitem__, ids)) == u.replace(" ", _SPACE)
+                self.returns.append(same or self.processor.decode([*self.lead, *ids])[1:] == u)
             self._build([u.replace(" ", _SPACE) for u in new])
         for w, units in zip(new_words, cut, strict=True):
             self.words[w] = [self.units[u] for u in units]
@@ -344,11 +369,6 @@ def lattices_of(file: Broadcast, alpha: float) -> Lattices:
     return _built[key]
 
 
-def cut(text: str) -> list[str]:
-    """The words of a text as the model sees it, with a space before it; words are cut into units."""
-    return _UNIT.findall(" " + text)
-
-
 SCHEMA = (
     "doc_id long, ids array<int>, round_trip boolean, "
     "samples array<struct<ids:array<int>,log_p:double,value:double,log_inclusion:double>>"
@@ -356,16 +376,16 @@ SCHEMA = (
 
 
 def _encode_block(lattices: Lattices, texts: list[str | None], keys: np.ndarray, k: int) -> list[tuple[np.ndarray, bool, list]]:
-    pieces = [cut(t) if t else [] for t in texts]
+    pieces = [lattices.cut(t) if t else [] for t in texts]
     if len(lattices.words) > KEPT_UNITS:
         lattices.clear()
     lattices.add(set().union(*pieces))
     numbers = [list(chain.from_iterable(map(lattices.words.__getitem__, p))) for p in pieces]
     ids = [list(chain.from_iterable(map(lattices.best.__getitem__, row))) for row in numbers]
-    numbers = [np.array(row, np.int64) for row in numbers]
-    back = lattices.processor.decode(ids, num_threads=1) if ids else []
-    samples = sample_rows(lattices, numbers, keys, k)
-    return [(np.array(i, np.int32), b == (t or ""), s) for i, b, t, s in zip(ids, back, texts, samples, strict=True)]
+    returns = lattices.returns
+    back = [all(map(returns.__getitem__, row)) for row in numbers]
+    samples = sample_rows(lattices, [np.array(row, np.int64) for row in numbers], keys, k)
+    return [(np.array(i, np.int32), b, s) for i, b, s in zip(ids, back, samples, strict=True)]
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, seed: int = 0, alpha: float = ALPHA, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -379,31 +399,33 @@ def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, se
     file = broadcast_file(df.sparkSession.sparkContext, VOCABULARY, tokenizers)
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lattices = lattices_of(file, alpha)
-        texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-        keys = np.array([xxh3_64_intdigest(f"{seed}:{d}".encode()) for d in doc_ids], np.uint64)
-        done: list[tuple] = []
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size < BLOCK_UNITS):
-                size += (texts[end] or "").count(" ") + 1
-                end += 1
-            done += _encode_block(lattices, texts[at:end], keys[at:end], samples)
-            at = end
-        flat = [s for _, _, rows in done for s in rows]
+    def rows(doc_ids: pa.Array, texts: list[str | None], lattices: Lattices) -> pa.RecordBatch:
+        keys = np.array([xxh3_64_intdigest(f"{seed}:{d}".encode()) for d in doc_ids.to_pylist()], np.uint64)
+        done = _encode_block(lattices, texts, keys, samples)
+        flat = [s for _, _, found in done for s in found]
         items = pa.StructArray.from_arrays(
             [list_of([s[0] for s in flat], pa.int32()), *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3))],
             names=["ids", "log_p", "value", "log_inclusion"],
         )
-        offsets = np.concatenate([[0], np.cumsum([len(rows) for _, _, rows in done])]).astype(np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(found) for _, _, found in done])]).astype(np.int32)
         return pa.record_batch(
-            [batch.column(0), list_of([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), items)],
+            [doc_ids, list_of([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), items)],
             names=["doc_id", "ids", "round_trip", "samples"],
         )
 
-    return arrow_pass(picked, run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattices = lattices_of(file, alpha)
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:  # blocks of bounded size, each given back before the next
+                texts, size = [], 0
+                while at + len(texts) < batch.num_rows and (not texts or size < BLOCK_UNITS):
+                    texts.append(batch.column(1)[at + len(texts)].as_py())
+                    size += (texts[-1] or "").count(" ") + 1
+                yield rows(batch.column(0).slice(at, len(texts)), texts, lattices)
+                at += len(texts)
+
+    return picked.mapInArrow(run, SCHEMA)
 
 
 def decode(df: DataFrame, ids_col: str, text_col: str = "text", tokenizers: str = TOKENIZERS) -> DataFrame:
