@@ -6,6 +6,7 @@ what ``bytes.lower().split()`` gives. Words and shingles are carried as 64-bit h
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,6 +57,12 @@ def shingle_set(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(hash_shingles(hash_words(words_of(text)), width))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps a worker, and all it holds, for later tasks."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def arrow_pass(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
@@ -65,6 +72,8 @@ def arrow_pass(
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
+            out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

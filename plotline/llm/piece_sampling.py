@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from plotline.llm._text import arrow_pass, list_of, mix64
+from plotline.llm._text import arrow_pass, give_back, list_of, mix64
 from plotline.llm._vocabulary import TOKENIZERS, broadcast_file
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 ALPHA = 1.0
 #: Units whose lattices a worker keeps, and units that are sampled at once.
-KEPT_UNITS = 150_000
-BLOCK_UNITS = 60_000
+KEPT_UNITS = 60_000
+BLOCK_UNITS = 30_000
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
 _SPACE = "▁"
 _BASE = np.uint64(0x2545F4914F6CDD1D)
@@ -424,6 +424,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, se
                     size += (texts[-1] or "").count(" ") + 1
                 yield rows(batch.column(0).slice(at, len(texts)), texts, lattices)
                 at += len(texts)
+        give_back()
 
     return picked.mapInArrow(run, SCHEMA)
 
