@@ -218,8 +218,11 @@ class Lattices:
         over = span == rest[node]
         logs = weight + np.where(over, 0.0, mass[node + span]) - mass[node]
         starts = np.flatnonzero(np.diff(node, prepend=-1))
-        total = np.cumsum(np.exp(logs))
-        upto = total - np.repeat(np.append(0.0, total[starts[1:] - 1]), np.diff(np.append(starts, len(node))))
+        # Summed node by node, so that a unit's sums don't depend on the units that are built with it.
+        upto, widths = np.exp(logs), np.diff(np.append(starts, len(node)))
+        for k in range(1, int(widths.max(initial=0))):
+            edge = starts[widths > k] + k
+            upto[edge] += upto[edge - 1]
         upto[np.append(starts[1:] - 1, len(node) - 1)] = 2.0
         base = len(self.first)
         self._extend({
@@ -276,8 +279,8 @@ def _opened(lattices: Lattices, paths: list[_Path], keys: np.ndarray, rank: int)
     ends = np.cumsum(sizes)
     log_p = np.concatenate([p.log_p for p in paths])
     level = np.arange(len(log_p)) - np.repeat(ends - sizes, sizes)
-    total = np.cumsum(log_p) - log_p
-    before = total - np.repeat(total[np.minimum(ends - sizes, len(total) - 1)], sizes) if len(total) else total
+    # Summed path by path, so that a row's figures don't depend on the rows beside it.
+    before = np.concatenate([np.cumsum(p.log_p) - p.log_p for p in paths])
     with np.errstate(divide="ignore"):
         rest = np.log(np.maximum(0.0, -np.expm1(log_p)))
     for p, end, size in zip(paths, ends, sizes, strict=True):

@@ -2,8 +2,9 @@
 
 Documents of equal text are linked. Every linked document carries a shard as its label and, in each
 round, moves towards the shards that most of its neighbours are in, as far as these have room. Room is
-a quota of rows, so that the shards' sizes stay even; a group larger than a quota is laid over as few
-shards as hold it. What remains after the rounds, and all unlinked documents, fill the quotas exactly.
+a quota of rows, so that the shards' sizes stay even; a group larger than a quota is laid over few
+shards, where single rows that find these full stay elsewhere. What remains after the rounds, and all
+unlinked documents, fill the quotas exactly.
 
 Law ``rows``: the shards' row counts are at most one apart. Neighbours' labels are counted by group and
 shard in Spark, so a group costs one row per shard however large it is; a row joins its group's counts.
