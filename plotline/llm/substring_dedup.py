@@ -1,15 +1,24 @@
 """Removal of repeated passages by hashing units of text.
 
-A unit is a sentence of a line (a line without sentence ends is one unit). Units are normalised and
-hashed to 128 bits; digests are grouped over all documents and the occurrence of lowest rank
-(document id, then offset) stays. In a document, neighbouring repeated units form a run. A run of at
-least ``min_words`` words is a repeated passage and is removed; shorter ones, such as a licence line
-or a stock phrase, are left. Offsets refer to the original text, in code points.
+A unit is a sentence of a line (a line without sentence ends is one unit). A unit of more than
+``LONG_UNIT`` words is cut further before words whose hash is the least of those ``REACH`` words around,
+so that a passage is cut alike wherever it stands, also in the middle of a long sentence. Units are
+normalised and hashed to 128 bits; light ones (under ``MIN_UNIT_WORDS`` words, or pieces under
+``MIN_BLOCK_WORDS``) only together with their neighbours: a light unit goes where the block of
+``MIN_BLOCK_WORDS`` words or more that begins or ends with it is repeated. Digests are grouped over all
+documents and the occurrence of lowest rank (document id, then offset) stays. In a document,
+neighbouring repeated units form a run. A run of at least ``min_words`` words is a repeated passage and
+is removed; shorter ones, such as a licence line or a stock phrase, are left. A run ends with whole
+units: up to one unit of a passage stays at either end, and a passage whose whole units have fewer than
+``min_words`` words stays. Where light units repeat one after the other, the first stays. Offsets refer
+to the original text, in code points.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +30,16 @@ from plotline.llm._text import arrow_pass, list_of
 from plotline.operators.checkpoints import checkpointed
 
 MIN_WORDS = 20
-#: Units of fewer words repeat by chance; they go only where both neighbours go.
+#: Units of fewer words repeat by chance; they are hashed with their neighbours, in blocks of MIN_BLOCK_WORDS.
 MIN_UNIT_WORDS = 4
+MIN_BLOCK_WORDS = 8
+#: A unit of more words is cut before words whose hash is the least among REACH words on either side.
+LONG_UNIT = 16
+REACH = 4
 _BREAK = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _LAST = (1 << 63) - 1
-UNITS_SCHEMA = "rank long, starts array<int>, words array<int>, high array<long>, low array<long>"
+_WORD = re.compile(r"\S+")
+UNITS_SCHEMA = "rank long, high array<long>, low array<long>"
 
 
 def units_of(text: str) -> list[tuple[int, int]]:
@@ -41,27 +55,66 @@ def units_of(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def digest(unit: str) -> tuple[int, int, int]:
-    """Words, and the halves of the hash, of a normalised unit: lower case, single spaces."""
-    words = unit.lower().split()
+def pieces_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A unit cut at words that its near surroundings alone choose; a short unit is one piece."""
+    if end - start <= 2 * LONG_UNIT:
+        return [(start, end)]
+    words = [m.span() for m in _WORD.finditer(text, start, end)]
+    if len(words) <= LONG_UNIT:
+        return [(start, end)]
+    h = [crc32(text[s:e].lower().encode()) for s, e in words]
+    cuts = [
+        i for i in range(REACH, len(h) - REACH)
+        if h[i - 1] > h[i] <= h[i + 1] and h[i] < min(h[i - REACH : i]) and h[i] <= min(h[i + 1 : i + REACH + 1])
+    ]
+    return [(words[i][0], words[j - 1][1]) for i, j in zip([0, *cuts], [*cuts, len(words)], strict=True)]
+
+
+def blocks_of(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[tuple[int, int]], list[list[int]]]:
+    """Units of a text, their words, the blocks to hash (first and last unit) and each unit's blocks, by number.
+
+    A unit that isn't light is a block by itself. A light one has the block that begins with it and the one
+    that ends with it, as far as the text has enough words.
+    """
+    units, light = [], []
+    for start, end in units_of(text):
+        pieces = pieces_of(text, start, end)
+        units += pieces
+        light += [MIN_BLOCK_WORDS if len(pieces) > 1 else MIN_UNIT_WORDS] * len(pieces)
+    words = [text[s:e].lower().split() for s, e in units]
+    upto = [0, *accumulate(map(len, words))]
+    own: list[list[tuple[int, int]]] = []
+    for i, least in enumerate(light):
+        if len(words[i]) >= least:
+            own.append([(i, i)])
+            continue
+        h, j = i, i
+        while j < len(units) - 1 and upto[j + 1] - upto[i] < MIN_BLOCK_WORDS:
+            j += 1
+        while h > 0 and upto[i + 1] - upto[h] < MIN_BLOCK_WORDS:
+            h -= 1
+        own.append([(x, y) for x, y in ((i, j), (h, i)) if upto[y + 1] - upto[x] >= MIN_BLOCK_WORDS])
+    blocks = sorted({b for mine in own for b in mine})
+    number = {b: k for k, b in enumerate(blocks)}
+    return units, words, blocks, [[number[b] for b in mine] for mine in own]
+
+
+def digest(words: list[str]) -> tuple[int, int]:
+    """The halves of the hash of normalised words: lower case, single spaces."""
     value = xxh3_128_intdigest(" ".join(words).encode())
-    return len(words), value >> 64, value & 0xFFFFFFFFFFFFFFFF
+    return value >> 64, value & 0xFFFFFFFFFFFFFFFF
 
 
 def repeated_spans(text: str, repeats: set[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Spans to remove: runs of units, given by start, of at least ``min_words`` words."""
-    units = units_of(text)
-    words = [len(text[s:e].split()) for s, e in units]
-    gone = [s in repeats and n >= MIN_UNIT_WORDS for (s, _), n in zip(units, words, strict=True)]
-    for i in range(1, len(units) - 1):
-        if words[i] < MIN_UNIT_WORDS and units[i][0] in repeats and gone[i - 1] and units[i + 1][0] in repeats and words[i + 1] >= MIN_UNIT_WORDS:
-            gone[i] = True
+    """Spans to remove: runs of at least ``min_words`` words of units that have a repeated block, given by number."""
+    units, words, _, own = blocks_of(text)
+    gone = [any(b in repeats for b in mine) for mine in own]
     spans, i = [], 0
     while i < len(units):
         j = i
         while j < len(units) and gone[j]:
             j += 1
-        if sum(words[i:j]) >= min_words:
+        if sum(map(len, words[i:j])) >= min_words:
             spans.append((units[i][0], units[j - 1][1]))
         i = max(j, i + 1)
     return spans
@@ -75,13 +128,13 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _unit_arrays(batch: pa.RecordBatch) -> pa.RecordBatch:
-    columns: dict[str, list[np.ndarray]] = {c: [] for c in ("starts", "words", "high", "low")}
+    high, low = [], []
     for text in batch.column(1).to_pylist():
-        starts = [(s, *digest(text[s:e])) for s, e in units_of(text)] if text else []
-        for c, values, kind in zip(columns, zip(*starts, strict=True) if starts else [()] * 4, (np.int32, np.int32, np.uint64, np.uint64), strict=True):
-            columns[c].append(np.array(values, kind).view(np.int64) if kind is np.uint64 else np.array(values, kind))
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return pa.record_batch([batch.column(0), *(list_of(v, k) for v, k in zip(columns.values(), kinds, strict=True))], names=["rank", *columns])
+        _, words, blocks, _ = blocks_of(text) if text else ([], [], [], [])
+        halves = [digest(words[i] if i == j else [w for unit in words[i : j + 1] for w in unit]) for i, j in blocks]
+        high.append(np.array([h for h, _ in halves], np.uint64).view(np.int64))
+        low.append(np.array([x for _, x in halves], np.uint64).view(np.int64))
+    return pa.record_batch([batch.column(0), list_of(high, pa.int64()), list_of(low, pa.int64())], names=["rank", "high", "low"])
 
 
 def drop_repeats(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
@@ -98,22 +151,22 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN
         F.col(text_col).cast("string").alias("text"),
     )
     hashed = checkpointed(arrow_pass(picked.select("rank", "text"), _unit_arrays, UNITS_SCHEMA))
-    units = hashed.select("rank", F.explode(F.arrays_zip("starts", "high", "low")).alias("u")).select(
-        "rank", F.col("u.starts").alias("start"), F.col("u.high").alias("high"), F.col("u.low").alias("low")
+    units = hashed.select("rank", F.posexplode(F.arrays_zip("high", "low")).alias("block", "u")).select(
+        "rank", "block", F.col("u.high").alias("high"), F.col("u.low").alias("low")
     )
     first = (
-        units.groupBy("high", "low").agg(F.min(F.struct("rank", "start")).alias("first"), F.count("*").alias("n"))
+        units.groupBy("high", "low").agg(F.min(F.struct("rank", "block")).alias("first"), F.count("*").alias("n"))
         .where("n > 1").select("high", "low", "first")
     )
     repeats = (
-        units.join(first, ["high", "low"]).where(F.struct("rank", "start") != F.col("first"))
-        .groupBy("rank").agg(F.collect_set("start").alias("repeats"))
+        units.join(first, ["high", "low"]).where(F.struct("rank", "block") != F.col("first"))
+        .groupBy("rank").agg(F.collect_set("block").alias("repeats"))
     )
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, removed = [], []
-        for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            spans = repeated_spans(text, set(starts), min_words) if text and starts else []
+        for text, blocks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            spans = repeated_spans(text, set(blocks), min_words) if text and blocks else []
             texts.append(without_spans(text, spans) if spans else text)
             removed.append([{"start": s, "end": e} for s, e in spans])
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])

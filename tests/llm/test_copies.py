@@ -105,6 +105,18 @@ def test_repeats_within_a_document_and_odd_rows(spark, odd, no_rows):
     assert {(r["doc_id"], bool(r["removed"])) for r in rows if r["doc_id"] in (1, 2, 9)} == {(1, False), (2, True), (9, False)}
 
 
+def test_passages_of_short_lines_and_inside_long_sentences_go(spark):
+    own = [f"{prose(i + 700, 30)}." for i in range(6)]
+    menu = "\n".join(prose(i + 800, 1 + i % 3) for i in range(40))
+    inner = prose(888, 90)
+    rows = [(1, f"{own[0]}\n{menu}\n{own[1]}"), (2, f"{own[2]}\n{menu}\n{own[3]}"), (3, f"{own[4][:-1]} {inner} {prose(1, 9)}."), (4, f"{prose(2, 7)} {inner} {own[5]}")]
+    got = {r["doc_id"]: r for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got[1]["removed"] == got[3]["removed"] == [] and got[2]["text"].split() == f"{own[2]} {own[3]}".split()
+    (span,) = got[4]["removed"]
+    gone = rows[3][1][span["start"] : span["end"]]
+    assert gone in inner and len(gone.split()) >= 50
+
+
 def test_spans_give_back_the_rest_on_documents(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.QUERIES["op5_substring_dedup"](spark, sf_dir).collect():
