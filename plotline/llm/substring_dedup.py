@@ -17,12 +17,13 @@ to the original text, in code points.
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from itertools import accumulate, pairwise
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
@@ -39,7 +40,7 @@ REACH = 4
 _BREAK = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _LAST = (1 << 63) - 1
 _WORD = re.compile(r"\S+")
-UNITS_SCHEMA = "rank long, high array<long>, low array<long>"
+UNITS_SCHEMA = "key long, rank long, doc_id long, packed binary, high array<long>, low array<long>"
 
 
 def units_of(text: str) -> list[tuple[int, int]]:
@@ -55,19 +56,13 @@ def units_of(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def pieces_of(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """A unit cut at words that its near surroundings alone choose; a short unit is one piece."""
-    if end - start <= 2 * LONG_UNIT:
-        return [(start, end)]
-    words = [m.span() for m in _WORD.finditer(text, start, end)]
-    if len(words) <= LONG_UNIT:
-        return [(start, end)]
-    h = [crc32(text[s:e].lower().encode()) for s, e in words]
-    cuts = [
+def cuts_of(words: list[str]) -> list[int]:
+    """Where to cut a long unit: at words that their near surroundings alone choose."""
+    h = list(map(crc32, map(str.encode, words)))
+    return [
         i for i in range(REACH, len(h) - REACH)
-        if h[i - 1] > h[i] <= h[i + 1] and h[i] < min(h[i - REACH : i]) and h[i] <= min(h[i + 1 : i + REACH + 1])
+        if h[i - 1] > h[i] <= h[i + 1] and h[i] == min(h[i - REACH : i + REACH + 1]) and h[i] not in h[i - REACH : i]
     ]
-    return [(words[i][0], words[j - 1][1]) for i, j in zip([0, *cuts], [*cuts, len(words)], strict=True)]
 
 
 def blocks_of(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[tuple[int, int]], list[list[int]]]:
@@ -76,27 +71,33 @@ def blocks_of(text: str) -> tuple[list[tuple[int, int]], list[list[str]], list[t
     A unit that isn't light is a block by itself. A light one has the block that begins with it and the one
     that ends with it, as far as the text has enough words.
     """
-    units, light = [], []
+    units, words, light = [], [], []
     for start, end in units_of(text):
-        pieces = pieces_of(text, start, end)
-        units += pieces
-        light += [MIN_BLOCK_WORDS if len(pieces) > 1 else MIN_UNIT_WORDS] * len(pieces)
-    words = [text[s:e].lower().split() for s, e in units]
+        own = text[start:end].lower().split()
+        if len(own) > LONG_UNIT and (cuts := cuts_of(own)):
+            spans = [m.span() for m in _WORD.finditer(text, start, end)]
+            for i, j in pairwise((0, *cuts, len(own))):
+                units.append((spans[i][0], spans[j - 1][1]))
+                words.append(own[i:j])
+                light.append(j - i < MIN_BLOCK_WORDS)
+        else:
+            units.append((start, end))
+            words.append(own)
+            light.append(len(own) < MIN_UNIT_WORDS)
+    blocks = [(i, i) for i, x in enumerate(light) if not x]
+    shared: dict[int, list[tuple[int, int]]] = {}
     upto = [0, *accumulate(map(len, words))]
-    own: list[list[tuple[int, int]]] = []
-    for i, least in enumerate(light):
-        if len(words[i]) >= least:
-            own.append([(i, i)])
-            continue
+    for i in (i for i, x in enumerate(light) if x):
         h, j = i, i
         while j < len(units) - 1 and upto[j + 1] - upto[i] < MIN_BLOCK_WORDS:
             j += 1
         while h > 0 and upto[i + 1] - upto[h] < MIN_BLOCK_WORDS:
             h -= 1
-        own.append([(x, y) for x, y in ((i, j), (h, i)) if upto[y + 1] - upto[x] >= MIN_BLOCK_WORDS])
-    blocks = sorted({b for mine in own for b in mine})
+        shared[i] = [(x, y) for x, y in ((i, j), (h, i)) if upto[y + 1] - upto[x] >= MIN_BLOCK_WORDS]
+        blocks += shared[i]
+    blocks = sorted(set(blocks))
     number = {b: k for k, b in enumerate(blocks)}
-    return units, words, blocks, [[number[b] for b in mine] for mine in own]
+    return units, words, blocks, [[number[b] for b in shared[i]] if x else [number[i, i]] for i, x in enumerate(light)]
 
 
 def digest(words: list[str]) -> tuple[int, int]:
@@ -128,51 +129,53 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _unit_arrays(batch: pa.RecordBatch) -> pa.RecordBatch:
-    high, low = [], []
-    for text in batch.column(1).to_pylist():
+    """Each row's key, rank and id, its text compressed as it is written and travels, and its blocks' digests."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    packed, high, low = [], [], []
+    for text in batch.column(3).to_pylist():
+        packed.append(None if text is None else pack(text.encode()))
         _, words, blocks, _ = blocks_of(text) if text else ([], [], [], [])
         halves = [digest(words[i] if i == j else [w for unit in words[i : j + 1] for w in unit]) for i, j in blocks]
         high.append(np.array([h for h, _ in halves], np.uint64).view(np.int64))
         low.append(np.array([x for _, x in halves], np.uint64).view(np.int64))
-    return pa.record_batch([batch.column(0), list_of(high, pa.int64()), list_of(low, pa.int64())], names=["rank", "high", "low"])
+    columns = [*batch.columns[:3], pa.array(packed, pa.binary()), list_of(high, pa.int64()), list_of(low, pa.int64())]
+    return pa.record_batch(columns, names=["key", "rank", "doc_id", "packed", "high", "low"])
 
 
 def drop_repeats(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc_id, text, removed``: texts without repeated passages, and the removed spans.
 
-    The earliest occurrence by (id, offset) stays whole, also within a document. Null ids rank last and
-    share one rank, and rows that repeat an id are one document: they are treated alike. A null text
-    stays null, an empty one empty, with no spans. An empty table gives an empty result. Other columns
-    are ignored. Units are hashed once and written to the checkpoint folder; only digests that occur
-    twice travel on, and a document's own repeats meet in its row.
+    The earliest occurrence by (id, row, offset) stays whole, also within a document. Null ids rank last.
+    Every row is a document of its own, also where ids are null or repeated: of rows that have an id and a
+    text in common one keeps its text. A null text stays null, an empty one empty, with no spans. An empty
+    table gives an empty result. Other columns are ignored. Rows are numbered, their units hashed and both
+    written to the checkpoint folder with the compressed texts, so that a number stays with its row; units
+    travel once, sorted by digest and place, and a row's own repeats meet in its row.
     """
     picked = df.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("rank"), F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
+        F.monotonically_increasing_id().alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("rank"),
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
     )
-    hashed = checkpointed(arrow_pass(picked.select("rank", "text"), _unit_arrays, UNITS_SCHEMA))
-    units = hashed.select("rank", F.posexplode(F.arrays_zip("high", "low")).alias("block", "u")).select(
-        "rank", "block", F.col("u.high").alias("high"), F.col("u.low").alias("low")
-    )
-    first = (
-        units.groupBy("high", "low").agg(F.min(F.struct("rank", "block")).alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select("high", "low", "first")
-    )
-    repeats = (
-        units.join(first, ["high", "low"]).where(F.struct("rank", "block") != F.col("first"))
-        .groupBy("rank").agg(F.collect_set("block").alias("repeats"))
+    hashed = checkpointed(arrow_pass(picked, _unit_arrays, UNITS_SCHEMA))
+    units = hashed.select("rank", "key", F.posexplode(F.arrays_zip("high", "low")).alias("block", "u")).select(
+        "rank", "key", "block", F.col("u.high").alias("high"), F.col("u.low").alias("low")
     )
+    order = Window.partitionBy("high", "low").orderBy("rank", "key", "block")
+    later = units.withColumn("n", F.row_number().over(order)).where("n > 1")
+    repeats = later.groupBy("key").agg(F.collect_list("block").alias("repeats"))
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        unpack = zstandard.ZstdDecompressor().decompress
         texts, removed = [], []
-        for text, blocks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for packed, blocks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            text = None if packed is None else unpack(packed).decode()
             spans = repeated_spans(text, set(blocks), min_words) if text and blocks else []
             texts.append(without_spans(text, spans) if spans else text)
             removed.append([{"start": s, "end": e} for s, e in spans])
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         return pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.list_(span))], names=["doc_id", "text", "removed"])
 
-    joined = picked.join(repeats, "rank", "left").select("doc_id", "text", "repeats")
+    joined = hashed.select("key", "doc_id", "packed").join(repeats, "key", "left").select("doc_id", "packed", "repeats")
     return arrow_pass(joined, clean, "doc_id long, text string, removed array<struct<start:int,end:int>>")
 
 

@@ -117,6 +117,18 @@ def test_passages_of_short_lines_and_inside_long_sentences_go(spark):
     assert gone in inner and len(gone.split()) >= 50
 
 
+def test_rows_that_share_an_id_or_have_none_are_documents_of_their_own(spark):
+    a, b, c, d = (f"{prose(i + 600, 25)}." for i in range(4))
+    rows = [(1, a), (None, f"{a}\n{b}"), (None, f"{c}\n{d}"), (2, d), (2, c), (3, b), (3, b), (5, f"{prose(70, 30)}\n{prose(71, 30)}"), (5, f"{prose(72, 30)}\n{prose(71, 30)}")]
+    got = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    of = lambda i: sorted(r["text"] for r in got if r["doc_id"] == i)
+    assert of(1) == [a] and of(2) == sorted([c, d]) and of(3) == ["", b] and of(None) == ["", ""]
+    assert sorted(len(t.split()) for t in of(5)) == [30, 60]
+    rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{d}"), (1, a)]
+    got = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted(r["text"] for r in got if r["doc_id"] is None) == sorted([b, rows[1][1]])
+
+
 def test_spans_give_back_the_rest_on_documents(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in queries.QUERIES["op5_substring_dedup"](spark, sf_dir).collect():
