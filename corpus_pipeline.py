@@ -26,13 +26,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id.
+    """Of each group of near copies the document of the smallest id, of several such rows one.
 
-    Rows that repeat an id are one document and stay or go together; rows without an id stay.
+    Every row is a document of its own, under a number that is written with it; null ids come last.
     """
-    groups = similar_groups(docs, "doc_id", "text")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    folder = f"{ensure_checkpoint_dir(spark)}/numbered-{uuid.uuid4()}"
+    number = f"row_{uuid.uuid4().hex}"
+    docs.withColumn(number, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(folder)
+    numbered = spark.read.parquet(folder)
+    groups = similar_groups(numbered, number, "text").select(F.col("doc_id").alias(number), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", number)
+    kept = groups.join(numbered.select(number, "doc_id"), number).groupBy("component_id").agg(F.min(order)[number].alias(number))
+    return numbered.join(kept.select(number), number, "left_semi").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import corpus_pipeline
 from plotline.llm import queries
 from plotline.llm.sharding import assign_shards
 from plotline.llm.topk_search import top_k
+from tests.llm.conftest import prose
 
 
 def lawful(rows, shards):
@@ -81,3 +82,12 @@ def test_stages_keep_columns_and_clean_documents(spark, sf_dir):
 def test_stages_on_no_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
     assert all(stage(spark, docs, sf_dir).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_one_of_each_group_of_copies_stays_whatever_the_ids(spark):
+    a, b, c = (prose(i + 300, 60) for i in range(3))
+    rows = [(2, a), (2, a), (1, a), (1, b), (None, c), (None, c), (None, a), (7, None), (7, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_copies(spark, docs, None)
+    want = [(1, a), (1, b), (7, None), (7, None), (None, ""), (None, c)]
+    assert kept.columns == docs.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
