@@ -52,16 +52,26 @@ def known_string(run: str) -> bool:
 
 
 def random_spans(text: str, count_tokens, taken: list[tuple[str, int, int]], min_length: int, max_ratio: float) -> list[tuple[str, int, int]]:
-    """Key-like runs of at least ``min_length`` characters that need many tokens, outside ``taken``."""
+    """Key-like runs of at least ``min_length`` characters that need many tokens, outside ``taken``.
+
+    Of a run that meets spans of ``taken`` the rest is tested: what follows such a span at any length, as
+    the end of a secret, and what comes before the first only from ``min_length`` on, as it may be a name.
+    """
     found = []
     for m in re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min_length).finditer(text):
-        run, (start, end) = m[0], m.span()
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or known_string(run):
-            continue
-        if any(s < end and start < e for _, s, e in taken):
-            continue
-        if len(run) <= max_ratio * count_tokens(run):
-            found.append(("random", start, end))
+        at, end = m.span()
+        parts, least = [], min_length
+        for _, s, e in sorted((x for x in taken if x[1] < end and at < x[2]), key=lambda x: x[1:]):
+            if s - at >= least:
+                parts.append((at, s))
+            if e > at:
+                at, least = e, 1
+        if end - at >= least:
+            parts.append((at, end))
+        for s, e in parts:
+            run = text[s:e]
+            if not known_string(run) and len(run) <= max_ratio * count_tokens(run):
+                found.append(("random", s, e))
     return found
 
 

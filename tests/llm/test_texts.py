@@ -62,6 +62,16 @@ def test_random_strings_found_and_known_ones_left(spark, odd, no_rows):
     assert redact(odd, "text").exceptAll(odd).count() == 0
 
 
+def test_random_letters_and_the_rest_after_a_base_span_are_found(spark):
+    letters, key, rest = "qVxZtKwBmRpLsDfHjGcNyXuT", "AKIA" + "Q7ZT9XK2VB4MW8PL", "qvxztkwbmrplsdfh"
+    rows = [(1, f"see {letters} end"), (2, f"see {key}{rest} end"), (3, f"{letters}{key}"), (4, "internationalisation_of_documentation"), (5, "-" * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], dict(rows)[r["doc_id"]][s["start"] : s["end"]]) for s in r["spans"]] for r in find_secrets(df, "doc_id", "text").collect()}
+    assert got == {1: [("random", letters)], 2: [("access", key), ("random", rest)], 3: [("random", letters), ("access", key)], 4: [], 5: []}
+    clean = {r["doc_id"]: r["text"] for r in redact(df, "text").collect()}
+    assert clean[1] == "see [random] end" and clean[2] == "see [access][random] end"
+
+
 def test_turns_return_from_hostile_texts():
     pieces = ["<|im_start|>", "<|im_", "end|>", "\\", "<s>", "[INST]", "\n", "<|im_sep|>", "a"]
     for text in map("".join, product(pieces, repeat=3)):
