@@ -124,9 +124,6 @@ class Lattices:
         self.hashes, self.numbers = hashes[order], np.array(list(pieces.values()), np.int32)[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.hashes >> np.uint64(44)] = True
-        self.spelling = [self.processor.id_to_piece(i) for i in range(n)]
-        #: A line break before a unit, so that decoding doesn't take its first space for the text's own.
-        self.lead = self.processor.encode("\n")[-1:]
         self.clear()
 
     def _hash_one(self, piece: str) -> int:
@@ -137,8 +134,6 @@ class Lattices:
         self.units: dict[str, int] = {}
         self.words: dict[str, list[int]] = {}
         self.best: list[list[int]] = []
-        #: Whether decoding gives the unit back; a text returns if all its units do, as no piece crosses them.
-        self.returns: list[bool] = []
         self.columns = {"roots": _Column(np.int64), "first": _Column(np.int64), "targets": _Column(np.int64), "ids": _Column(np.int32), "logs": _Column(np.float64), "upto": _Column(np.float64)}
         self._extend({})
 
@@ -170,9 +165,6 @@ class Lattices:
             for u, i, ids in zip(new, inner, self.processor.encode(inner, num_threads=1), strict=True):
                 self.units[u] = len(self.best)
                 self.best.append(ids[2:] if i[0] == "\n" else ids)
-            for u, ids in zip(new, self.best[-len(new) :], strict=True):
-                same = "".join(map(self.spelling.__getitem__, ids)) == u.replace(" ", _SPACE)
-                self.returns.append(same or self.processor.decode([*self.lead, *ids])[1:] == u)
             self._build([u.replace(" ", _SPACE) for u in new])
         for w, units in zip(new_words, cut, strict=True):
             self.words[w] = [self.units[u] for u in units]
@@ -385,8 +377,8 @@ def _encode_block(lattices: Lattices, texts: list[str | None], keys: np.ndarray,
     lattices.add(set().union(*pieces))
     numbers = [list(chain.from_iterable(map(lattices.words.__getitem__, p))) for p in pieces]
     ids = [list(chain.from_iterable(map(lattices.best.__getitem__, row))) for row in numbers]
-    returns = lattices.returns
-    back = [all(map(returns.__getitem__, row)) for row in numbers]
+    decode = lattices.processor.decode
+    back = [(decode(row) if row else "") == (t or "") for row, t in zip(ids, texts, strict=True)]
     samples = sample_rows(lattices, [np.array(row, np.int64) for row in numbers], keys, k)
     return [(np.array(i, np.int32), b, s) for i, b, s in zip(ids, back, samples, strict=True)]
 
@@ -394,7 +386,7 @@ def _encode_block(lattices: Lattices, texts: list[str | None], keys: np.ndarray,
 def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, seed: int = 0, alpha: float = ALPHA, tokenizers: str = TOKENIZERS) -> DataFrame:
     """``doc_id, ids, round_trip, samples``: the encoding of every whole text and sampled segmentations.
 
-    ``round_trip`` tells whether decoding ``ids`` gives the text. ``samples`` has up to ``samples`` distinct
+    ``round_trip`` tells whether decoding the whole of ``ids`` gives the text. ``samples`` has up to ``samples`` distinct
     segmentations, fewer where the text has fewer. A null or empty text has no ids and no samples. Repeated
     rows get the same samples, as draws depend on id and seed alone; null ids share one key. An empty table
     gives an empty result. Other columns are ignored.

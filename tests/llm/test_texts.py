@@ -178,6 +178,13 @@ def test_encoding_equals_the_library_and_returns(spark, odd, no_rows, sf_dir, pr
     assert piece_sampling.encode(no_rows, "doc_id", "text").count() == 0
 
 
+def test_round_trip_is_that_of_the_decoded_whole(spark, processor):
+    texts = dict(enumerate(("foo▁bar", "▁", "a ▁b", "plain text", " two  spaces ", "▁▁x\ny")))
+    rows = piece_sampling.encode(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text").collect()
+    assert {r["doc_id"]: r["round_trip"] for r in rows} == {i: processor.decode(processor.encode(t)) == t for i, t in texts.items()}
+    assert not rows[0]["round_trip"] and {r["doc_id"]: r["round_trip"] for r in rows}[3]
+
+
 def test_samples_are_distinct_segmentations(spark, odd, processor):
     texts = {r["doc_id"]: r["text"] for r in odd.collect()}
     rows = [r for r in piece_sampling.encode(odd, "doc_id", "text", samples=4).collect() if r["doc_id"] not in (3, None)]
