@@ -1,25 +1,25 @@
 """SentencePiece encoding and decoding, with segmentations sampled without replacement.
 
-A text is cut into units where no piece can cross: before a space that follows another character,
-around line breaks, and between characters that are neighbours in no piece. Encoding joins the units' encodings, which are those of the whole text. A unit's
+The library encodes and decodes whole texts. For sampling a text is cut into units where no piece can
+cross: between characters that are neighbours in no piece, such as before a space that follows a word. A unit's
 lattice has an edge for every vocabulary piece that fits; an edge weighs (2 + rank) ** -alpha, as the
 model's scores are ranks and no log-probabilities, and backward sums turn weights into the chance of
 each edge given its start. The chance of a text's segmentation is the product over its edges.
 
-Distinct segmentations come from a perturbed A-star search. The root, all segmentations, gets a Gumbel
-draw for its maximum; the path that attains it is drawn edge by edge. Leaving the path at an edge opens
-a subset, the paths that share what is before and take another edge there, whose maximum is a Gumbel
-draw for the subset's mass, truncated at the parent's. The subset with the largest maximum is opened
-next. The k paths so found are a sample without replacement; with the (k+1)-th maximum as threshold
-each has an inclusion score. Draws are hashes of row key, seed and counters, so they depend on the row
-alone. Steps run over all units of a block of rows at once.
+Distinct segmentations come from a perturbed A-star search over subsets of them. The root, all
+segmentations, gets a Gumbel draw for its maximum. The subset with the largest maximum is opened next:
+a path of it is drawn in proportion to its chance and attains the maximum; what remains is split into
+the paths that leave the known ones earlier, later or at the same place, each with a Gumbel draw for
+its mass, truncated at the opened maximum. The k paths so found are a sample without replacement; with
+the (k+1)-th maximum as threshold each has an inclusion score. Masses are sums over all levels at which
+a path may be left. Draws are hashes of row key, seed and counters, so they depend on the row alone.
+Cutting, lattices and walks run over all units of a block of rows at once.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -36,13 +36,17 @@ from plotline.llm._vocabulary import TOKENIZERS, broadcast_file
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 ALPHA = 1.0
-#: Units whose lattices a worker keeps, and units that are sampled at once.
-KEPT_UNITS = 60_000
-BLOCK_UNITS = 30_000
-_UNIT = re.compile(r" *[^ \n]+| +|\n")
+#: Units whose lattices a worker keeps, characters of the rows that are sampled at once, and of units that are hashed at once.
+KEPT_UNITS = 120_000
+BLOCK_CHARS = 300_000
+SLICE_CHARS = 1 << 18
+#: Terms below this share (e ** -45) of a sum don't change it in double precision.
+NOTHING = -45.0
+_LEVELS = 256
 _SPACE = "▁"
-_BASE = np.uint64(0x2545F4914F6CDD1D)
+_BASE = 0x2545F4914F6CDD1D
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_UNKNOWN = -30.0
 
 
 def _uniform(keys: np.ndarray) -> np.ndarray:
@@ -54,20 +58,6 @@ def _gumbel(keys: np.ndarray) -> np.ndarray:
     return -np.log(-np.log(_uniform(keys)))
 
 
-@dataclass
-class _Path:
-    """A segmentation of one text: its edges, the unit of each, and the maxima of the subsets it opens."""
-
-    edges: np.ndarray
-    units: np.ndarray
-    value: float
-    log_p: np.ndarray
-    #: The level at which it left its parent, and the edges that are taken there already.
-    start: int = 0
-    taken: tuple[int, ...] = ()
-    open: np.ndarray = field(default_factory=lambda: np.empty(0))
-
-
 class _Column:
     """A growing flat array."""
 
@@ -77,7 +67,7 @@ class _Column:
     def extend(self, more: np.ndarray) -> None:
         end = self.size + len(more)
         if end > len(self.room):
-            grown = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            grown = np.empty(max(end, 3 * len(self.room) // 2), self.room.dtype)
             grown[: self.size] = self.room[: self.size]
             self.room = grown
         self.room[self.size : end] = more
@@ -88,268 +78,376 @@ class _Column:
         return self.room[: self.size]
 
 
+class _Hashed:
+    """Places of 64-bit keys by their upper bits; keys that meet there go to the next table, by other bits."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.tables, left = keys, [], np.arange(len(keys))
+        while len(left):
+            at = self._slots(keys[left], len(self.tables))
+            table = np.full(1 << self.BITS, -1, np.int32)
+            table[at] = left
+            self.tables.append(table)
+            left = left[table[at] != left]
+
+    def _slots(self, keys: np.ndarray, table: int) -> np.ndarray:
+        return ((keys * np.uint64(2 * table + 1)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        found = np.full(len(keys), -1, np.int64)
+        for k, table in enumerate(self.tables):
+            at = table[self._slots(keys, k)]
+            hit = (at >= 0) & (self.keys[at] == keys)
+            found[hit] = at[hit]
+        return found
+
+
 class Lattices:
     """The model, and the lattices of the units seen so far, as flat arrays of nodes and edges.
 
     A node is a position in a unit; its edges lie together, the longest piece first. An edge has its
     target (-1 at the unit's end), its piece (or minus the code point of a character without one), its
-    log chance and the chance of all edges of its node up to it.
+    log chance, the log chance of its node's other edges, and the chance of its node's edges up to it.
     """
 
     def __init__(self, model: bytes, alpha: float) -> None:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = self.processor.vocab_size()
         known = [i for i in range(n) if not (self.processor.is_control(i) or self.processor.is_unknown(i) or self.processor.is_byte(i))]
-        pieces = {self.processor.id_to_piece(i): i for i in known}
-        if any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces):
-            raise ValueError("a piece of this model crosses the units' borders")
-        #: Neighbouring characters of any piece; where two others meet no piece crosses.
-        self.pairs = {pair for p in pieces for pair in zip(p, p[1:])}
-        lower, marks = "abcdefghijklmnopqrstuvwxyz", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-        known_pairs = {(a, b) for a in (*lower, *lower.upper(), _SPACE) for b in lower} <= self.pairs
-        #: Words that certainly aren't cut.
-        self.plain = re.compile(r" ?[A-Za-z]?[a-z]*" if known_pairs else r"(?!)")
-        # Marks that stand beside no letter or digit in any piece, but for a few odd ones, part words by themselves.
-        beside = {(c, x) for a, b in self.pairs for c, x in ((a, b), (b, a)) if c in marks and x.isalnum()}
-        self.odd = "".join(sorted({x for _, x in beside if x not in lower + lower.upper() + "0123456789"}))
-        apart = "".join(re.escape(c) for c in marks if not any(m == c and x not in self.odd for m, x in beside))
-        self.words_of = re.compile(rf" *[^ \n{apart}]+| *[{apart}]+| +|\n" if apart else _UNIT.pattern)
+        pieces = [self.processor.id_to_piece(i) for i in known]
         self.bytes = np.array([self.processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
         self.longest = max(map(len, pieces))
-        self.log_weights = np.full(n, -30.0)
-        self.log_weights[known] = [-alpha * np.log(2.0 + min(-self.processor.get_score(i), float(n))) for i in known]
-        self.powers = np.cumprod(np.full(4096, _BASE, np.uint64))
-        hashes = np.array([self._hash_one(p) for p in pieces], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], np.array(list(pieces.values()), np.int32)[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.hashes >> np.uint64(44)] = True
+        # Neighbouring characters of any piece, as a table over those characters; where others meet no piece crosses.
+        pairs = np.array(sorted({(ord(a), ord(b)) for p in pieces for a, b in zip(p, p[1:])}), np.int64).reshape(-1, 2)
+        chars = np.unique(pairs)
+        self.classes = np.zeros(0x110000, np.uint16)
+        self.classes[chars] = np.arange(1, len(chars) + 1)
+        self.pairs = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        self.pairs[self.classes[pairs[:, 0]], self.classes[pairs[:, 1]]] = True
+        self.weights = np.array([-alpha * np.log(2.0 + min(-self.processor.get_score(i), float(n))) for i in known])
+        self.numbers = np.array(known, np.int32)
+        self._powers(1 << 12)
+        codes, lengths = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32), np.array([len(p) for p in pieces])
+        starts = np.cumsum(lengths) - lengths
+        self._powers(len(codes) + 1)
+        self.pieces = _Hashed(self._hashes(self._sums(codes), starts, starts + lengths))
         self.clear()
 
-    def _hash_one(self, piece: str) -> int:
-        codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
-        return int((mix64(codes.astype(np.uint64)) * self.powers[: len(codes)]).sum(dtype=np.uint64))
-
     def clear(self) -> None:
-        self.units: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
-        self.best: list[list[int]] = []
-        self.columns = {"roots": _Column(np.int64), "first": _Column(np.int64), "targets": _Column(np.int64), "ids": _Column(np.int32), "logs": _Column(np.float64), "upto": _Column(np.float64)}
+        kinds = {"roots": np.int64, "first": np.int32, "targets": np.int32, "ids": np.int32, "logs": np.float64, "rest": np.float64, "upto": np.float64}
+        self.columns = {name: _Column(kind) for name, kind in kinds.items()}
+        self.keys, self.places = np.empty(0, np.uint64), np.empty(0, np.int32)
         self._extend({})
 
     def _extend(self, more: dict[str, np.ndarray]) -> None:
         for name, values in more.items():
             self.columns[name].extend(values)
-        self.roots, self.first, self.targets, self.ids, self.logs, self.upto = (c.values for c in self.columns.values())
-
-    def cut(self, text: str) -> list[str]:
-        """Words of a text as the model sees it, with a space before it; words are cut further into units."""
-        odd = any(c in text for c in self.odd)
-        return (_UNIT if odd else self.words_of).findall(" " + text)
-
-    def cut_word(self, word: str) -> list[str]:
-        """Units of a word: it is cut where no piece crosses."""
-        if self.plain.fullmatch(word):
-            return [word]
-        seen = word.replace(" ", _SPACE)
-        cuts = [i for i, pair in enumerate(zip(seen, seen[1:]), 1) if pair not in self.pairs]
-        return [word[i:j] for i, j in zip([0, *cuts], [*cuts, len(word)], strict=True)] if cuts else [word]
-
-    def add(self, words: set[str]) -> None:
-        """Build what isn't known yet of ``words``."""
-        new_words = [w for w in words if w not in self.words]
-        cut = [self.cut_word(w) for w in new_words]
-        new = list({u for units in cut for u in units if u not in self.units})
-        if new:
-            inner = [u[1:] if u[0] == " " and u.strip(" ") else "\n" + u for u in new]
-            for u, i, ids in zip(new, inner, self.processor.encode(inner, num_threads=1), strict=True):
-                self.units[u] = len(self.best)
-                self.best.append(ids[2:] if i[0] == "\n" else ids)
-            self._build([u.replace(" ", _SPACE) for u in new])
-        for w, units in zip(new_words, cut, strict=True):
-            self.words[w] = [self.units[u] for u in units]
-
-    def _build(self, units: list[str]) -> None:
-        lengths = np.fromiter(map(len, units), np.int64, len(units))
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        ends = np.cumsum(lengths)
-        rest = np.repeat(ends, lengths) - np.arange(len(codes))
-        mixed = mix64(codes.astype(np.uint64))
-        hashes = np.zeros(len(codes), np.uint64)
-        nodes, spans, pieces = [], [], []
-        lone = np.ones(len(codes), bool)
+        self.roots, self.first, self.targets, self.ids, self.logs, self.rest, self.upto = (c.values for c in self.columns.values())
+
+    def _powers(self, n: int) -> None:
+        """Powers of the hash's base and of its inverse, n of each at least."""
+        if n > len(getattr(self, "up", ())):
+            self.up = np.cumprod(np.full(n, _BASE, np.uint64))
+            self.down = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), np.uint64))
+
+    def _sums(self, codes: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(mix64(codes) * self.up[: len(codes)], out=sums[1:])
+        return sums
+
+    def _hashes(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the strings between positions, wherever they stand."""
+        return (sums[ends] - sums[starts]) * self.down[starts]
+
+    def units_of(self, texts: list[str]) -> list[np.ndarray]:
+        """The units of each text, by number; lattices that are missing are built."""
+        shown = [_SPACE + t.replace(" ", _SPACE) if t else "" for t in texts]
+        codes = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32)
+        lengths = np.fromiter(map(len, shown), np.int64, len(shown))
+        text_ends = np.cumsum(lengths)
+        kinds = self.classes[codes]
+        begins = np.ones(len(codes) + 1, bool)
+        begins[1:-1] = ~self.pairs[kinds[:-1], kinds[1:]]
+        begins[text_ends] = True
+        begins[text_ends - lengths] = True
+        bounds = np.flatnonzero(begins)
+        units = np.empty(len(bounds) - 1, np.int32)
+        low = 0
+        while low < len(units):
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE_CHARS, "right")) - 1)
+            units[low:high] = self._numbers(codes[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
+            low = high
+        cuts = np.searchsorted(bounds, text_ends)
+        return np.split(units, cuts[:-1]) if len(texts) else []
+
+    def _numbers(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        self._powers(len(codes) + 1)
+        sums = self._sums(codes)
+        keys = mix64(self._hashes(sums, bounds[:-1], bounds[1:]) + np.diff(bounds).astype(np.uint64))
+        keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        slot = np.searchsorted(self.keys, keys)
+        new = np.flatnonzero(self.keys[np.minimum(slot, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            numbers = np.arange(len(self.roots), len(self.roots) + len(new), dtype=np.int32)
+            self._build(codes, sums, bounds[at[new]], bounds[at[new] + 1])
+            self.keys, self.places = np.insert(self.keys, slot[new], keys[new]), np.insert(self.places, slot[new], numbers)
+            slot = np.searchsorted(self.keys, keys)
+        return self.places[slot][back]
+
+    def _build(self, codes: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Lattices of the units between the given positions of a text."""
+        lengths = ends - starts
+        roots = np.cumsum(lengths) - lengths
+        total = int(lengths.sum())
+        place = np.arange(total) + np.repeat(starts - roots, lengths)
+        rest = np.repeat(roots + lengths, lengths) - np.arange(total)
+        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        counts = np.zeros(total, np.int64)
+        lone = np.ones(total, bool)
+        node = np.arange(total)
         for span in range(1, min(self.longest, int(rest.max())) + 1):
-            # The hash of the span characters from each position, grown by one character a round.
-            at = np.flatnonzero(rest >= span)
-            hashes[at] += mixed[at + span - 1] * self.powers[span - 1]
-            at = at[self.maybe[hashes[at] >> np.uint64(44)]]
-            slot = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
-            hit = self.hashes[slot] == hashes[at]
-            nodes.append(at[hit])
-            spans.append(np.full(int(hit.sum()), span))
-            pieces.append(self.numbers[slot[hit]])
+            # The nodes that have so many characters before them in their unit.
+            node = node[rest[node] >= span]
+            at = place[node]
+            piece = self.pieces.find((sums[at + span] - sums[at]) * self.down[at])
+            hit = piece >= 0
+            mine = node[hit]
+            found.append((span, mine, piece[hit]))
+            counts[mine] += 1
             if span == 1:
-                lone[nodes[-1]] = False
-        alone = np.flatnonzero(lone)
-        node = np.concatenate([*nodes, alone])
-        span = np.concatenate([*spans, np.ones(len(alone), np.int64)])
-        piece = np.concatenate([*pieces, -codes[alone].astype(np.int32)])
-        weight = np.where(piece >= 0, self.log_weights[piece], -30.0)
-        order = np.lexsort((-span, node, rest[node]))
-        node, span, piece, weight = node[order], span[order], piece[order], weight[order]
+                lone[mine] = False
+        counts[lone] += 1
+        first = np.cumsum(counts) - counts
+        edges = int(counts.sum())
+        owner, spans, ids, weight = np.repeat(np.arange(total), counts), np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges)
+        filled = first.copy()
+        for span, mine, piece in reversed(found):
+            at = filled[mine]
+            spans[at], ids[at], weight[at] = span, self.numbers[piece], self.weights[piece]
+            filled[mine] += 1
+        at = filled[lone]
+        spans[at], ids[at], weight[at] = 1, -codes[place[lone]].astype(np.int32), _UNKNOWN
         # Log mass of what follows each position, from the units' ends backwards.
-        mass = np.zeros(len(codes) + 1)
-        left = rest[node]
-        bounds = np.flatnonzero(np.diff(left, prepend=-1, append=-1))
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            value = weight[low:high] + np.where(span[low:high] == left[low], 0.0, mass[node[low:high] + span[low:high]])
-            starts = np.flatnonzero(np.diff(node[low:high], prepend=-1))
-            mass[node[low:high][starts]] = np.logaddexp.reduceat(value, starts)
-        order = np.lexsort((-span, node))
-        node, span, piece, weight = node[order], span[order], piece[order], weight[order]
-        over = span == rest[node]
-        logs = weight + np.where(over, 0.0, mass[node + span]) - mass[node]
-        starts = np.flatnonzero(np.diff(node, prepend=-1))
+        mass, left = np.zeros(total + 1), rest[owner]
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+        target = np.where(spans == left, total, owner + spans)
+        by_left, by_owner, by_target, by_weight = left[order], owner[order], target[order], weight[order]
+        bounds = np.flatnonzero(np.diff(by_left, prepend=-1, append=-1))
+        heads = np.flatnonzero(np.diff(by_owner, prepend=-1))
+        cuts = np.searchsorted(heads, bounds)
+        for low, high, a, b in zip(bounds[:-1], bounds[1:], cuts[:-1], cuts[1:], strict=True):
+            mass[by_owner[heads[a:b]]] = np.logaddexp.reduceat(by_weight[low:high] + mass[by_target[low:high]], heads[a:b] - low)
+        logs = weight + mass[target] - mass[owner]
         # Summed node by node, so that a unit's sums don't depend on the units that are built with it.
-        upto, widths = np.exp(logs), np.diff(np.append(starts, len(node)))
-        for k in range(1, int(widths.max(initial=0))):
-            edge = starts[widths > k] + k
+        upto, other, widest = np.exp(logs), np.full(edges, -np.inf), int(counts.max())
+        for k in range(1, widest):
+            edge = first[counts > k] + k
             upto[edge] += upto[edge - 1]
-        upto[np.append(starts[1:] - 1, len(node) - 1)] = 2.0
+            other[edge] = np.logaddexp(other[edge - 1], logs[edge - 1])
+        behind = np.full(edges, -np.inf)
+        for k in range(widest - 2, -1, -1):
+            edge = first[counts > k + 1] + k
+            behind[edge] = np.logaddexp(behind[edge + 1], logs[edge + 1])
+        upto[first + counts - 1] = 2.0
         base = len(self.first)
         self._extend({
-            "roots": base + ends - lengths, "first": starts + len(self.ids), "targets": np.where(over, -1, base + node + span),
-            "ids": piece, "logs": logs, "upto": upto,
+            "roots": base + roots, "first": first + len(self.ids), "targets": np.where(spans == left, -1, base + owner + spans),
+            "ids": ids, "logs": logs, "rest": np.logaddexp(other, behind), "upto": upto,
         })
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Draw a path from each node to its unit's end: all edges, and how many each path has."""
-        owner = np.flatnonzero(nodes >= 0)
-        at = nodes[owner]
+        owner = np.arange(len(nodes))
+        at = nodes
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         counts = np.zeros(len(nodes), np.int64)
         while len(owner):
-            draw = _uniform(keys[owner] + np.full(1, len(steps), np.uint64) * _GOLDEN)
-            edge = self.first[at]
-            open_ = np.flatnonzero(draw >= self.upto[edge])
-            while len(open_):
+            edge = self.first[at].astype(np.int64)
+            # A node with one edge needs no draw.
+            open_ = np.flatnonzero(self.upto[edge] < 2.0)
+            draw = _uniform(keys[owner[open_]] + np.full(1, len(steps), np.uint64) * _GOLDEN)
+            going = draw >= self.upto[edge[open_]]
+            while going.any():
+                open_, draw = open_[going], draw[going]
                 edge[open_] += 1
-                open_ = open_[draw[open_] >= self.upto[edge[open_]]]
+                going = draw >= self.upto[edge[open_]]
             steps.append((owner, edge))
             counts[owner] += 1
             at = self.targets[edge]
-            going = at >= 0
-            owner, at = owner[going], at[going]
+            owner, at = owner[at >= 0], at[at >= 0]
         starts = np.cumsum(counts) - counts
         out = np.empty(int(counts.sum()), np.int64)
         for k, (who, edge) in enumerate(steps):
             out[starts[who] + k] = edge
         return out, counts
 
-    def siblings(self, edge: int) -> range:
-        """All edges of the node that an edge leaves."""
-        node = int(np.searchsorted(self.first, edge, side="right")) - 1
-        return range(int(self.first[node]), int(self.first[node + 1]) if node + 1 < len(self.first) else len(self.ids))
-
-    def pieces_of(self, edges: np.ndarray) -> np.ndarray:
-        """Piece ids of a path; a character without a piece is spelled in bytes."""
-        ids = self.ids[edges]
-        spelled = np.flatnonzero(ids < 0)
-        if not len(spelled):
-            return ids
-        single = spelled[ids[spelled] > -128]
-        ids[single] = self.bytes[-ids[single]]
-        spelled = spelled[ids[spelled] < 0]
-        cuts = np.concatenate([spelled, spelled + 1])
-        parts = np.split(ids, np.sort(cuts)) if len(cuts) else [ids]
-        return np.concatenate([self.bytes[list(chr(-x[0]).encode())] if len(x) == 1 and x[0] < 0 else x for x in parts])
-
-
-def _opened(lattices: Lattices, paths: list[_Path], keys: np.ndarray, rank: int) -> None:
-    """Maxima of the subsets that leave each path at each of its levels from its start on."""
-    sizes = np.array([len(p.edges) for p in paths])
-    ends = np.cumsum(sizes)
-    log_p = np.concatenate([p.log_p for p in paths])
-    level = np.arange(len(log_p)) - np.repeat(ends - sizes, sizes)
-    # Summed path by path, so that a row's figures don't depend on the rows beside it.
-    before = np.concatenate([np.cumsum(p.log_p) - p.log_p for p in paths])
-    with np.errstate(divide="ignore"):
-        rest = np.log(np.maximum(0.0, -np.expm1(log_p)))
-    for p, end, size in zip(paths, ends, sizes, strict=True):
-        if p.taken:
-            gone = {*p.taken, int(p.edges[p.start])}
-            left = [x for x in lattices.siblings(int(p.edges[p.start])) if x not in gone]
-            rest[end - size + p.start] = np.log(np.exp(lattices.logs[left]).sum()) if left else -np.inf
-    shut = (rest < -25) | (level < np.repeat([p.start for p in paths], sizes))
-    draws = np.repeat(keys, sizes) + (level.astype(np.uint64) * np.uint64(64) + np.uint64(rank)) * np.uint64(0xD1B54A32D192ED03)
-    value = -np.logaddexp(-np.repeat([p.value for p in paths], sizes), -(before + np.where(shut, 0.0, rest) + _gumbel(draws)))
-    value[shut] = -np.inf
-    for p, end, size in zip(paths, ends, sizes, strict=True):
-        p.open = value[end - size : end]
+    def others(self, edge: int, taken: tuple[int, ...]) -> list[int]:
+        """The edges of the node that an edge leaves, without it and those taken."""
+        node = int(np.searchsorted(self.first, np.int32(edge), side="right")) - 1
+        end = int(self.first[node + 1]) if node + 1 < len(self.first) else len(self.ids)
+        return [e for e in range(int(self.first[node]), end) if e != edge and e not in taken]
+
+    def spelled(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """Piece ids of each path; a character without a piece is spelled in bytes."""
+        ids = self.ids[np.concatenate(paths)] if paths else np.empty(0, np.int32)
+        ends = np.cumsum([len(p) for p in paths])
+        alone = np.flatnonzero(ids < 0)
+        if len(alone):
+            codes = -ids[alone]
+            widths = np.ones(len(ids), np.int64)
+            widths[alone] = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+            spelt = self.bytes[np.frombuffer(codes.astype(np.uint32).tobytes().decode("utf-32-le").encode(), np.uint8)]
+            lone = np.zeros(len(ids), bool)
+            lone[alone] = True
+            ids = np.repeat(ids, widths)
+            ids[np.repeat(lone, widths)] = spelt
+            ends = np.append(0, np.cumsum(widths))[ends]
+        return np.split(ids, ends[:-1]) if paths else []
+
+
+class _Path:
+    """A segmentation of one text: its edges, the unit of each, and the log chances up to each level."""
+
+    def __init__(self, lattices: Lattices, edges: np.ndarray, units: np.ndarray, value: float) -> None:
+        self.edges, self.units, self.value = edges, units, value
+        self.before = np.append(0.0, np.cumsum(lattices.logs[edges]))
+
+    @property
+    def log_p(self) -> float:
+        return float(self.before[-1])
+
+
+@dataclass
+class _Subset:
+    """The segmentations that leave ``path`` at a level from low to high, exclusive.
+
+    ``sums`` are running sums of the levels' masses, relative to e ** scale. ``taken`` are edges of the
+    level low that are in other subsets, besides the path's own.
+    """
+
+    path: _Path
+    low: int
+    taken: tuple[int, ...]
+    sums: np.ndarray
+    scale: float
+    value: float = 0.0
+
+
+def _subset(lattices: Lattices, path: _Path, low: int, high: int, taken: tuple[int, ...] = ()) -> _Subset | None:
+    """The subset with its masses; None where it has no segmentation."""
+    parts, upto, scale = [], 0.0, None
+    for at in range(low, high, _LEVELS):
+        end = min(high, at + _LEVELS)
+        logs = path.before[at:end] + lattices.rest[path.edges[at:end]]
+        if taken and at == low:
+            left = lattices.others(int(path.edges[low]), taken)
+            logs[0] = path.before[low] + (np.logaddexp.reduce(lattices.logs[left]) if left else -np.inf)
+        if scale is None:
+            if (most := float(logs.max())) == -np.inf:
+                parts.append(np.zeros(end - at))
+                continue
+            scale = most
+        parts.append(upto + np.cumsum(np.exp(logs - scale)))
+        upto = float(parts[-1][-1])
+        if upto and path.before[end] - scale < NOTHING + np.log(upto):  # all that is left weighs no more than this
+            break
+    return None if not upto else _Subset(path, low, taken, np.concatenate(parts), scale)
+
+
+class _Search:
+    """The search of one row: its open subsets and its paths, best first."""
+
+    def __init__(self, lattices: Lattices, units: np.ndarray, key: np.uint64) -> None:
+        self.lattices, self.units, self.key, self.draws = lattices, units, key, 0
+        self.open: list[_Subset] = []
+        self.found: list[_Path] = []
+        self.threshold = -np.inf
+
+    def _keys(self, n: int) -> np.ndarray:
+        """Keys for the row's next n draws."""
+        self.draws += n
+        return self.key + np.arange(self.draws - n + 1, self.draws + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+
+    def _add(self, value: float, subsets: list[_Subset | None]) -> None:
+        for s, draw in zip(subsets, _gumbel(self._keys(len(subsets))), strict=True):
+            if s is not None:
+                s.value = -float(np.logaddexp(-value, -(s.scale + np.log(s.sums[-1]) + draw)))
+                self.open.append(s)
+
+    def start(self) -> tuple:
+        return float(_gumbel(self._keys(1))[0]), None, 0, -1, -1
+
+    def next(self) -> tuple | None:
+        """Take the best subset and draw where it leaves its path: value, subset, level, edge, its target."""
+        if not self.open:
+            return None
+        s = self.open.pop(max(range(len(self.open)), key=lambda i: self.open[i].value))
+        u, v = _uniform(self._keys(2))
+        level = s.low + min(len(s.sums) - 1, int(np.searchsorted(s.sums, u * s.sums[-1], "right")))
+        left = self.lattices.others(int(s.path.edges[level]), s.taken if level == s.low else ())
+        logs = self.lattices.logs[left]
+        chances = np.cumsum(np.exp(logs - logs.max()))
+        edge = left[min(len(left) - 1, int(np.searchsorted(chances, v * chances[-1], "right")))]
+        return s.value, s, level, edge, int(self.lattices.targets[edge])
+
+    def close(self, step: tuple, edges: np.ndarray, units: np.ndarray) -> None:
+        """Take in the path that was walked from a step, and split what remains of its subset."""
+        value, s, level, edge, _ = step
+        lattices = self.lattices
+        if s is None:
+            path = _Path(lattices, edges, units, value)
+            self.found.append(path)
+            self._add(value, [_subset(lattices, path, 0, len(edges))])
+            return
+        parent, high = s.path, s.low + len(s.sums)
+        path = _Path(lattices, np.concatenate([parent.edges[:level], [edge], edges]), np.concatenate([parent.units[: level + 1], units]), value)
+        self.found.append(path)
+        taken = (*(s.taken if level == s.low else ()), edge)
+        self._add(value, [
+            _subset(lattices, parent, s.low, level, s.taken), _subset(lattices, parent, level, level + 1, taken),
+            _subset(lattices, parent, level + 1, high), _subset(lattices, path, level + 1, len(path.edges)),
+        ])
 
 
 def sample_rows(lattices: Lattices, units: list[np.ndarray], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """For each row up to k distinct (ids, log chance, perturbed value, log inclusion score), best first.
+    """For each row up to k distinct (edges, log chance, perturbed value, log inclusion score), best first.
 
     ``units`` has the numbers of a row's units, ``keys`` a hash of its key.
     """
-    roots = lattices.roots
-    found: list[list[_Path]] = [[] for _ in units]
-    firsts = _gumbel(keys ^ _GOLDEN)
-    none = np.empty(0, np.int64)
-    #: What to draw now: row, edges before, their units, value, start, taken, first node or -1, next unit.
-    todo = [(r, none, none, float(firsts[r]), 0, (), -1, 0) for r in range(len(units)) if len(units[r])]
-    thresholds = [-np.inf] * len(units)
-    for rank in range(k + 1):
-        if rank:
-            todo = []
-            picks = _uniform(keys + np.full(1, rank, np.uint64) * _GOLDEN + np.uint64(5))
-            for r, paths in enumerate(found):
-                if len(paths) < rank:
-                    continue
-                tops = [int(np.argmax(p.open)) for p in paths]
-                best = max(range(len(paths)), key=lambda i: paths[i].open[tops[i]])
-                parent, level = paths[best], tops[best]
-                value = float(parent.open[level])
-                if value == -np.inf:
-                    continue
-                if rank == k:
-                    thresholds[r] = value
-                    continue
-                edge = int(parent.edges[level])
-                taken = (*(parent.taken if level == parent.start else ()), edge)
-                parent.open[level] = -np.inf
-                left = [x for x in lattices.siblings(edge) if x not in taken]
-                chances = np.cumsum(np.exp(lattices.logs[left]))
-                pick = left[min(len(left) - 1, int(np.searchsorted(chances, picks[r] * chances[-1], side="right")))]
-                unit = int(parent.units[level])
-                todo.append((r, np.append(parent.edges[:level], pick), np.append(parent.units[:level], unit), value, level, taken, int(lattices.targets[pick]), unit + 1))
-        if rank == k or not todo:
+    searches = [_Search(lattices, u, key) for u, key in zip(units, keys, strict=True)]
+    going = [s for s in searches if len(s.units)]
+    for rank in range(k):
+        steps = [(s, step) for s in going if (step := s.next() if rank else s.start()) is not None]
+        if not steps:
             break
-        starts = [np.append(np.array([node] if node >= 0 else [], np.int64), roots[units[r][unit:]]) for r, _, _, _, _, _, node, unit in todo]
-        numbers = [np.arange(unit - (node >= 0), len(units[r])) for r, _, _, _, _, _, node, unit in todo]
-        sizes = np.array([len(s) for s in starts])
+        # Each walk goes through the rest of the unit it begins in, if any, and through all later units.
+        nodes, numbers = [], []
+        for s, (_, subset, level, _, target) in steps:
+            unit = int(subset.path.units[level]) if subset else -1
+            nodes.append(np.concatenate([[target] if target >= 0 else [], lattices.roots[s.units[unit + 1 :]]]).astype(np.int64))
+            numbers.append(np.arange(unit + (target < 0), len(s.units)))
+        sizes = np.array([len(n) for n in nodes])
         number = np.concatenate(numbers)
-        rows_keys = keys[[t[0] for t in todo]]
-        walk_keys = mix64(np.repeat(rows_keys, sizes) + (number.astype(np.uint64) * np.uint64(64) + np.uint64(rank)) * np.uint64(0xA24BAED4963EE407))
-        edges, counts = lattices.walk(np.concatenate(starts), walk_keys)
+        row_keys = np.repeat(np.array([s.key for s, _ in steps], np.uint64), sizes)
+        walk_keys = mix64(row_keys + (number.astype(np.uint64) * np.uint64(64) + np.uint64(rank)) * np.uint64(0xA24BAED4963EE407))
+        edges, counts = lattices.walk(np.concatenate(nodes), walk_keys)
         unit_of = np.repeat(number, counts)
         ends = np.append(0, np.cumsum(counts))[np.cumsum(sizes)]
-        begin, paths = 0, []
-        for (r, before, before_units, value, start, taken, _, _), end in zip(todo, ends, strict=True):
-            all_edges = np.append(before, edges[begin:end])
-            paths.append(_Path(all_edges, np.append(before_units, unit_of[begin:end]), value, lattices.logs[all_edges], start, taken))
-            found[r].append(paths[-1])
+        begin = 0
+        for (s, step), end in zip(steps, ends, strict=True):
+            s.close(step, edges[begin:end], unit_of[begin:end])
             begin = end
-        _opened(lattices, paths, rows_keys, rank)
+        going = [s for s, _ in steps]
     out = []
-    for paths, threshold in zip(found, thresholds, strict=True):
-        rows = []
-        for p in paths:
-            log_p = float(p.log_p.sum())
-            gap = log_p - threshold
+    for s in searches:
+        threshold, rows = max((x.value for x in s.open), default=-np.inf), []
+        for p in s.found:
+            gap = p.log_p - threshold
             inclusion = 0.0 if gap > 30 else float(gap) if gap < -30 else float(np.log(-np.expm1(-np.exp(gap))))
-            rows.append((lattices.pieces_of(p.edges), log_p, p.value, inclusion))
+            rows.append((p.edges, p.log_p, p.value, inclusion))
         out.append(rows)
     return out
 
@@ -370,17 +468,13 @@ SCHEMA = (
 )
 
 
-def _encode_block(lattices: Lattices, texts: list[str | None], keys: np.ndarray, k: int) -> list[tuple[np.ndarray, bool, list]]:
-    pieces = [lattices.cut(t) if t else [] for t in texts]
-    if len(lattices.words) > KEPT_UNITS:
-        lattices.clear()
-    lattices.add(set().union(*pieces))
-    numbers = [list(chain.from_iterable(map(lattices.words.__getitem__, p))) for p in pieces]
-    ids = [list(chain.from_iterable(map(lattices.best.__getitem__, row))) for row in numbers]
-    decode = lattices.processor.decode
-    back = [(decode(row) if row else "") == (t or "") for row, t in zip(ids, texts, strict=True)]
-    samples = sample_rows(lattices, [np.array(row, np.int64) for row in numbers], keys, k)
-    return [(np.array(i, np.int32), b, s) for i, b, s in zip(ids, back, samples, strict=True)]
+def _encoded(lattices: Lattices, texts: list[str]) -> tuple[pa.ListArray, list[bool]]:
+    """Ids of whole texts, and whether the whole ids decode to the text."""
+    ids = lattices.processor.encode(texts, num_threads=1)
+    back = [(lattices.processor.decode(row, num_threads=1) if row else "") == t for row, t in zip(ids, texts, strict=True)]
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(row) for row in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])))), back
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, seed: int = 0, alpha: float = ALPHA, tokenizers: str = TOKENIZERS) -> DataFrame:
@@ -392,21 +486,21 @@ def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, se
     gives an empty result. Other columns are ignored.
     """
     file = broadcast_file(df.sparkSession.sparkContext, VOCABULARY, tokenizers)
-    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
-    def rows(doc_ids: pa.Array, texts: list[str | None], lattices: Lattices) -> pa.RecordBatch:
+    def rows(doc_ids: pa.Array, texts: list[str], lattices: Lattices) -> pa.RecordBatch:
         keys = np.array([xxh3_64_intdigest(f"{seed}:{d}".encode()) for d in doc_ids.to_pylist()], np.uint64)
-        done = _encode_block(lattices, texts, keys, samples)
-        flat = [s for _, _, found in done for s in found]
+        ids, back = _encoded(lattices, texts)
+        if len(lattices.roots) > KEPT_UNITS:
+            lattices.clear()
+        drawn = sample_rows(lattices, lattices.units_of(texts), keys, samples)
+        flat = [s for found in drawn for s in found]
         items = pa.StructArray.from_arrays(
-            [list_of([s[0] for s in flat], pa.int32()), *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3))],
+            [list_of(lattices.spelled([s[0] for s in flat]), pa.int32()), *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3))],
             names=["ids", "log_p", "value", "log_inclusion"],
         )
-        offsets = np.concatenate([[0], np.cumsum([len(found) for _, _, found in done])]).astype(np.int32)
-        return pa.record_batch(
-            [doc_ids, list_of([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), items)],
-            names=["doc_id", "ids", "round_trip", "samples"],
-        )
+        offsets = np.concatenate([[0], np.cumsum([len(found) for found in drawn])]).astype(np.int32)
+        return pa.record_batch([doc_ids, ids, pa.array(back, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["doc_id", "ids", "round_trip", "samples"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_of(file, alpha)
@@ -414,9 +508,9 @@ def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, se
             at = 0
             while at < batch.num_rows:  # blocks of bounded size, each given back before the next
                 texts, size = [], 0
-                while at + len(texts) < batch.num_rows and (not texts or size < BLOCK_UNITS):
+                while at + len(texts) < batch.num_rows and (not texts or size < BLOCK_CHARS):
                     texts.append(batch.column(1)[at + len(texts)].as_py())
-                    size += (texts[-1] or "").count(" ") + 1
+                    size += len(texts[-1]) + 1
                 yield rows(batch.column(0).slice(at, len(texts)), texts, lattices)
                 at += len(texts)
         give_back()

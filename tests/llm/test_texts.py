@@ -197,16 +197,92 @@ def test_samples_are_distinct_segmentations(spark, odd, processor):
     assert same[0] == same[1]
 
 
-def test_sampling_follows_the_lattice():
-    """Over many keys the first draw of a short word has the chances of its segmentations."""
+@pytest.fixture(scope="module")
+def lattices():
     with open("/opt/tokenizers/piece_bpe_32k.model", "rb") as f:
-        lattices = piece_sampling.Lattices(f.read(), 1.0)
-    lattices.add({" the"})
+        return piece_sampling.Lattices(f.read(), 1.0)
+
+
+def test_sampling_follows_the_lattice(lattices):
+    """Over many keys the first draw of a short word has the chances of its segmentations."""
     n, keys = 20_000, piece_sampling.mix64(np.arange(20_000, dtype=np.uint64))
-    found = piece_sampling.sample_rows(lattices, [np.array(lattices.words[" the"])] * n, keys, 2)
+    found = piece_sampling.sample_rows(lattices, lattices.units_of(["the"]) * n, keys, 2)
     counts, chances = {}, {}
     for first, *_ in found:
         counts[tuple(first[0])] = counts.get(tuple(first[0]), 0) + 1
         chances[tuple(first[0])] = np.exp(first[1])
     assert all(abs(counts[s] / n - p) < 0.02 for s, p in chances.items()) and sum(chances.values()) > 0.97
     assert all(len({tuple(s[0]) for s in row}) == len(row) for row in found)
+
+
+def all_segmentations(lattices, text):
+    """Brute force: pieces (or code points without one) of every segmentation of a text, with its chance."""
+    processor, shown = lattices.processor, "▁" + text.replace(" ", "▁")
+    n, plain = processor.vocab_size(), [i for i in range(processor.vocab_size()) if not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i))]
+    weight = {processor.id_to_piece(i): (2.0 + min(-processor.get_score(i), float(n))) ** -1.0 for i in plain}
+    found = {}
+
+    def grow(at, parts, w):
+        if at == len(shown):
+            found[tuple(parts)] = w
+        for end in range(at + 1, len(shown) + 1):
+            piece = shown[at:end]
+            if piece in weight:
+                grow(end, [*parts, piece], w * weight[piece])
+            elif end == at + 1:
+                grow(end, [*parts, piece], w * np.exp(-30.0))
+
+    grow(0, [], 1.0)
+    ids = lambda p: [processor.piece_to_id(p)] if p in weight else [processor.piece_to_id(f"<0x{b:02X}>") for b in p.encode()]
+    return {tuple(i for p in parts for i in ids(p)): w / sum(found.values()) for parts, w in found.items()}
+
+
+@pytest.mark.parametrize("text", ["the", "a", "of it", "nö1", "x\n\u2603y"])
+def test_all_segmentations_come_out_in_order(lattices, text):
+    """With room for all of them, every segmentation is found once, with its chance, however small."""
+    whole = all_segmentations(lattices, text)
+    keys = piece_sampling.mix64(np.arange(50, dtype=np.uint64))
+    for row in piece_sampling.sample_rows(lattices, lattices.units_of([text]) * 50, keys, len(whole) + 3):
+        ids = [tuple(x.tolist()) for x in lattices.spelled([s[0] for s in row])]
+        assert sorted(ids) == sorted(whole) and all(np.isclose(s[1], np.log(whole[i])) for s, i in zip(row, ids, strict=True))
+        values = [s[2] for s in row]
+        assert values == sorted(values, reverse=True) and all(s[3] == 0.0 for s in row)
+
+
+def test_pairs_of_draws_and_inclusion_scores_follow_the_law(lattices):
+    """Ordered pairs have the chance p * q / (1 - p) of drawing without replacement, and inclusion scores weigh samples without bias."""
+    text, n = "of the", 40_000
+    whole = all_segmentations(lattices, text)
+    keys = piece_sampling.mix64(np.arange(n, dtype=np.uint64) + np.uint64(1 << 40))
+    rows = piece_sampling.sample_rows(lattices, lattices.units_of([text]) * n, keys, 2)
+    flat = iter(lattices.spelled([s[0] for row in rows for s in row]))
+    pairs, estimate = {}, 0.0
+    for row in rows:
+        a, b = (tuple(next(flat).tolist()) for _ in row)
+        pairs[a, b] = pairs.get((a, b), 0) + 1
+        estimate += sum(np.exp(s[1] - s[3]) for s in row) / n
+    wrong = sum(abs(pairs.get((a, b), 0) / n - p * q / (1 - p)) for a, p in whole.items() for b, q in whole.items() if a != b)
+    often = [(a, b) for a, p in whole.items() for b, q in whole.items() if a != b and p * q / (1 - p) > 0.005]
+    assert all(abs(pairs.get((a, b), 0) / n - whole[a] * whole[b] / (1 - whole[a])) < 0.006 for a, b in often) and often
+    assert wrong < 0.15 and abs(estimate - 1) < 0.02
+
+
+def test_samples_depend_on_the_row_alone(lattices):
+    texts = [prose(i, 5 + 40 * (i % 4)) + " \n ¼☃" for i in range(12)]
+    keys = piece_sampling.mix64(np.arange(12, dtype=np.uint64))
+    together = piece_sampling.sample_rows(lattices, lattices.units_of(texts), keys, 3)
+    for t, key, row in zip(texts, keys, together, strict=True):
+        lattices.clear()
+        (alone,) = piece_sampling.sample_rows(lattices, lattices.units_of([t]), np.array([key]), 3)
+        assert [s[1:] for s in alone] == [s[1:] for s in row]
+
+
+def test_units_longer_than_a_slice(lattices, monkeypatch):
+    monkeypatch.setattr(piece_sampling, "SLICE_CHARS", 7)
+    texts = ["antidisestablishmentarianism of " * 5, "", "a b", "z" * 300]
+    keys = np.arange(4, dtype=np.uint64)
+    short = piece_sampling.sample_rows(lattices, lattices.units_of(texts), keys, 2)
+    monkeypatch.undo()
+    lattices.clear()
+    assert [[s[1:] for s in r] for r in short] == [[s[1:] for s in r] for r in piece_sampling.sample_rows(lattices, lattices.units_of(texts), keys, 2)]
+    assert all(lattices.processor.decode(lattices.spelled([r[0][0]])[0].tolist()) == t for t, r in zip(texts, piece_sampling.sample_rows(lattices, lattices.units_of(texts), keys, 2)) if t)
