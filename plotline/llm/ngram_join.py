@@ -17,16 +17,22 @@ when these have merged components, all pairs that remain. So no link between cla
 group of near copies is never expanded into all its pairs.
 
 Up to ``MAX_BLOCKS`` blocks the pigeonhole argument is certain. Of larger sketches the first
-``MAX_BLOCKS`` blocks are used: shingles fall into blocks by their hash, so a pair at exactly J has each
-of them agree with probability 0.45 or more, and fewer than ``LEAST_SHARED`` of 40 agree with
-probability 1.4e-9 or less. A block whose group is large, or which is empty, identifies nothing. A set
-may leave such groups as long as blocks remain that suffice for the same argument (32 of 40: 1.4e-7 at
-exactly J, and far less above); a set that cannot stays in them.
+``MAX_BLOCKS`` blocks are used, without empty ones: shingles fall into blocks by their hash, so a pair
+at exactly J has each of them agree, not empty, with probability 0.44 or more, and none of 40 with
+probability 1e-10 or less.
+
+A block whose group is large separates little. A set may leave large groups only where the pigeonhole
+argument still holds for the rest, so only by all blocks of its sketch: linked sets agree in more blocks
+than a set may leave. A set of a cut sketch that meets a large group is therefore sketched again with all
+blocks. If few of these groups are large, the set leaves the large ones of both sketches, since a partner
+shares a small group with it; else it stays in all groups of its cut sketch. Two linked sets that agree
+in large groups only are both sketched again, and meet in a small group or, both staying, in a large one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -43,17 +49,18 @@ from plotline.operators.components import connected_components
 NUMERATOR, DENOMINATOR = 80, 100
 BAND_RATIO = 1.25
 MAX_BLOCKS = 40
-#: Blocks that must remain for a set that leaves large groups, of a sketch that is cut to MAX_BLOCKS.
-ENOUGH_BLOCKS = 32
 #: Blocks that linked sets share at least.
 LEAST_SHARED = 2
 #: A group of more members is large.
 LARGE_GROUP = 16
-#: ``blocks`` holds the keys of the set's sketches one after the other, ``cuts`` how many each has and ``spare`` how many it may do without.
+#: Pairs of one document whose texts are compared in one task.
+SHARE = 256
+#: ``blocks`` holds the keys of the set's sketches one after the other, ``cuts`` how many each has and ``spare`` how many it may do without, -1 where the sketch is cut.
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, blocks array<long>, cuts array<int>, spare array<int>, bits binary"
 #: Bits of the sketch that bounds a pair's difference, and members of a group that are compared at once.
 BITS = 1024
 TILE = 1024
+FULL_SCHEMA = "doc_id long, sketch int, spare int, blocks array<long>"
 
 
 def band_limits(largest: int, ratio: float = BAND_RATIO) -> np.ndarray:
@@ -79,18 +86,31 @@ def bands_of(size: int) -> list[int]:
     return [own] if own == far else list(range(own, far + 1))
 
 
-def sketch(shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Block keys of a set for a band, whether each is empty, and how many blocks it may do without."""
+def sketch(shingles: np.ndarray, band: int, most: int | None) -> tuple[np.ndarray, int]:
+    """Block keys of a set for a band, and how many more blocks it may do without.
+
+    A sketch of more than ``most`` blocks is cut to these, and none may go; with None it stays whole.
+    """
     differing = max_difference(int(LIMITS[band]), int(LIMITS[band]))
     blocks = differing + 1 + max(3, differing // 4)
-    used = min(blocks, MAX_BLOCKS)
-    place = (shingles >> np.uint64(32)) % np.uint64(blocks)
-    sums = np.zeros(used, np.uint64)
+    used = min(blocks, most or blocks)
+    spare = blocks - differing - LEAST_SHARED
+    place = ((shingles >> np.uint64(32)) % np.uint64(blocks)).astype(np.int64)
     kept = place < used
-    np.bitwise_xor.at(sums, place[kept].astype(np.int64), mix64(shingles[kept]))
-    empty = np.bincount(place[kept].astype(np.int64), minlength=used) == 0
-    keys = mix64(sums + np.uint64(band * MAX_BLOCKS) + np.arange(used, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return keys, empty, blocks - differing - LEAST_SHARED if used == blocks else used - ENOUGH_BLOCKS
+    sums = np.zeros(used, np.uint64)
+    np.bitwise_xor.at(sums, place[kept], mix64(shingles[kept]))
+    empty = np.bincount(place[kept], minlength=used) == 0
+    salt = np.uint64(2 * band + (most is None)) * np.uint64(0xD1B54A32D192ED03)
+    keys = mix64(sums + salt + np.arange(used, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if used < blocks:
+        return keys[~empty], -1
+    # All empty blocks go, or none: a partner that keeps its own would meet nobody in them.
+    return (keys[~empty], spare - int(empty.sum())) if empty.sum() <= spare else (keys, spare)
+
+
+def sketched_bands(size: int) -> list[int]:
+    """The bands of a set in which linked sets may differ; equal sets need no sketch."""
+    return [b for b in bands_of(size) if max_difference(int(LIMITS[b]), int(LIMITS[b]))] if size else []
 
 
 def parity_bits(shingles: np.ndarray) -> bytes:
@@ -99,7 +119,7 @@ def parity_bits(shingles: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _sketches(batch: pa.RecordBatch, most: int) -> pa.RecordBatch:
     sizes, first, second, keys, spares, cuts, bits = [], [], [], [], [], [], []
     for text in batch.column(1).to_pylist():
         shingles = shingle_set(text)
@@ -108,12 +128,8 @@ def _sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
         first.append(int(np.bitwise_xor.reduce(mix64(shingles))) if len(shingles) else 0)
         second.append(int(np.sum(mix64(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64)) if len(shingles) else 0)
         own_keys, own_spare = [np.empty(0, np.uint64)], []
-        for band in bands_of(len(shingles)) if len(shingles) else []:
-            if not max_difference(int(LIMITS[band]), int(LIMITS[band])):
-                continue
-            found, empty, spare = sketch(shingles, band)
-            if empty.sum() <= spare:
-                found, spare = found[~empty], spare - int(empty.sum())
+        for band in sketched_bands(len(shingles)):
+            found, spare = sketch(shingles, band, most)
             own_spare.append(spare)
             own_keys.append(found)
         keys.append(np.concatenate(own_keys).view(np.int64))
@@ -126,6 +142,22 @@ def _sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _full_sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Whole sketches of the sets of packed texts, for the numbers of the sketches that are wanted."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    ids, numbers, spares, keys = [], [], [], []
+    for doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        shingles = shingle_set(unpack(text))
+        bands = sketched_bands(len(shingles))
+        for number in wanted:
+            found, spare = sketch(shingles, bands[number], None)
+            ids.append(doc_id)
+            numbers.append(number)
+            spares.append(spare)
+            keys.append(found.view(np.int64))
+    return pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(spares, pa.int32()), list_of(keys, pa.int64())], names=["doc_id", "sketch", "spare", "blocks"])
+
+
 def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Texts compressed, as they travel to their partners."""
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -146,11 +178,29 @@ def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``src, dst`` that are linked."""
-    left = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("left"))
+    """The pairs ``src, dst`` that are linked; those of one ``src`` are dealt over several tasks."""
+    srcs = pairs.groupBy("src").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"))
+    left = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("left")).join(srcs, "src")
+    left = left.select("src", "left", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("right"))
-    joined = pairs.join(right, "dst").join(left, "src").select("src", "dst", "left", "right")
-    return arrow_pass(joined, _similar, "src long, dst long").distinct()
+    hot = srcs.where("parts > 1")
+    dealt = pairs.join(hot, "src", "left").select("src", "dst", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    joined = dealt.join(right, "dst").join(left, ["src", "part"]).select("src", "dst", "left", "right")
+    return arrow_pass(joined, _similar, "src long, dst long")
+
+
+def _near(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The distinct pairs ``src, dst`` (with sizes ``m, n``) whose parity sketches allow a link."""
+    side = lambda name: bits.select(F.col("doc_id").alias(name), F.col("bits").alias(f"{name}_bits"))
+    joined = pairs.distinct().join(side("dst"), "dst").join(side("src"), "src").select("src", "dst", "m", "n", "src_bits", "dst_bits")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (4, 5))
+        m, n = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+        distance = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return batch.select([0, 1]).filter(pa.array(distance <= (m + n) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)))
+
+    return arrow_pass(joined, run, "src long, dst long")
 
 
 def close_pairs(ids: np.ndarray, sizes: np.ndarray, parts: np.ndarray, bits: np.ndarray, tiles: np.ndarray, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +275,7 @@ def _compared(members: DataFrame, nearest: bool) -> DataFrame:
     return ordered.mapInArrow(run, "src long, dst long").distinct()
 
 
-def similar_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int = MAX_BLOCKS, large_group: int = LARGE_GROUP) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id``: one row per row of ``df``.
 
     Two documents link when 100 * shared >= 80 * united distinct shingles of five words (``_text``); a
@@ -237,7 +287,7 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ignored.
     """
     texts = as_bytes(df, id_col, text_col)
-    sketches = checkpointed(arrow_pass(texts, _sketches, SKETCH_SCHEMA))
+    sketches = checkpointed(arrow_pass(texts, partial(_sketches, most=max_blocks), SKETCH_SCHEMA))
     usable = sketches.where("doc_id is not null and n_shingles > 0")
     classes = usable.groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"))
     member = ["n_shingles", "set_a", "set_b"]
@@ -248,45 +298,56 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     # Written first, so that Spark deals out both sides of the join and can split a large group.
     shared = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
-    own = Window.partitionBy("doc_id", "sketch")
     bounds = leaders.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("spare").alias("sketch", "spare"))
+    own = Window.partitionBy("doc_id", "sketch")
+    placed = checkpointed(
+        keyed.join(shared, "key").withColumn("large", F.count(F.when(F.col("members") > large_group, 1)).over(own))
+        .join(bounds, ["doc_id", "sketch"]).select("key", "doc_id", "sketch", "n", "members", "large", "spare")
+    )
+    wanted = placed.select("doc_id").distinct()
+    needed = checkpointed(arrow_pass(texts, _packed, "doc_id long, text binary").join(wanted, "doc_id", "left_semi"))
+    bits = checkpointed(leaders.join(wanted, "doc_id", "left_semi").select("doc_id", "bits"))
+
+    # Sets of cut sketches that meet a large group are sketched again, with all blocks.
+    crowded = placed.where("spare < 0 and large > 0").select("doc_id", "n", "sketch").distinct()
+    again = needed.join(crowded.groupBy("doc_id").agg(F.sort_array(F.collect_set("sketch")).alias("wanted")), "doc_id").select("doc_id", "text", "wanted")
+    full = checkpointed(arrow_pass(again, _full_sketches, FULL_SCHEMA))
+    full_keyed = full.select("doc_id", "sketch", F.explode("blocks").alias("key"))
+    full_shared = checkpointed(full_keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    small = full_keyed.join(full_shared.where(F.col("members") <= large_group), "key")
+    large = full_keyed.join(full_shared.where(F.col("members") > large_group), "key").groupBy("doc_id", "sketch").agg(F.count("*").alias("full_large"))
+    stays = full.select("doc_id", "sketch", "spare").join(large, ["doc_id", "sketch"]).where("full_large > spare").select("doc_id", "sketch", F.lit(True).alias("stays"))
+    remain = F.when(F.col("spare") < 0, F.coalesce("stays", F.lit(False))).otherwise(F.col("large") > F.col("spare"))
     kept = checkpointed(
-        keyed.join(shared, "key").withColumn("large", F.count(F.when(F.col("members") > LARGE_GROUP, 1)).over(own))
-        .join(bounds, ["doc_id", "sketch"])
-        .where((F.col("members") <= LARGE_GROUP) | (F.col("large") > F.col("spare"))).select("key", "doc_id", "n")
+        placed.join(stays, ["doc_id", "sketch"], "left").where((F.col("members") <= large_group) | remain).select("key", "doc_id", "n")
+        .unionByName(small.join(crowded, ["doc_id", "sketch"]).select("key", "doc_id", "n"))
     )
     # The sizes of linked sets alone bound their similarity: the smaller has 0.8 of the larger or more.
     sizes_fit = F.least("n", "m") * DENOMINATOR >= F.greatest("n", "m") * NUMERATOR
     centres = checkpointed(
         kept.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
     )
-    near = checkpointed(
-        kept.join(centres.select("key", F.col("c.doc_id").alias("src"), F.col("c.n").alias("m")), "key")
-        .where((F.col("doc_id") != F.col("src")) & sizes_fit).select("src", F.col("doc_id").alias("dst")).distinct()
-    )
-    wanted = kept.select("doc_id").distinct()
-    needed = checkpointed(arrow_pass(texts, _packed, "doc_id long, text binary").join(wanted, "doc_id", "left_semi"))
-    sketched = checkpointed(leaders.join(wanted, "doc_id", "left_semi").select("doc_id", "bits"))
+    pairs = kept.join(centres.select("key", F.col("c.doc_id").alias("src"), F.col("c.n").alias("m")), "key").where((F.col("doc_id") != F.col("src")) & sizes_fit)
+    near = checkpointed(_near(pairs.select("src", F.col("doc_id").alias("dst"), "m", "n"), bits))
     links = checkpointed(_verified(near, needed))
     parts = connected_components(links)
 
     done = near
     for nearest in (True, False):
         # What a group still holds of different components.
-        placed = checkpointed(
-            kept.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(sketched, "doc_id")
+        members = checkpointed(
+            kept.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(bits, "doc_id")
             .select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "bits")
         )
         open_keys = checkpointed(
-            placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+            members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
             .where("low <> high").select("key", "members")
         )
-        rest = checkpointed(_compared(placed.join(open_keys, "key"), nearest).join(done, ["src", "dst"], "left_anti"))
+        rest = checkpointed(_compared(members.join(open_keys, "key"), nearest).join(done, ["src", "dst"], "left_anti"))
         found = checkpointed(_verified(rest, needed))
         done = done.unionByName(rest)
         parts = connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found))
-    final = parts
-    named = classes.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select(
+    named = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         *member, "class_id", F.coalesce("component", "class_id").alias("component_id")
     )
     full = sketches.where("doc_id is not null and n_shingles > 0").select("doc_id", *member).join(named, member)
