@@ -1,135 +1,171 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Items are partitioned by the number of their word shingles. An item's sketch is the smallest hashes of
-its shingles, as many as its containment threshold allows to be missing, plus one: a document that
-holds at least ``threshold`` of the item's shingles then holds one of the sketch's, so that the search
-misses nothing. Documents too small for a partition skip it. A document that holds a sketch hash is
-verified by exact shingle containment over its whole text.
+Items are partitioned by the number of their word shingles. An item's sketch is its least shingles, rare
+ones before those that many items hold and then by hash; it has as many as the containment threshold
+allows to be missing, plus one: a document that holds at least ``threshold`` of the item's shingles then
+holds one of the sketch's, so that the search misses nothing. Documents too small for a partition skip
+it. Documents and sketches meet by hash in a join of Spark's, and each pair is verified by exact shingle
+containment over the whole texts. Neither items nor documents pass through the driver; up to
+``MAX_HASHES`` sketch hashes are carried to the tasks, so that only documents which hold one of them
+take part in the join, and beyond that all shingles do.
 """
 
 from __future__ import annotations
 
-import math
+from hashlib import md5
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotline.llm._text import SHINGLE_WORDS, arrow_pass, as_bytes, hash_shingles, hash_words, words_of
+from plotline.llm._text import SHINGLE_WORDS, arrow_pass, as_bytes, hash_shingles, hash_words, list_of, shingle_set, words_of
+from plotline.operators.checkpoints import checkpointed
 
 THRESHOLD = 0.8
-#: Items are searched in blocks of at most about this many bytes of text, each carried to the tasks whole.
-BLOCK_BYTES = 8 << 20
-_BITS = 18
+#: Sketch hashes that tasks are given at most, 12 bytes each.
+MAX_HASHES = 1 << 22
+#: Digests of documents to drop that are broadcast at most, 16 bytes each.
+MAX_DIGESTS = 1 << 18
+_BITS = 20
+ITEMS_SCHEMA = "item_id long, text binary, hashes array<long>"
+FOUND_SCHEMA = "doc_id long, n int, hits array<long>, packed binary"
 PAIRS_SCHEMA = "doc_id long, item_id long, item_shingles int, shared int"
 
 
-class ItemIndex:
-    """Sketches of one block of items, by size partition."""
+def exact_shingles(words: list[bytes], width: int = SHINGLE_WORDS) -> set[tuple[bytes, ...]]:
+    width = min(width, len(words))
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
 
-    def __init__(self, items: list[tuple[int, bytes]], threshold: float) -> None:
-        self.items: list[tuple[int, np.ndarray, bytes, int]] = []
-        pairs: list[tuple[int, int]] = []
-        for item_id, text in items:
-            shingles = np.unique(hash_shingles(hash_words(words_of(text))))
-            if not len(shingles):
-                continue
-            needed = math.ceil(round(threshold * len(shingles), 9))
-            pairs += [(int(h), len(self.items)) for h in shingles[: len(shingles) - needed + 1]]
-            self.items.append((item_id, shingles, text, needed))
-        pairs.sort()
-        self.hashes = np.array([h for h, _ in pairs], np.uint64)
-        self.owners = np.array([i for _, i in pairs], np.int64)
-        self.partition = np.array([int(math.log2(len(s))) for _, s, _, _ in self.items], np.int64)
-        #: The fewest shingles that a document of a hit needs, by partition.
-        self.least = {int(p): min(n for (_, _, _, n), q in zip(self.items, self.partition, strict=True) if q == p) for p in set(self.partition)}
-        self.smallest = min(self.least.values(), default=0)
-        self.seen = np.zeros(1 << _BITS, bool)
-        self.seen[self.hashes & np.uint64((1 << _BITS) - 1)] = True
 
-    def candidates(self, shingles: np.ndarray) -> list[int]:
-        """Items of which the document holds a sketch hash and which it is large enough for."""
-        hits = np.unique(shingles[self.seen[shingles & np.uint64((1 << _BITS) - 1)]])
-        if not len(hits):
-            return []
-        low, high = np.searchsorted(self.hashes, hits), np.searchsorted(self.hashes, hits, "right")
-        owners = {int(o) for a, b in zip(low, high, strict=True) for o in self.owners[a:b]}
-        return sorted(o for o in owners if len(shingles) >= self.least[int(self.partition[o])])
-
-    def search(self, text: bytes | None) -> list[tuple[int, int, int]]:
-        """(item id, its shingles, shared shingles) for every item that the text contains."""
-        words = words_of(text)
-        shingles = hash_shingles(hash_words(words))
-        if not len(shingles) or len(shingles) < self.smallest:
-            return []
-        found = []
-        for owner in self.candidates(shingles):
-            item_id, own, item_text, needed = self.items[owner]
-            if len(np.intersect1d(own, shingles)) >= needed:
-                item = exact_shingles(words_of(item_text))
-                shared = len(item & exact_shingles(words))
-                if shared >= needed:
-                    found.append((item_id, len(item), shared))
-        return found
+def _item_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+    hashes = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
+    return pa.record_batch([*batch.columns, list_of(hashes, pa.int64())], names=["item_id", "text", "hashes"])
 
 
-def exact_shingles(words: list[bytes], width: int = SHINGLE_WORDS) -> set[tuple[bytes, ...]]:
-    width = min(width, len(words))
-    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set()
+def sketched_items(items: DataFrame, item_id_col: str, item_text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Distinct items ``item, item_id, text, needed`` and their sketches ``hash, item, least``, both written.
 
+    ``needed`` is the number of shingles that a hit shares; ``least`` the fewest that a document of any
+    hit in the item's size partition has.
+    """
+    distinct = as_bytes(items, item_id_col, item_text_col).where("text is not null").distinct()
+    known = arrow_pass(distinct.select(F.col("doc_id").alias("item_id"), "text"), _item_shingles, ITEMS_SCHEMA)
+    needed = lambda n: F.ceil(F.round(F.lit(threshold) * n, 9)).cast("int")
+    n = F.size("hashes")
+    known = checkpointed(known.where(n > 0).select(
+        F.monotonically_increasing_id().alias("item"), "item_id", "text", "hashes", needed(n).alias("needed"),
+        needed(F.pow(F.lit(2.0), F.floor(F.log2(n)))).alias("least"), n.alias("n"),
+    ))
+    each = known.select("item", "n", "needed", "least", F.explode("hashes").alias("hash"))
+    held = each.groupBy("hash").agg(F.count("*").alias("held"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("held", "hash"))
+    sketches = each.join(held, "hash").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.col("needed") + 1)
+    return known.drop("hashes", "n", "least"), checkpointed(sketches.select("hash", "item", "least"))
+
+
+class Filter:
+    """Sketch hashes and the fewest shingles that a document needs for any hit by each."""
+
+    def __init__(self, hashes: np.ndarray, least: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.least = hashes[order], least[order]
+        self.smallest = int(least.min()) if len(least) else 0
+        self.seen = np.zeros(1 << _BITS, bool)
+        self.seen[self.hashes & np.uint64((1 << _BITS) - 1)] = True
 
-def item_blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[int, bytes]]]:
-    """Blocks of items of bounded size, dealt by a hash of the row; only one is held beside its use."""
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(2 * size / block_bytes)) if size > block_bytes else 1
-    dealt = items.where("text is not null").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    for block in range(blocks):
-        rows = dealt.where(F.col("block") == block).select("doc_id", "text").distinct().collect()
-        yield [(r["doc_id"], bytes(r["text"])) for r in rows]
+    def hits(self, shingles: np.ndarray) -> np.ndarray:
+        maybe = np.unique(shingles[self.seen[shingles & np.uint64((1 << _BITS) - 1)]])
+        if not len(maybe) or not len(self.hashes):
+            return maybe[:0]
+        at = np.minimum(np.searchsorted(self.hashes, maybe), len(self.hashes) - 1)
+        return maybe[(self.hashes[at] == maybe) & (self.least[at] <= len(shingles))]
+
+
+def _found(documents: DataFrame, sketches: DataFrame, max_hashes: int) -> DataFrame:
+    """Documents that hold a sketch hash, numbered, with these hashes and the compressed text; written."""
+    each = sketches.groupBy("hash").agg(F.min("least").alias("least"))
+    index = None
+    if each.count() <= max_hashes:
+        table = each.toArrow()
+        index = Filter(table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy())
+    shared = documents.sparkSession.sparkContext.broadcast(index)
+
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        index, pack = shared.value, zstandard.ZstdCompressor(level=3).compress
+        ids, sizes, found, texts = [], [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            shingles = hash_shingles(hash_words(words_of(text)))
+            if not len(shingles) or index and len(shingles) < index.smallest:
+                continue
+            hits = index.hits(shingles) if index else np.unique(shingles)
+            if len(hits):
+                ids.append(doc_id)
+                sizes.append(len(shingles))
+                found.append(hits.view(np.int64))
+                texts.append(pack(text))
+        if not ids:
+            return None
+        return pa.record_batch([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), list_of(found, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "n", "hits", "packed"])
+
+    return checkpointed(arrow_pass(documents, find, FOUND_SCHEMA).withColumn("row", F.monotonically_increasing_id()))
+
+
+def _verify(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    unpack, rows, last, own = zstandard.ZstdDecompressor().decompress, [], None, set()
+    for doc_id, packed, item_id, item, needed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        if packed != last:
+            last, own = packed, exact_shingles(words_of(unpack(packed)))
+        wanted = exact_shingles(words_of(item))
+        if (shared := len(wanted & own)) >= needed:
+            rows.append((doc_id, item_id, len(wanted), shared))
+    if not rows:
+        return None
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "item_shingles", "shared"])
 
 
 def contained_items(
     docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str,
-    threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES,
+    threshold: float = THRESHOLD, max_hashes: int = MAX_HASHES,
 ) -> DataFrame:
     """``doc_id, item_id, item_shingles, shared``: items of which a document holds ``threshold`` or more.
 
-    Shingles are five lower-cased words; a shorter text is one shingle; a null or empty document or item
-    holds nothing and is contained nowhere. Repeated documents give repeated rows; repeated items count
-    once; a null id stays null. Empty tables give an empty result; other columns are ignored. Documents
-    don't move: each is searched where it is read, once for each block of items.
+    Shingles are five lower-cased words; a shorter text is one shingle, so that an item of fewer words is
+    found in equal texts only; a null or empty document or item holds nothing and is contained nowhere.
+    Repeated documents give repeated rows; repeated items count once; a null id stays null. Empty tables
+    give an empty result; other columns are ignored.
+    """
+    known, sketches = sketched_items(items, item_id_col, item_text_col, threshold)
+    found = _found(as_bytes(docs, id_col, text_col), sketches, max_hashes)
+    pairs = found.select("row", "n", F.explode("hits").alias("hash")).join(sketches, "hash").where("n >= least").select("row", "item").distinct()
+    both = pairs.join(found.select("row", "doc_id", "packed"), "row").join(known, "item")
+    return arrow_pass(both.select("doc_id", "packed", "item_id", "text", "needed"), _verify, PAIRS_SCHEMA)
+
+
+def without_items(docs: DataFrame, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str, threshold: float = THRESHOLD, max_hashes: int = MAX_HASHES) -> DataFrame:
+    """``docs`` without the rows that contain an item; all columns stay as they are.
+
+    Texts stand for rows: equal texts contain the same items. A null text stays.
     """
-    documents = as_bytes(docs, id_col, text_col)
-    found = None
-    for block in item_blocks(as_bytes(items, item_id_col, item_text_col), block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, threshold))
-
-        def search(batch: pa.RecordBatch, index=index) -> pa.RecordBatch | None:
-            rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in index.value.search(t)]
-            if not rows:
-                return None
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "item_shingles", "shared"])
-
-        part = arrow_pass(documents, search, PAIRS_SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def without_items(docs: DataFrame, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without the rows that contain an item; all columns stay as they are."""
-    at = docs.columns.index(text_col)
-    kept = docs
-    for block in item_blocks(as_bytes(items, item_id_col, item_text_col), block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(block, threshold))
-
-        def clean(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
-            texts = batch.column(at).cast(pa.binary()).to_pylist()
-            return batch.filter(pa.array([not index.value.search(t) for t in texts], pa.bool_()))
-
-        kept = arrow_pass(kept, clean, kept.schema)
-    return kept
+    known, sketches = sketched_items(items, item_id_col, item_text_col, threshold)
+    found = _found(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), sketches, max_hashes)
+    pairs = found.select("row", "n", F.explode("hits").alias("hash")).join(sketches, "hash").where("n >= least").select("row", "item").distinct()
+    both = pairs.join(found.select("row", "packed"), "row").join(known, "item").select("row", "packed", "item_id", "text", "needed")
+    bad = arrow_pass(both, _verify, PAIRS_SCHEMA).select(F.col("doc_id").alias("row")).distinct()
+
+    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return pa.record_batch([pa.array([md5(unpack(p)).digest() for p in batch.column(0).to_pylist()], pa.binary())], names=["digest"])
+
+    gone = checkpointed(arrow_pass(found.join(bad, "row").select("packed"), digests, "digest binary").distinct())
+    column = f"digest_{uuid4().hex}"
+    gone = gone.withColumnRenamed("digest", column)
+    if gone.count() <= MAX_DIGESTS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.unhex(F.md5(F.col(text_col).cast("binary"))) == F.col(column), "left_anti").select(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
