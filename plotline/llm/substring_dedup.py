@@ -10,8 +10,9 @@ documents and the occurrence of lowest rank (document id, then offset) stays. In
 neighbouring repeated units form a run. A run of at least ``min_words`` words is a repeated passage and
 is removed; shorter ones, such as a licence line or a stock phrase, are left. A run ends with whole
 units: up to one unit of a passage stays at either end, and a passage whose whole units have fewer than
-``min_words`` words stays. Where light units repeat one after the other, the first stays. Offsets refer
-to the original text, in code points.
+``min_words`` words stays. Where light units repeat one after the other, the first stays. With a passage
+goes the white space before it, and after it where nothing else is left on that side. Offsets refer to
+the original text, in code points; what they leave is the text that is returned.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from plotline.llm._text import arrow_pass, list_of
+from plotline.llm._text import arrow_pass
 from plotline.operators.checkpoints import checkpointed
 
 MIN_WORDS = 20
@@ -40,7 +41,7 @@ REACH = 4
 _BREAK = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _LAST = (1 << 63) - 1
 _WORD = re.compile(r"\S+")
-UNITS_SCHEMA = "key long, rank long, doc_id long, packed binary, high array<long>, low array<long>"
+UNITS_SCHEMA = "key long, rank long, doc_id long, packed binary, again array<int>, block array<int>, high array<long>, low array<long>"
 
 
 def units_of(text: str) -> list[tuple[int, int]]:
@@ -121,25 +122,58 @@ def repeated_spans(text: str, repeats: set[int], min_words: int = MIN_WORDS) ->
     return spans
 
 
+def with_space(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans with the white space that goes with them."""
+    wide = []
+    for start, end in spans:
+        while start and text[start - 1].isspace():
+            start -= 1
+        rest = end
+        while rest < len(text) and text[rest].isspace():
+            rest += 1
+        wide.append((start, rest if start == 0 or rest == len(text) else end))
+    return wide
+
+
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """The rest of the text; white space around a removed span is left as one side of it was."""
-    for start, end in reversed(spans):
-        text = text[:start].rstrip() + text[end:] if text[end:].strip() else text[:start].rstrip()
-    return text.lstrip() if spans else text
+    """What the spans leave of a text."""
+    bounds = [0, *(x for span in spans for x in span), len(text)]
+    return "".join(text[i:j] for i, j in zip(bounds[::2], bounds[1::2], strict=True))
+
+
+def _lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    """Values by row as lists; ``rows`` ascend."""
+    offsets = np.zeros(n + 1, np.int32)
+    np.cumsum(np.bincount(rows, minlength=n), out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
 def _unit_arrays(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Each row's key, rank and id, its text compressed as it is written and travels, and its blocks' digests."""
+    """Each row's key, rank and id, its text compressed as it is written and travels, and its blocks' digests.
+
+    Of the occurrences of a digest in the batch only the earliest can be the earliest of all, so it alone
+    travels (``block, high, low``); the blocks of the others are repeats already (``again``).
+    """
     pack = zstandard.ZstdCompressor(level=3).compress
-    packed, high, low = [], [], []
+    packed, halves, counts = [], [], []
     for text in batch.column(3).to_pylist():
         packed.append(None if text is None else pack(text.encode()))
         _, words, blocks, _ = blocks_of(text) if text else ([], [], [], [])
-        halves = [digest(words[i] if i == j else [w for unit in words[i : j + 1] for w in unit]) for i, j in blocks]
-        high.append(np.array([h for h, _ in halves], np.uint64).view(np.int64))
-        low.append(np.array([x for _, x in halves], np.uint64).view(np.int64))
-    columns = [*batch.columns[:3], pa.array(packed, pa.binary()), list_of(high, pa.int64()), list_of(low, pa.int64())]
-    return pa.record_batch(columns, names=["key", "rank", "doc_id", "packed", "high", "low"])
+        halves += [digest(words[i] if i == j else [w for unit in words[i : j + 1] for w in unit]) for i, j in blocks]
+        counts.append(len(blocks))
+    n = batch.num_rows
+    high, low = (np.fromiter((h[k] for h in halves), np.uint64, len(halves)).view(np.int64) for k in (0, 1))
+    rows = np.repeat(np.arange(n), counts)
+    number = (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    keys, ranks = (batch.column(k).to_numpy()[rows] for k in (0, 1))
+    order = np.lexsort((number, keys, ranks, low, high))
+    first = np.zeros(len(rows), bool)
+    first[order] = np.concatenate([[True], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)])[: len(rows)]
+    columns = [
+        *batch.columns[:3], pa.array(packed, pa.binary()), _lists(number[~first], rows[~first], n, pa.int32()), _lists(number[first], rows[first], n, pa.int32()),
+        _lists(high[first], rows[first], n, pa.int64()), _lists(low[first], rows[first], n, pa.int64()),
+    ]
+    return pa.record_batch(columns, names=["key", "rank", "doc_id", "packed", "again", "block", "high", "low"])
 
 
 def drop_repeats(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
@@ -149,17 +183,16 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN
     Every row is a document of its own, also where ids are null or repeated: of rows that have an id and a
     text in common one keeps its text. A null text stays null, an empty one empty, with no spans. An empty
     table gives an empty result. Other columns are ignored. Rows are numbered, their units hashed and both
-    written to the checkpoint folder with the compressed texts, so that a number stays with its row; units
-    travel once, sorted by digest and place, and a row's own repeats meet in its row.
+    written to the checkpoint folder with the compressed texts, so that a number stays with its row. Units
+    travel once, sorted by digest and place, and at most one of each digest and batch of rows does, so
+    that a digest which most documents have costs a row for each batch.
     """
     picked = df.select(
         F.monotonically_increasing_id().alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("rank"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
     )
     hashed = checkpointed(arrow_pass(picked, _unit_arrays, UNITS_SCHEMA))
-    units = hashed.select("rank", "key", F.posexplode(F.arrays_zip("high", "low")).alias("block", "u")).select(
-        "rank", "key", "block", F.col("u.high").alias("high"), F.col("u.low").alias("low")
-    )
+    units = hashed.select("rank", "key", F.inline(F.arrays_zip("block", "high", "low")))
     order = Window.partitionBy("high", "low").orderBy("rank", "key", "block")
     later = units.withColumn("n", F.row_number().over(order)).where("n > 1")
     repeats = later.groupBy("key").agg(F.collect_list("block").alias("repeats"))
@@ -169,13 +202,14 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN
         texts, removed = [], []
         for packed, blocks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             text = None if packed is None else unpack(packed).decode()
-            spans = repeated_spans(text, set(blocks), min_words) if text and blocks else []
+            spans = with_space(text, repeated_spans(text, set(blocks), min_words)) if text and blocks else []
             texts.append(without_spans(text, spans) if spans else text)
             removed.append([{"start": s, "end": e} for s, e in spans])
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         return pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.list_(span))], names=["doc_id", "text", "removed"])
 
-    joined = hashed.select("key", "doc_id", "packed").join(repeats, "key", "left").select("doc_id", "packed", "repeats")
+    joined = hashed.select("key", "doc_id", "packed", "again").join(repeats, "key", "left")
+    joined = joined.select("doc_id", "packed", F.concat("again", F.coalesce("repeats", F.array().cast("array<int>"))).alias("repeats"))
     return arrow_pass(joined, clean, "doc_id long, text string, removed array<struct<start:int,end:int>>")
 
 
