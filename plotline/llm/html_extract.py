@@ -2,9 +2,14 @@
 
 Every page is parsed into text blocks under a path of containers, a container being its tag and its
 classes with digits generalised. A page's containers are scored by the text of their blocks, links
-discounted; its best one is the page's vote. Votes are counted per host and path in Spark, and all
-pages of a host are extracted again with the path that won. A page on which that path yields little
-next to its own best container keeps its own.
+discounted; its best one, or the one above that also holds its siblings' prose, is the page's vote.
+Votes are counted per host and path in Spark, and all pages of a host are extracted again with the path
+that won. A page on which that path yields little next to its own best container keeps its own.
+
+An element whose tag says so (nav, footer, form, ...) is no text. One whose class, id or role names a
+menu, sidebar, advert and the like is none either, unless it holds the page's article or main element
+or, comments apart, most of the page's text. A name counts by its first or last word, and not where it
+states a property of something else, such as ``with-sidebar``, ``comments-open`` or ``category-alert``.
 """
 
 from __future__ import annotations
@@ -14,13 +19,18 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotline.llm._text import arrow_pass
-
-#: Pages of one host are spread over this many tasks when they meet the host's path.
-SPREAD = 64
+from plotline.operators.checkpoints import checkpointed
+
+#: Hosts whose paths are broadcast at most, and pages of one host that meet its path in one task beyond that.
+MAX_HOSTS = 50_000
+HOST_PAGES = 5_000
+#: Of a container's prose the share that its siblings must add for the one above to be the article.
+SIBLING_SHARE = 0.2
+PROSE_CHARS = 60
 #: The share of the text of a page's own best container that the host's path must yield.
 LEAST_SHARE = 0.5
 
@@ -37,35 +47,49 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 dt".split())
 CLOSES = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 CONTAINERS = frozenset("article main section div body td blockquote center details".split())
-#: Words of a class, id or role that mark what isn't the article.
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|"
-    r"sidebar|aside|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|reply|replies|respond|"
-    r"share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widget|toolbar|tags|skip-?link|"
-    r"complementary|contentinfo|dialog)(?:$|[\s_-])", re.I
+#: Words of a class, id or role that mark what isn't the article; comments are so however long they are.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+NOISE = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsors sponsored promo promos promotion banner banners cookie cookies "
+    "consent gdpr notice notices notification notifications alert alerts popup modal overlay sidebar aside nav navbar navigation menu menus "
+    "breadcrumb breadcrumbs footer masthead share sharing social related recommended recommendations newsletter subscribe signup login search "
+    "pagination pager widget widgets toolbar tags complementary contentinfo dialog".split()
 )
+NOISY_PAIRS = frozenset(("site header", "page header", "skip link"))
+#: Words before or after a noise word that make a name state a property of its element.
+STATES_BEFORE = frozenset("with without has have no not is in show hide category cat tag type status format layout col template".split())
+STATES_AFTER = frozenset("open opened closed enabled disabled allowed on off left right layout visible".split())
 _TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*+>""", re.S
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _DIGITS = re.compile(r"\d+")
-_HOST = re.compile(r"^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
+_WORDS = re.compile(r"[a-z]+")
+#: Where the text goes on after an element whose content is no text and that isn't closed.
+_RESUME = re.compile(r"<(?=/?(?:p|div|article|section|main|header|footer|nav|aside|body|ul|ol|table|blockquote|h[1-6])\b)", re.I)
 Block = tuple[str, int, tuple[tuple[int, str], ...]]
+SHOWN, HIDDEN, NAMED, COMMENT = range(4)
 
 
-def host_of(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
+def named_noise(name: str) -> int:
+    """What a class, id or role says of its element: SHOWN, NAMED noise or COMMENT."""
+    words = _WORDS.findall(name.lower())
+    if not words or words[0] in STATES_BEFORE or words[-1] in STATES_AFTER and len(words) > 1:
+        return SHOWN
+    ends = {words[0], words[-1]}
+    return COMMENT if ends & COMMENTS else NAMED if ends & NOISE or " ".join(words[-2:]) in NOISY_PAIRS else SHOWN
 
 
-def _attributes(source: str) -> tuple[str, bool]:
-    """The generalised class suffix of a container, and whether its attributes mark it as noise."""
+def _attributes(source: str) -> tuple[str, int]:
+    """The generalised class suffix of a container, and what its attributes say of it."""
     if not source.strip():
-        return "", False
+        return "", SHOWN
     found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(source)}
-    noise = "hidden" in found or found.get("aria-hidden") == "true" or any(NOISE.search(found[k]) for k in ("class", "id", "role") if k in found)
     names = sorted({_DIGITS.sub("N", x) for x in found.get("class", "").split()})
-    return "".join("." + x for x in names), noise
+    suffix = "".join("." + x for x in names)
+    if "hidden" in found or found.get("aria-hidden") == "true":
+        return suffix, HIDDEN
+    return suffix, max((named_noise(x) for k in ("class", "id", "role") for x in found.get(k, "").split()), default=SHOWN)
 
 
 def parse(source: str) -> list[Block]:
@@ -74,10 +98,14 @@ def parse(source: str) -> list[Block]:
     Noise and what isn't shown are left out. Open elements that HTML closes by itself are closed.
     """
     blocks: list[Block] = []
+    #: For each block the elements around it that are named noise, by number in ``named``.
+    marked: list[tuple[int, ...]] = []
+    #: Of each such element whether comments are in it, and whether it holds an article or main element.
+    named: list[list[bool]] = []
     parts: list[str] = []
     linked: list[int] = [0]
-    #: tag, whether it starts noise, containers above and with it
-    stack: list[tuple[str, bool, tuple[tuple[int, str], ...]]] = [("", False, ())]
+    #: tag, whether it is no text, containers above and with it, named noise around it
+    stack: list[tuple[str, bool, tuple[tuple[int, str], ...], tuple[int, ...]]] = [("", False, (), ())]
     state = {"noise": 0, "links": 0, "number": 0}
 
     def flush() -> None:
@@ -85,6 +113,7 @@ def parse(source: str) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 blocks.append((text, min(linked[0], len(text)), stack[-1][2]))
+                marked.append(stack[-1][3])
             parts.clear()
         linked[0] = 0
 
@@ -92,7 +121,7 @@ def parse(source: str) -> list[Block]:
         flush()
         state["noise"] -= stack.pop()[1]
 
-    at, size, raw = 0, len(source), ""
+    at, size = 0, len(source)
     while at < size:
         m = _TOKEN.search(source, at)
         if not state["noise"]:
@@ -111,7 +140,8 @@ def parse(source: str) -> list[Block]:
         if tag in RAW:
             if not m[1] and not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                at = end.end() if end else size
+                resume = None if end else _RESUME.search(source, at)
+                at = end.end() if end else resume.start() if resume else size
             parts.append(" ")
         elif tag == "a":
             state["links"] = 0 if m[1] else 1
@@ -141,37 +171,61 @@ def parse(source: str) -> list[Block]:
                         break
             if tag in VOID:
                 continue
-            suffix, noise = _attributes(m[3])
-            above = stack[-1][2]
+            suffix, says = _attributes(m[3])
+            above, around = stack[-1][2:]
             inside = any(p.rpartition("/")[2].split(".")[0] in ("article", "main") for _, p in above)
-            noise = (noise and tag not in ("body", "html")) or tag in SKIPPED or tag == "header" and not inside
+            noise = says == HIDDEN and tag not in ("body", "html") or tag in SKIPPED or tag == "header" and not inside
+            if says in (NAMED, COMMENT) and tag not in ("body", "html"):
+                around = (*around, len(named))
+                named.append([says == COMMENT, False])
+            elif tag in ("article", "main"):
+                for k in around:
+                    named[k][1] |= not any(named[j][0] for j in around if j >= k)
             if tag in CONTAINERS:
                 state["number"] += 1
                 above = (*above, (state["number"], f"{above[-1][1] if above else ''}/{tag}{suffix}"))
-            stack.append((tag, noise, above))
+            stack.append((tag, noise, above, around))
             state["noise"] += noise
     flush()
-    return blocks
+    if not named:
+        return blocks
+    held: Counter[int] = Counter()
+    for (text, links, _), around in zip(blocks, marked, strict=True):
+        for k in around:
+            held[k] += len(text) - links
+    whole = sum(len(text) - links for text, links, _ in blocks)
+    gone = {k for k, (comments, holds) in enumerate(named) if not holds and (comments or 2 * held[k] <= whole)}
+    return [b for b, around in zip(blocks, marked, strict=True) if not gone.intersection(around)]
 
 
 def best_container(blocks: list[Block]) -> tuple[int, str, float] | None:
-    """Number, path and score of the best container: text outside links, a parent counting half."""
+    """Number, path and score of the best container: text outside links, a parent counting half.
+
+    An article or main element around it is taken whole, title included; without one, containers above
+    are, as long as each adds prose from siblings, ``SIBLING_SHARE`` of what is inside or more.
+    """
     scores: Counter[tuple[int, str]] = Counter()
+    prose: Counter[tuple[int, str]] = Counter()
     chains: dict[tuple[int, str], tuple[tuple[int, str], ...]] = {}
     for text, linked, above in blocks:
         worth = len(text) - linked if 2 * linked < len(text) else 0
-        for distance, container in enumerate(reversed(above[-3:])):
-            scores[container] += worth / (1 << distance)
-            chains[container] = above[: len(above) - distance]
+        for distance, container in enumerate(reversed(above)):
+            if distance < 3:
+                scores[container] += worth / (1 << distance)
+                chains[container] = above[: len(above) - distance]
+            prose[container] += worth if len(text) >= PROSE_CHARS else 0
     if not scores:
         return None
     best = min(scores, key=lambda c: (-scores[c], c[0]))
-    # An article or main element around the best container is the article, title included.
     for kind in ("article", "main"):
         for container in chains[best]:
             if container[1].rpartition("/")[2].split(".")[0] == kind:
                 return *container, scores[best]
-    return *best, scores[best]
+    chosen = best
+    for container in reversed(chains[best][:-1]):
+        if prose[container] - prose[chosen] >= SIBLING_SHARE * max(1, prose[chosen]):
+            chosen = container
+    return *chosen, scores[best]
 
 
 def text_of(blocks: list[Block], number: int | None = None, path: str | None = None) -> str:
@@ -192,14 +246,19 @@ def extract(source: str | None, path: str | None) -> str:
     return voted if voted and len(voted) >= LEAST_SHARE * len(mine) else mine
 
 
+def host_of(url: Column) -> Column:
+    """The lower-case host of a url, empty where it has none."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
 def _votes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     votes: Counter[tuple[str, str]] = Counter()
     weights: Counter[tuple[str, str]] = Counter()
-    for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+    for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         best = best_container(parse(source)) if source else None
         if best:
-            votes[host_of(url), best[1]] += 1
-            weights[host_of(url), best[1]] += round(best[2])
+            votes[host, best[1]] += 1
+            weights[host, best[1]] += round(best[2])
     if not votes:
         return None
     keys = list(votes)
@@ -210,30 +269,36 @@ def _votes(batch: pa.RecordBatch) -> pa.RecordBatch | None:
 
 
 def host_paths(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """``host, path``: the container path with most votes of the host's pages, ties to more text, then to the lesser path."""
-    picked = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    """``host, path, pages``: the container path with most votes of the host's pages, ties to more text, then to the lesser path."""
+    picked = pages.select(host_of(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
     votes = arrow_pass(picked, _votes, "host string, path string, votes long, weight long")
     counted = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("weight").alias("weight"))
-    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("weight"), "path")).alias("path"))
+    return counted.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("weight"), "path")).alias("path"), F.sum("votes").alias("pages"))
 
 
-def main_text(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+def main_text(pages: DataFrame, id_col: str, url_col: str, html_col: str, max_hosts: int = MAX_HOSTS, host_pages: int = HOST_PAGES) -> DataFrame:
     """``page_id, url, text``: one row per page; the text is empty where there is none.
 
     A null or empty page has an empty text. Pages without a host in their url vote together. Repeated
     rows stay and vote each. A null id or url stays null. An empty table gives an empty result. Other
-    columns are ignored. Votes are counted in each batch before they travel; a host's pages are spread
-    over several tasks, to each of which its path is copied.
+    columns are ignored. Votes are counted in each batch before they travel. The winning paths are
+    written; up to ``max_hosts`` of them are broadcast and no page moves. Beyond that pages meet them by
+    host, a large host's pages in as many parts as its count of pages asks for.
     """
-    url = F.col("url")
-    # The same expression as host_of, so that pages and votes meet.
-    host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     picked = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     )
-    paths = host_paths(picked, "url", "html").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    placed = picked.withColumn("host", host).withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SPREAD)).cast("int"))
-    joined = placed.join(paths, ["host", "part"], "left").select("page_id", "url", "html", "path")
+    paths = checkpointed(host_paths(picked, "url", "html"))
+    placed = picked.withColumn("host", host_of(F.col("url")))
+    if paths.count() <= max_hosts:
+        joined = placed.join(F.broadcast(paths), "host", "left")
+    else:
+        parts = paths.select("host", "path", F.ceil(F.col("pages") / host_pages).cast("int").alias("parts"))
+        large = parts.where("parts > 1").select("host", "parts")
+        part = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("parts", F.lit(1))).cast("int")
+        dealt = placed.join(large, "host", "left").withColumn("part", part).drop("parts")
+        joined = dealt.join(parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), ["host", "part"], "left")
+    joined = joined.select("page_id", "url", "html", "path")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [extract(h, p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
