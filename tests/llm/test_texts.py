@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plotline.llm import chat_format as chat
 from plotline.llm import piece_sampling, queries
-from plotline.llm.html_extract import extract, host_of, main_text
+from plotline.llm.html_extract import best_container, extract, host_of, main_text, parse
 from plotline.llm.quality_classifier import LABELLERS, classify, fit_labels, kept_documents, votes_of
 from plotline.llm.secret_scan import find_secrets, redact
 from tests.llm.conftest import prose
@@ -92,6 +92,25 @@ def test_layouts_become_the_same_turns():
         assert chat.canonical_turns(record)[1] == want
     assert chat.canonical_turns({"instruction": "a", "input": "b", "output": "c"})[1] == [("user", "a\n\nb"), ("assistant", "c")]
     assert chat.canonical_turns({"other": 1})[1] is None
+    system = [("system", "be brief"), *want]
+    assert chat.canonical_turns({"system": "be brief", "prompt": "ask", "completion": "say", "id": 7, "meta": {"tags": ["a"]}})[1] == system
+    assert chat.canonical_turns({"messages": []})[1] == [] and chat.canonical_turns({"messages": [{"role": "user", "content": None, "name": "x"}]})[1] == [("user", "")]
+    assert chat.canonical_turns({"prompt": "a", "completion": "b", "response": "c"})[1] is None  # two layouts at once
+
+
+def test_a_table_of_mixed_layouts(spark):
+    """Records of every layout in one table, some with other fields; unknown ones are counted."""
+    ask, say = "a </s> \\ [INST]", "s<|im_end|>\n"
+    records = [
+        {"prompt": ask, "completion": say, "source": "x"}, {"question": ask, "answer": say}, {"instruction": ask, "input": "", "output": say},
+        {"messages": [{"role": "user", "content": ask, "weight": 1}, {"role": "assistant", "content": say}]}, {"conversations": [{"from": "human", "value": ask}, {"from": "gpt", "value": say}]},
+        {"messages": []}, {"unheard": ask}, {"messages": [{"role": "user"}]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_records(df, "conv_id", None, "record")).collect()}
+    whole = hashlib.sha256(f"user\n{ask}\nassistant\n{say}\n".encode()).hexdigest()
+    assert all((got[i]["n_turns"], got[i]["turns_sha256"], got[i]["loss_chars"], got[i]["n_unknown"]) == (2, whole, len(say), 0) for i in range(5))
+    assert [(got[i]["n_turns"], got[i]["n_unknown"]) for i in (5, 6, 7)] == [(0, 0), (0, 1), (0, 1)]
 
 
 def test_odd_records(spark):
@@ -142,7 +161,31 @@ def page(i):
 def test_article_without_surroundings():
     want = [f"First bold paragraph {prose(3, 30)}", f"Second <tag> one {prose(-3, 30)}", "Third", "Item one", "Item two"]
     assert extract(page(3), None) == "\n\n".join(["Title & more", *want])
-    assert host_of("HTTPS://user@Example.org:80/a?b") == "example.org" and host_of(None) == host_of("x") == ""
+
+
+def test_hosts(spark):
+    df = spark.createDataFrame([("HTTPS://user@Example.org:80/a?b",), (None,), ("x",)], "url string")
+    assert [r[0] for r in df.select(host_of(F.col("url"))).collect()] == ["example.org", "", ""]
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="layout with-sidebar"><article>{}</article><div class="sidebar"><p>Side</p></div></div>', '<article class="post comments-open">{}</article>',
+    '<article class="post category-alert">{}</article>', '<svg><path d=""><article>{}</article>', '<div class="widget">{}</div><p>Short</p>',
+    '<div class="page-wrap sidebar"><main>{}</main></div>', '<script>var a = 1;<div>{}</div>', '<div class="notice" id="post"><div>{}</div></div>',
+    '<div class="post">{}</div><div class="comment-list"><article class="comment-body"><p>Reply</p></article></div>',
+    '<div id="comments"><p>First! %s</p></div><div class="story">{}</div>' % prose(5, 400), '<div class="has-no-ads"><section>{}</section></div>',
+])
+def test_an_article_stays_whatever_its_names(around):
+    paragraphs = [prose(i + 40, 40) for i in range(3)]
+    source = "<html><body><nav>Menu</nav>" + around.replace("{}", "".join(f"<p>{x}</p>" for x in paragraphs)) + "<footer>Foot</footer></body></html>"
+    assert extract(source, None) == "\n\n".join(paragraphs)
+
+
+def test_an_article_in_sibling_containers_is_whole():
+    lead, more, rest = (prose(i + 60, 40) for i in range(3))
+    inner = f'<div class="lead"><p>{lead}</p><p>{more}</p></div><div class="rest"><p>{rest}</p></div>'
+    for source in (f'<body><div class="story">{inner}</div><div class="links"><a href="/">{prose(3, 50)}</a></div></body>', f"<body>{inner}</body>"):
+        assert extract(source, None) == "\n\n".join((lead, more, rest))
 
 
 def test_host_path_and_odd_pages(spark):
@@ -151,6 +194,21 @@ def test_host_path_and_odd_pages(spark):
     got = {r["page_id"]: r["text"] for r in main_text(df, "page_id", "url", "html").collect()}
     assert main_text(df, "page_id", "url", "html").count() == len(rows) and main_text(df.where("false"), "page_id", "url", "html").count() == 0
     assert got[90] == got[91] == "" and got[92] == "plain text" and all(got[i] == extract(page(i), None) for i in range(8)) and got[None] == got[1]
+    dealt = main_text(df, "page_id", "url", "html", max_hosts=1, host_pages=3).collect()
+    assert sorted(map(str, dealt)) == sorted(map(str, main_text(df, "page_id", "url", "html").collect()))
+
+
+def test_pages_equal_brute_force(spark, sf_dir):
+    """Votes counted in one dictionary, and each page extracted by its host's path, give the query's texts."""
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html", host_of(F.col("url")).alias("host")).collect()
+    votes = {}
+    for r in rows:
+        if r["html"] and (best := best_container(parse(r["html"]))):
+            n, weight = votes.setdefault(r["host"], {}).get(best[1], (0, 0))
+            votes[r["host"]][best[1]] = (n + 1, weight + round(best[2]))
+    paths = {h: min(v, key=lambda p: (-v[p][0], -v[p][1], p)) for h, v in votes.items()}
+    found = {r["page_id"]: r["text"] for r in queries.QUERIES["op6_html_extract"](spark, sf_dir).collect()}
+    assert found == {r["page_id"]: extract(r["html"], paths.get(r["host"])) for r in rows}
 
 
 def test_pages_have_no_markup_left(spark, sf_dir):
