@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding, with segmentations sampled without replacement.
 
-The library encodes and decodes whole texts. For sampling a text is cut into units where no piece can
-cross: between characters that are neighbours in no piece, such as before a space that follows a word. A unit's
+A text is cut into units where no piece can cross: between characters that are neighbours in no piece,
+such as before a space that follows a word. The library encodes each distinct unit, and the encoding of a
+text is that of its units, one after the other; the library decodes whole texts. A unit's
 lattice has an edge for every vocabulary piece that fits; an edge weighs (2 + rank) ** -alpha, as the
 model's scores are ranks and no log-probabilities, and backward sums turn weights into the chance of
 each edge given its start. The chance of a text's segmentation is the product over its edges.
@@ -18,6 +19,7 @@ Cutting, lattices and walks run over all units of a block of rows at once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -42,7 +44,7 @@ BLOCK_CHARS = 300_000
 SLICE_CHARS = 1 << 18
 #: Terms below this share (e ** -45) of a sum don't change it in double precision.
 NOTHING = -45.0
-_LEVELS = 256
+_LEVELS = 160
 _SPACE = "▁"
 _BASE = 0x2545F4914F6CDD1D
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -54,15 +56,11 @@ def _uniform(keys: np.ndarray) -> np.ndarray:
     return ((mix64(keys) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
-def _gumbel(keys: np.ndarray) -> np.ndarray:
-    return -np.log(-np.log(_uniform(keys)))
-
-
 class _Column:
     """A growing flat array."""
 
     def __init__(self, kind: type) -> None:
-        self.room, self.size = np.empty(1 << 16, kind), 0
+        self.room, self.size = np.empty(1 << 20, kind), 0
 
     def extend(self, more: np.ndarray) -> None:
         end = self.size + len(more)
@@ -134,18 +132,24 @@ class Lattices:
         starts = np.cumsum(lengths) - lengths
         self._powers(len(codes) + 1)
         self.pieces = _Hashed(self._hashes(self._sums(codes), starts, starts + lengths))
+        kinds = {
+            "roots": np.int64, "first": np.int32, "targets": np.int32, "ids": np.int32, "logs": np.float64, "rest": np.float64, "upto": np.float64,
+            "best": np.int32, "best_ends": np.int64,
+        }
+        self.columns = {name: _Column(kind) for name, kind in kinds.items()}
         self.clear()
 
     def clear(self) -> None:
-        kinds = {"roots": np.int64, "first": np.int32, "targets": np.int32, "ids": np.int32, "logs": np.float64, "rest": np.float64, "upto": np.float64}
-        self.columns = {name: _Column(kind) for name, kind in kinds.items()}
+        """Forget all units; their room stays."""
+        for column in self.columns.values():
+            column.size = 0
         self.keys, self.places = np.empty(0, np.uint64), np.empty(0, np.int32)
         self._extend({})
 
     def _extend(self, more: dict[str, np.ndarray]) -> None:
         for name, values in more.items():
             self.columns[name].extend(values)
-        self.roots, self.first, self.targets, self.ids, self.logs, self.rest, self.upto = (c.values for c in self.columns.values())
+        self.roots, self.first, self.targets, self.ids, self.logs, self.rest, self.upto, self.best, self.best_ends = (c.values for c in self.columns.values())
 
     def _powers(self, n: int) -> None:
         """Powers of the hash's base and of its inverse, n of each at least."""
@@ -165,7 +169,8 @@ class Lattices:
     def units_of(self, texts: list[str]) -> list[np.ndarray]:
         """The units of each text, by number; lattices that are missing are built."""
         shown = [_SPACE + t.replace(" ", _SPACE) if t else "" for t in texts]
-        codes = np.frombuffer("".join(shown).encode("utf-32-le"), np.uint32)
+        joined = "".join(shown)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         lengths = np.fromiter(map(len, shown), np.int64, len(shown))
         text_ends = np.cumsum(lengths)
         kinds = self.classes[codes]
@@ -178,12 +183,13 @@ class Lattices:
         low = 0
         while low < len(units):
             high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE_CHARS, "right")) - 1)
-            units[low:high] = self._numbers(codes[bounds[low] : bounds[high]], bounds[low : high + 1] - bounds[low])
+            part = slice(bounds[low], bounds[high])
+            units[low:high] = self._numbers(joined[part], codes[part], bounds[low : high + 1] - bounds[low])
             low = high
         cuts = np.searchsorted(bounds, text_ends)
         return np.split(units, cuts[:-1]) if len(texts) else []
 
-    def _numbers(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def _numbers(self, text: str, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         self._powers(len(codes) + 1)
         sums = self._sums(codes)
         keys = mix64(self._hashes(sums, bounds[:-1], bounds[1:]) + np.diff(bounds).astype(np.uint64))
@@ -192,11 +198,28 @@ class Lattices:
         new = np.flatnonzero(self.keys[np.minimum(slot, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
             numbers = np.arange(len(self.roots), len(self.roots) + len(new), dtype=np.int32)
-            self._build(codes, sums, bounds[at[new]], bounds[at[new] + 1])
+            starts, ends = bounds[at[new]], bounds[at[new] + 1]
+            self._encode([text[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)])
+            self._build(codes, sums, starts, ends)
             self.keys, self.places = np.insert(self.keys, slot[new], keys[new]), np.insert(self.places, slot[new], numbers)
             slot = np.searchsorted(self.keys, keys)
         return self.places[slot][back]
 
+    def _encode(self, units: list[str]) -> None:
+        """Encodings of units; the library puts a space before a text, so other units follow a line break, which is cut off."""
+        own = [u[0] == _SPACE and u.strip(_SPACE) != "" for u in units]
+        ids = self.processor.encode([u[1:] if o else "\n" + u for u, o in zip(units, own, strict=True)], num_threads=1)
+        ids = [x if o else x[2:] for x, o in zip(ids, own, strict=True)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._extend({"best": np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), "best_ends": len(self.best) + np.cumsum(counts)})
+
+    def encoded(self, units: np.ndarray) -> np.ndarray:
+        """Piece ids of units, one after the other."""
+        ends = self.best_ends[units]
+        starts = np.where(units > 0, self.best_ends[units - 1], 0)
+        counts = ends - starts
+        return self.best[np.arange(int(counts.sum())) + np.repeat(starts - np.cumsum(counts) + counts, counts)]
+
     def _build(self, codes: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Lattices of the units between the given positions of a text."""
         lengths = ends - starts
@@ -352,7 +375,7 @@ def _subset(lattices: Lattices, path: _Path, low: int, high: int, taken: tuple[i
             scale = most
         parts.append(upto + np.cumsum(np.exp(logs - scale)))
         upto = float(parts[-1][-1])
-        if upto and path.before[end] - scale < NOTHING + np.log(upto):  # all that is left weighs no more than this
+        if upto and path.before[end] - scale < NOTHING + math.log(upto):  # all that is left weighs no more than this
             break
     return None if not upto else _Subset(path, low, taken, np.concatenate(parts), scale)
 
@@ -360,32 +383,29 @@ def _subset(lattices: Lattices, path: _Path, low: int, high: int, taken: tuple[i
 class _Search:
     """The search of one row: its open subsets and its paths, best first."""
 
-    def __init__(self, lattices: Lattices, units: np.ndarray, key: np.uint64) -> None:
-        self.lattices, self.units, self.key, self.draws = lattices, units, key, 0
+    def __init__(self, lattices: Lattices, units: np.ndarray, key: np.uint64, draws: list[float]) -> None:
+        self.lattices, self.units, self.key, self.draws = lattices, units, key, iter(draws)
         self.open: list[_Subset] = []
         self.found: list[_Path] = []
-        self.threshold = -np.inf
 
-    def _keys(self, n: int) -> np.ndarray:
-        """Keys for the row's next n draws."""
-        self.draws += n
-        return self.key + np.arange(self.draws - n + 1, self.draws + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    def _gumbel(self) -> float:
+        return -math.log(-math.log(next(self.draws)))
 
     def _add(self, value: float, subsets: list[_Subset | None]) -> None:
-        for s, draw in zip(subsets, _gumbel(self._keys(len(subsets))), strict=True):
+        for s in subsets:
             if s is not None:
-                s.value = -float(np.logaddexp(-value, -(s.scale + np.log(s.sums[-1]) + draw)))
+                s.value = -float(np.logaddexp(-value, -(s.scale + math.log(s.sums[-1]) + self._gumbel())))
                 self.open.append(s)
 
     def start(self) -> tuple:
-        return float(_gumbel(self._keys(1))[0]), None, 0, -1, -1
+        return self._gumbel(), None, 0, -1, -1
 
     def next(self) -> tuple | None:
         """Take the best subset and draw where it leaves its path: value, subset, level, edge, its target."""
         if not self.open:
             return None
         s = self.open.pop(max(range(len(self.open)), key=lambda i: self.open[i].value))
-        u, v = _uniform(self._keys(2))
+        u, v = next(self.draws), next(self.draws)
         level = s.low + min(len(s.sums) - 1, int(np.searchsorted(s.sums, u * s.sums[-1], "right")))
         left = self.lattices.others(int(s.path.edges[level]), s.taken if level == s.low else ())
         logs = self.lattices.logs[left]
@@ -417,7 +437,10 @@ def sample_rows(lattices: Lattices, units: list[np.ndarray], keys: np.ndarray, k
 
     ``units`` has the numbers of a row's units, ``keys`` a hash of its key.
     """
-    searches = [_Search(lattices, u, key) for u, key in zip(units, keys, strict=True)]
+    # A row's first path takes two draws, each further one up to six.
+    numbers = np.arange(1, 6 * k + 3, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    draws = _uniform((keys[:, None] + numbers).ravel()).reshape(len(keys), -1).tolist()
+    searches = [_Search(lattices, u, key, d) for u, key, d in zip(units, keys, draws, strict=True)]
     going = [s for s in searches if len(s.units)]
     for rank in range(k):
         steps = [(s, step) for s in going if (step := s.next() if rank else s.start()) is not None]
@@ -468,15 +491,6 @@ SCHEMA = (
 )
 
 
-def _encoded(lattices: Lattices, texts: list[str]) -> tuple[pa.ListArray, list[bool]]:
-    """Ids of whole texts, and whether the whole ids decode to the text."""
-    ids = lattices.processor.encode(texts, num_threads=1)
-    back = [(lattices.processor.decode(row, num_threads=1) if row else "") == t for row, t in zip(ids, texts, strict=True)]
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(row) for row in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])))), back
-
-
 def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, seed: int = 0, alpha: float = ALPHA, tokenizers: str = TOKENIZERS) -> DataFrame:
     """``doc_id, ids, round_trip, samples``: the encoding of every whole text and sampled segmentations.
 
@@ -490,17 +504,19 @@ def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, se
 
     def rows(doc_ids: pa.Array, texts: list[str], lattices: Lattices) -> pa.RecordBatch:
         keys = np.array([xxh3_64_intdigest(f"{seed}:{d}".encode()) for d in doc_ids.to_pylist()], np.uint64)
-        ids, back = _encoded(lattices, texts)
         if len(lattices.roots) > KEPT_UNITS:
             lattices.clear()
-        drawn = sample_rows(lattices, lattices.units_of(texts), keys, samples)
+        units = lattices.units_of(texts)
+        ids = [lattices.encoded(u) for u in units]
+        back = [(lattices.processor.decode(i.tolist(), num_threads=1) if len(i) else "") == t for i, t in zip(ids, texts, strict=True)]
+        drawn = sample_rows(lattices, units, keys, samples)
         flat = [s for found in drawn for s in found]
         items = pa.StructArray.from_arrays(
             [list_of(lattices.spelled([s[0] for s in flat]), pa.int32()), *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2, 3))],
             names=["ids", "log_p", "value", "log_inclusion"],
         )
         offsets = np.concatenate([[0], np.cumsum([len(found) for found in drawn])]).astype(np.int32)
-        return pa.record_batch([doc_ids, ids, pa.array(back, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["doc_id", "ids", "round_trip", "samples"])
+        return pa.record_batch([doc_ids, list_of(ids, pa.int32()), pa.array(back, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["doc_id", "ids", "round_trip", "samples"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = lattices_of(file, alpha)
