@@ -3,11 +3,14 @@
 A range predicate alone makes a nested-loop join. Each box is copied to the grid cells that it covers and
 the join is on the cell, which hashes and shuffles; a pair that meets in several cells is kept in the one
 that holds the lower left corner of the boxes' intersection, so no distinct is needed. Cells should be
-about as large as typical boxes. Spark splits a crowded cell's rows by its skew-join rule.
+about as large as typical boxes; much larger boxes go on coarser grids, where the others look for them,
+so that a box has a few dozen copies at most. Spark splits a crowded cell's rows by its skew-join rule.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +18,30 @@ from plotline.functions.geometry import BOX, box_distance, boxes_meet
 from plotline.operators.checkpoints import checkpointed
 
 
-def _celled(df: DataFrame, prefix: str, cell: float) -> DataFrame:
-    span = lambda low, high: F.sequence(F.floor(F.col(prefix + low) / cell), F.floor(F.col(prefix + high) / cell))
-    return df.withColumn("cell_x", F.explode(span("x0", "x1"))).withColumn("cell_y", F.explode(span("y0", "y1")))
+#: Each grid's cells are STEP times as wide as the next finer one's; a box covers SPAN cells of its own grid per axis, and one more.
+STEP, SPAN = 8, 4
+
+
+def finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose coordinates are all numbers, and not infinite."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) != float("inf")))
+    return df
+
+
+def _level(prefix: str, cell: float) -> Column:
+    """The grid of a box: 0, or the first on which it covers few cells."""
+    extent = F.greatest(F.col(f"{prefix}x1") - F.col(f"{prefix}x0"), F.col(f"{prefix}y1") - F.col(f"{prefix}y0"), F.lit(1e-300))
+    return F.greatest(F.ceil(F.log(extent / (SPAN * cell)) / math.log(STEP)), F.lit(0)).cast("int")
+
+
+def _celled(df: DataFrame, prefix: str, cell: float, levels: list[int]) -> DataFrame:
+    """A copy of each box for the cells that it covers on its own grid and on each coarser one of ``levels``."""
+    own = df.withColumn(f"{prefix}level", _level(prefix, cell))
+    placed = own.withColumn("level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(f"{prefix}level"))))
+    width = cell * F.pow(F.lit(float(STEP)), F.col("level"))
+    span = lambda low, high: F.sequence(F.floor(F.col(prefix + low) / width), F.floor(F.col(prefix + high) / width))
+    return placed.withColumn("cell_x", F.explode(span("x0", "x1"))).withColumn("cell_y", F.explode(span("y0", "y1")))
 
 
 def prefixed(df: DataFrame, prefix: str) -> DataFrame:
@@ -27,16 +51,19 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
 def meeting_pairs(left: DataFrame, right: DataFrame, cell: float, condition: Column | None = None) -> DataFrame:
     """Pairs of boxes that share a point, columns prefixed ``a_`` and ``b_``.
 
-    Rows with a null coordinate meet nothing. ``condition`` may name columns of both sides, such as
-    ``a_id < b_id`` for a self-join.
+    Rows with a coordinate that is null, infinite or no number meet nothing. ``condition`` may name columns
+    of both sides, such as ``a_id < b_id`` for a self-join.
     """
-    a = _celled(prefixed(left, "a_").dropna(subset=["a_" + c for c in BOX]), "a_", cell)
-    b = _celled(prefixed(right, "b_").dropna(subset=["b_" + c for c in BOX]), "b_", cell)
-    corner = lambda c: F.floor(F.greatest(F.col(f"a_{c}"), F.col(f"b_{c}")) / cell)
-    meet = boxes_meet("a_", "b_") & (F.col("cell_x") == corner("x0")) & (F.col("cell_y") == corner("y0"))
+    left, right = (finite(prefixed(df, p), [p + c for c in BOX]).where(f"{p}x0 <= {p}x1 and {p}y0 <= {p}y1") for df, p in ((left, "a_"), (right, "b_")))
+    levels = sorted({r[0] for df, p in ((left, "a_"), (right, "b_")) for r in df.select(_level(p, cell)).distinct().collect()})
+    a, b = _celled(left, "a_", cell, levels or [0]), _celled(right, "b_", cell, levels or [0])
+    width = cell * F.pow(F.lit(float(STEP)), F.col("level"))
+    corner = lambda c: F.floor(F.greatest(F.col(f"a_{c}"), F.col(f"b_{c}")) / width)
+    # A pair meets on the grid of its larger box.
+    meet = boxes_meet("a_", "b_") & (F.col("level") == F.greatest("a_level", "b_level")) & (F.col("cell_x") == corner("x0")) & (F.col("cell_y") == corner("y0"))
     if condition is not None:
         meet = meet & condition
-    return a.join(b, ["cell_x", "cell_y"]).where(meet).drop("cell_x", "cell_y")
+    return a.join(b, ["level", "cell_x", "cell_y"]).where(meet).drop("level", "a_level", "b_level", "cell_x", "cell_y")
 
 
 def point_pairs_within(df: DataFrame, id_col: str, distance: float, condition: Column | None = None) -> DataFrame:
@@ -58,20 +85,23 @@ def nearest_box(points: DataFrame, boxes: DataFrame, point_id: str, box_id: str,
     """The nearest box of every point: columns of ``points``, ``box_id``, ``distance`` (0 inside), ``b_x0`` ...
 
     Ties go to the smallest box id. Points look for boxes within a radius; those that find none look again
-    four times as far on a coarser grid, until every point has its box. Points or boxes with a null
-    coordinate take no part; without boxes the result is empty. ``point_id`` must be unique.
+    four times as far on a coarser grid, until every point has its box. Points or boxes with a coordinate
+    that is null, infinite or no number take no part; without boxes the result is empty. ``point_id`` must
+    be unique.
     """
-    b = checkpointed(prefixed(boxes.select(F.col(box_id).alias("id"), *BOX).dropna(), "b_"))
-    left = points.dropna(subset=["x", "y"])
+    b = checkpointed(prefixed(finite(boxes.select(F.col(box_id).alias("id"), *BOX), list(BOX)), "b_"))
+    left = finite(points, ["x", "y"])
     if not b.head(1):
         left = left.limit(0)
     x, y = F.col("x"), F.col("y")
     done, radius = None, cell
     while True:
-        cells = lambda low, high: F.explode(F.sequence(F.floor(low / radius), F.floor(high / radius)))  # noqa: B023, E731
-        probe = left.withColumn("cx", cells(x - radius, x + radius)).withColumn("cy", cells(y - radius, y + radius))
-        grid = b.withColumn("cx", cells(F.col("b_x0"), F.col("b_x1"))).withColumn("cy", cells(F.col("b_y0"), F.col("b_y1")))
-        near = probe.join(grid, ["cx", "cy"]).withColumn("distance", box_distance(x, y, "b_")).where(F.col("distance") <= radius)
+        levels = sorted(r[0] for r in b.select(_level("b_", radius)).distinct().collect())
+        width = radius * F.pow(F.lit(float(STEP)), F.col("level"))
+        cells = lambda low, high: F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))  # noqa: B023, E731
+        probe = left.withColumn("level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("cx", cells(x - radius, x + radius)).withColumn("cy", cells(y - radius, y + radius))
+        grid = b.withColumn("level", _level("b_", radius)).withColumn("cx", cells(F.col("b_x0"), F.col("b_x1"))).withColumn("cy", cells(F.col("b_y0"), F.col("b_y1")))
+        near = probe.join(grid, ["level", "cx", "cy"]).withColumn("distance", box_distance(x, y, "b_")).where(F.col("distance") <= radius)
         found = F.min(F.struct("distance", "b_id", *["b_" + c for c in BOX])).alias("best")
         keep = [c for c in points.columns if c != point_id]
         best = checkpointed(

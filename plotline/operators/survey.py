@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions.geometry import box_boundary_distance
@@ -18,17 +22,17 @@ def matched_points(points: DataFrame, parcels: DataFrame, cell: float = 25.0) ->
 def folded_offsets(matches: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """Per parcel the offset of its points in order of ``seq``, each halving what came before, and the last verdict.
 
-    The fold has a closed form, so it is an aggregation that combines before it shuffles where the points
-    fit; a parcel's points are sorted in one array, which its number of survey points bounds.
+    The fold has a closed form: the last point weighs 1/2, the one before 1/4, and the first as much as the
+    second. Points are numbered by a window, which streams them, and a sum follows; no array of them is held.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "offset")))
-    fold = F.aggregate(F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0))), F.get("points", F.lit(0))["offset"], lambda s, p: (s + p["offset"]) / 2.0)
-    grouped = matches.groupBy("parcel").agg(ordered.alias("points"))
-    last = F.element_at("points", -1)["offset"]
-    return grouped.select(
-        "parcel", F.size("points").cast("long").alias("n_points"), fold.alias("gt_offset_m"),
-        F.when(last <= tolerance, "verified").otherwise("disputed").alias("status"),
+    latest = Window.partitionBy("parcel").orderBy(F.desc("seq"))
+    back = F.row_number().over(latest)
+    placed = matches.select("parcel", "seq", "offset", back.alias("back"), F.lead("seq").over(latest).isNull().alias("first"))
+    weight = F.pow(F.lit(0.5), F.col("back") - F.col("first").cast("int"))
+    found = placed.groupBy("parcel").agg(
+        F.count("*").alias("n_points"), F.sum(weight * F.col("offset")).alias("gt_offset_m"), F.max(F.when(F.col("back") == 1, F.col("offset"))).alias("last")
     )
+    return found.select("parcel", "n_points", "gt_offset_m", F.when(F.col("last") <= tolerance, "verified").otherwise("disputed").alias("status"))
 
 
 def offset_metrics(matches: DataFrame, folded: DataFrame) -> DataFrame:
@@ -42,12 +46,33 @@ def offset_metrics(matches: DataFrame, folded: DataFrame) -> DataFrame:
 def folded_edits(edits: DataFrame, parcel: str, seq: str, version: str) -> DataFrame:
     """Optimistic locking: an edit is accepted if it names the current version, which begins at 1.
 
-    Per parcel the edits in order of ``seq`` fold to the accepted count and the final version.
+    Per parcel the edits in order of ``seq`` fold to the accepted count and the final version. A parcel's
+    edits meet in one task, sorted by Spark; the task streams them and holds a version and a count.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(version).cast("long").alias("version"))))
-    final = F.aggregate(F.col("edits"), F.lit(1).cast("long"), lambda s, e: F.when(e["version"] == s, s + 1).otherwise(s))
-    folded = edits.groupBy(parcel).agg(ordered.alias("edits"))
-    return folded.select(parcel, F.size("edits").cast("long").alias("n_edits"), final.alias("version")).withColumn("accepted", F.col("version") - 1)
+    ordered = edits.select(F.col(parcel).cast("long").alias(parcel), F.col(seq).alias("seq"), F.col(version).cast("long").alias("version"))
+    ordered = ordered.repartition(parcel).sortWithinPartitions(parcel, "seq")
+    schema = f"{parcel} long, n_edits long, version long, accepted long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: list | None = None
+        for batch in batches:
+            done = []
+            for key, named in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if state is None or key != state[0]:
+                    done += [state] if state else []
+                    state = [key, 0, 1]
+                state[1] += 1
+                state[2] += named == state[2]
+            if done:
+                yield table(done)
+        if state:
+            yield table([state])
+
+    def table(rows: list[list]) -> pa.RecordBatch:
+        keys, counts, versions = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+        return pa.record_batch([keys, counts, versions, pc.subtract(versions, 1)], names=[parcel, "n_edits", "version", "accepted"])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def scrubbed(df: DataFrame) -> DataFrame:

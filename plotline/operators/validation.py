@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.functions.geometry import aspect, box_area, box_perimeter, compactness, iou, iou_above, shared_area
-from plotline.operators.components import connected_components
+from plotline.functions.geometry import BOX, aspect, box_area, box_perimeter, compactness, iou, iou_above, shared_area
+from plotline.operators.checkpoints import checkpointed
 from plotline.operators.spatial_join import meeting_pairs
 
 CELL = 25.0
@@ -121,49 +120,83 @@ def summary(parcels: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def _fold_duplicates(rows):
-    """Drop order of one component: pairs in order of (a, b); a dropped ``a`` goes on within its own run."""
-    dropped, current, skip = set(), None, False
-    for a, b, keep_a in zip(rows["a_id"], rows["b_id"], rows["keep_a"], strict=True):
-        if a != current:
-            current, skip = a, a in dropped
-        if skip or b in dropped:
-            continue
-        dropped.add(b if keep_a else a)
-    return pd.DataFrame({"id": sorted(dropped)}, dtype="int64")
-
-
 def heal_duplicates(parcels: DataFrame, threshold: float = DUPLICATE_IOU) -> DataFrame:
     """Parcels without duplicates: of a pair the one of higher confidence stays, ties keep the first.
 
-    Pairs are taken in the order of ids, and what one drops others don't meet again; a parcel that has been
-    dropped still goes on with the pairs it comes first in. Pairs that share no parcel don't touch each
-    other, so each component of pairs is folded by itself.
+    Pairs are taken in the order of ids. A parcel that an earlier one has dropped takes no pair of its own;
+    else it drops each later parcel that it outranks, and is dropped itself by one that outranks it and
+    that no earlier parcel has dropped. Whether a parcel is dropped by an earlier one depends on those
+    before it alone, so it is settled in rounds: who has no undecided parcel before them is active, and
+    whom an active one outranks is gone. There are as many rounds as the longest chain has links.
     """
-    pairs = duplicate_pairs(candidate_pairs(parcels), threshold).select("a_id", "b_id", (F.col("a_conf") >= F.col("b_conf")).alias("keep_a"))
-    parts = connected_components(pairs, "a_id", "b_id")
-    grouped = pairs.join(parts.withColumnRenamed("node", "a_id"), "a_id").select("component", "a_id", "b_id", "keep_a")
-
-    def fold(rows):
-        return _fold_duplicates(rows.sort_values(["a_id", "b_id"]))
-
-    dropped = grouped.groupBy("component").applyInPandas(fold, "id long")
+    pairs = checkpointed(duplicate_pairs(candidate_pairs(parcels), threshold).select("a_id", "b_id", (F.col("a_conf") >= F.col("b_conf")).alias("keep_a")))
+    keeps = pairs.where("keep_a").select("a_id", "b_id")
+    # The parcels still to be settled, the pairs that may settle them, and who was dropped by an earlier parcel.
+    left = checkpointed(pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct())
+    edges, gone, active = keeps, None, None
+    while left.head(1):
+        free = checkpointed(left.join(edges.select(F.col("b_id").alias("id")), "id", "left_anti"))
+        dead = checkpointed(edges.join(free.select(F.col("id").alias("a_id")), "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct())
+        settled = free.unionByName(dead)
+        edges = checkpointed(edges.join(settled.select(F.col("id").alias("b_id")), "b_id", "left_anti").join(settled.select(F.col("id").alias("a_id")), "a_id", "left_anti"))
+        left = checkpointed(left.join(settled, "id", "left_anti"))
+        active, gone = (free, dead) if active is None else (active.unionByName(free), gone.unionByName(dead))
+    if active is None:
+        return parcels
+    mine = active.select(F.col("id").alias("a_id"))
+    first = keeps.join(mine, "a_id", "left_semi").groupBy("b_id").agg(F.min("a_id").alias("first"))
+    beaten = pairs.where("not keep_a").join(mine, "a_id", "left_semi").join(first, "b_id", "left").where(F.col("first").isNull() | (F.col("first") >= F.col("a_id")))
+    dropped = gone.unionByName(beaten.select(F.col("a_id").alias("id"))).distinct()
     return parcels.join(dropped, "id", "left_anti")
 
 
-def sliver_neighbours(parcels: DataFrame, sliver_area: float = 15.0, sliver_compactness: float = 0.05) -> DataFrame:
-    """Slivers with the neighbour that shares most of their border: ``id, neighbour, shared_border``."""
+def clipped_overlaps(parcels: DataFrame, tolerance: float = OVERLAP_AREA) -> DataFrame:
+    """``parcels`` with ``pieces`` (boxes), ``area`` and ``clips``: overlaps cut out of the parcel of lower confidence.
+
+    Of an overlapping pair the one of higher confidence keeps the overlap, ties go to the smaller id; so all
+    parcels have one order of priority and what a parcel keeps is its box less all overlaps with those above
+    it, in whatever order pairs are taken. A parcel that would keep nothing stays as it is. Overlaps up to
+    ``tolerance`` stay. The rest is cut into cells by the overlaps' borders, within the parcel's row, which
+    holds one box per overlap.
+    """
+    pairs = overlap_pairs(candidate_pairs(parcels), tolerance)
+    first = F.col("a_conf") >= F.col("b_conf")
+    box = F.struct(*[F.greatest(f"a_{c}", f"b_{c}").alias(c) if c[1] == "0" else F.least(f"a_{c}", f"b_{c}").alias(c) for c in BOX])
+    cuts = pairs.select(F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("id"), box.alias("cut")).groupBy("id").agg(F.collect_list("cut").alias("cuts"))
+    stops = lambda low, high: F.array_sort(F.array_distinct(F.concat(F.array(low, high), F.transform("cuts", lambda c: c[low]), F.transform("cuts", lambda c: c[high]))))
+    spans = lambda s: F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    cell = lambda x, y: F.struct(x["a"].alias("x0"), y["a"].alias("y0"), x["b"].alias("x1"), y["b"].alias("y1"))
+    cells = F.flatten(F.transform(spans(F.col("xs")), lambda x: F.transform(spans(F.col("ys")), lambda y: cell(x, y))))
+    covered = lambda p: F.exists("cuts", lambda c: (c["x0"] <= p["x0"]) & (c["y0"] <= p["y0"]) & (c["x1"] >= p["x1"]) & (c["y1"] >= p["y1"]))
+    whole = F.array(F.struct(*[F.col(c) for c in BOX]))
+    joined = parcels.join(cuts, "id", "left").withColumn("xs", F.when(F.col("cuts").isNotNull(), stops("x0", "x1"))).withColumn("ys", F.when(F.col("cuts").isNotNull(), stops("y0", "y1")))
+    left = F.filter(cells, lambda p: ~covered(p))
+    made = joined.withColumn("pieces", F.when(F.col("cuts").isNull(), whole).otherwise(left))
+    made = made.withColumn("pieces", F.when(F.size("pieces") == 0, whole).otherwise(F.col("pieces")))
+    area = F.aggregate("pieces", F.lit(0.0), lambda s, p: s + (p["x1"] - p["x0"]) * (p["y1"] - p["y0"]))
+    return made.select(*parcels.columns, "pieces", area.alias("area"), F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts")).cast("long").alias("clips"))
+
+
+def marked_slivers(parcels: DataFrame, sliver_area: float = 15.0, sliver_compactness: float = 0.05) -> DataFrame:
     area = box_area()
-    sliver = (area < sliver_area) | (compactness(area, box_perimeter()) < sliver_compactness)
-    marked = parcels.withColumn("sliver", sliver)
+    return parcels.withColumn("sliver", (area < sliver_area) | (compactness(area, box_perimeter()) < sliver_compactness))
+
+
+def sliver_pairs(marked: DataFrame) -> DataFrame:
+    """Slivers ``a_`` with each face ``b_`` that they share a ``border`` with."""
     pairs = meeting_pairs(marked.where("sliver"), marked.where("not sliver"), CELL)
     clamp = lambda low, high: F.greatest(F.least(*high) - F.greatest(*low), F.lit(0.0))
     width = clamp((F.col("a_x0"), F.col("b_x0")), (F.col("a_x1"), F.col("b_x1")))
     height = clamp((F.col("a_y0"), F.col("b_y0")), (F.col("a_y1"), F.col("b_y1")))
     # A touching edge counts once; an overlap counts by the length of its outline.
     border = F.when((width > 0) & (height > 0), 2.0 * (width + height)).otherwise(width + height)
+    return pairs.withColumn("border", border).where("border > 0")
+
+
+def sliver_neighbours(parcels: DataFrame, sliver_area: float = 15.0, sliver_compactness: float = 0.05) -> DataFrame:
+    """Slivers with the neighbour that shares most of their border: ``id, neighbour, shared_border``."""
     return (
-        pairs.withColumn("border", border).where("border > 0")
+        sliver_pairs(marked_slivers(parcels, sliver_area, sliver_compactness))
         .groupBy(F.col("a_id").alias("id")).agg(F.max(F.struct("border", (-F.col("b_id")).alias("n"))).alias("best"))
         .select("id", (-F.col("best.n")).alias("neighbour"), F.col("best.border").alias("shared_border"))
     )
