@@ -9,8 +9,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from plotline.operators.checkpoints import checkpointed
 
 
 def _along(keys: list[str], axis: str) -> Window:
@@ -99,14 +104,54 @@ def height_above_ground(dsm: DataFrame, dtm: DataFrame, minimum: float = 0.5) ->
     return smooth.select("row", "col", F.when(~F.col("hole"), F.col("v")).alias("v"))
 
 
-def stretch(df: DataFrame, value: str = "v", keys: list[str] = (), low: float = 0.02, high: float = 0.98, flat: float = 1e-5) -> DataFrame:
+#: Values of a group whose percentiles are taken in one buffer, and groups that are broadcast, at most.
+BUFFERED, BROADCAST_GROUPS = 1 << 20, 100_000
+BUCKETS = 4096
+
+
+def percentiles(df: DataFrame, value: str, keys: list[str], chances: list[float], buffered: int = BUFFERED) -> tuple[DataFrame, bool]:
+    """``keys, cuts``: exact interpolated percentiles of every group, and whether the groups are few.
+
+    Groups of up to ``buffered`` values take Spark's own aggregate. Otherwise the wanted ranks are narrowed
+    down by histograms of ``BUCKETS`` cells, each round within the cell that holds the rank, until all
+    values there are equal; so no task holds a group. Nulls don't count.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    stats = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    groups, most = stats.agg(F.count("*"), F.max("n")).first()
+    few = groups <= BROADCAST_GROUPS
+    if (most or 0) <= buffered:
+        return rows.groupBy(*keys).agg(F.percentile("v", F.array(*map(F.lit, chances))).alias("cuts")), few
+    places = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("at")) for i, p in enumerate(chances)])
+    wanted = stats.select(*keys, "lo", "hi", F.explode(places).alias("w"))
+    both = F.explode(F.array(F.floor("w.at"), F.ceil("w.at")))
+    spots = checkpointed(wanted.select(*keys, "lo", "hi", both.alias("rank")).distinct().withColumn("rest", F.col("rank")))
+    at = Window.partitionBy(*keys, "rank").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    while True:
+        open_ = spots.where("lo < hi")
+        if not open_.head(1):
+            break
+        cell = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS), F.lit(BUCKETS - 1)).alias("cell")
+        inside = rows.join(F.broadcast(open_) if few else open_, keys).where("v between lo and hi")
+        counts = inside.groupBy(*keys, "rank", "rest", cell).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        found = counts.withColumn("upto", F.sum("c").over(at)).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("c") <= F.col("rest")))
+        narrowed = found.select(*keys, "lo", "hi", "rank", (F.col("rest") - F.col("upto") + F.col("c")).alias("rest"))
+        spots = checkpointed(spots.where("lo = hi").unionByName(narrowed))
+    low, high = (wanted.withColumn("rank", f("w.at")).join(spots.select(*keys, "rank", F.col("lo").alias(name)), [*keys, "rank"]).select(*keys, "w", name) for f, name in ((F.floor, "low"), (F.ceil, "high")))
+    part = F.col("w.at") - F.floor("w.at")
+    cut = F.when(part == 0, F.col("low")).otherwise((1 - part) * F.col("low") + part * F.col("high"))
+    cuts = low.join(high, [*keys, "w"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("w.i", cut.alias("v")))).alias("c"))
+    return cuts.select(*keys, F.transform("c", lambda c: c["v"]).alias("cuts")), few
+
+
+def stretch(df: DataFrame, value: str = "v", keys: list[str] = (), low: float = 0.02, high: float = 0.98, flat: float = 1e-5, buffered: int = BUFFERED) -> DataFrame:
     """``stretched``: values between two percentiles of the valid pixels as 0 to 1; no data and flat bands 0."""
     keys = list(keys) or ["one"]
     rows = df if keys != ["one"] else df.withColumn("one", F.lit(1))
-    cuts = rows.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("cuts"))
+    cuts, few = percentiles(rows, value, keys, [low, high], buffered)
     span = F.get("cuts", F.lit(1)) - F.get("cuts", F.lit(0))
     scaled = F.least(F.greatest((F.col(value) - F.get("cuts", F.lit(0))) / span, F.lit(0.0)), F.lit(1.0))
-    joined = rows.join(F.broadcast(cuts), keys)
+    joined = rows.join(F.broadcast(cuts) if few else cuts, keys, "left")
     return joined.withColumn("stretched", F.when(F.col(value).isNull() | (span < flat) | span.isNull(), 0.0).otherwise(scaled)).drop("cuts", "one")
 
 
@@ -121,20 +166,67 @@ def overview(df: DataFrame, level: int, value: str = "v", keys: list[str] = ())
     return df.groupBy(*keys, F.floor(F.col("row") / step).cast("int").alias("row"), F.floor(F.col("col") / step).cast("int").alias("col")).agg(F.avg(value).alias(value))
 
 
+def _lower_envelope(at: np.ndarray, heights: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """The least of (x - at)^2 + height over all parabolas, for each x of ``ask``; ``at`` ascends."""
+    kept: list[int] = []
+    starts: list[float] = []
+    for k in range(len(at)):
+        while True:
+            if not kept:
+                kept, starts = [k], [-np.inf]
+                break
+            j = kept[-1]
+            meet = ((heights[k] + at[k] * at[k]) - (heights[j] + at[j] * at[j])) / (2 * (at[k] - at[j]))
+            if meet > starts[-1]:
+                kept.append(k)
+                starts.append(meet)
+                break
+            kept.pop()
+            starts.pop()
+    lowest = np.array(kept)[np.searchsorted(starts, ask, side="right") - 1]
+    return (ask - at[lowest]) ** 2 + heights[lowest]
+
+
 def distance_transform(df: DataFrame, mask: str = "inside") -> DataFrame:
     """``distance`` of every pixel to the nearest pixel where ``mask`` is false; null where there is none.
 
     First along columns, by windows: the distance to the nearest such pixel above and below. Then along
-    rows: the least of squared column offset plus squared distance. A row is one array for that, so a
-    task's unit is one raster line.
+    rows: the lower envelope of the parabolas that stand on these distances, in time linear in the row
+    (Felzenszwalb and Huttenlocher, 2012). A task's unit is one raster line.
     """
     up = Window.partitionBy("col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("col").orderBy("row").rowsBetween(0, Window.unboundedFollowing)
     zero = F.when(~F.col(mask), F.col("row"))
-    g = F.least(F.col("row") - F.last(zero, True).over(up), F.first(zero, True).over(down) - F.col("row"))
-    lines = df.withColumn("g", g.cast("double")).groupBy("row").agg(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("col", "g"))).alias("line"))
-    squares = F.transform("line", lambda p: (p["col"] - F.col("col")) * (p["col"] - F.col("col")) + p["g"] * p["g"])
-    return df.join(lines, "row").withColumn("distance", F.sqrt(F.array_min(squares))).drop("line")
+    near = df.withColumn("g_", F.least(F.col("row") - F.last(zero, True).over(up), F.first(zero, True).over(down) - F.col("row")).cast("double"))
+
+    def line(rows: pd.DataFrame) -> pd.DataFrame:
+        sites = rows.dropna(subset=["g_"]).sort_values("col")
+        distance = None if sites.empty else np.sqrt(_lower_envelope(sites["col"].to_numpy(float), sites["g_"].to_numpy() ** 2, rows["col"].to_numpy(float)))
+        return rows.drop(columns="g_").assign(distance=distance)
+
+    return near.groupBy("row").applyInPandas(line, StructType([*df.schema.fields, StructField("distance", DoubleType())]))
+
+
+def weighted_distance(distance: Column, height: Column) -> Column:
+    """Distance times 1 to 3 by the height above ground over 10; null heights count as 0."""
+    return distance * (1.0 + F.least(F.greatest(F.coalesce(height, F.lit(0.0)) / 10.0, F.lit(0.0)), F.lit(2.0)))
+
+
+def resampled(df: DataFrame, grid: DataFrame, scale: float, row0: float = 0.0, col0: float = 0.0, value: str = "v") -> DataFrame:
+    """``grid`` (row, col) with ``value``: the raster resampled onto a master grid, bilinear between pixel centres.
+
+    A grid pixel is ``scale`` raster pixels wide, and the grid begins at ``row0, col0`` of the raster.
+    Taps outside the raster or without data are left out and the others weigh more; where there is none, 0.
+    """
+    y, x = ((F.col(c) + 0.5) * scale + start - 0.5 for c, start in (("row", row0), ("col", col0)))
+    placed = grid.select("row", "col", y.alias("y"), x.alias("x"))
+    tap = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    taps = placed.withColumn("t", tap).withColumn("fy", F.floor("y") + F.col("t.i")).withColumn("fx", F.floor("x") + F.col("t.j"))
+    weight = (1 - F.abs(F.col("y") - F.col("fy"))) * (1 - F.abs(F.col("x") - F.col("fx")))
+    source = df.select(F.col("row").cast("long").alias("fy"), F.col("col").cast("long").alias("fx"), F.col(value).alias("s"))
+    joined = taps.withColumn("w", weight).join(source, ["fy", "fx"], "left")
+    sums = joined.groupBy("row", "col").agg(F.sum(F.when(F.col("s").isNotNull(), F.col("w"))).alias("ws"), F.sum(F.col("w") * F.col("s")).alias("vs"))
+    return sums.select("row", "col", F.coalesce(F.try_divide("vs", "ws"), F.lit(0.0)).alias(value))
 
 
 def neighbours(df: DataFrame) -> DataFrame:
@@ -155,8 +247,6 @@ def thin(df: DataFrame, rounds: int = 200) -> DataFrame:
     Each step looks at the eight neighbours through two windows and removes border pixels at once, until
     nothing goes.
     """
-    from plotline.operators.checkpoints import checkpointed
-
     current = checkpointed(df.select("row", "col").distinct())
     for _ in range(rounds):
         before = current.count()
