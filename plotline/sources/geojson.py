@@ -9,13 +9,18 @@ RING = "array<struct<x:double,y:double>>"
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """``pos, properties, kind, rings``: one row per feature of a file, polygons as arrays of rings.
+    """``pos, properties, geometry, kind, rings``: one row per feature, polygons as arrays of rings.
 
-    Properties stay a JSON string, as every layer has its own. Features without a geometry, or with an
+    A file is a feature collection, or has one feature per line; ``pos`` counts within a collection and is
+    null for lines. Properties stay a JSON string, as every layer has its own. Features without a geometry, or with an
     empty one, are dropped; others than polygons have null rings and keep their ``geometry`` as JSON.
     """
-    files = spark.read.text(path, wholetext=True).select(F.from_json("value", "features array<string>").alias("c"))
-    features = files.select(F.posexplode("c.features").alias("pos", "f")).select(
+    kind = F.get_json_object("value", "$.type")
+    whole = spark.read.text(path, wholetext=True).where(kind == "FeatureCollection").select("value", F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path).where(kind == "Feature").select("value", F.col("_metadata.file_path").alias("file"))
+    single = lines.join(whole.select("file"), "file", "left_anti").select(F.lit(None).cast("int").alias("pos"), F.col("value").alias("f"))
+    inside = whole.select(F.from_json("value", "features array<string>").alias("c")).select(F.posexplode("c.features").alias("pos", "f"))
+    features = inside.unionByName(single).select(
         "pos", F.get_json_object("f", "$.properties").alias("properties"), F.get_json_object("f", "$.geometry").alias("geometry")
     ).where("geometry is not null").withColumn("kind", F.get_json_object("geometry", "$.type"))
     nested = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<array<array<double>>>")
@@ -30,6 +35,6 @@ def feature_json(kind, coordinates, properties):
 
 
 def write_features(df: DataFrame, path: str, rings: str, properties: list[str]) -> None:
-    """One GeoJSON feature per line, in as many files as partitions."""
+    """One GeoJSON feature per line, in as many files as partitions; ``read_features`` reads them."""
     coordinates = F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
     df.select(feature_json(F.lit("Polygon"), coordinates, F.struct(*properties)).alias("value")).write.text(path)
