@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotline.functions.geometry import box_area, box_contains, box_perimeter, box_ring, polygon_area, ring_boundary_distance, ring_centroid, ring_contains, ring_length, rotated
+from plotline.functions.geometry import box_area, box_contains, box_perimeter, box_ring, polygon_area, ring_area, ring_boundary_distance, ring_bounds, ring_centroid, ring_contains, ring_length, rotated
+from plotline.functions.overlay import ring_orthogonal, ring_rectangle, ring_shared_area, ring_simplified
 from plotline.functions.projection import BETA, DELTA, FALSE_EASTING, RADIUS, SCALE, central_meridian, lonlat_to_utm, utm_to_lonlat
-from plotline.operators import evaluation, network, survey, validation, zonal
+from plotline.operators import evaluation, faces, network, survey, validation, zonal
 from plotline.operators.spatial_join import meeting_pairs, nearest_box
 from plotline.plans.relations import ENDPOINTS, PARCELS, POINTS, endpoints, parcels, points
 
@@ -112,6 +113,95 @@ def sliver_neighbours(spark, sf_dir):
     return validation.sliver_neighbours(parcels(spark, sf_dir))
 
 
+CUTS = f"""over AS (SELECT *, CASE WHEN a_conf >= b_conf THEN b_id ELSE a_id END AS id, CASE WHEN a_conf >= b_conf THEN a_id ELSE b_id END AS other FROM pairs WHERE shared > 0.05::DOUBLE),
+cuts AS (SELECT p.id, greatest(p.x0, q.x0) AS x0, greatest(p.y0, q.y0) AS y0, least(p.x1, q.x1) AS x1, least(p.y1, q.y1) AS y1 FROM over o JOIN parcels p ON p.id = o.id JOIN parcels q ON q.id = o.other),
+sides AS (SELECT id, x0, y0, x1, y1 FROM cuts UNION ALL SELECT id, x0, y0, x1, y1 FROM parcels WHERE id IN (SELECT id FROM cuts)),
+xs AS (SELECT id, x AS lx, lead(x) OVER (PARTITION BY id ORDER BY x) AS hx FROM (SELECT id, x0 AS x FROM sides UNION SELECT id, x1 FROM sides)),
+ys AS (SELECT id, y AS ly, lead(y) OVER (PARTITION BY id ORDER BY y) AS hy FROM (SELECT id, y0 AS y FROM sides UNION SELECT id, y1 FROM sides)),
+left_ AS (SELECT id, sum((hx - lx) * (hy - ly)) AS area, count(*) AS cells FROM xs JOIN ys USING (id) WHERE hx IS NOT NULL AND hy IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM cuts c WHERE c.id = xs.id AND c.x0 <= lx AND c.x1 >= hx AND c.y0 <= ly AND c.y1 >= hy) GROUP BY id),
+n AS (SELECT id, count(*) AS clips FROM cuts GROUP BY id)"""
+
+
+@query("heal_overlaps", f"""WITH {PARCELS}, {PAIRS}, {CUTS}
+SELECT id, coalesce(clips, 0) AS clips, round(coalesce(area, {AREA}), 6) AS area, coalesce(cells, 1) AS cells FROM parcels LEFT JOIN left_ USING (id) LEFT JOIN n USING (id)""")
+def heal_overlaps(spark, sf_dir):
+    found = validation.clipped_overlaps(parcels(spark, sf_dir))
+    return found.select("id", "clips", F.round("area", 6).alias("area"), F.size("pieces").cast("long").alias("cells"))
+
+
+@query("merge_slivers", f"""WITH {PARCELS}, m AS (
+  SELECT *, {AREA} AS area, {AREA} < 15 OR 4 * pi() * {AREA} / pow(2 * ((x1 - x0) + (y1 - y0)), 2) < 0.05::DOUBLE AS sliver FROM parcels), p AS (
+  SELECT a.id, b.id AS n, a.area, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) AS w, greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS h
+  FROM m a JOIN m b ON a.sliver AND NOT b.sliver AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1), q AS (
+  SELECT id, n, area - w * h AS gained, CASE WHEN w > 0 AND h > 0 THEN 2 * (w + h) ELSE w + h END AS border FROM p), r AS (
+  SELECT * FROM q WHERE border > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY border DESC, n) = 1), g AS (SELECT n AS id, sum(gained) AS gained, count(*) AS k FROM r GROUP BY n)
+SELECT id, round(area + coalesce(gained, 0), 6) AS area, 1 + coalesce(k, 0) AS members FROM m LEFT JOIN g USING (id) WHERE NOT sliver
+UNION ALL SELECT id, round(area, 6), 1 FROM m WHERE sliver AND area >= 5 AND id NOT IN (SELECT id FROM r)""")
+def merge_slivers(spark, sf_dir):
+    found = faces.merged_slivers(parcels(spark, sf_dir))
+    return found.select("id", F.round("area", 6).alias("area"), F.size("members").cast("long").alias("members"))
+
+
+def network_lines(spark, sf_dir):
+    """The lines of the parcels' grid, diagonals of some cells, and dead ends in others."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("k")).where("k % 10 <> 9")
+    x, y = ((F.col("k") % 50) * 20).cast("double"), (F.floor(F.col("k") / 50) * 20).cast("double")
+    cells = p.select("k", x.alias("x"), y.alias("y"))
+    top = cells.agg((F.max("y") + 20.0).alias("top"))
+    line = lambda df, ax, ay, bx, by: df.select(ax.cast("double").alias("ax"), ay.cast("double").alias("ay"), bx.cast("double").alias("bx"), by.cast("double").alias("by"))
+    zero, wide, step = F.lit(0.0), F.lit(1000.0), F.col("i") * 20
+    across = top.select(F.explode(F.sequence(F.lit(0), (F.col("top") / 20).cast("int"))).alias("i"))
+    along = top.select("top", F.explode(F.sequence(F.lit(0), F.lit(50))).alias("i"))
+    diagonal, spur = cells.where("k % 7 = 0"), cells.where("k % 11 = 0 and k % 7 <> 0")
+    found = line(across, zero, step, wide, step).unionByName(line(along, step, zero, step, F.col("top")))
+    found = found.unionByName(line(diagonal, F.col("x"), F.col("y"), F.col("x") + 20, F.col("y") + 20)).unionByName(line(spur, F.col("x"), F.col("y"), F.col("x") + 6, F.col("y") + 3))
+    return found.withColumn("line", F.xxhash64("ax", "ay", "bx", "by"))
+
+
+@query("polygonised_faces", """WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 10 <> 9), top AS (SELECT max(k // 50) + 1 AS n FROM p),
+c AS (SELECT i.i * 20 AS x0, j.j * 20 AS y0, i.i + 50 * j.j AS k FROM (SELECT unnest(generate_series(0, 49)) AS i) i, (SELECT unnest(generate_series(0, (SELECT n - 1 FROM top))) AS j) j),
+d AS (SELECT c.*, p.k IS NOT NULL AND c.k % 7 = 0 AS cut FROM c LEFT JOIN p USING (k)), f AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE cut)
+SELECT x0::DOUBLE AS x0, y0::DOUBLE AS y0, CASE WHEN cut THEN 200 ELSE 400 END::DOUBLE AS area, CASE WHEN cut THEN round(40 + sqrt(800), 6) ELSE 80 END::DOUBLE AS perimeter, CASE WHEN cut THEN 3 ELSE 4 END::BIGINT AS edges FROM f""")
+def polygonised_faces(spark, sf_dir):
+    """Lines noded at their crossings and closed to faces; dead ends bound nothing."""
+    pieces = network.noded(network_lines(spark, sf_dir), 20.0)
+    found = faces.polygonised(pieces, 5.0)
+    return found.select("x0", "y0", F.round("area", 6).alias("area"), F.round("perimeter", 6).alias("perimeter"), "edges")
+
+
+def turned(spark, sf_dir, radians):
+    """Parcels as rings, all turned about the origin, with their bounds."""
+    origin = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    rings = parcels(spark, sf_dir).select("id", "conf", rotated(box_ring(), radians, origin).alias("ring")).withColumn("b", ring_bounds(F.col("ring")))
+    return rings.select("id", "conf", "ring", "b.x0", "b.y0", "b.x1", "b.y1")
+
+
+@query("ring_overlaps", f"WITH {PARCELS}, {PAIRS} SELECT a_id, b_id, round(shared, 6) AS shared, round(iou, 6) AS iou FROM pairs WHERE shared > 0.05::DOUBLE")
+def ring_overlaps(spark, sf_dir):
+    """Overlaps of rings in any position; turned together they share what the boxes share."""
+    rings = turned(spark, sf_dir, F.lit(0.7))
+    pairs = meeting_pairs(rings, rings, 40.0, F.col("a_id") < F.col("b_id"))
+    found = pairs.withColumn("shared", ring_shared_area("a_ring", "b_ring")).where("shared > 0.05")
+    union = ring_area(F.col("a_ring")) + ring_area(F.col("b_ring")) - F.col("shared")
+    return found.select("a_id", "b_id", F.round("shared", 6).alias("shared"), F.round(F.col("shared") / union, 6).alias("iou"))
+
+
+@query("ring_shapes", f"""WITH {PARCELS} SELECT id, round(least(x1 - x0, y1 - y0), 6) AS short, round(greatest(x1 - x0, y1 - y0), 6) AS long, 4::BIGINT AS vertices,
+  round({AREA}, 6) AS simple_area, round({AREA}, 6) AS right_area FROM parcels""")
+def ring_shapes(spark, sf_dir):
+    """Smallest turned rectangle, simplification of rings with extra vertices, and right-angled rings."""
+    rings = turned(spark, sf_dir, F.radians(F.col("id") % 180))
+    middle = lambda p, q: F.struct(((p["x"] + q["x"]) / 2).alias("x"), ((p["y"] + q["y"]) / 2).alias("y"))
+    after = F.concat(F.slice("ring", 2, 3), F.slice("ring", 1, 1))
+    dense = F.flatten(F.zip_with("ring", after, lambda p, q: F.array(p, middle(p, q))))
+    made = rings.withColumn("r", ring_rectangle("ring")).withColumn("simple", ring_simplified(dense, 0.01)).withColumn("right", ring_orthogonal("ring"))
+    return made.select(
+        "id", F.round("r.short", 6).alias("short"), F.round("r.long", 6).alias("long"), F.size("simple").cast("long").alias("vertices"),
+        F.round(ring_area(F.col("simple")), 6).alias("simple_area"), F.round(ring_area(F.col("right")), 6).alias("right_area"),
+    )
+
+
 @query("bbox_layer_filter", f"WITH {PARCELS} SELECT id, x0, y0, x1, y1 FROM parcels WHERE x0 <= 400 AND x1 >= 100 AND y0 <= 300 AND y1 >= 50")
 def bbox_layer_filter(spark, sf_dir):
     return parcels(spark, sf_dir).where("x0 <= 400 and x1 >= 100 and y0 <= 300 and y1 >= 50").select("id", "x0", "y0", "x1", "y1")
@@ -198,16 +288,19 @@ def bridge_endpoints(spark, sf_dir):
     return network.bridges(endpoints(spark, sf_dir)).select("a_seq", "b_seq", F.round("distance", 6).alias("distance"))
 
 
+# Short lines spread over an area that grows with the table.
 SEGMENTS = """segments AS (
-  SELECT o_orderkey::BIGINT AS line, CAST(o_orderkey % 97 AS DOUBLE) AS ax, CAST(o_orderkey % 89 AS DOUBLE) AS ay, CAST((o_orderkey * 7) % 97 AS DOUBLE) AS bx, CAST((o_orderkey * 5) % 89 AS DOUBLE) AS "by"
-  FROM orders WHERE o_orderkey < 600)"""
+  SELECT line, ax, ay, ax + CAST((line * 7) % 13 AS DOUBLE) - 6::DOUBLE AS bx, ay + CAST((line * 5) % 11 AS DOUBLE) - 5::DOUBLE AS "by" FROM (
+    SELECT o_orderkey::BIGINT AS line, CAST((o_orderkey % 100) * 6 + o_orderkey % 7 AS DOUBLE) AS ax, CAST((o_orderkey // 100) * 6 + o_orderkey % 5 AS DOUBLE) AS ay FROM orders)
+  WHERE (line * 7) % 13 <> 6 OR (line * 5) % 11 <> 5)"""
 
 
 def segments(spark, sf_dir):
-    k = F.col("o_orderkey").cast("long")
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 600")
+    k = F.col("line")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("line"))
     d = lambda c: c.cast("double")
-    return o.select(k.alias("line"), d(k % 97).alias("ax"), d(k % 89).alias("ay"), d((k * 7) % 97).alias("bx"), d((k * 5) % 89).alias("by"))
+    starts = o.where((k * 7 % 13 != 6) | (k * 5 % 11 != 5)).select("line", d((k % 100) * 6 + k % 7).alias("ax"), d(F.floor(k / 100) * 6 + k % 5).alias("ay"))
+    return starts.select("line", "ax", "ay", (F.col("ax") + d(k * 7 % 13) - 6.0).alias("bx"), (F.col("ay") + d(k * 5 % 11) - 5.0).alias("by"))
 
 
 @query("network_graph", f"""WITH {ENDPOINTS}, e AS (SELECT seq AS line, round(x, 0) AS ax, round(y / 10, 0) AS ay, round(y, 0) AS bx, round(x / 10, 0) AS cy FROM endpoints),
@@ -220,9 +313,10 @@ def network_graph(spark, sf_dir):
     return network.node_degrees(network.graph_edges(s))
 
 
-CROSS = """cr AS (SELECT a.line AS a_line, b.line AS b_line, a.ax + t * (a.bx - a.ax) AS x, a.ay + t * (a.by - a.ay) AS y FROM (
+CROSS = """cr AS (SELECT a.line AS a_line, b.line AS b_line, t, u, a.ax + t * (a.bx - a.ax) AS x, a.ay + t * (a.by - a.ay) AS y FROM (
   SELECT a, b, ((b.ax - a.ax) * (b.by - b.ay) - (b.ay - a.ay) * (b.bx - b.ax)) / d AS t, ((b.ax - a.ax) * (a.by - a.ay) - (b.ay - a.ay) * (a.bx - a.ax)) / d AS u FROM (
-    SELECT a, b, (a.bx - a.ax) * (b.by - b.ay) - (a.by - a.ay) * (b.bx - b.ax) AS d FROM segments a JOIN segments b ON a.line < b.line) WHERE d <> 0)
+    SELECT a, b, (a.bx - a.ax) * (b.by - b.ay) - (a.by - a.ay) * (b.bx - b.ax) AS d FROM segments a JOIN segments b ON a.line < b.line
+      AND abs(a.ax - b.ax) <= 12 AND abs(a.ay - b.ay) <= 10) WHERE d <> 0)
   WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)"""
 
 
@@ -231,16 +325,19 @@ def segment_crossings(spark, sf_dir):
     return network.crossings(segments(spark, sf_dir), 20.0).select("a_line", "b_line", (F.round("x", 6) + 0).alias("x"), (F.round("y", 6) + 0).alias("y"))
 
 
-@query("noded_network", f"""WITH {SEGMENTS} SELECT line, round(sqrt(pow(bx - ax, 2) + pow("by" - ay, 2)), 6) AS length FROM segments""")
+@query("noded_network", f"""WITH {SEGMENTS}, {CROSS}, cuts AS (SELECT a_line AS line, round(t, 9) AS t FROM cr UNION SELECT b_line, round(u, 9) FROM cr UNION SELECT line, unnest([0::DOUBLE, 1::DOUBLE]) FROM segments),
+p AS (SELECT line, t, lead(t) OVER (PARTITION BY line ORDER BY t) AS e, row_number() OVER (PARTITION BY line ORDER BY t) - 1 AS piece FROM cuts)
+SELECT line, piece::INTEGER AS piece, round(ax + t * (bx - ax), 6) + 0 AS ax, round(ay + t * ("by" - ay), 6) + 0 AS ay, round(ax + e * (bx - ax), 6) + 0 AS bx, round(ay + e * ("by" - ay), 6) + 0 AS "by"
+FROM p JOIN segments USING (line) WHERE e IS NOT NULL""")
 def noded_network(spark, sf_dir):
-    """Lengths of the noded pieces add up to those of the lines."""
+    """Every piece between two crossings of a line, with its ends."""
     pieces = network.noded(segments(spark, sf_dir), 20.0)
-    return pieces.groupBy("line").agg(F.round(F.sum(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), 6).alias("length"))
+    return pieces.select("line", "piece", *[(F.round(c, 6) + 0).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
-@query("spur_filter", f"WITH {SEGMENTS} SELECT line FROM segments WHERE sqrt(pow(bx - ax, 2) + pow(\"by\" - ay, 2)) >= 30")
+@query("spur_filter", f"WITH {SEGMENTS} SELECT line FROM segments WHERE sqrt(pow(bx - ax, 2) + pow(\"by\" - ay, 2)) >= 4")
 def spur_filter(spark, sf_dir):
-    return network.without_spurs(segments(spark, sf_dir), 30.0).select("line")
+    return network.without_spurs(segments(spark, sf_dir), 4.0).select("line")
 
 
 SHIFTED = "ref AS (SELECT id, x0 + 0.5::DOUBLE AS x0, y0, x1 + 0.5::DOUBLE AS x1, y1 FROM parcels WHERE id % 5 <> 0)"

@@ -209,3 +209,141 @@ def test_streamed_edits(spark, tmp_path):
     q = accepted_edits(stream).writeStream.format("memory").queryName("edits").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.seq, r.accepted, r.version) for r in spark.table("edits").collect()) == [(1, True, 2), (2, False, 2), (3, True, 3), (4, False, 1)]
+
+
+def test_percentiles_by_refinement_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    groups = {0: rng.normal(size=900), 1: np.repeat([1.5, 2.5], [400, 3]), 2: np.array([7.0]), 3: 10.0 ** rng.uniform(-12, 12, 500)}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [(0, None), (4, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    for buffered in (0, 1 << 20):
+        cuts, few = raster.percentiles(df, "v", ["k"], [0.02, 0.5, 0.98, 1.0], buffered)
+        got = {r["k"]: r["cuts"] for r in cuts.collect()}
+        assert few and set(got) == set(groups) and all(np.allclose(got[k], np.percentile(v, [2, 50, 98, 100]), rtol=1e-12) for k, v in groups.items())
+    flat = raster.stretch(df.withColumnRenamed("k", "key"), "v", ["key"], buffered=0)
+    assert flat.count() == len(rows) and flat.where("key in (2, 4) or v is null").agg(F.max("stretched")).first()[0] == 0.0
+
+
+def test_thinning_equals_brute_force(spark):
+    rng = random.Random(9)
+    pixels = {(r, c) for r in range(14) for c in range(18) if rng.random() < 0.75}
+    df = spark.createDataFrame(sorted(pixels), "row int, col int")
+    found = {(r["row"], r["col"]) for r in raster.thin(df).collect()}
+    current, before = set(pixels), None
+    while current != before:
+        before = set(current)
+        for step in (0, 1):
+            gone = set()
+            for r, c in current:
+                p = [int((r + i, c + j) in current) for i, j in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
+                turns = sum(a == 0 and b == 1 for a, b in zip(p, p[1:] + p[:1]))
+                first, second = (p[0] * p[2] * p[4], p[2] * p[4] * p[6]) if step == 0 else (p[0] * p[2] * p[6], p[0] * p[4] * p[6])
+                if 2 <= sum(p) <= 6 and turns == 1 and first == 0 and second == 0:
+                    gone.add((r, c))
+            current -= gone
+    assert found == current
+
+
+def test_faces_of_a_square_with_a_diagonal_and_dead_ends(spark):
+    from plotline.operators.faces import polygonised
+
+    lines = [(0, 0, 10, 0), (10, 0, 10, 10), (10, 10, 0, 10), (0, 10, 0, 0), (0, 0, 10, 10), (10, 10, 13, 14), (5, 5, 6, 4), (50, 50, 60, 50)]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(lines)], "line long, ax double, ay double, bx double, by double")
+    found = polygonised(network.noded(df, 5.0)).collect()
+    assert sorted((r["area"], r["edges"]) for r in found) == [(50.0, 4), (50.0, 4)] or sorted(r["area"] for r in found) == [50.0, 50.0]
+    assert all(abs(r["perimeter"] - (20 + 200**0.5)) < 1e-9 and 4 * np.pi * r["area"] / r["perimeter"] ** 2 == pytest.approx(0.5390, abs=1e-4) for r in found)
+    assert polygonised(network.noded(df.where("line >= 5"), 5.0)).count() == 0 and polygonised(network.noded(df.where("false"), 5.0)).count() == 0
+
+
+def numbered(spark, rows):
+    return spark.createDataFrame([(r[0], *map(float, r[1:]), 0.5) for r in rows], BOXES)
+
+
+def test_slivers_join_the_neighbour_with_the_longest_border(spark):
+    from plotline.operators.faces import merged_slivers
+
+    two = numbered(spark, [(1, 0, 0, 10, 10), (2, 10, 0, 10.3, 10)])
+    assert [(r["area"], r["members"]) for r in merged_slivers(two, 10.0, 0.2).collect()] == [(103.0, [1, 2])]
+    rows = [(1, 0, 0, 10, 10), (2, 10, 0, 10.5, 10), (3, 10.5, 0, 30, 4), (4, 90, 90, 92, 93), (5, 80, 80, 81, 81)]
+    got = {r["id"]: (r["area"], r["members"]) for r in merged_slivers(numbered(spark, rows)).collect()}
+    assert got == {1: (105.0, [1, 2]), 3: (78.0, [3]), 4: (6.0, [4])}
+    alone = numbered(spark, [(1, 0, 0, 1, 1), (2, 1, 0, 2, 1)])
+    assert sorted(r["id"] for r in merged_slivers(alone).collect()) == [1, 2]
+
+
+def test_overlaps_go_to_the_parcel_of_higher_confidence(spark):
+    rows = [(1, 10.0, 0.0, 20.0, 10.0, 0.95), (2, 18.0, 0.0, 28.0, 10.0, 0.6), (3, 100.0, 0.0, 110.0, 10.0, 0.5), (4, 102.0, 2.0, 104.0, 4.0, 0.9), (5, 103.0, 3.0, 105.0, 5.0, 0.8), (6, 200.0, 0.0, 202.0, 2.0, 0.1), (7, 199.0, 0.0, 205.0, 5.0, 0.2)]
+    p = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double, conf double")
+    got = {r["id"]: r for r in validation.clipped_overlaps(p).collect()}
+    assert [tuple(x) for x in got[2]["pieces"]] == [(20.0, 0.0, 28.0, 10.0)] and got[2]["area"] == 80.0 and got[1]["clips"] == 0
+    assert got[3]["area"] == 100 - 7 and got[5]["area"] == 3 and got[6]["area"] == 4  # wholly covered: stays
+    again = [r for r in got.values() for q in got.values() if r["id"] < q["id"] < 6 for a in r["pieces"] for b in q["pieces"] if min(a["x1"], b["x1"]) > max(a["x0"], b["x0"]) and min(a["y1"], b["y1"]) > max(a["y0"], b["y0"])]
+    assert not again
+
+
+def test_ring_overlay_of_concave_rings():
+    from plotline.functions.overlay import orthogonal, oriented_rectangle, shared, simplified
+
+    ring = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
+    square, ell = ring((0, 0), (4, 0), (4, 4), (0, 4)), ring((0, 0), (6, 0), (6, 2), (2, 2), (2, 6), (0, 6))
+    assert shared(square, ell) == pytest.approx(12.0) and shared(ell, square[::-1]) == pytest.approx(12.0)
+    assert shared(ell, ell) == pytest.approx(20.0) and shared(square, ring((9, 9), (10, 9), (9, 10))) == 0.0
+    rng = random.Random(1)
+    for _ in range(20):  # stars of any shape against counting of a fine grid
+        star = lambda: [(3 + (r := rng.uniform(0.5, 3)) * np.cos(a), 3 + r * np.sin(a)) for a in np.linspace(0, 6, 8)]
+        a, b = star(), star()
+        inside = lambda poly, x, y: sum((p[1] > y) != (q[1] > y) and x < p[0] + (y - p[1]) * (q[0] - p[0]) / (q[1] - p[1]) for p, q in zip(poly, poly[1:] + poly[:1])) % 2
+        cells = [(i / 20 + 0.025, j / 20 + 0.025) for i in range(120) for j in range(120)]
+        assert shared(ring(*a), ring(*b)) == pytest.approx(sum(inside(a, *c) and inside(b, *c) for c in cells) / 400, abs=0.15)
+    quad = ring((0, 0), (10, 0.5), (9.5, 10), (0, 9.8))
+    made = orthogonal(quad)
+    assert len(made) == 4 and oriented_rectangle(made)[0] > 9 and shared(made, quad) > 0.88 * 90
+    assert orthogonal(ell) == ell and orthogonal(ring((0, 0), (0.1, 0), (0, 0.1))) == ring((0, 0), (0.1, 0), (0, 0.1))
+    assert simplified(ring((0, 0), (5, 0.1), (10, 0), (10, 10), (0, 10)), 0.5) == ring((0, 0), (10, 0), (10, 10), (0, 10))
+    assert simplified(ring((0, 0), (1, 0), (1, 1)), 5.0) == ring((0, 0), (1, 0), (1, 1)) and oriented_rectangle(ring((0, 0), (1, 1))) is None
+
+
+def test_large_boxes_meet_small_ones_and_odd_coordinates_meet_nothing(spark):
+    rng = random.Random(2)
+    rows = [(i, x := rng.uniform(-500, 500), y := rng.uniform(-500, 500), x + rng.choice((0.0, 3.0, 40.0, 900.0)), y + rng.choice((0.0, 5.0, 700.0))) for i in range(150)]
+    rows += [(900, -1e7, -1e7, 1e7, 1e7), (901, float("nan"), 0.0, 1.0, 1.0), (902, 0.0, 0.0, float("inf"), 1.0), (903, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((r["a_id"], r["b_id"]) for r in meeting_pairs(df, df, 10.0, F.col("a_id") < F.col("b_id")).collect())
+    sound = [r for r in rows if r[0] <= 900]
+    assert got == sorted((a[0], b[0]) for a in sound for b in sound if a[0] < b[0] and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4])
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, float("inf"), 0.0), (3, float("nan"), 1.0)], "seq long, x double, y double")
+    assert [r["seq"] for r in nearest_box(points, df, "seq", "id", 25.0).collect()] == [1]
+
+
+def test_duplicates_are_dropped_as_in_the_order_of_pairs(spark):
+    """Clusters of near copies with any confidences, against the fold over pairs."""
+    rng = random.Random(6)
+    rows = [(i, 100.0 * (i % 5) + rng.uniform(0, 0.6), 0.0, 100.0 * (i % 5) + 20.0, 10.0, rng.choice((0.3, 0.5, 0.5, 0.9))) for i in range(60)]
+    p = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double, conf double")
+    pairs = sorted((r["a_id"], r["b_id"]) for r in validation.duplicate_pairs(validation.candidate_pairs(p)).collect())
+    conf, dropped = {r[0]: r[5] for r in rows}, set()
+    for a in sorted({a for a, _ in pairs}):
+        if a not in dropped:
+            for b in (b for x, b in pairs if x == a and b not in dropped):
+                dropped.add(b if conf[a] >= conf[b] else a)
+    assert len(pairs) > 100 and {r["id"] for r in validation.heal_duplicates(p).collect()} == set(conf) - dropped
+
+
+def test_written_features_and_reports_are_read_again(spark, tmp_path):
+    from plotline.sources.reports import write_report, write_table
+
+    square = [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]
+    lines = [json.dumps({"type": "Feature", "properties": {"id": i}, "geometry": {"type": "Polygon", "coordinates": square}}) for i in range(3)]
+    (tmp_path / "l.geojson").write_text('{"type": "FeatureCollection", "features": [\n' + ",\n".join(lines) + "\n]}")
+    found = read_features(spark, str(tmp_path / "l.geojson"))
+    assert found.count() == 3
+    write_features(found, str(tmp_path / "out"), "rings", ["pos"])
+    again = read_features(spark, str(tmp_path / "out"))
+    assert sorted(json.loads(r["properties"])["pos"] for r in again.collect()) == [0, 1, 2]
+    assert {tuple((p["x"], p["y"]) for p in r["rings"][0]) for r in again.collect()} == {tuple(map(tuple, square[0]))}
+    df = found.select("pos", "rings", F.lit(None).cast("string").alias("note"), F.lit(float("nan")).alias("score"))
+    write_table(df, str(tmp_path / "csv"))
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == ["pos", "note", "score"]
+    write_report(df.select("pos", "score"), str(tmp_path / "json"))
+    texts = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "json")).collect()]
+    assert sorted(t["pos"] for t in texts) == [0, 1, 2] and all(t["score"] is None for t in texts)
