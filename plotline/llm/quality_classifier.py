@@ -3,7 +3,8 @@
 Overlapping heuristic labellers vote good, bad or abstain on every document. Expectation-maximisation
 over the counts of all vote patterns estimates each labeller's accuracy and the share of good documents,
 without any label given, and so the posterior of every pattern. Posterior labels of a bounded sample
-train a linear scorer on hashed features of the whole text, which then scores every document.
+train a linear scorer on hashed features of the whole text, its words and the shapes between them, which
+then scores every document.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotline.llm._text import arrow_pass, hash_shingles, hash_words
+from plotline.llm._text import arrow_pass, hash_shingles, hash_words, words_of
 from plotline.operators.checkpoints import checkpointed
 
 #: Documents that the scorer is fitted on, at most; chosen by a hash of the row from all documents.
 SAMPLE = 8_000
-BUCKETS = 1 << 12
+#: Buckets of hashed shapes, of hashed words, and two features of their own behind these.
+SHAPE_BUCKETS, WORD_BUCKETS = 1 << 12, 1 << 14
+BUCKETS = SHAPE_BUCKETS + WORD_BUCKETS + 2
 ABSTAIN, BAD, GOOD = 0, 1, 2
 KEEP_AT = 0.5
 EM_ROUNDS = 50
@@ -111,19 +114,18 @@ def votes_of(text: bytes | None) -> str:
 
 
 def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values: shares of hashed four-grams of byte-class runs, and of repeated words."""
+    """Buckets and values: roots of the shares of four-grams of byte-class runs, of words, and of repeated words and pairs."""
     if not text or not text.strip():
         return np.empty(0, np.int32), np.empty(0, np.float32)
     runs = np.pad(class_runs(text), (0, 3)).astype(np.uint32)
     grams = (runs[:-3] << np.uint32(12)) | (runs[1:-2] << np.uint32(8)) | (runs[2:-1] << np.uint32(4)) | runs[3:]
-    ids = (grams * np.uint32(2654435761)) >> np.uint32(20)
-    words = hash_words(text.split())
-    counts = np.bincount(ids, minlength=BUCKETS).astype(np.float64) / len(ids)
+    shapes, many = np.unique((grams * np.uint32(2654435761)) >> np.uint32(20), return_counts=True)
+    words = hash_words(words_of(text))
+    known, often = np.unique(words >> np.uint64(50), return_counts=True)
     pairs = hash_shingles(words, 2)
-    counts[0] += float((words[1:] == words[:-1]).sum()) / len(words)
-    counts[1] += 1 - len(np.unique(pairs)) / len(pairs)
-    buckets = np.flatnonzero(counts)
-    return buckets.astype(np.int32), np.sqrt(counts[buckets]).astype(np.float32)
+    repeated = np.array([(words[1:] == words[:-1]).sum() / len(words), 1 - len(np.unique(pairs)) / len(pairs)])
+    buckets = np.concatenate([shapes.astype(np.int32), known.astype(np.int32) + SHAPE_BUCKETS, [BUCKETS - 2, BUCKETS - 1]])
+    return buckets.astype(np.int32), np.sqrt(np.concatenate([many / len(grams), often / len(words), repeated])).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -144,12 +146,12 @@ class LabelModel:
 def fit_labels(patterns: list[tuple[str, int]], rounds: int = EM_ROUNDS) -> LabelModel:
     """Expectation-maximisation over (votes, documents); at most 3 to the labellers' number of patterns.
 
-    The first posteriors hold a document with two bad votes for bad: each labeller knows one kind of bad
-    text and abstains from others. Add-one counts keep a labeller that never votes harmless.
+    The first posteriors are the votes' shares of good, with one vote more on either side. Add-one counts
+    keep a labeller that never votes harmless.
     """
     votes = np.array([[int(c) for c in v] for v, _ in patterns], np.int64).reshape(-1, len(LABELLERS))
     weight = np.array([n for _, n in patterns], float)
-    good = np.array([0.97, 0.5, 0.05])[np.minimum(2, (votes == BAD).sum(axis=1))]
+    good = (1 + (votes == GOOD).sum(axis=1)) / (2 + (votes != ABSTAIN).sum(axis=1))
     model = LabelModel(0.5, np.full((len(LABELLERS), 2, 3), 1 / 3))
     for _ in range(rounds):
         share = np.stack([weight * (1 - good), weight * good])
