@@ -17,7 +17,7 @@ from plotline.llm.ngram_join import similar_groups
 from plotline.llm.piece_sampling import encode
 from plotline.llm.quality_classifier import kept_documents
 from plotline.llm.secret_scan import redact
-from plotline.operators.checkpoints import ensure_checkpoint_dir
+from plotline.operators.checkpoints import ensure_checkpoint_dir, remove_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each stage's result is written to the shared folder and read again."""
+    """Apply all stages to ``documents``; each stage's result is written to the shared folder and read again.
+
+    A result goes once its successor is written; that of the last stage but one stays, as the returned
+    rows are computed from it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4()}"
     for i, (_, stage) in enumerate(STAGES):
@@ -77,4 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                remove_folder(spark, f"{folder}/{i - 1}")
     return docs
