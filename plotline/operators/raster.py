@@ -155,6 +155,46 @@ def stretch(df: DataFrame, value: str = "v", keys: list[str] = (), low: float =
     return joined.withColumn("stretched", F.when(F.col(value).isNull() | (span < flat) | span.isNull(), 0.0).otherwise(scaled)).drop("cuts", "one")
 
 
+def equalised(df: DataFrame, width: int, height: int, value: str = "v", grid: int = 8, clip: float = 2.0) -> DataFrame:
+    """``value`` (0 to 1) with its contrast equalised in a grid of cells, clipped histograms blended between cells.
+
+    Values are cut to 256 levels. A cell's histogram is clipped at ``clip`` times its mean and the excess
+    dealt over all levels; its running sum maps levels to levels. A pixel takes the maps of the four
+    nearest cells, weighted by distance. A raster that cells don't divide is mirrored at its far edges. The
+    maps are grid * grid rows of 256 levels, whatever the raster's size, and are broadcast.
+    """
+    wide, high = -(-width // grid), -(-height // grid)
+    area = wide * high
+    limit = max(1, int(clip * area / 256))
+    level = F.floor(F.col(value) * 255).cast("int")
+    mirrored = lambda c, n, whole: F.explode(F.when((2 * n - 2 - F.col(c)).between(n, whole - 1), F.array(F.col(c), 2 * n - 2 - F.col(c))).otherwise(F.array(c)))
+    spread = df.where(F.col(value).isNotNull()).select(level.alias("u"), mirrored("row", height, high * grid).alias("row"), "col").select("u", "row", mirrored("col", width, wide * grid).alias("col"))
+    counts = spread.groupBy(F.floor(F.col("row") / high).cast("int").alias("ty"), F.floor(F.col("col") / wide).cast("int").alias("tx"), "u").agg(F.count("*").alias("n"))
+    cells = counts.groupBy("ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("u", "n"))).alias("h"), F.sum(F.greatest(F.col("n") - limit, F.lit(0))).alias("over"))
+    bins = cells.select("ty", "tx", "over", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("u"), "h")
+    left = F.col("over") % 256
+    step = F.greatest(F.floor(256 / left), F.lit(1))
+    extra = F.when((left > 0) & (F.col("u") % step == 0) & (F.floor(F.col("u") / step) < left), 1).otherwise(0)
+    dealt = bins.withColumn("n", F.least(F.coalesce(F.try_element_at("h", F.col("u")), F.lit(0)), F.lit(limit)) + F.floor(F.col("over") / 256) + extra)
+    upto = F.sum("n").over(Window.partitionBy("ty", "tx").orderBy("u"))
+    maps = dealt.withColumn("to", F.least(F.rint(upto * (255.0 / area)), F.lit(255.0))).groupBy("ty", "tx").agg(F.transform(F.sort_array(F.collect_list(F.struct("u", "to"))), lambda x: x["to"]).alias("map"))
+    y, x = F.col("row") / float(high) - 0.5, F.col("col") / float(wide) - 0.5
+    clamp = lambda k: F.least(F.greatest(k, F.lit(0)), F.lit(grid - 1)).cast("int")
+    placed = df.withColumns({"u_": level, "ya_": y - F.floor(y), "xa_": x - F.floor(x), "y1_": clamp(F.floor(y)), "y2_": clamp(F.floor(y) + 1), "x1_": clamp(F.floor(x)), "x2_": clamp(F.floor(x) + 1)})
+    for ty in ("y1_", "y2_"):
+        for tx in ("x1_", "x2_"):
+            tap = maps.select(F.col("ty").alias(ty), F.col("tx").alias(tx), F.col("map").alias("map_"))
+            placed = placed.join(F.broadcast(tap), [ty, tx], "left").withColumn(f"{ty}{tx}", F.get("map_", F.col("u_"))).drop("map_")
+    blend = lambda ty: F.col(f"{ty}x1_") * (1 - F.col("xa_")) + F.col(f"{ty}x2_") * F.col("xa_")
+    made = F.rint(blend("y1_") * (1 - F.col("ya_")) + blend("y2_") * F.col("ya_")) / 255.0
+    return placed.select(*[made.alias(value) if c == value else F.col(c) for c in df.columns])
+
+
+def padded(channels: Column, n: int) -> Column:
+    """An array of channels with zeros for those that are missing of n."""
+    return F.concat(channels, F.array_repeat(F.lit(0.0), F.greatest(F.lit(n) - F.size(channels), F.lit(0))))
+
+
 def excess_green(df: DataFrame) -> DataFrame:
     """2 g - r - b of columns ``r, g, b``, stretched to 0 to 1."""
     return stretch(df.withColumn("exg_", 2.0 * F.col("g") - F.col("r") - F.col("b")), "exg_").withColumnRenamed("stretched", "exg").drop("exg_")

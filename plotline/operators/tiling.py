@@ -87,3 +87,12 @@ def chips(pixels: DataFrame, width: int, height: int, chip: int, stride: int, em
 def spatial_split(rel_x: Column, rel_y: Column) -> Column:
     """West is for training; the rest is for validation above and for testing below."""
     return F.when(rel_x < 0.7, "train").when(rel_y < 0.5, "val").otherwise("test")
+
+
+def split_counts(found: DataFrame) -> DataFrame:
+    """Chips per part of the split, ``split, chips``; an empty ``val`` takes the last of several training chips."""
+    counts = found.groupBy("split").agg(F.count("*").alias("chips"))
+    wide = counts.agg(*[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("chips"))), F.lit(0)).alias(s) for s in ("train", "val", "test")])
+    moved = ((F.col("val") == 0) & (F.col("train") > 1)).cast("long")
+    parts = F.array(*[F.struct(F.lit(s).alias("split"), c.alias("chips")) for s, c in (("train", F.col("train") - moved), ("val", F.col("val") + moved), ("test", F.col("test")))])
+    return wide.select(F.inline(parts))

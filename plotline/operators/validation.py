@@ -211,3 +211,11 @@ def worklist(parcels: DataFrame, threshold: float = 0.65) -> DataFrame:
     return listed.drop("one", "some", "doubt").withColumns(
         {"surveyor_name": F.lit(""), "field_verdict": F.lit("pending"), "boundary_notes": F.lit(""), "inspection_date": F.lit("")}
     )
+
+
+def or_existing(found: DataFrame, existing: DataFrame) -> DataFrame:
+    """The parcels found, or where there are none the existing ones, as such: confidence 0.85, status auto."""
+    some = found.agg((F.count("*") == 0).alias("none")).withColumn("one", F.lit(1))
+    spare = existing.withColumn("conf", F.lit(0.85)).withColumn("one", F.lit(1)).join(F.broadcast(some), "one").where("none").drop("one", "none")
+    mark = lambda df, source: df.withColumn("source", F.lit(source)).withColumn("status", F.lit("auto"))
+    return mark(found, "ai").unionByName(mark(spare.select(*found.columns), "existing"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plotline.operators import evaluation, raster, tiling, zonal
+from plotline.operators import evaluation, network, raster, tiling, zonal
 from plotline.operators.components import connected_components
 from plotline.plans.relations import PARCELS, PIXELS, parcels, pixels
 
@@ -337,3 +337,46 @@ def lr_schedule(spark, sf_dir):
 def best_checkpoint(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("epoch"), (F.col("doc_id") % 37 / 37.0).alias("f1"))
     return evaluation.best_epoch(labels)
+
+
+LUT = f"""{PIXELS}, px AS (SELECT row, col, least(greatest(0.5::DOUBLE + 2 * v, 0), 1) AS v FROM pixels), e AS (SELECT max(row) + 1 AS h, ceil((max(row) + 1) / 8)::BIGINT AS th, 8::BIGINT AS tw FROM px),
+m AS (SELECT floor(v * 255)::INTEGER AS u, row, col FROM px UNION ALL SELECT floor(v * 255)::INTEGER, 2 * h - 2 - row, col FROM px, e WHERE 2 * h - 2 - row BETWEEN h AND 8 * th - 1),
+hist AS (SELECT row // th AS ty, col // tw AS tx, u, count(*) AS n FROM m, e GROUP BY ALL), lim AS (SELECT greatest(1, floor(2 * th * tw / 256)) AS k, th * tw AS area FROM e),
+o AS (SELECT ty, tx, sum(greatest(n - k, 0))::BIGINT AS over FROM hist, lim GROUP BY ty, tx), b AS (SELECT o.*, g.u FROM o, (SELECT unnest(generate_series(0, 255)) AS u) g),
+d AS (SELECT b.ty, b.tx, b.u, least(coalesce(n, 0), k) + over // 256 + CASE WHEN over % 256 > 0 AND b.u % greatest(256 // (over % 256), 1) = 0 AND b.u // greatest(256 // (over % 256), 1) < over % 256 THEN 1 ELSE 0 END AS n
+  FROM b LEFT JOIN hist USING (ty, tx, u), lim), lut AS (SELECT ty, tx, u, least(round_even(sum(n) OVER (PARTITION BY ty, tx ORDER BY u) * (255::DOUBLE / area), 0), 255) AS v FROM d, lim)"""
+
+
+@query("local_contrast", f"""WITH {LUT}, q AS (SELECT row, col, floor(v * 255)::INTEGER AS u, row / th - 0.5::DOUBLE AS y, col / tw - 0.5::DOUBLE AS x FROM px, e),
+t AS (SELECT q.row, q.col, l.v * (CASE WHEN i = 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) * (CASE WHEN j = 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) AS part
+  FROM (SELECT * FROM q, (SELECT unnest([0, 0, 1, 1]) AS i, unnest([0, 1, 0, 1]) AS j) o) q JOIN lut l ON l.u = q.u AND l.ty = least(greatest(floor(y) + i, 0), 7) AND l.tx = least(greatest(floor(x) + j, 0), 7))
+SELECT row, col, round(round_even(round(sum(part), 9), 0) / 255, 6) AS v FROM t GROUP BY row, col""")
+def local_contrast(spark, sf_dir):
+    """Contrast equalised in an 8 by 8 grid of cells."""
+    p = pixels(spark, sf_dir).withColumn("v", F.least(F.greatest(0.5 + 2 * F.col("v"), F.lit(0.0)), F.lit(1.0)))
+    height = p.agg(F.max("row")).first()[0] + 1
+    return raster.equalised(p, WIDTH, height).select("row", "col", r6("v"))
+
+
+@query("chip_counts", f"""WITH {PIXELS}, h AS (SELECT max(row) + 1 AS h FROM pixels), c AS (SELECT a.o AS col_off, b.o AS row_off, h FROM (SELECT unnest(generate_series(0, 48, 8)) AS o) a, h, (SELECT unnest(generate_series(0, 200000, 8)) AS o) b WHERE b.o <= h - 16),
+s AS (SELECT col_off, row_off, any_value(h) AS h, avg((v < 0.02::DOUBLE)::INT) AS share FROM c JOIN pixels ON row BETWEEN row_off AND row_off + 15 AND col BETWEEN col_off AND col_off + 15 GROUP BY col_off, row_off),
+k AS (SELECT CASE WHEN (col_off + 8) / 64 < 0.7::DOUBLE THEN 'train' WHEN (row_off + 8) / h < 0.5::DOUBLE THEN 'val' ELSE 'test' END AS split FROM s WHERE share <= 0.6::DOUBLE)
+SELECT split, (SELECT count(*) FROM k WHERE k.split = n.split) AS chips FROM (SELECT unnest(['train', 'val', 'test']) AS split) n""")
+def chip_counts(spark, sf_dir):
+    p = pixels(spark, sf_dir)
+    height = p.agg(F.max("row")).first()[0] + 1
+    return tiling.split_counts(tiling.chips(p, WIDTH, height, 16, 8, F.col("v") < 0.02, 0.6))
+
+
+@query("class_pixel_counts", f"WITH {PIXELS} SELECT CAST(count(*) FILTER (v > 0.05::DOUBLE) AS BIGINT) AS building, CAST(count(*) FILTER (v < -0.05::DOUBLE) AS BIGINT) AS road, CAST(count(*) FILTER (col % 5 = 0 AND v > 0) AS BIGINT) AS boundary, count(*) AS pixels FROM pixels")
+def class_pixel_counts(spark, sf_dir):
+    """Set pixels per mask and all pixels."""
+    v = F.col("v")
+    masks = {"building": v > 0.05, "road": v < -0.05, "boundary": (F.col("col") % 5 == 0) & (v > 0)}
+    return pixels(spark, sf_dir).agg(*[F.count(F.when(m, 1)).alias(n) for n, m in masks.items()], F.count("*").alias("pixels"))
+
+
+@query("road_widths", f"WITH {PIXELS} SELECT row % 40 AS line, round(greatest(avg(2 * (abs(v) * 10) * 0.5::DOUBLE), 1.5::DOUBLE), 6) AS width FROM pixels GROUP BY 1")
+def road_widths(spark, sf_dir):
+    p = pixels(spark, sf_dir).select((F.col("row") % 40).alias("line"), (F.abs("v") * 10).alias("distance"))
+    return network.road_widths(p, 0.5).select("line", r6("width"))
