@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_intdigest
 
-from plotline.llm._text import arrow_pass
+from plotline.llm._text import arrow_pass, mix64
 from plotline.operators.checkpoints import checkpointed
 
 MIN_WORDS = 20
@@ -41,7 +41,8 @@ REACH = 4
 _BREAK = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _LAST = (1 << 63) - 1
 _WORD = re.compile(r"\S+")
-UNITS_SCHEMA = "key long, rank long, doc_id long, packed binary, again array<int>, block array<int>, high array<long>, low array<long>"
+PACKED_SCHEMA = "key long, rank long, doc_id long, packed binary"
+UNITS_SCHEMA = "high long, low long, rank long, key long, block int"
 
 
 def units_of(text: str) -> list[tuple[int, int]]:
@@ -141,39 +142,36 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(text[i:j] for i, j in zip(bounds[::2], bounds[1::2], strict=True))
 
 
-def _lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
-    """Values by row as lists; ``rows`` ascend."""
-    offsets = np.zeros(n + 1, np.int32)
-    np.cumsum(np.bincount(rows, minlength=n), out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+def _packed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Texts compressed, as they are written and travel."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    packed = [None if t is None else pack(t.encode()) for t in batch.column(3).to_pylist()]
+    return pa.record_batch([*batch.columns[:3], pa.array(packed, pa.binary())], names=["key", "rank", "doc_id", "packed"])
 
 
-def _unit_arrays(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Each row's key, rank and id, its text compressed as it is written and travels, and its blocks' digests.
+def _unit_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Digests of the blocks of the rows ``key, rank, packed``, one row per block.
 
-    Of the occurrences of a digest in the batch only the earliest can be the earliest of all, so it alone
-    travels (``block, high, low``); the blocks of the others are repeats already (``again``).
+    Of the occurrences of a digest in the batch only the earliest can be the earliest of all. The others
+    are repeats already: their numbers are sent as -1 - block, under a digest of their own, so that a digest
+    which most documents have costs one row for each batch where the digests meet.
     """
-    pack = zstandard.ZstdCompressor(level=3).compress
-    packed, halves, counts = [], [], []
-    for text in batch.column(3).to_pylist():
-        packed.append(None if text is None else pack(text.encode()))
-        _, words, blocks, _ = blocks_of(text) if text else ([], [], [], [])
+    unpack = zstandard.ZstdDecompressor().decompress
+    halves, counts = [], []
+    for packed in batch.column(2).to_pylist():
+        _, words, blocks, _ = blocks_of(unpack(packed).decode()) if packed is not None else ([], [], [], [])
         halves += [digest(words[i] if i == j else [w for unit in words[i : j + 1] for w in unit]) for i, j in blocks]
         counts.append(len(blocks))
-    n = batch.num_rows
-    high, low = (np.fromiter((h[k] for h in halves), np.uint64, len(halves)).view(np.int64) for k in (0, 1))
-    rows = np.repeat(np.arange(n), counts)
-    number = (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
-    keys, ranks = (batch.column(k).to_numpy()[rows] for k in (0, 1))
+    high, low = (np.fromiter((h[k] for h in halves), np.uint64, len(halves)) for k in (0, 1))
+    number = (np.arange(len(high)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    keys, ranks = (np.repeat(batch.column(k).to_numpy(), counts) for k in (0, 1))
     order = np.lexsort((number, keys, ranks, low, high))
-    first = np.zeros(len(rows), bool)
-    first[order] = np.concatenate([[True], (np.diff(high[order]) != 0) | (np.diff(low[order]) != 0)])[: len(rows)]
-    columns = [
-        *batch.columns[:3], pa.array(packed, pa.binary()), _lists(number[~first], rows[~first], n, pa.int32()), _lists(number[first], rows[first], n, pa.int32()),
-        _lists(high[first], rows[first], n, pa.int64()), _lists(low[first], rows[first], n, pa.int64()),
-    ]
-    return pa.record_batch(columns, names=["key", "rank", "doc_id", "packed", "again", "block", "high", "low"])
+    again = np.zeros(len(high), bool)
+    again[order[1:]] = (high[order[1:]] == high[order[:-1]]) & (low[order[1:]] == low[order[:-1]])
+    high[again] = mix64(keys[again].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number[again].astype(np.uint64))
+    low[again] = mix64(high[again])
+    columns = [pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(ranks), pa.array(keys), pa.array(np.where(again, -1 - number, number).astype(np.int32))]
+    return pa.record_batch(columns, names=["high", "low", "rank", "key", "block"])
 
 
 def drop_repeats(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
@@ -182,20 +180,20 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN
     The earliest occurrence by (id, row, offset) stays whole, also within a document. Null ids rank last.
     Every row is a document of its own, also where ids are null or repeated: of rows that have an id and a
     text in common one keeps its text. A null text stays null, an empty one empty, with no spans. An empty
-    table gives an empty result. Other columns are ignored. Rows are numbered, their units hashed and both
-    written to the checkpoint folder with the compressed texts, so that a number stays with its row. Units
-    travel once, sorted by digest and place, and at most one of each digest and batch of rows does, so
-    that a digest which most documents have costs a row for each batch.
+    table gives an empty result. Other columns are ignored. Rows are numbered and written to the checkpoint
+    folder with their compressed texts, so that a number stays with its row; digests travel once, sorted by
+    digest and place.
     """
     picked = df.select(
         F.monotonically_increasing_id().alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("rank"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
     )
-    hashed = checkpointed(arrow_pass(picked, _unit_arrays, UNITS_SCHEMA))
-    units = hashed.select("rank", "key", F.inline(F.arrays_zip("block", "high", "low")))
+    texts = checkpointed(arrow_pass(picked, _packed, PACKED_SCHEMA))
+    units = arrow_pass(texts.select("key", "rank", "packed"), _unit_rows, UNITS_SCHEMA)
     order = Window.partitionBy("high", "low").orderBy("rank", "key", "block")
-    later = units.withColumn("n", F.row_number().over(order)).where("n > 1")
-    repeats = later.groupBy("key").agg(F.collect_list("block").alias("repeats"))
+    later = units.withColumn("n", F.row_number().over(order)).where("n > 1 or block < 0")
+    block = F.when(F.col("block") < 0, -1 - F.col("block")).otherwise(F.col("block"))
+    repeats = later.select("key", block.alias("block")).groupBy("key").agg(F.collect_list("block").alias("repeats"))
 
     def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -208,8 +206,7 @@ def drop_repeats(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         return pa.record_batch([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.list_(span))], names=["doc_id", "text", "removed"])
 
-    joined = hashed.select("key", "doc_id", "packed", "again").join(repeats, "key", "left")
-    joined = joined.select("doc_id", "packed", F.concat("again", F.coalesce("repeats", F.array().cast("array<int>"))).alias("repeats"))
+    joined = texts.select("key", "doc_id", "packed").join(repeats, "key", "left").select("doc_id", "packed", "repeats")
     return arrow_pass(joined, clean, "doc_id long, text string, removed array<struct<start:int,end:int>>")
 
 
