@@ -21,8 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 512
-VECTOR_BLOCK = 16_384
+from plotline.operators.checkpoints import checkpointed
+
+#: Bytes of the weights in a block of queries or of vectors.
+BLOCK_BYTES = 8 << 20
 PAIRS_SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -87,7 +89,7 @@ def score_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.Data
 
 def top_k(
     df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 10, scale: int = 1024,
-    query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK,
+    query_block: int | None = None, vector_block: int | None = None,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows with the highest integer inner product.
 
@@ -98,12 +100,15 @@ def top_k(
     the same vector count once; rows that repeat it with other vectors are separate candidates,
     and as queries the largest score of each candidate counts. Fewer than k candidates give fewer
     rows; an empty table gives none. Inner products must fit 64 bits. Other columns are ignored.
+    Weights are written once; blocks hold as many rows as ``BLOCK_BYTES`` allows for the longest vector,
+    unless they are given, so that vectors are copied once for every block of queries.
     """
-    vectors = quantised(df, id_col, vector_col, scale).distinct()
+    vectors = checkpointed(quantised(df, id_col, vector_col, scale).distinct())
     queries = vectors.where(is_query)
-    sizes = vectors.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    vector_blocks = max(1, math.ceil(sizes["n"] / vector_block))
-    query_blocks = max(1, math.ceil(sizes["q"] / query_block))
+    sizes = vectors.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.coalesce(F.max(F.size("weights")), F.lit(0)).alias("d")).first()
+    rows = max(1, BLOCK_BYTES // (8 * max(1, sizes["d"])))
+    vector_blocks = max(1, math.ceil(sizes["n"] / (vector_block or rows)))
+    query_blocks = max(1, math.ceil(sizes["q"] / (query_block or rows)))
     deal = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = queries.withColumn("qb", deal(query_blocks)).withColumn("vb", spread(vector_blocks))
