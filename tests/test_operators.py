@@ -347,3 +347,15 @@ def test_written_features_and_reports_are_read_again(spark, tmp_path):
     write_report(df.select("pos", "score"), str(tmp_path / "json"))
     texts = [json.loads(r[0]) for r in spark.read.text(str(tmp_path / "json")).collect()]
     assert sorted(t["pos"] for t in texts) == [0, 1, 2] and all(t["score"] is None for t in texts)
+
+
+def test_split_counts_padding_and_fallback(spark):
+    chips = lambda *parts: spark.createDataFrame([(p,) for p in parts], "split string")
+    counted = lambda df: {r["split"]: r["chips"] for r in tiling.split_counts(df).collect()}
+    assert counted(chips("train", "train", "test")) == {"train": 1, "val": 1, "test": 1} and counted(chips("train")) == {"train": 1, "val": 0, "test": 0}
+    assert counted(chips("train", "val").where("false")) == {"train": 0, "val": 0, "test": 0}
+    row = spark.range(1).select(raster.padded(F.array(F.lit(1.0)), 4).alias("a"), raster.padded(F.array(F.lit(1.0), F.lit(2.0)), 1).alias("b")).first()
+    assert row["a"] == [1.0, 0.0, 0.0, 0.0] and row["b"] == [1.0, 2.0]
+    some, existing = numbered(spark, [(1, 0, 0, 1, 1)]), numbered(spark, [(7, 0, 0, 1, 1), (8, 0, 0, 1, 1)])
+    assert [(r["id"], r["source"], r["conf"]) for r in validation.or_existing(some, existing).collect()] == [(1, "ai", 0.5)]
+    assert sorted((r["id"], r["source"], r["conf"], r["status"]) for r in validation.or_existing(some.where("false"), existing).collect()) == [(7, "existing", 0.85, "auto"), (8, "existing", 0.85, "auto")]
