@@ -200,10 +200,21 @@ def excess_green(df: DataFrame) -> DataFrame:
     return stretch(df.withColumn("exg_", 2.0 * F.col("g") - F.col("r") - F.col("b")), "exg_").withColumnRenamed("stretched", "exg").drop("exg_")
 
 
-def overview(df: DataFrame, level: int, value: str = "v", keys: list[str] = ()) -> DataFrame:
-    """The raster at 1 / 2 ** level of its resolution, by means; partial blocks at the edges average what they have."""
-    step = 1 << level
-    return df.groupBy(*keys, F.floor(F.col("row") / step).cast("int").alias("row"), F.floor(F.col("col") / step).cast("int").alias("col")).agg(F.avg(value).alias(value))
+def overviews(df: DataFrame, levels: int, value: str = "v", keys: list[str] = ()) -> DataFrame:
+    """``level, row, col`` and ``value``: the raster at 1 / 2 ** level of its resolution, by means, for levels from 1 on.
+
+    Partial blocks at the edges average what they have, and no data counts nowhere. A level is made from the
+    sums and counts of the one before, which are written, so the raster is read once.
+    """
+    known = F.col(value).isNotNull()
+    current = df.select(*keys, "row", "col", F.col(value).cast("double").alias("s"), known.cast("long").alias("n"))
+    half = lambda c: F.floor(F.col(c) / 2).cast("int").alias(c)
+    found = None
+    for level in range(1, levels + 1):
+        current = checkpointed(current.groupBy(*keys, half("row"), half("col")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+        part = current.select(F.lit(level).alias("level"), *keys, "row", "col", F.try_divide("s", "n").alias(value))
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def _lower_envelope(at: np.ndarray, heights: np.ndarray, ask: np.ndarray) -> np.ndarray:

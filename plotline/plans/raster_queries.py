@@ -101,12 +101,7 @@ def feature_stack(spark, sf_dir):
 
 @query("overview_pyramid", f"WITH {PIXELS} " + " UNION ALL ".join(f"SELECT {k} AS level, (row // {1 << k})::INTEGER AS row, (col // {1 << k})::INTEGER AS col, round(avg(v), 6) + 0 AS v FROM pixels GROUP BY 2, 3" for k in (1, 2, 3, 4)))
 def overview_pyramid(spark, sf_dir):
-    p = pixels(spark, sf_dir)
-    found = None
-    for level in (1, 2, 3, 4):
-        part = raster.overview(p, level).select(F.lit(level).alias("level"), "row", "col", r6("v"))
-        found = part if found is None else found.unionByName(part)
-    return found
+    return raster.overviews(pixels(spark, sf_dir), 4).select("level", "row", "col", r6("v"))
 
 
 OFFSETS = "o(off) AS (SELECT unnest([0, 48, 96, 144, 176]))"
