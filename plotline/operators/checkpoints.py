@@ -8,6 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
@@ -29,9 +32,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder now and read it from there afterwards."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder now and read it from there afterwards.
+
+    Once it is written the shuffle files behind it are of no more use; Spark is told to remove them then,
+    instead of whenever the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        # Another frame, as the setting holds for those made under it.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
