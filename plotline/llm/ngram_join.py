@@ -53,8 +53,9 @@ MAX_BLOCKS = 40
 LEAST_SHARED = 2
 #: A group of more members is large.
 LARGE_GROUP = 16
-#: Pairs of one document whose texts are compared in one task.
+#: Pairs of one document whose texts are compared in one task, and ids that are broadcast to pick rows, at most.
 SHARE = 256
+BROADCAST_IDS = 1 << 19
 #: ``blocks`` holds the keys of the set's sketches one after the other, ``cuts`` how many each has and ``spare`` how many it may do without, -1 where the sketch is cut.
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, blocks array<long>, cuts array<int>, spare array<int>, bits binary"
 #: Bits of the sketch that bounds a pair's difference, and members of a group that are compared at once.
@@ -177,8 +178,15 @@ def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if there are few, so that what they pick from needs no shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``src, dst`` that are linked; those of one ``src`` are dealt over several tasks."""
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct()
+    texts = texts.join(_few(ids), "doc_id", "left_semi")
     srcs = pairs.groupBy("src").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"))
     left = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("left")).join(srcs, "src")
     left = left.select("src", "left", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -301,25 +309,26 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int =
     bounds = leaders.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("spare").alias("sketch", "spare"))
     own = Window.partitionBy("doc_id", "sketch")
     placed = checkpointed(
-        keyed.join(shared, "key").withColumn("large", F.count(F.when(F.col("members") > large_group, 1)).over(own))
-        .join(bounds, ["doc_id", "sketch"]).select("key", "doc_id", "sketch", "n", "members", "large", "spare")
+        keyed.join(shared.select("key", (F.col("members") > large_group).alias("large")), "key").withColumn("met", F.count(F.when(F.col("large"), 1)).over(own))
+        .join(bounds, ["doc_id", "sketch"]).select(
+            "key", "doc_id", "sketch", "n", "large", ((F.col("spare") < 0) & (F.col("met") > 0)).alias("crowded"), ((F.col("spare") >= 0) & (F.col("met") > F.col("spare"))).alias("remains")
+        )
     )
-    wanted = placed.select("doc_id").distinct()
+    wanted = _few(placed.select("doc_id").distinct())
     needed = checkpointed(arrow_pass(texts, _packed, "doc_id long, text binary").join(wanted, "doc_id", "left_semi"))
     bits = checkpointed(leaders.join(wanted, "doc_id", "left_semi").select("doc_id", "bits"))
 
     # Sets of cut sketches that meet a large group are sketched again, with all blocks.
-    crowded = placed.where("spare < 0 and large > 0").select("doc_id", "n", "sketch").distinct()
-    again = needed.join(crowded.groupBy("doc_id").agg(F.sort_array(F.collect_set("sketch")).alias("wanted")), "doc_id").select("doc_id", "text", "wanted")
+    crowded = placed.where("crowded").select("doc_id", "n", "sketch").distinct()
+    again = needed.join(_few(crowded.groupBy("doc_id").agg(F.sort_array(F.collect_set("sketch")).alias("wanted"))), "doc_id").select("doc_id", "text", "wanted")
     full = checkpointed(arrow_pass(again, _full_sketches, FULL_SCHEMA))
     full_keyed = full.select("doc_id", "sketch", F.explode("blocks").alias("key"))
     full_shared = checkpointed(full_keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     small = full_keyed.join(full_shared.where(F.col("members") <= large_group), "key")
     large = full_keyed.join(full_shared.where(F.col("members") > large_group), "key").groupBy("doc_id", "sketch").agg(F.count("*").alias("full_large"))
     stays = full.select("doc_id", "sketch", "spare").join(large, ["doc_id", "sketch"]).where("full_large > spare").select("doc_id", "sketch", F.lit(True).alias("stays"))
-    remain = F.when(F.col("spare") < 0, F.coalesce("stays", F.lit(False))).otherwise(F.col("large") > F.col("spare"))
     kept = checkpointed(
-        placed.join(stays, ["doc_id", "sketch"], "left").where((F.col("members") <= large_group) | remain).select("key", "doc_id", "n")
+        placed.join(stays, ["doc_id", "sketch"], "left").where(~F.col("large") | F.col("remains") | F.coalesce("stays", F.lit(False))).select("key", "doc_id", "n")
         .unionByName(small.join(crowded, ["doc_id", "sketch"]).select("key", "doc_id", "n"))
     )
     # The sizes of linked sets alone bound their similarity: the smaller has 0.8 of the larger or more.
@@ -336,14 +345,13 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int =
     for nearest in (True, False):
         # What a group still holds of different components.
         members = checkpointed(
-            kept.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").join(bits, "doc_id")
-            .select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"), "bits")
+            kept.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
         )
         open_keys = checkpointed(
             members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
             .where("low <> high").select("key", "members")
         )
-        rest = checkpointed(_compared(members.join(open_keys, "key"), nearest).join(done, ["src", "dst"], "left_anti"))
+        rest = checkpointed(_compared(members.join(open_keys, "key").join(bits, "doc_id"), nearest).join(done, ["src", "dst"], "left_anti"))
         found = checkpointed(_verified(rest, needed))
         done = done.unionByName(rest)
         parts = connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found))
