@@ -8,6 +8,7 @@ import os
 import tiktoken
 from pyspark import SparkContext
 from pyspark.core.broadcast import Broadcast
+from tokenizers import Tokenizer
 
 TOKENIZERS = "/opt/tokenizers"
 #: A vocabulary is broadcast; larger files than this are refused.
@@ -33,3 +34,14 @@ def tiktoken_encoding(file: Broadcast) -> tiktoken.Encoding:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.value.splitlines())}
         _built[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _built[key]
+
+
+def json_tokenizer(file: Broadcast) -> Tokenizer:
+    """The tokenizer of a broadcast ``.json`` file, without truncation or padding; offsets are untrimmed."""
+    key = ("json", hash(file.value))
+    if key not in _built:
+        tokenizer = Tokenizer.from_buffer(file.value)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        _built[key] = tokenizer
+    return _built[key]
