@@ -29,9 +29,9 @@ from plotline.llm._vocabulary import TOKENIZERS, broadcast_file, json_tokenizer
 from plotline.operators.checkpoints import checkpointed
 
 #: Characters of a chunk and of the overlap of two chunks, before they are widened by ``WIDER``.
-CHUNK, OVERLAP, WIDER = 1 << 15, 1 << 10, 8
+CHUNK, OVERLAP, WIDER = 1 << 16, 1 << 10, 8
 #: Characters encoded by one call of the library.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 17
 #: Characters after a word's end that its match can depend on: three of a contraction, one after a run.
 LOOKAHEAD = 4
 CHUNK_SCHEMA = "key string, k long, text string, first boolean, last boolean"
@@ -62,12 +62,28 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def word_starts(encoding: Encoding) -> tuple[np.ndarray, np.ndarray]:
-    """Character at which each word starts, and the number of tokens before it."""
-    words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
-    tokens = np.flatnonzero(np.r_[True, words[1:] != words[:-1]]) if len(words) else np.empty(0, np.int64)
-    offsets = encoding.offsets
-    return np.array([offsets[t][0] for t in tokens], np.int64), tokens
+def word_starts(encoding: Encoding, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Characters from ``low`` to ``high`` at which a word starts, and the number of tokens before each.
+
+    Only the tokens of that part are looked at, from the nearer end of the text.
+    """
+    n, found = len(encoding), []
+    if low <= 0:
+        for t in range(n):
+            start = encoding.token_to_chars(t)[0]
+            if start > high:
+                break
+            if t == 0 or encoding.token_to_word(t) != encoding.token_to_word(t - 1):
+                found.append((start, t))
+    else:
+        for t in range(n - 1, -1, -1):
+            start = encoding.token_to_chars(t)[0]
+            if start < low:
+                break
+            if start <= high and (t == 0 or encoding.token_to_word(t) != encoding.token_to_word(t - 1)):
+                found.append((start, t))
+    places = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return places[:, 0], places[:, 1]
 
 
 def chunk_bounds(length: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
@@ -102,11 +118,10 @@ def _encoded(chunks: DataFrame, file: Broadcast, chunk: int, overlap: int) -> Da
         for part in _slices(texts):
             for text, encoding in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
                 start = batch["k"][at].as_py() * (chunk - overlap)
-                places, tokens = word_starts(encoding)
-                # Places are starts of words, so that the word before one of them ends there.
-                head = places <= overlap
-                tail = (places >= len(text) - overlap) & (places <= len(text) - margin)
-                for c, v in zip(found, (len(encoding), places[head] + start, tokens[head], places[tail] + start, tokens[tail])):
+                # A start of a word is where the word before it ends.
+                head, before_head = word_starts(encoding, 0, overlap)
+                tail, before_tail = word_starts(encoding, max(1, len(text) - overlap), len(text) - margin)
+                for c, v in zip(found, (len(encoding), head + start, before_head, tail + start, before_tail)):
                     found[c].append(v)
                 at += 1
         lists = [list_of(found[c], pa.int64()) for c in ("head", "head_tokens", "tail", "tail_tokens")]
