@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.operators.checkpoints import checkpointed
+from plotline.operators.checkpoints import written
 from plotline.operators.ranking import ranked
 
 #: Decimal places to which vertices are rounded: two closer ones are one.
@@ -84,7 +84,7 @@ def split_within(segments: DataFrame) -> DataFrame:
     A crossing is rounded once and is the same vertex on both segments; the end of a segment that lies on
     another one, within the rounding, cuts it at exactly that vertex, which also settles overlaps in one line.
     """
-    numbered = checkpointed(segments.withColumn("seg", F.monotonically_increasing_id()))
+    numbered = written(segments.withColumn("seg", F.monotonically_increasing_id()))
     grid = _cells(numbered)
     placed = _extent(numbered).join(grid, "shape")
     span = lambda a, b, low, step: F.explode(F.sequence(_cell(F.col(a), low, step), _cell(F.col(b), low, step)))
@@ -141,7 +141,7 @@ def sided_pieces(pieces: DataFrame, sides: int) -> DataFrame:
     turned = pieces.select("shape", "side", way("ax", "bx").alias("ax"), way("ay", "by").alias("ay"), way("bx", "ax").alias("bx"), way("by", "ay").alias("by"), F.when(forth, 1).otherwise(-1).alias("n"))
     net = [F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(f"net_{k}") for k in range(sides)]
     merged = turned.groupBy("shape", *ENDS).agg(*net)
-    known = checkpointed(merged.where(" or ".join(f"net_{k} <> 0" for k in range(sides))).withColumn("piece", F.monotonically_increasing_id()))
+    known = written(merged.where(" or ".join(f"net_{k} <> 0" for k in range(sides))).withColumn("piece", F.monotonically_increasing_id()))
     strip = _cells(known).select("shape", "cx", "gx")
     wide = known.where("ax < bx").join(strip, "shape").withColumn("strip", F.explode(F.sequence(_cell(F.col("ax"), "cx", "gx"), _cell(F.col("bx"), "cx", "gx"))))
     above = wide.select("shape", "strip", *[F.col(c).alias(f"o_{c}") for c in ENDS], *[F.col(f"net_{k}").alias(f"o_net_{k}") for k in range(sides)])
@@ -170,22 +170,27 @@ def _followers(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).withColumn("next", F.coalesce(before, F.last("out", True).over(whole))).where("link is not null").select("link", "next")
 
 
+def _parted(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """``links``, so that no ring passes a vertex twice: there each edge that comes in goes on where the next one does."""
+    placed = edges.join(ranked(links).select("link", F.col("chain").alias("ring")), "link")
+    ends = placed.join(links, "link").withColumn("passes", F.count("*").over(Window.partitionBy("ring", "bx", "by")))
+    again = ends.where("passes > 1").select("link", "ring", "bx", "by", "next", F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx")).alias("turn"))
+    around = Window.partitionBy("ring", "bx", "by").orderBy("turn")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    moved = again.select("link", F.coalesce(F.lead("next").over(around), F.first("next").over(whole)).alias("other"))
+    return written(links.join(moved, "link", "left").select("link", F.coalesce("other", "next").alias("next")))
+
+
 def stitched(edges: DataFrame) -> DataFrame:
     """``shape, ring, seq, x, y, area``: outline edges, the result on their left, as simple rings in order.
 
     ``area`` is that of the ring, negative for holes.
     """
-    known = checkpointed(edges.select("shape", *ENDS).withColumn("link", F.monotonically_increasing_id()))
-    links = checkpointed(_followers(known))
-    placed = known.join(ranked(links).select("link", F.col("chain").alias("ring")), "link")
-    # A ring that passes a vertex several times is split there: each edge that comes in goes on where the next one does.
-    ends = placed.join(links, "link").withColumn("passes", F.count("*").over(Window.partitionBy("ring", "bx", "by")))
-    again = checkpointed(ends.where("passes > 1").select("link", "ring", "bx", "by", "next", F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx")).alias("turn")))
-    if again.head(1):
-        around = Window.partitionBy("ring", "bx", "by").orderBy("turn")
-        whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        moved = again.select("link", F.coalesce(F.lead("next").over(around), F.first("next").over(whole)).alias("other"))
-        links = links.join(moved, "link", "left").select("link", F.coalesce("other", "next").alias("next"))
+    known = written(edges.select("shape", *ENDS).withColumn("link", F.monotonically_increasing_id()))
+    links = written(_followers(known))
+    crossed = known.groupBy("shape", "bx", "by").agg(F.count("*").alias("n")).where("n > 1")
+    if crossed.head(1):
+        links = _parted(known, links)
     final = known.join(ranked(links).select("link", F.col("chain").alias("ring"), "seq"), "link")
     area = F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).over(Window.partitionBy("ring")) / 2
     return final.select("shape", "ring", "seq", F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("u"), F.col("by").alias("v"), area.alias("area"))
@@ -230,24 +235,30 @@ def nested(rings: DataFrame) -> DataFrame:
 
     A hole belongs to the smallest shell of its shape around it, by the even-odd rule at the middle of an edge.
     """
-    known = checkpointed(rings)
+    known = written(rings)
     under = smallest_around(probes(known.where("area < 0")).join(known.where("area > 0"), "shape")).withColumnRenamed("hole", "ring")
     return as_rows(known.where("area <> 0").join(under, "ring", "left").withColumn("part", F.coalesce("part", "ring")))
 
 
-def combined(segments: DataFrame, inside: Callable[..., Column], sides: int = 1) -> DataFrame:
-    """``shape, part, rings, area, perimeter``: where ``inside`` holds for the winding numbers of the sides.
+def arranged(segments: DataFrame, sides: int = 1) -> DataFrame:
+    """Pieces of ``shape, side, ax, ay, bx, by`` with the winding numbers beside them, written for several outlines."""
+    return written(sided_pieces(split_within(segments), sides))
 
-    ``segments`` are ``shape, side, ax, ay, bx, by``. A shape may give several polygons or none.
-    """
-    sided = sided_pieces(split_within(segments), sides)
+
+def outlined(pieces: DataFrame, inside: Callable[..., Column], sides: int = 1) -> DataFrame:
+    """``shape, part, rings, area, perimeter``: where ``inside`` holds for the winding numbers of the sides."""
     left, right = (inside(*[F.col(f"{s}_{k}") for k in range(sides)]) for s in ("left", "right"))
-    edge = sided.withColumn("l", left).withColumn("r", right).where("l <> r")
+    edge = pieces.withColumn("l", left).withColumn("r", right).where("l <> r")
     way = lambda a, b: F.when(F.col("l"), F.col(a)).otherwise(F.col(b))
     outline = edge.select("shape", way("ax", "bx").alias("ax"), way("ay", "by").alias("ay"), way("bx", "ax").alias("bx"), way("by", "ay").alias("by"))
     return nested(stitched(outline))
 
 
+def combined(segments: DataFrame, inside: Callable[..., Column], sides: int = 1) -> DataFrame:
+    """The outline of segments ``shape, side, ax, ay, bx, by``; a shape may give several polygons or none."""
+    return outlined(sided_pieces(split_within(segments), sides), inside, sides)
+
+
 def made_valid(shapes: DataFrame, shape: str, rings: str) -> DataFrame:
     """Polygons of the even-odd inside of each shape's rings: crossings are split, spikes go, holes are nested.
 
@@ -257,14 +268,24 @@ def made_valid(shapes: DataFrame, shape: str, rings: str) -> DataFrame:
     return combined(ring_segments(shapes, shape, F.col(rings), turn=False), even_odd)
 
 
+#: What lies inside the result, by whether it lies inside the first and the second polygon.
+OVERLAYS: dict[str, Callable[[Column, Column], Column]] = {
+    "union": lambda a, b: even_odd(a) | even_odd(b), "intersection": lambda a, b: even_odd(a) & even_odd(b),
+    "difference": lambda a, b: even_odd(a) & ~even_odd(b), "symmetric": lambda a, b: even_odd(a) != even_odd(b),
+}
+
+
+def both_segments(pairs: DataFrame, shape: str, first: str, second: str) -> DataFrame:
+    """Segments of two polygons per row, the first on side 0, the second on side 1."""
+    return ring_segments(pairs, shape, F.col(first), 0, False).unionByName(ring_segments(pairs, shape, F.col(second), 1, False))
+
+
 def overlaid(pairs: DataFrame, shape: str, first: str, second: str, how: str) -> DataFrame:
-    """``union``, ``intersection``, ``difference`` (first less second) or ``symmetric`` of two polygons per row."""
-    rules: dict[str, Callable[[Column, Column], Column]] = {
-        "union": lambda a, b: even_odd(a) | even_odd(b), "intersection": lambda a, b: even_odd(a) & even_odd(b),
-        "difference": lambda a, b: even_odd(a) & ~even_odd(b), "symmetric": lambda a, b: even_odd(a) != even_odd(b),
-    }
-    segments = ring_segments(pairs, shape, F.col(first), 0, False).unionByName(ring_segments(pairs, shape, F.col(second), 1, False))
-    return combined(segments, rules[how], 2)
+    """``union``, ``intersection``, ``difference`` (first less second) or ``symmetric`` of two polygons per row.
+
+    For several of them at once, outline one arrangement by several of ``OVERLAYS``.
+    """
+    return combined(both_segments(pairs, shape, first, second), OVERLAYS[how], 2)
 
 
 def dissolved(polygons: DataFrame, key: str, rings: str) -> DataFrame:

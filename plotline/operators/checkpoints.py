@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,20 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared file system that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it; the table ``instead_of`` goes then.
+
+    For rounds of joins: a table's size is known from its files, while a checkpoint keeps the estimate of the plan
+    that made it, which multiplies from join to join and from round to round. ``instead_of`` must come from
+    this function, and nothing may read it any more.
+    """
+    spark = df.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    found = spark.read.schema(df.schema).parquet(folder)
+    found._table_folder = folder
+    if instead_of is not None:
+        remove_folder(spark, instead_of._table_folder)
+    return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,16 +39,16 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:
     """Return ``node, component`` for every node of ``edges``; the component is its smallest node.
 
     Nodes are longs. Self-loops, repeated and null edges are ignored; a node that has no other
     edge is absent, and callers coalesce it to itself. An empty edge list gives an empty result.
     Large-star and small-star alternate until nothing moves, which takes a logarithmic number of
-    rounds also on long chains. A round's edges are written to the shared checkpoint folder; the
+    rounds also on long chains. A round's edges are written to the shared checkpoint folder by ``cut``; the
     driver only sees a count and a hash of them.
     """
-    current = checkpointed(
+    current = cut(
         edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
         .where("src is not null and dst is not null and src <> dst")
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
@@ -55,7 +57,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     before = _fingerprint(current)
     if before[0]:
         for _ in range(MAX_ROUNDS):
-            current = checkpointed(_small_star(_large_star(current)))
+            current = cut(_small_star(_large_star(current)))
             after = _fingerprint(current)
             if after == before:
                 break

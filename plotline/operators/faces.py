@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions.geometry import box_area, box_ring, shared_area
 from plotline.operators.arrangement import as_rows, dissolved, probes, smallest_around, stitched
-from plotline.operators.checkpoints import checkpointed
+from plotline.operators.checkpoints import written
 from plotline.operators.components import connected_components
 from plotline.operators.spatial_join import meeting_pairs
 from plotline.operators.validation import marked_slivers, sliver_pairs
@@ -22,7 +22,7 @@ def half_edges(pieces: DataFrame, digits: int = 6) -> DataFrame:
     at = lambda a, b: F.struct((F.round(F.col(a), digits) + 0.0).alias("x"), (F.round(F.col(b), digits) + 0.0).alias("y"))
     ends = pieces.select(at("ax", "ay").alias("u"), at("bx", "by").alias("v")).where("u <> v")
     both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    known = checkpointed(both.withColumn("edge", F.monotonically_increasing_id()))
+    known = written(both.withColumn("edge", F.monotonically_increasing_id()))
     around = Window.partitionBy("u").orderBy(F.atan2(F.col("v.y") - F.col("u.y"), F.col("v.x") - F.col("u.x")), "edge")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("edge").over(around), F.last("edge").over(whole))
@@ -32,8 +32,8 @@ def half_edges(pieces: DataFrame, digits: int = 6) -> DataFrame:
 
 def _faced(pieces: DataFrame, digits: int) -> DataFrame:
     """Half edges with the ``face`` on their left, and whether they bound it: ``bounds`` is false where it lies on both sides."""
-    edges = checkpointed(half_edges(pieces, digits))
-    cycles = connected_components(edges.select(F.col("edge").alias("src"), F.col("next").alias("dst")))
+    edges = written(half_edges(pieces, digits))
+    cycles = connected_components(edges.select(F.col("edge").alias("src"), F.col("next").alias("dst")), cut=written)
     placed = edges.join(cycles.withColumnsRenamed({"node": "edge", "component": "face"}), "edge")
     other = placed.select(F.col("edge").alias("twin"), F.col("face").alias("beyond"))
     return placed.join(other, "twin").withColumn("bounds", F.col("face") != F.col("beyond"))
@@ -65,7 +65,7 @@ def face_polygons(pieces: DataFrame, cell: float, least_area: float = 0.0, digit
     is the hole of the smallest face around it, whose bounds it finds by grid cells of width ``cell``.
     """
     sided = _faced(pieces, digits).where("bounds")
-    rings = checkpointed(stitched(sided.select(F.col("face").alias("shape"), F.col("u.x").alias("ax"), F.col("u.y").alias("ay"), F.col("v.x").alias("bx"), F.col("v.y").alias("by"))))
+    rings = written(stitched(sided.select(F.col("face").alias("shape"), F.col("u.x").alias("ax"), F.col("u.y").alias("ay"), F.col("v.x").alias("bx"), F.col("v.y").alias("by"))))
     shells, holes = rings.where("area > 0"), rings.where("area < 0")
     bounds = shells.groupBy("ring").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     probed = probes(holes).drop("shape")
@@ -103,7 +103,7 @@ def merged_sliver_polygons(parcels: DataFrame, sliver_area: float = 15.0, sliver
 
     A face and its slivers meet, so that they give one part unless they do at a corner only.
     """
-    merged = checkpointed(merged_slivers(parcels, sliver_area, sliver_compactness, least_area).select("id", "members"))
+    merged = written(merged_slivers(parcels, sliver_area, sliver_compactness, least_area).select("id", "members"))
     boxes = parcels.select(F.col("id").alias("member"), F.array(box_ring()).alias("rings"))
     joined = merged.select("id", F.explode("members").alias("member")).join(boxes, "member")
     return dissolved(joined, "id", "rings").withColumnRenamed("shape", "id").join(merged, "id")

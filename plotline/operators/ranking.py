@@ -6,51 +6,48 @@ logarithm of the longest chain; a round is one join of the links with themselves
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotline.operators.checkpoints import checkpointed
+from plotline.operators.checkpoints import written
 
 
 def _doubled(state: DataFrame) -> DataFrame:
     """Every link's view joined with that of the link it sees last."""
-    ahead = state.select(F.col("link").alias("ptr"), F.col("ptr").alias("far"), F.col("low").alias("low_"), F.col("last").alias("last_"), F.col("steps").alias("steps_"))
+    ahead = state.select(F.col("link").alias("ptr"), F.col("ptr").alias("far"), F.col("low").alias("low_"), F.col("at").alias("at_"), F.col("last").alias("last_"), F.col("steps").alias("steps_"))
     seen = state.where("ptr is not null").join(ahead, "ptr")
-    moved = seen.select("link", F.col("far").alias("ptr"), F.least("low", "low_").alias("low"), F.col("last_").alias("last"), (F.col("steps") + F.col("steps_")).alias("steps"))
+    lower = F.col("low_") < F.col("low")
+    moved = seen.select(
+        "link", F.col("far").alias("ptr"), F.least("low", "low_").alias("low"), F.when(lower, F.col("steps") + F.col("at_")).otherwise(F.col("at")).alias("at"),
+        F.col("last_").alias("last"), (F.col("steps") + F.col("steps_")).alias("steps"),
+    )
     return moved.unionByName(state.where("ptr is null"))
 
 
-def _settled(links: DataFrame) -> DataFrame:
-    """``link, ptr, low, last, steps`` once chains have ended and rings know their smallest link."""
-    state = checkpointed(links.select("link", F.col("next").alias("ptr"), F.col("link").alias("low"), F.coalesce("next", "link").alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps")))
+def ranked(links: DataFrame) -> DataFrame:
+    """``link, chain, seq, ring`` of ``link, next`` (longs): the place of every link in its chain, from 0.
+
+    ``next`` is null at a chain's end, and no two links have the same next one. ``chain`` is the last link
+    of an open chain, or the smallest link of a ring, which is its first. A ``next`` that is no link of the
+    table is not allowed. No links give no rows. Each link carries how far it sees, the last link that it
+    sees, and the smallest one with its distance; a chain's end or a ring's smallest link is the fixed point
+    from which places are counted.
+    """
+    known = links.select(F.col("link").cast("long").alias("link"), F.col("next").cast("long").alias("ptr"))
+    state = written(known.select(
+        "link", "ptr", F.col("link").alias("low"), F.lit(0).cast("long").alias("at"), F.coalesce("ptr", "link").alias("last"), F.when(F.col("ptr").isNull(), 0).otherwise(1).cast("long").alias("steps")
+    ))
     tally = lambda df: df.agg(F.count("ptr"), F.sum(F.when(F.col("ptr").isNotNull(), F.col("low")).cast("decimal(38,0)"))).first()
     before = tally(state)
     while before[0]:
-        state = checkpointed(_doubled(state))
+        state = written(_doubled(state), state)
         after = tally(state)
         # While a chain has links that don't see its end, each round has fewer of them; then only rings are
         # left, and where no smallest link has changed all of a ring's links know the same one.
         if after == before:
             break
         before = after
-    return state
-
-
-def ranked(links: DataFrame) -> DataFrame:
-    """``link, chain, seq, ring`` of ``link, next`` (longs): the place of every link in its chain, from 0.
-
-    ``next`` is null at a chain's end, and no two links have the same next one. ``chain`` is the last link
-    of an open chain, or the smallest link of a ring, which is its first. A ``next`` that is no link of the
-    table is not allowed. No links give no rows.
-    """
-    known = checkpointed(links.select(F.col("link").cast("long").alias("link"), F.col("next").cast("long").alias("next")))
-    first = _settled(known)
-    open_ = first.where("ptr is null").select("link", F.col("last").alias("chain"), "steps", F.lit(False).alias("ring"))
-    rings = first.where("ptr is not null").select("link", "low")
-    if rings.head(1):
-        cut = known.join(rings, "link").select("link", F.when(F.col("next") != F.col("low"), F.col("next")).alias("next"))
-        told = _settled(cut).select("link", "steps").join(rings, "link")
-        open_ = open_.unionByName(told.select("link", F.col("low").alias("chain"), "steps", F.lit(True).alias("ring")))
-    placed = checkpointed(open_)
-    longest = placed.groupBy("chain").agg(F.max("steps").alias("most"))
-    return placed.join(longest, "chain").select("link", "chain", (F.col("most") - F.col("steps")).alias("seq"), "ring")
+    whole = Window.partitionBy("chain")
+    open_ = state.where("ptr is null").select("link", F.col("last").alias("chain"), "steps").withColumn("seq", F.max("steps").over(whole) - F.col("steps"))
+    rings = state.where("ptr is not null").select("link", F.col("low").alias("chain"), "at").withColumn("n", F.count("*").over(whole))
+    return open_.select("link", "chain", "seq", F.lit(False).alias("ring")).unionByName(rings.select("link", "chain", F.pmod(F.col("n") - F.col("at"), F.col("n")).alias("seq"), F.lit(True).alias("ring")))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from plotline.functions.projection import lonlat_to_utm, utm_to_lonlat
 from plotline.operators.checkpoints import checkpointed
 
 
@@ -263,16 +264,13 @@ def weighted_distance(distance: Column, height: Column) -> Column:
     return distance * (1.0 + F.least(F.greatest(F.coalesce(height, F.lit(0.0)) / 10.0, F.lit(0.0)), F.lit(2.0)))
 
 
-def resampled(df: DataFrame, grid: DataFrame, scale: float, row0: float = 0.0, col0: float = 0.0, value: str = "v") -> DataFrame:
-    """``grid`` (row, col) with ``value``: the raster resampled onto a master grid, bilinear between pixel centres.
+def bilinear(df: DataFrame, places: DataFrame, value: str = "v") -> DataFrame:
+    """``row, col`` of ``places`` with ``value``: the raster at their ``y, x``, in pixels from the first centre, bilinear.
 
-    A grid pixel is ``scale`` raster pixels wide, and the grid begins at ``row0, col0`` of the raster.
     Taps outside the raster or without data are left out and the others weigh more; where there is none, 0.
     """
-    y, x = ((F.col(c) + 0.5) * scale + start - 0.5 for c, start in (("row", row0), ("col", col0)))
-    placed = grid.select("row", "col", y.alias("y"), x.alias("x"))
     tap = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    taps = placed.withColumn("t", tap).withColumn("fy", F.floor("y") + F.col("t.i")).withColumn("fx", F.floor("x") + F.col("t.j"))
+    taps = places.withColumn("t", tap).withColumn("fy", F.floor("y") + F.col("t.i")).withColumn("fx", F.floor("x") + F.col("t.j"))
     weight = (1 - F.abs(F.col("y") - F.col("fy"))) * (1 - F.abs(F.col("x") - F.col("fx")))
     source = df.select(F.col("row").cast("long").alias("fy"), F.col("col").cast("long").alias("fx"), F.col(value).alias("s"))
     joined = taps.withColumn("w", weight).join(source, ["fy", "fx"], "left")
@@ -280,6 +278,44 @@ def resampled(df: DataFrame, grid: DataFrame, scale: float, row0: float = 0.0, c
     return sums.select("row", "col", F.coalesce(F.try_divide("vs", "ws"), F.lit(0.0)).alias(value))
 
 
+def resampled(df: DataFrame, grid: DataFrame, scale: float, row0: float = 0.0, col0: float = 0.0, value: str = "v") -> DataFrame:
+    """``grid`` (row, col) with ``value``: the raster resampled onto a master grid, bilinear between pixel centres.
+
+    A grid pixel is ``scale`` raster pixels wide, and the grid begins at ``row0, col0`` of the raster.
+    """
+    y, x = ((F.col(c) + 0.5) * scale + start - 0.5 for c, start in (("row", row0), ("col", col0)))
+    return bilinear(df, grid.select("row", "col", y.alias("y"), x.alias("x")), value)
+
+
+def reprojected(df: DataFrame, grid: DataFrame, lon0: float, lat0: float, step: float, zone: int, x0: float, y0: float, gsd: float, value: str = "v", south: bool = False) -> DataFrame:
+    """``grid`` (row, col) with ``value``: a UTM raster on a grid of degrees, bilinear.
+
+    A grid pixel is ``step`` degrees wide, the grid begins at ``lon0, lat0`` (its upper left corner) and the raster at
+    ``x0, y0`` with pixels of ``gsd`` metres. The centre of every grid pixel is projected to the raster; so each pixel
+    has its value, and none is met twice.
+    """
+    lon, lat = lon0 + (F.col("col") + 0.5) * step, lat0 - (F.col("row") + 0.5) * step
+    easting, northing = lonlat_to_utm(lon, lat, zone, south)
+    return bilinear(df, grid.select("row", "col", ((y0 - northing) / gsd - 0.5).alias("y"), ((easting - x0) / gsd - 0.5).alias("x")), value)
+
+
+def grid_of_degrees(df: DataFrame, zone: int, x0: float, y0: float, gsd: float, south: bool = False) -> tuple[float, float, float, int, int]:
+    """``lon0, lat0, step, width, height`` of a grid of degrees around a UTM raster, with as many pixels along the diagonal.
+
+    The bounds are those of the corners of all pixels on the raster's rim.
+    """
+    rim = df.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    if rim[0] is None:
+        return 0.0, 0.0, 1.0, 0, 0
+    r0, r1, c0, c1 = rim[0], rim[1] + 1, rim[2], rim[3] + 1
+    spark = df.sparkSession
+    long, wide = spark.range(r0, r1 + 1).select(F.col("id").alias("r"), F.explode(F.array(F.lit(c0), F.lit(c1))).alias("c")), spark.range(c0, c1 + 1).select(F.explode(F.array(F.lit(r0), F.lit(r1))).alias("r"), F.col("id").alias("c"))
+    lon, lat = utm_to_lonlat(x0 + F.col("c") * gsd, y0 - F.col("r") * gsd, zone, south)
+    west, east, low, high = long.unionByName(wide).select(lon.alias("lon"), lat.alias("lat")).agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")).first()
+    step = math.hypot(east - west, high - low) / math.hypot(r1 - r0, c1 - c0)
+    return west, high, step, math.ceil((east - west) / step - 1e-9), math.ceil((high - low) / step - 1e-9)
+
+
 def neighbours(df: DataFrame) -> DataFrame:
     """Pairs of set pixels that share an edge, as ``src, dst`` pixel numbers (row * 2^32 + col)."""
     number = (F.col("row").cast("long") * F.lit(1 << 32) + F.col("col").cast("long")).alias("pixel")
@@ -292,31 +328,42 @@ def neighbours(df: DataFrame) -> DataFrame:
     return near.select(F.col("pixel").alias("src"), F.explode(F.array_compact(F.array("r", "b"))).alias("dst"))
 
 
-def thin(df: DataFrame, rounds: int = 200) -> DataFrame:
+#: The eight neighbours of a pixel, clockwise from north, by their usual names.
+AROUND = {"p2": (-1, 0), "p3": (-1, 1), "p4": (0, 1), "p5": (1, 1), "p6": (1, 0), "p7": (1, -1), "p8": (0, -1), "p9": (-1, -1)}
+
+
+def around(pixels: DataFrame) -> DataFrame:
+    """``row, col, p2 ... p9``: for every set pixel which of its eight neighbours are set, as 0 or 1.
+
+    Every pixel tells its neighbours and itself that it is there, in one aggregate.
+    """
+    steps = F.array(F.struct(F.lit("p1").alias("n"), F.lit(0).alias("i"), F.lit(0).alias("j")), *[F.struct(F.lit(n).alias("n"), F.lit(-i).alias("i"), F.lit(-j).alias("j")) for n, (i, j) in AROUND.items()])
+    sent = pixels.select("row", "col", F.explode(steps).alias("a")).select((F.col("row") + F.col("a.i")).alias("row"), (F.col("col") + F.col("a.j")).alias("col"), "a.n")
+    told = lambda n: F.coalesce(F.max(F.when(F.col("n") == n, 1)), F.lit(0)).alias(n)
+    return sent.groupBy("row", "col").agg(told("p1"), *map(told, AROUND)).where("p1 = 1").drop("p1")
+
+
+def thin(df: DataFrame) -> DataFrame:
     """Skeleton of set pixels ``row, col`` by the two-step thinning of Zhang and Suen (1984).
 
-    Each step looks at the eight neighbours through two windows and removes border pixels at once, until
-    nothing goes.
+    Each step looks at the eight neighbours and removes border pixels at once, until nothing goes: half as many
+    rounds as the widest place has pixels.
     """
-    current = checkpointed(df.select("row", "col").distinct())
-    for _ in range(rounds):
-        before = current.count()
-        for step in (0, 1):
-            around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
-            at = {(i, j): F.coalesce(F.max(F.when((F.col("a.i") == -i) & (F.col("a.j") == -j), 1)), F.lit(0)) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j}
-            names = {(-1, 0): "p2", (-1, 1): "p3", (0, 1): "p4", (1, 1): "p5", (1, 0): "p6", (1, -1): "p7", (0, -1): "p8", (-1, -1): "p9"}
-            sent = current.withColumn("a", around).select((F.col("row") + F.col("a.i")).alias("row"), (F.col("col") + F.col("a.j")).alias("col"), "a")
-            seen = sent.groupBy("row", "col").agg(*[at[k].alias(n) for k, n in names.items()])
-            ring = ["p2", "p3", "p4", "p5", "p6", "p7", "p8", "p9"]
-            count = sum((F.col(p) for p in ring[1:]), F.col(ring[0]))
-            turns = sum((((F.col(p) == 0) & (F.col(q) == 1)).cast("int") for p, q in zip(ring, ring[1:] + ring[:1], strict=True)), F.lit(0))
-            a, b = (("p2", "p4", "p6"), ("p4", "p6", "p8")) if step == 0 else (("p2", "p4", "p8"), ("p2", "p6", "p8"))
-            product = lambda t: F.col(t[0]) * F.col(t[1]) * F.col(t[2])
-            goes = count.between(2, 6) & (turns == 1) & (product(a) == 0) & (product(b) == 0)
-            current = checkpointed(current.join(seen.where(goes).select("row", "col"), ["row", "col"], "left_anti"))
-        if current.count() == before:
-            return current
-    raise RuntimeError(f"thinning did not settle in {rounds} rounds")
+    current, idle, step = checkpointed(df.select("row", "col").distinct()), 0, 0
+    ring = list(AROUND)
+    while idle < 2:
+        count = sum((F.col(p) for p in ring[1:]), F.col(ring[0]))
+        turns = sum((((F.col(p) == 0) & (F.col(q) == 1)).cast("int") for p, q in zip(ring, ring[1:] + ring[:1], strict=True)), F.lit(0))
+        a, b = (("p2", "p4", "p6"), ("p4", "p6", "p8")) if step == 0 else (("p2", "p4", "p8"), ("p2", "p6", "p8"))
+        product = lambda t: F.col(t[0]) * F.col(t[1]) * F.col(t[2])
+        goes = count.between(2, 6) & (turns == 1) & (product(a) == 0) & (product(b) == 0)
+        seen = checkpointed(around(current).select("row", "col", goes.alias("goes")))
+        if seen.where("goes").head(1):
+            current, idle = seen.where("not goes").select("row", "col"), 0
+        else:
+            idle += 1
+        step = 1 - step
+    return current
 
 
 def activation(logit: Column) -> Column:

@@ -48,15 +48,30 @@ def prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
+def _one_grid(left: DataFrame, right: DataFrame, cell: float, condition: Column | None) -> DataFrame:
+    """Pairs of boxes that all go on the finest grid."""
+    at = lambda c: F.floor(c / cell)
+    span = lambda df, p, c: df.withColumn(f"cell_{c}", F.explode(F.sequence(at(F.col(f"{p}{c}0")), at(F.col(f"{p}{c}1")))))
+    a, b = (span(span(df, p, "x"), p, "y") for df, p in ((left, "a_"), (right, "b_")))
+    corner = lambda c: at(F.greatest(F.col(f"a_{c}0"), F.col(f"b_{c}0")))
+    meet = boxes_meet("a_", "b_") & (F.col("cell_x") == corner("x")) & (F.col("cell_y") == corner("y"))
+    return a.join(b, ["cell_x", "cell_y"]).where(meet if condition is None else meet & condition).drop("cell_x", "cell_y")
+
+
 def meeting_pairs(left: DataFrame, right: DataFrame, cell: float, condition: Column | None = None) -> DataFrame:
     """Pairs of boxes that share a point, columns prefixed ``a_`` and ``b_``.
 
     Rows with a coordinate that is null, infinite or no number meet nothing. ``condition`` may name columns
     of both sides, such as ``a_id < b_id`` for a self-join.
     """
+    same = left is right
     left, right = (finite(prefixed(df, p), [p + c for c in BOX]).where(f"{p}x0 <= {p}x1 and {p}y0 <= {p}y1") for df, p in ((left, "a_"), (right, "b_")))
-    levels = sorted({r[0] for df, p in ((left, "a_"), (right, "b_")) for r in df.select(_level(p, cell)).distinct().collect()})
-    a, b = _celled(left, "a_", cell, levels or [0]), _celled(right, "b_", cell, levels or [0])
+    # One scan of each table tells which grids there are; a table joined with itself is scanned once.
+    own = left.select(_level("a_", cell).alias("level"))
+    levels = sorted(r[0] for r in (own if same else own.unionByName(right.select(_level("b_", cell).alias("level")))).distinct().collect()) or [0]
+    if levels == [0]:
+        return _one_grid(left, right, cell, condition)
+    a, b = _celled(left, "a_", cell, levels), _celled(right, "b_", cell, levels)
     width = cell * F.pow(F.lit(float(STEP)), F.col("level"))
     corner = lambda c: F.floor(F.greatest(F.col(f"a_{c}"), F.col(f"b_{c}")) / width)
     # A pair meets on the grid of its larger box.

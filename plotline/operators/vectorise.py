@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.operators.components import connected_components
-from plotline.operators.checkpoints import checkpointed
+from plotline.operators.checkpoints import written
 from plotline.operators.ranking import ranked
 
 #: Number of a pixel: row * 2^32 + col.
@@ -32,7 +32,7 @@ def regions(df: DataFrame, label: str = "label") -> DataFrame:
     here = df.where(F.col(label).isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), label)
     near = _beside(here, label).withColumn("pixel", F.col("row") * F.lit(ROW) + F.col("col"))
     dst = F.array_compact(F.array(F.when(F.col("right") == F.col(label), F.col("pixel") + 1), F.when(F.col("down") == F.col(label), F.col("pixel") + ROW)))
-    parts = connected_components(near.select(F.col("pixel").alias("src"), F.explode(dst).alias("dst")))
+    parts = connected_components(near.select(F.col("pixel").alias("src"), F.explode(dst).alias("dst")), cut=written)
     numbered = here.withColumn("node", F.col("row") * F.lit(ROW) + F.col("col"))
     return numbered.join(parts, "node", "left").select("row", "col", label, F.coalesce("component", "node").alias("region"))
 
@@ -67,7 +67,7 @@ def ring_corners(pixels: DataFrame) -> DataFrame:
     At a corner where a region meets itself the boundary turns right, so that a hole that touches the
     outline stays a ring of its own. Shells run counter-clockwise on a map, holes clockwise.
     """
-    runs = checkpointed(boundary_runs(pixels).withColumn("link", F.monotonically_increasing_id()))
+    runs = written(boundary_runs(pixels).withColumn("link", F.monotonically_increasing_id()))
     starts = runs.select("region", F.col("r0").alias("r1"), F.col("c0").alias("c1"), F.col("side").alias("turned"), F.col("link").alias("next"))
     turn = lambda by, name: runs.withColumn("turned", (F.col("side") + by) % 4).join(starts, ["region", "r1", "c1", "turned"]).select("link", F.col("next").alias(name))
     links = runs.select("link").join(turn(3, "right"), "link", "left").join(turn(1, "left"), "link", "left").select("link", F.coalesce("right", "left").alias("next"))

@@ -224,7 +224,6 @@ def local_maxima(spark, sf_dir):
     return raster.local_maxima(pixels(spark, sf_dir), least=0.2).select("row", "col", "peak")
 
 
-# The nearest zero of each column first, then along the rows.
 @query("distance_transform", f"""WITH {PIXELS}, m AS (SELECT row, col, v > 0.05::DOUBLE AS inside FROM pixels),
 g AS (SELECT row, col, min(g) AS g FROM (
   SELECT row, col, row - max(CASE WHEN NOT inside THEN row END) OVER (PARTITION BY col ORDER BY row) AS g FROM m UNION ALL
@@ -264,9 +263,25 @@ def resampled(spark, sf_dir):
     return raster.resampled(p, p.where("row % 5 < 4 and col % 5 < 4").select("row", "col"), 1.25, 0.3, -0.6).select("row", "col", r6("v"))
 
 
-@query("weighted_distance", f"""WITH {PIXELS} SELECT row, col, round(abs(v) * (1 + least(greatest(20 * v / 10, 0), 2)), 6) + 0 AS weight FROM pixels""")
+# The nearest zero of each column first, then along the rows.
+DISTANCE = """i AS (SELECT row, col, v, v > 0.05::DOUBLE AS inside FROM pixels),
+g AS (SELECT row, col, min(g) AS g FROM (
+  SELECT row, col, row - max(CASE WHEN NOT inside THEN row END) OVER (PARTITION BY col ORDER BY row) AS g FROM i UNION ALL
+  SELECT row, col, min(CASE WHEN NOT inside THEN row END) OVER (PARTITION BY col ORDER BY row DESC) - row FROM i) GROUP BY row, col),
+d AS (SELECT p.row, p.col, any_value(p.v) AS v, any_value(p.inside) AS inside, min(sqrt((p.col - q.col) * (p.col - q.col) + q.g * q.g)) AS d FROM i p JOIN g q ON q.row = p.row AND q.g IS NOT NULL GROUP BY p.row, p.col)"""
+
+
+def distances(spark, sf_dir):
+    """Distance of every pixel to the nearest one outside the mask, with its value."""
+    p = pixels(spark, sf_dir)
+    return raster.distance_transform(p.select("row", "col", "v", (F.col("v") > 0.05).alias("inside")))
+
+
+@query("weighted_distance", f"""WITH {PIXELS}, {DISTANCE} SELECT row, col, round(d * (1 + least(greatest(20 * v / 10, 0), 2)), 6) + 0 AS weight FROM d""")
 def weighted_distance(spark, sf_dir):
-    return pixels(spark, sf_dir).select("row", "col", raster.weighted_distance(F.abs("v"), 20 * F.col("v")).alias("weight")).select("row", "col", r6("weight"))
+    """Distance to the mask's edge, weighted by a height."""
+    d = distances(spark, sf_dir)
+    return d.select("row", "col", raster.weighted_distance(F.col("distance"), 20 * F.col("v")).alias("weight")).select("row", "col", r6("weight"))
 
 
 TWO = f"{PIXELS}, t AS (SELECT row, col, v > 0.1::DOUBLE AS p, v + 0.02::DOUBLE * (col % 3) > 0.1::DOUBLE AS t FROM pixels)"
@@ -371,7 +386,8 @@ def class_pixel_counts(spark, sf_dir):
     return pixels(spark, sf_dir).agg(*[F.count(F.when(m, 1)).alias(n) for n, m in masks.items()], F.count("*").alias("pixels"))
 
 
-@query("road_widths", f"WITH {PIXELS} SELECT row % 40 AS line, round(greatest(avg(2 * (abs(v) * 10) * 0.5::DOUBLE), 1.5::DOUBLE), 6) AS width FROM pixels GROUP BY 1")
+@query("road_widths", f"""WITH {PIXELS}, {DISTANCE} SELECT row % 40 AS line, round(greatest(avg(2 * d * 0.5::DOUBLE), 1.5::DOUBLE), 6) AS width FROM d WHERE inside GROUP BY 1""")
 def road_widths(spark, sf_dir):
-    p = pixels(spark, sf_dir).select((F.col("row") % 40).alias("line"), (F.abs("v") * 10).alias("distance"))
-    return network.road_widths(p, 0.5).select("line", r6("width"))
+    """Mean width of the mask along lines of pixels."""
+    d = distances(spark, sf_dir).where("inside").select((F.col("row") % 40).alias("line"), "distance")
+    return network.road_widths(d, 0.5).select("line", r6("width"))
