@@ -13,30 +13,17 @@ on the size of the table or on a vector that many rows share.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plotline.llm._vectors import integer_vectors
 from plotline.operators.checkpoints import checkpointed
 
 #: Bytes of the weights in a block of queries or of vectors.
 BLOCK_BYTES = 8 << 20
-PAIRS_SCHEMA = "query_id long, vec_id long, score long"
-
-
-def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 1024) -> DataFrame:
-    """``vec_id, weights``: floor(scale * x) of every component; unusable vectors are left out."""
-    x = F.col("vector")
-    sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
-    return (
-        df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-        .where(F.col("vec_id").isNotNull() & x.isNotNull() & sound)
-        .select("vec_id", F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("weights"))
-    )
+PAIRS_SCHEMA = "query_row long, query_id long, row long, vec_id long, score long"
 
 
 def _postings(weights: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -57,33 +44,32 @@ def _postings(weights: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarr
     }
 
 
-def _select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best, ties to the smaller id."""
+def _select(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best, ties to the smaller id, then to the smaller row."""
     if len(scores) > k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
         chosen = np.flatnonzero(scores >= cut)
     else:
         chosen = np.arange(len(scores))
-    return chosen[np.lexsort((ids[chosen], -scores[chosen]))][:k]
+    return chosen[np.lexsort((rows[chosen], ids[chosen], -scores[chosen]))][:k]
 
 
 def score_block(queries: pd.DataFrame, vectors: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best vectors of one block for every query of one block."""
-    ids = vectors["vec_id"].to_numpy(np.int64)
+    ids, rows = vectors["vec_id"].to_numpy(np.int64), vectors["row"].to_numpy(np.int64)
     postings = _postings([np.asarray(w, np.int64) for w in vectors["weights"]])
-    found = {"query_id": [], "vec_id": [], "score": []}
-    for query, weights in zip(queries["vec_id"], queries["weights"], strict=True):
+    found: dict[str, list] = {c.split()[0]: [] for c in PAIRS_SCHEMA.split(", ")}
+    for row, query, weights in zip(queries["row"], queries["vec_id"], queries["weights"], strict=True):
         scores = np.zeros(len(ids), np.int64)
         weights = np.asarray(weights, np.int64)
         for term in np.flatnonzero(weights):
             if int(term) in postings:
                 at, posting = postings[int(term)]
                 scores[at] += weights[term] * posting
-        others = np.flatnonzero(ids != query)
-        best = others[_select(scores[others], ids[others], k)]
-        found["query_id"].append(np.full(len(best), query, np.int64))
-        found["vec_id"].append(ids[best])
-        found["score"].append(scores[best])
+        others = np.flatnonzero(rows != row)
+        best = others[_select(scores[others], ids[others], rows[others], k)]
+        for c, v in zip(found, (np.full(len(best), row, np.int64), np.full(len(best), query, np.int64), rows[best], ids[best], scores[best]), strict=True):
+            found[c].append(v)
     return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, np.int64) for c, v in found.items()})
 
 
@@ -93,23 +79,22 @@ def top_k(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows with the highest integer inner product.
 
-    ``is_query`` is a condition on ``vec_id``. Every row but those with the query's own id is a
-    candidate. Equal scores rank by the smaller id. Vectors that are null or hold a null or
+    ``is_query`` is a condition on ``vec_id``. Every row but the query's own is a candidate, also one that
+    repeats it. Equal scores rank by the smaller id. Vectors that are null or hold a null or
     non-finite component, and null ids, take no part; an empty vector scores 0 with every other;
-    of vectors of unequal length the missing components count as 0. Rows that repeat an id with
-    the same vector count once; rows that repeat it with other vectors are separate candidates,
-    and as queries the largest score of each candidate counts. Fewer than k candidates give fewer
+    of vectors of unequal length the missing components count as 0. Rows that repeat an id are separate
+    candidates, and separate queries, whose results are returned for each. Fewer than k candidates give fewer
     rows; an empty table gives none. Inner products must fit 64 bits. Other columns are ignored.
-    Weights are written once; blocks hold as many rows as ``BLOCK_BYTES`` allows for the longest vector,
-    unless they are given, so that vectors are copied once for every block of queries.
+    Weights are written once, under a number for each row; blocks hold as many rows as ``BLOCK_BYTES`` allows
+    for the longest vector, unless they are given, so that vectors are copied once for every block of queries.
     """
-    vectors = checkpointed(quantised(df, id_col, vector_col, scale).distinct())
+    vectors = checkpointed(integer_vectors(df, id_col, vector_col, scale).withColumn("row", F.monotonically_increasing_id()))
     queries = vectors.where(is_query)
     sizes = vectors.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q"), F.coalesce(F.max(F.size("weights")), F.lit(0)).alias("d")).first()
     rows = max(1, BLOCK_BYTES // (8 * max(1, sizes["d"])))
     vector_blocks = max(1, math.ceil(sizes["n"] / (vector_block or rows)))
     query_blocks = max(1, math.ceil(sizes["q"] / (query_block or rows)))
-    deal = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
+    deal = lambda blocks: F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")
     spread = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = queries.withColumn("qb", deal(query_blocks)).withColumn("vb", spread(vector_blocks))
     right = vectors.withColumn("vb", deal(vector_blocks)).withColumn("qb", spread(query_blocks))
@@ -118,10 +103,9 @@ def top_k(
         return score_block(q, v, k)
 
     partial = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(best, PAIRS_SCHEMA)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return (
-        partial.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-        .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
 
@@ -134,15 +118,15 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = """
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+  SELECT q.row AS q, q.vec_id AS query_id, c.row AS c, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 100 = 0
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, c) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

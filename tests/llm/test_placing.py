@@ -57,13 +57,16 @@ def test_top_k_equals_brute_force(spark):
     vectors = [(i, [round(rng.uniform(-1, 1), 1) if rng.random() < 0.6 else 0.0 for _ in range(5)]) for i in range(300)]
     vectors += [(900, None), (1000, [1.0, None]), (1100, [float("nan")] * 5), (1200, [float("inf")] * 5), (None, [1.0] * 5), (7, vectors[7][1]), (1300, [])]
     df = spark.createDataFrame([(*v, 0) for v in vectors], "vec_id long, embedding array<double>, score int")
-    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    want = set()
-    for q in (i for i in whole if i % 10 == 0):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:7]
-        want |= {(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)}
+    vectors += [vectors[10], vectors[10], (20, vectors[11][1])]
+    df = spark.createDataFrame([(*v, 0) for v in vectors], "vec_id long, embedding array<double>, score int")
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for a, (q, qw) in enumerate(whole):
+        if q % 10 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(qw, w)), i) for b, (i, w) in enumerate(whole) if a != b)[:7]
+            want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
     found = top_k(df, "vec_id", "embedding", F.col("vec_id") % 10 == 0, k=7, query_block=9, vector_block=40).collect()
-    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    assert sorted(map(tuple, found)) == sorted(want)
     assert top_k(df.where("false"), "vec_id", "embedding", F.col("vec_id") % 10 == 0).count() == 0
 
 
