@@ -6,9 +6,10 @@ discounted; its best one, or the one above that also holds its siblings' prose,
 Votes are counted per host and path in Spark, and all pages of a host are extracted again with the path
 that won. A page on which that path yields little next to its own best container keeps its own.
 
-An element whose tag says so (nav, footer, form, ...) is no text. One whose class, id or role names a
-menu, sidebar, advert and the like is none either, unless it holds the page's article or main element
-or, comments apart, most of the page's text. A name counts by its first or last word, and not where it
+An element whose tag says so (footer, aside, dialog, ...) or that a style hides is no text. One whose class, id or
+role names a menu, sidebar, advert and the like, a form, and a nav are none either, unless they hold the page's
+article or main element or most of the page's text; a nav that is closed by its own tag is none in any case, and
+what is named comments is none while there is other prose. A head ends where anything opens that it can't hold. A name counts by its first or last word, and not where it
 states a property of something else, such as ``with-sidebar``, ``comments-open`` or ``category-alert``.
 """
 
@@ -42,7 +43,11 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math textarea select object canvas audio video noframes".split())
-SKIPPED = frozenset("head nav footer aside form menu dialog button search".split())
+SKIPPED = frozenset("head footer aside menu dialog button search".split())
+#: Elements that often stand around a whole page, or aren't closed: noise as names are, by what they hold.
+LOOSE = frozenset("form nav".split())
+#: What a head may hold; anything else that opens ends it.
+IN_HEAD = frozenset("head title html".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 dt".split())
 CLOSES = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}
 SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -62,7 +67,8 @@ STATES_AFTER = frozenset("open opened closed enabled disabled allowed on off lef
 _TOKEN = re.compile(
     r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*+>""", re.S
 )
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[a-z]+")
 #: Where the text goes on after an element whose content is no text and that isn't closed.
@@ -87,7 +93,7 @@ def _attributes(source: str) -> tuple[str, int]:
     found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(source)}
     names = sorted({_DIGITS.sub("N", x) for x in found.get("class", "").split()})
     suffix = "".join("." + x for x in names)
-    if "hidden" in found or found.get("aria-hidden") == "true":
+    if "hidden" in found or found.get("aria-hidden") == "true" or _UNSEEN.search(found.get("style", "")):
         return suffix, HIDDEN
     return suffix, max((named_noise(x) for k in ("class", "id", "role") for x in found.get(k, "").split()), default=SHOWN)
 
@@ -100,12 +106,13 @@ def parse(source: str) -> list[Block]:
     blocks: list[Block] = []
     #: For each block the elements around it that are named noise, by number in ``named``.
     marked: list[tuple[int, ...]] = []
-    #: Of each such element whether comments are in it, and whether it holds an article or main element.
+    #: Of each such element whether comments are in it, whether it holds an article or main element, and
+    #: whether it is noise whatever it holds.
     named: list[list[bool]] = []
     parts: list[str] = []
     linked: list[int] = [0]
-    #: tag, whether it is no text, containers above and with it, named noise around it
-    stack: list[tuple[str, bool, tuple[tuple[int, str], ...], tuple[int, ...]]] = [("", False, (), ())]
+    #: tag, whether it is no text, containers above and with it, named noise around it, its own number there
+    stack: list[tuple[str, bool, tuple[tuple[int, str], ...], tuple[int, ...], int]] = [("", False, (), (), -1)]
     state = {"noise": 0, "links": 0, "number": 0}
 
     def flush() -> None:
@@ -121,6 +128,12 @@ def parse(source: str) -> list[Block]:
         flush()
         state["noise"] -= stack.pop()[1]
 
+    def pop_head() -> bool:
+        """Take the innermost open element away; whether the head is still open."""
+        last = stack[-1][0]
+        pop()
+        return last != "head"
+
     at, size = 0, len(source)
     while at < size:
         m = _TOKEN.search(source, at)
@@ -153,12 +166,17 @@ def parse(source: str) -> list[Block]:
             flush()
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
+                    if tag == "nav" and stack[depth][4] >= 0:
+                        named[stack[depth][4]][2] = True
                     while len(stack) > depth:
                         pop()
                     break
         else:
             flush()
             state["links"] = 0
+            if tag not in IN_HEAD and tag not in VOID and any(x[0] == "head" for x in stack):
+                while pop_head():
+                    pass
             while len(stack) > 1 and stack[-1][0] in PARAGRAPHS:
                 pop()
             if tag in SIBLINGS:
@@ -172,36 +190,66 @@ def parse(source: str) -> list[Block]:
             if tag in VOID:
                 continue
             suffix, says = _attributes(m[3])
-            above, around = stack[-1][2:]
-            inside = any(p.rpartition("/")[2].split(".")[0] in ("article", "main") for _, p in above)
+            above, around = stack[-1][2:4]
+            inside = any(_kind(c) in ("article", "main") for c in above)
             noise = says == HIDDEN and tag not in ("body", "html") or tag in SKIPPED or tag == "header" and not inside
-            if says in (NAMED, COMMENT) and tag not in ("body", "html"):
-                around = (*around, len(named))
-                named.append([says == COMMENT, False])
+            own = -1
+            if (says in (NAMED, COMMENT) or tag in LOOSE) and tag not in ("body", "html"):
+                own = len(named)
+                around = (*around, own)
+                named.append([says == COMMENT, False, False])
             elif tag in ("article", "main"):
                 for k in around:
                     named[k][1] |= not any(named[j][0] for j in around if j >= k)
             if tag in CONTAINERS:
                 state["number"] += 1
                 above = (*above, (state["number"], f"{above[-1][1] if above else ''}/{tag}{suffix}"))
-            stack.append((tag, noise, above, around))
+            stack.append((tag, noise, above, around, own))
             state["noise"] += noise
     flush()
     if not named:
         return blocks
     held: Counter[int] = Counter()
+    sure = {k for k, x in enumerate(named) if x[2]}
     for (text, links, _), around in zip(blocks, marked, strict=True):
         for k in around:
             held[k] += len(text) - links
-    whole = sum(len(text) - links for text, links, _ in blocks)
-    gone = {k for k, (comments, holds) in enumerate(named) if not holds and (comments or 2 * held[k] <= whole)}
+    whole = sum(len(text) - links for (text, links, _), around in zip(blocks, marked, strict=True) if not sure.intersection(around))
+    gone = sure | {k for k, (comments, holds, _) in enumerate(named) if not holds and not comments and 2 * held[k] <= whole}
+    commented = {k for k, x in enumerate(named) if x[0] and not x[1]}
+    # Comments are comments on something: where there is no prose but inside them, the name means something else.
+    if any(len(text) - links >= PROSE_CHARS and not (gone | commented).intersection(around) for (text, links, _), around in zip(blocks, marked, strict=True)):
+        gone |= commented
     return [b for b, around in zip(blocks, marked, strict=True) if not gone.intersection(around)]
 
 
+def _kind(container: tuple[int, str]) -> str:
+    return container[1].rpartition("/")[2].split(".")[0]
+
+
+def _with_other_articles(article: tuple[int, str], around: tuple[tuple[int, str], ...], blocks: list[Block]) -> tuple[int, str]:
+    """The article, or the nearest container around it that holds others, each of prose enough."""
+    inner: dict[tuple[int, str], Counter[tuple[int, str]]] = {c: Counter() for c in around}
+    own = 0
+    for text, linked, above in blocks:
+        worth = len(text) - linked if 2 * linked < len(text) and len(text) >= PROSE_CHARS else 0
+        if article in above:
+            own += worth
+        elif worth and (first := next((c for c in above if _kind(c) == "article"), None)):
+            for c in above[: above.index(first)]:
+                if c in inner:
+                    inner[c][first] += worth
+    for c in reversed(around):
+        if any(n >= SIBLING_SHARE * max(1, own) for n in inner[c].values()):
+            return c
+    return article
+
+
 def best_container(blocks: list[Block]) -> tuple[int, str, float] | None:
     """Number, path and score of the best container: text outside links, a parent counting half.
 
-    An article or main element around it is taken whole, title included; without one, containers above
+    An article or main element around it is taken whole, title included, and with it further articles beside it, each
+    of ``SIBLING_SHARE`` of its prose or more; without one, containers above
     are, as long as each adds prose from siblings, ``SIBLING_SHARE`` of what is inside or more.
     """
     scores: Counter[tuple[int, str]] = Counter()
@@ -218,9 +266,9 @@ def best_container(blocks: list[Block]) -> tuple[int, str, float] | None:
         return None
     best = min(scores, key=lambda c: (-scores[c], c[0]))
     for kind in ("article", "main"):
-        for container in chains[best]:
-            if container[1].rpartition("/")[2].split(".")[0] == kind:
-                return *container, scores[best]
+        for k, container in enumerate(chains[best]):
+            if _kind(container) == kind:
+                return *(_with_other_articles(container, chains[best][:k], blocks) if kind == "article" else container), scores[best]
     chosen = best
     for container in reversed(chains[best][:-1]):
         if prose[container] - prose[chosen] >= SIBLING_SHARE * max(1, prose[chosen]):

@@ -344,3 +344,30 @@ def test_units_longer_than_a_slice(lattices, monkeypatch):
     lattices.clear()
     assert [[s[1:] for s in r] for r in short] == [[s[1:] for s in r] for r in piece_sampling.sample_rows(lattices, lattices.units_of(texts), keys, 2)]
     assert all(lattices.processor.decode(lattices.spelled([r[0][0]])[0].tolist()) == t for t, r in zip(texts, piece_sampling.sample_rows(lattices, lattices.units_of(texts), keys, 2)) if t)
+
+
+STORY = ("A first paragraph of the story that is long enough to be counted as prose by anyone.", "A second paragraph of the story, which also goes on for a good while before it ends.")
+TOLD = "".join(f"<p>{p}</p>" for p in STORY)
+MENU = "<ul>" + "".join(f'<li><a href="/{i}">Entry {i}</a></li>' for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize("source", [
+    f"<html><head><title>x</title><body><div class=story>{TOLD}</div></body></html>",
+    f"<html><head><title>x</title><meta charset=utf-8><div class=story>{TOLD}</div>",
+    f"<body><form id=whole><div class=menu>{MENU}</div><div class=story>{TOLD}</div><input name=q></form></body>",
+    f"<body><nav>{MENU}<div class=story>{TOLD}</div></body>",
+    f"<body><nav>{MENU}</nav><article><div class='post-reply'>{TOLD}</div></article></body>",
+    f"<body><article>{TOLD}</article><div class=comments><article><p>{STORY[0] * 9}</p></article></div></body>",
+    f"<body><div class=story>{TOLD}<p style='display: none'>{STORY[0]}</p><div style=\"color:red;visibility:hidden\">{STORY[1]}</div></div></body>",
+    f"<body><article>{TOLD}</article><form><p>{STORY[0]}</p></form><nav><p>{STORY[1] * 9}</p></nav></body>",
+])
+def test_articles_that_odd_markup_hides(source):
+    assert extract(source, None) == "\n\n".join(STORY)
+
+
+def test_several_articles_of_a_page_are_kept():
+    third = "A third paragraph stands in an article of its own, and it is prose of the same length."
+    source = f"<body><main><article>{TOLD}</article><article><p>{third}</p></article><article><a href=/x>{third}</a></article></main><footer>{third}</footer></body>"
+    assert extract(source, None).split("\n\n")[:3] == [*STORY, third]
+    teasers = f"<body><article>{TOLD * 5}</article><div><article><p>{third}</p></article><article><p>{third}</p></article></div></body>"
+    assert extract(teasers, None) == "\n\n".join(STORY * 5)
