@@ -1,8 +1,7 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Items are partitioned by the number of their word shingles. An item's sketch is its least shingles, rare
-ones before those that many items hold and then by hash; it has as many as the containment threshold
-allows to be missing, plus one: a document that holds at least ``threshold`` of the item's shingles then
+Items are partitioned by the number of their word shingles. An item's sketch is its shingles of least hash; it
+has as many as the containment threshold allows to be missing, plus one: a document that holds at least ``threshold`` of the item's shingles then
 holds one of the sketch's, so that the search misses nothing. Documents too small for a partition skip
 it. Documents and sketches meet by hash in a join of Spark's, and each pair is verified by exact shingle
 containment over the whole texts. Neither items nor documents pass through the driver; up to
@@ -60,9 +59,8 @@ def sketched_items(items: DataFrame, item_id_col: str, item_text_col: str, thres
         needed(F.pow(F.lit(2.0), F.floor(F.log2(n)))).alias("least"), n.alias("n"),
     ))
     each = known.select("item", "n", "needed", "least", F.explode("hashes").alias("hash"))
-    held = each.groupBy("hash").agg(F.count("*").alias("held"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy("held", "hash"))
-    sketches = each.join(held, "hash").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.col("needed") + 1)
+    rank = F.row_number().over(Window.partitionBy("item").orderBy("hash"))
+    sketches = each.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.col("needed") + 1)
     return known.drop("hashes", "n", "least"), checkpointed(sketches.select("hash", "item", "least"))
 
 
