@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotline.llm._text import arrow_pass, hash_shingles, hash_words, words_of
@@ -21,6 +21,8 @@ from plotline.operators.checkpoints import checkpointed
 
 #: Documents that the scorer is fitted on, at most; chosen by a hash of the row from all documents.
 SAMPLE = 8_000
+#: Entries of their features at most, 8 bytes each.
+ENTRIES = 1 << 23
 #: Buckets of hashed shapes, of hashed words, and two features of their own behind these.
 SHAPE_BUCKETS, WORD_BUCKETS = 1 << 12, 1 << 14
 BUCKETS = SHAPE_BUCKETS + WORD_BUCKETS + 2
@@ -193,12 +195,13 @@ def score(text: bytes | None, weights: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(weights[buckets] @ values + weights[-1], -30, 30))))
 
 
-def train(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray]:
+def train(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, entries: int = ENTRIES) -> tuple[LabelModel, np.ndarray]:
     """The label model of all rows and the scorer fitted on a sample of at most ``sample`` rows.
 
     Votes are counted in Spark over all documents; the driver gets the counts of vote patterns and the
     sample's features. Rows are sampled by a hash of id and text size, so that the order of rows and
-    the partitions don't matter.
+    the partitions don't matter. The sample ends where its features have ``entries`` entries, so that long
+    texts don't make it larger than some tens of megabytes; it comes as packed bytes.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 40)))
@@ -210,16 +213,20 @@ def train(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> tu
         for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             votes.append(votes_of(text))
             b, v = features(text) if at < limit else (None, None)
-            buckets.append(None if b is None else b.tolist())
-            values.append(None if v is None else v.tolist())
-        return pa.record_batch([batch.column(0), pa.array(votes, pa.string()), pa.array(buckets, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["at", "votes", "buckets", "values"])
+            buckets.append(None if b is None else b.tobytes())
+            values.append(None if v is None else v.tobytes())
+        return pa.record_batch([batch.column(0), pa.array(votes, pa.string()), pa.array(buckets, pa.binary()), pa.array(values, pa.binary())], names=["at", "votes", "buckets", "values"])
 
-    voted = checkpointed(arrow_pass(rows.select("at", "text"), run, "at long, votes string, buckets array<int>, values array<float>"))
+    voted = checkpointed(arrow_pass(rows.select("at", "text"), run, "at long, votes string, buckets binary, values binary"))
     patterns = sorted((r["votes"], r["n"]) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect())
     model = fit_labels(patterns)
     posterior = {v: model.posterior(v) for v, _ in patterns}
-    chosen = voted.where(F.size("buckets") > 0).orderBy("at", "votes", "buckets").limit(sample).collect()
-    fitted = fit_scorer([(np.array(r["buckets"], np.int32), np.array(r["values"], np.float32), posterior[r["votes"]]) for r in chosen])
+    order = ("at", "votes", "buckets")
+    drawn = voted.where(F.length("buckets") > 0).orderBy(*order).limit(sample)
+    upto = F.sum(F.length("buckets") / 4).over(Window.orderBy(*order))
+    chosen = drawn.withColumn("upto", upto).where(F.col("upto") <= entries).select("votes", "buckets", "values").toArrow()
+    columns = (chosen.column(c).to_pylist() for c in ("votes", "buckets", "values"))
+    fitted = fit_scorer([(np.frombuffer(b, np.int32), np.frombuffer(v, np.float32), posterior[p]) for p, b, v in zip(*columns, strict=True)])
     return model, fitted
 
 
