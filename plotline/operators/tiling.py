@@ -20,12 +20,16 @@ def offsets(size: int, tile: int, overlap: float) -> list[int]:
 
 
 def tiles(spark: SparkSession, width: int, height: int, tile: int, overlap: float, x0: float = 0.0, y0: float = 0.0, gsd: float = 1.0) -> DataFrame:
-    """One row per tile, numbered row by row, with its bounds in the world."""
-    cols, rows = offsets(width, tile, overlap), offsets(height, tile, overlap)
+    """One row per tile, numbered row by row, with its bounds in the world.
+
+    Offsets follow from a tile's number, so that the plan is as small for a large raster.
+    """
+    stride = max(1, int(round(tile * (1 - overlap))))
+    n_cols, n_rows = (1 if size <= tile else -(-(size - tile) // stride) + 1 for size in (width, height))
     n = F.col("id")
-    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), at.cast("int"))
-    found = spark.range(len(cols) * len(rows)).select(
-        n.cast("int").alias("tile_id"), pick(cols, n % len(cols)).alias("col_off"), pick(rows, F.floor(n / len(cols))).alias("row_off"),
+    at = lambda k, size: F.least(k * stride, F.lit(max(size - tile, 0))).cast("int")
+    found = spark.range(n_cols * n_rows).select(
+        n.cast("int").alias("tile_id"), at(n % n_cols, width).alias("col_off"), at(F.floor(n / n_cols), height).alias("row_off"),
         F.lit(min(tile, width)).alias("width"), F.lit(min(tile, height)).alias("height"),
     )
     return found.withColumns({

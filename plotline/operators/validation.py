@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline.functions.geometry import BOX, aspect, box_area, box_perimeter, compactness, iou, iou_above, shared_area
 from plotline.operators.checkpoints import checkpointed
+from plotline.operators.components import connected_components
 from plotline.operators.spatial_join import meeting_pairs
 
 CELL = 25.0
@@ -120,16 +122,28 @@ def summary(parcels: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
-def heal_duplicates(parcels: DataFrame, threshold: float = DUPLICATE_IOU) -> DataFrame:
-    """Parcels without duplicates: of a pair the one of higher confidence stays, ties keep the first.
+#: Pairs of a component of duplicates that are folded in one task at most.
+FOLDED = 20_000
 
-    Pairs are taken in the order of ids. A parcel that an earlier one has dropped takes no pair of its own;
-    else it drops each later parcel that it outranks, and is dropped itself by one that outranks it and
-    that no earlier parcel has dropped. Whether a parcel is dropped by an earlier one depends on those
-    before it alone, so it is settled in rounds: who has no undecided parcel before them is active, and
-    whom an active one outranks is gone. There are as many rounds as the longest chain has links.
+
+def _folded(pairs: pd.DataFrame) -> pd.DataFrame:
+    """``id`` of the parcels that the fold over one component's pairs drops."""
+    ordered, dropped = pairs.sort_values(["a_id", "b_id"]), set()
+    for a, own in ordered.groupby("a_id", sort=False):
+        if a in dropped:
+            continue
+        for b, keeps in zip(own["b_id"], own["keep_a"], strict=True):
+            if b not in dropped:
+                dropped.add(int(b if keeps else a))
+    return pd.DataFrame({"id": sorted(dropped)}, dtype="int64")
+
+
+def _dropped_in_rounds(pairs: DataFrame) -> DataFrame:
+    """``id`` of the parcels that the fold over ``pairs`` drops, in as many rounds as the longest chain has links.
+
+    Whether a parcel is dropped by an earlier one depends on those before it alone: who has no undecided parcel
+    before them is active, and whom an active one outranks is gone.
     """
-    pairs = checkpointed(duplicate_pairs(candidate_pairs(parcels), threshold).select("a_id", "b_id", (F.col("a_conf") >= F.col("b_conf")).alias("keep_a")))
     keeps = pairs.where("keep_a").select("a_id", "b_id")
     # The parcels still to be settled, the pairs that may settle them, and who was dropped by an earlier parcel.
     left = checkpointed(pairs.select(F.col("a_id").alias("id")).unionByName(pairs.select(F.col("b_id").alias("id"))).distinct())
@@ -142,12 +156,30 @@ def heal_duplicates(parcels: DataFrame, threshold: float = DUPLICATE_IOU) -> Dat
         left = checkpointed(left.join(settled, "id", "left_anti"))
         active, gone = (free, dead) if active is None else (active.unionByName(free), gone.unionByName(dead))
     if active is None:
-        return parcels
+        return pairs.select(F.col("a_id").alias("id")).limit(0)
     mine = active.select(F.col("id").alias("a_id"))
     first = keeps.join(mine, "a_id", "left_semi").groupBy("b_id").agg(F.min("a_id").alias("first"))
     beaten = pairs.where("not keep_a").join(mine, "a_id", "left_semi").join(first, "b_id", "left").where(F.col("first").isNull() | (F.col("first") >= F.col("a_id")))
-    dropped = gone.unionByName(beaten.select(F.col("a_id").alias("id"))).distinct()
-    return parcels.join(dropped, "id", "left_anti")
+    return gone.unionByName(beaten.select(F.col("a_id").alias("id"))).distinct()
+
+
+def heal_duplicates(parcels: DataFrame, threshold: float = DUPLICATE_IOU, folded: int = FOLDED) -> DataFrame:
+    """Parcels without duplicates: of a pair the one of higher confidence stays, ties keep the first.
+
+    Pairs are taken in the order of ids. A parcel that an earlier one has dropped takes no pair of its own;
+    else it drops each later parcel that it outranks, and is dropped itself by one that outranks it and
+    that no earlier parcel has dropped. Parcels that pairs link, directly or not, are one component; those of up to
+    ``folded`` pairs are folded in one task each, the others in rounds over all of them.
+    """
+    pairs = checkpointed(duplicate_pairs(candidate_pairs(parcels), threshold).select("a_id", "b_id", (F.col("a_conf") >= F.col("b_conf")).alias("keep_a")))
+    parts = connected_components(pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))).select(F.col("node").alias("a_id"), "component")
+    placed = pairs.join(parts, "a_id")
+    sizes = checkpointed(placed.groupBy("component").agg(F.count("*").alias("n")))
+    dropped = placed.join(sizes.where(F.col("n") <= folded), "component").groupBy("component").applyInPandas(_folded, "id long")
+    large = sizes.where(F.col("n") > folded)
+    if large.head(1):
+        dropped = dropped.unionByName(_dropped_in_rounds(checkpointed(placed.join(large, "component").select("a_id", "b_id", "keep_a"))))
+    return parcels.join(dropped.distinct(), "id", "left_anti")
 
 
 def clipped_overlaps(parcels: DataFrame, tolerance: float = OVERLAP_AREA) -> DataFrame:

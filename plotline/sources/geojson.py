@@ -16,8 +16,12 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
     empty one, are dropped; others than polygons have null rings and keep their ``geometry`` as JSON.
     """
     kind = F.get_json_object("value", "$.type")
-    whole = spark.read.text(path, wholetext=True).where(kind == "FeatureCollection").select("value", F.col("_metadata.file_path").alias("file"))
-    lines = spark.read.text(path).where(kind == "Feature").select("value", F.col("_metadata.file_path").alias("file"))
+    named = lambda df: df.select("value", F.col("_metadata.file_path").alias("file"))
+    # Only files that name a collection are read whole, so that files of lines may have any size.
+    collections = [r["file"] for r in named(spark.read.text(path)).where(F.col("value").contains("FeatureCollection")).select("file").distinct().collect()]
+    nothing = spark.createDataFrame([], "value string, file string")
+    whole = named(spark.read.text(collections, wholetext=True)).where(kind == "FeatureCollection") if collections else nothing
+    lines = named(spark.read.text(path)).where(kind == "Feature")
     single = lines.join(whole.select("file"), "file", "left_anti").select(F.lit(None).cast("int").alias("pos"), F.col("value").alias("f"))
     inside = whole.select(F.from_json("value", "features array<string>").alias("c")).select(F.posexplode("c.features").alias("pos", "f"))
     features = inside.unionByName(single).select(

@@ -326,7 +326,8 @@ def test_duplicates_are_dropped_as_in_the_order_of_pairs(spark):
         if a not in dropped:
             for b in (b for x, b in pairs if x == a and b not in dropped):
                 dropped.add(b if conf[a] >= conf[b] else a)
-    assert len(pairs) > 100 and {r["id"] for r in validation.heal_duplicates(p).collect()} == set(conf) - dropped
+    for folded in (20_000, 150, 0):
+        assert len(pairs) > 100 and {r["id"] for r in validation.heal_duplicates(p, folded=folded).collect()} == set(conf) - dropped
 
 
 def test_written_features_and_reports_are_read_again(spark, tmp_path):
