@@ -94,7 +94,7 @@ def _edges(ring: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Area by the shoelace formula, without sign."""
-    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["x"] * e["v"] - e["u"] * e["y"]))) / 2.0
+    return F.abs(F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["x"] - e["u"]) * (e["y"] + e["v"]))) / 2.0
 
 
 def polygon_area(rings: Column) -> Column:
@@ -109,12 +109,17 @@ def ring_length(ring: Column) -> Column:
 
 
 def ring_centroid(ring: Column) -> Column:
-    """Centroid (x, y) weighted by area; null for a ring without area."""
+    """Centroid (x, y) weighted by area; null for a ring without area.
+
+    Sums are taken from the first vertex, as products of map coordinates lose the digits of a small ring.
+    """
+    origin = F.get(ring, F.lit(0))
+    edges = _edges(F.transform(ring, lambda p: F.struct((p["x"] - origin["x"]).alias("x"), (p["y"] - origin["y"]).alias("y"))))
     cross = lambda e: e["x"] * e["v"] - e["u"] * e["y"]
-    total = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + cross(e))
-    sx = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["x"] + e["u"]) * cross(e))
-    sy = F.aggregate(_edges(ring), F.lit(0.0), lambda s, e: s + (e["y"] + e["v"]) * cross(e))
-    return F.struct(F.try_divide(sx, 3.0 * total).alias("x"), F.try_divide(sy, 3.0 * total).alias("y"))
+    total = F.aggregate(edges, F.lit(0.0), lambda s, e: s + cross(e))
+    sx = F.aggregate(edges, F.lit(0.0), lambda s, e: s + (e["x"] + e["u"]) * cross(e))
+    sy = F.aggregate(edges, F.lit(0.0), lambda s, e: s + (e["y"] + e["v"]) * cross(e))
+    return F.struct((origin["x"] + F.try_divide(sx, 3.0 * total)).alias("x"), (origin["y"] + F.try_divide(sy, 3.0 * total)).alias("y"))
 
 
 def ring_bounds(ring: Column) -> Column:

@@ -23,7 +23,7 @@ def _points(ring) -> list[tuple[float, float]]:
 
 def _area(points: list[tuple[float, float]]) -> float:
     """Signed area, positive counter-clockwise."""
-    return sum(x * v - u * y for (x, y), (u, v) in zip(points, points[1:] + points[:1], strict=True)) / 2
+    return sum((x - u) * (y + v) for (x, y), (u, v) in zip(points, points[1:] + points[:1], strict=True)) / 2
 
 
 def _triangles(points):
@@ -150,6 +150,9 @@ def orthogonal(ring, least_iou: float = 0.88, least_area: float = 1.0) -> list[d
     if rectangle is None or area < least_area:
         return same
     turn = math.radians(rectangle[2])
+    # From the first vertex, as products of map coordinates lose the digits of a small ring.
+    ox, oy = points[0]
+    points = [(x - ox, y - oy) for x, y in points]
     crosses = [(x * v - u * y, x + u, y + v) for (x, y), (u, v) in zip(points, points[1:] + points[:1], strict=True)]
     total = sum(c for c, _, _ in crosses)
     centre = np.array([sum(c * s for c, s, _ in crosses), sum(c * s for c, _, s in crosses)]) / (3 * total)
@@ -157,7 +160,7 @@ def orthogonal(ring, least_iou: float = 0.88, least_area: float = 1.0) -> list[d
     back = (np.array(points) - centre) @ np.array([[c, -s], [s, c]]) + centre
     (x0, y0), (x1, y1) = back.min(axis=0), back.max(axis=0)
     corners, middle = np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)]), np.array([(x0 + x1) / 2, (y0 + y1) / 2])
-    made = [{"x": x, "y": y} for x, y in ((corners - middle) @ np.array([[c, s], [-s, c]]) + middle).tolist()]
+    made = [{"x": x + ox, "y": y + oy} for x, y in ((corners - middle) @ np.array([[c, s], [-s, c]]) + middle).tolist()]
     both = shared(made, same)
     return made if both >= least_iou * ((x1 - x0) * (y1 - y0) + area - both) else same
 

@@ -50,7 +50,7 @@ def ring_segments(shapes: DataFrame, shape: str, rings: Column, side: int = 0, t
     edges = F.zip_with("ring", after, lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
     made = held.withColumn("edges", edges)
     if turn:
-        area = F.aggregate("edges", F.lit(0.0), lambda s, e: s + (e["ax"] * e["by"] - e["bx"] * e["ay"]))
+        area = F.aggregate("edges", F.lit(0.0), lambda s, e: s + (e["ax"] - e["bx"]) * (e["ay"] + e["by"]))
         back = lambda e: F.struct(e["bx"].alias("ax"), e["by"].alias("ay"), e["ax"].alias("bx"), e["ay"].alias("by"))
         made = made.withColumn("edges", F.when((area > 0) == (F.col("part") == 0), F.col("edges")).otherwise(F.transform("edges", back)))
     return made.select("shape", F.lit(side).alias("side"), F.explode("edges").alias("e")).select("shape", "side", "e.*").where("ax <> bx or ay <> by")
@@ -192,7 +192,7 @@ def stitched(edges: DataFrame) -> DataFrame:
     if crossed.head(1):
         links = _parted(known, links)
     final = known.join(ranked(links).select("link", F.col("chain").alias("ring"), "seq"), "link")
-    area = F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")).over(Window.partitionBy("ring")) / 2
+    area = F.sum((F.col("ax") - F.col("bx")) * (F.col("ay") + F.col("by"))).over(Window.partitionBy("ring")) / 2
     return final.select("shape", "ring", "seq", F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("u"), F.col("by").alias("v"), area.alias("area"))
 
 

@@ -52,7 +52,7 @@ def polygonised(pieces: DataFrame, least_area: float = 0.0, digits: int = 6) ->
     length = F.when(F.col("bounds"), F.hypot(vx - ux, vy - uy)).otherwise(0.0)
     corner = lambda f, c: f(F.when(F.col("bounds"), F.col(c)))
     found = sided.groupBy("face").agg(
-        (F.sum(ux * vy - vx * uy) / 2).alias("area"), F.sum(length).alias("perimeter"), F.count(F.when(F.col("bounds"), 1)).alias("edges"),
+        (F.sum((ux - vx) * (uy + vy)) / 2).alias("area"), F.sum(length).alias("perimeter"), F.count(F.when(F.col("bounds"), 1)).alias("edges"),
         corner(F.min, "u.x").alias("x0"), corner(F.min, "u.y").alias("y0"), corner(F.max, "u.x").alias("x1"), corner(F.max, "u.y").alias("y1"),
     )
     return found.where((F.col("area") > 0) & (F.col("area") >= least_area) & (F.col("edges") > 0))
