@@ -71,3 +71,11 @@ def augmented(chips: DataFrame, channels: list[str], size: int, seed: int) -> Da
     Chips must be whole: ``size`` rows and columns, no nulls in the channels. No chips give none.
     """
     return moved(blurred(jittered(chips, channels, seed), channels, size, seed), size, seed)
+
+
+def rethresholded(chips: DataFrame, masks: list[str], distance: str | None = None, classes: str | None = None) -> DataFrame:
+    """Masks as 0 and 1 again, distances within 0 and 1 and classes as whole numbers, after a resampling has blended them."""
+    found = chips.withColumns({m: (F.col(m) > 0.5).cast("double") for m in masks})
+    if distance is not None:
+        found = found.withColumn(distance, F.least(F.greatest(F.col(distance), F.lit(0.0)), F.lit(1.0)))
+    return found if classes is None else found.withColumn(classes, F.rint(classes).cast("long"))

@@ -102,3 +102,12 @@ def flipped_mean(p: DataFrame, width: int, height: int, horizontal: DataFrame, v
 def effort(parcels: Column, manual_hours: float = 0.25, assisted_hours: float = 0.025) -> list[Column]:
     """Hours saved, and the ratio of the assumed efforts."""
     return [(parcels * (manual_hours - assisted_hours)).alias("manual_hours_saved"), F.lit(manual_hours / assisted_hours).alias("efficiency_gain_factor")]
+
+
+def epoch_means(images: DataFrame, epoch: str, batch: str, loss: str, scores: list[str]) -> DataFrame:
+    """Per epoch the mean of the batches' losses, each batch counting once, and the mean of the images' scores.
+
+    ``images`` holds a row per image; a batch's loss is the mean over its images. Null scores count nowhere.
+    """
+    batches = images.groupBy(epoch, batch).agg(F.avg(loss).alias("loss_"), *[F.sum(s).alias(f"{s}_sum") for s in scores], *[F.count(s).alias(f"{s}_n") for s in scores])
+    return batches.groupBy(epoch).agg(F.avg("loss_").alias(loss), *[F.try_divide(F.sum(f"{s}_sum"), F.sum(f"{s}_n")).alias(s) for s in scores])

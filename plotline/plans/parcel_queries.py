@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plotline.functions.geometry import box_area, box_contains, box_perimeter, box_ring, polygon_area, ring_area, ring_boundary_distance, ring_bounds, ring_centroid, ring_contains, ring_length, rotated
 from plotline.functions.overlay import ring_orthogonal, ring_rectangle, ring_shared_area, ring_simplified
 from plotline.functions.projection import BETA, DELTA, FALSE_EASTING, RADIUS, SCALE, central_meridian, lonlat_to_utm, utm_to_lonlat
-from plotline.operators import evaluation, faces, network, survey, validation, zonal
+from plotline.operators import evaluation, faces, network, rasters_qc, survey, validation, zonal
 from plotline.operators.spatial_join import meeting_pairs, nearest_box
 from plotline.plans.relations import ENDPOINTS, PARCELS, POINTS, endpoints, parcels, points
 
@@ -424,3 +424,35 @@ def utm_to_wgs84(spark, sf_dir):
     q = p.withColumn("lon", lon).withColumn("lat", lat)
     e, n = lonlat_to_utm(F.col("lon"), F.col("lat"), 43)
     return q.select("seq", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"), ((F.abs(e - F.col("e")) < 1e-4) & (F.abs(n - F.col("n")) < 1e-4)).alias("returns"))
+
+
+RASTERS = """c AS (SELECT s_suppkey // 3 AS site, ['ORI', 'DSM', 'DTM'][s_suppkey % 3 + 1] AS type, CASE WHEN s_suppkey % 7 = 0 THEN 101 ELSE 100 END AS w, 80 AS h,
+  CASE WHEN s_suppkey % 11 = 0 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS x0 FROM supplier)"""
+
+
+@query("misaligned_rasters", f"""WITH {RASTERS}, d AS (SELECT * FROM c WHERE type = 'DSM'), t AS (SELECT * FROM c WHERE type = 'DTM'), o AS (SELECT * FROM c WHERE type = 'ORI'),
+e AS (SELECT d.site, CASE WHEN d.w <> t.w OR d.h <> t.h THEN 'models of unlike shape' WHEN d.x0 <> o.x0 THEN 'models not on the image''s grid' END AS error FROM d LEFT JOIN t USING (site) LEFT JOIN o ON o.site = d.site)
+SELECT site::BIGINT AS site, error FROM e WHERE error IS NOT NULL""")
+def misaligned_rasters(spark, sf_dir):
+    """Sets of rasters whose models differ in shape or don't lie on the image's grid."""
+    k = F.col("s_suppkey").cast("long")
+    kind = F.element_at(F.array(*map(F.lit, ("ORI", "DSM", "DTM"))), (k % 3 + 1).cast("int"))
+    catalog = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.floor(k / 3).alias("site"), k.alias("raster"), kind.alias("type"), F.when(k % 7 == 0, 101).otherwise(100).alias("w"), F.lit(80).alias("h"),
+        F.when(k % 11 == 0, 0.5).otherwise(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(0.1).alias("gsd"),
+    )
+    return rasters_qc.misaligned(catalog, "site", "w", "h")
+
+
+@query("boundary_network", f"""WITH {PARCELS}, e AS (SELECT x0 AS ax, y0 AS ay, x1 AS bx, y0 AS "by" FROM parcels UNION ALL SELECT x1, y0, x1, y1 FROM parcels),
+g AS (SELECT a.x1 AS ax, a.y1 AS ay, b.x0 AS bx, b.y0 AS "by" FROM parcels a JOIN parcels b ON b.id = a.id + 1 AND b.y0 = a.y0)
+SELECT DISTINCT ax, ay, bx, "by" FROM (SELECT * FROM e UNION ALL SELECT * FROM g UNION ALL SELECT x0, y0 - 1, x1, y0 - 1 FROM parcels WHERE id % 9 = 0) WHERE ay <> "by" OR ax <> bx""")
+def boundary_network(spark, sf_dir):
+    """Boundary segments, bridges and outlines of roads as one network without repeats."""
+    p = parcels(spark, sf_dir)
+    side = lambda df, ax, ay, bx, by: df.select(ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    after = p.select((F.col("id") - 1).alias("id"), x0.alias("b_x"), y0.alias("b_y"))
+    gaps = p.join(after, "id").where("b_y = y0").select(x1.alias("a_x"), y1.alias("a_y"), "b_x", "b_y")
+    found = network.boundary_lines(side(p, x0, y0, x1, y0).unionByName(side(p, x1, y0, x1, y1)), gaps, side(p.where("id % 9 = 0"), x0, y0 - 1, x1, y0 - 1))
+    return found.drop("line")

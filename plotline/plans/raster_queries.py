@@ -391,3 +391,12 @@ def road_widths(spark, sf_dir):
     """Mean width of the mask along lines of pixels."""
     d = distances(spark, sf_dir).where("inside").select((F.col("row") % 40).alias("line"), "distance")
     return network.road_widths(d, 0.5).select("line", r6("width"))
+
+
+@query("epoch_means", f"""WITH {PIXELS}, b AS (SELECT row // 50 AS epoch, row // 7 AS batch, avg(abs(v)) AS loss, sum(CASE WHEN v > 0 THEN v END) AS s, count(CASE WHEN v > 0 THEN v END) AS n FROM pixels GROUP BY ALL)
+SELECT epoch::BIGINT AS epoch, round(avg(loss), 6) AS loss, round(sum(s) / sum(n), 6) AS iou FROM b GROUP BY epoch""")
+def epoch_means(spark, sf_dir):
+    """Losses by batch and scores by image, averaged per epoch."""
+    images = pixels(spark, sf_dir).select(F.floor(F.col("row") / 50).alias("epoch"), F.floor(F.col("row") / 7).alias("batch"), F.abs("v").alias("loss"), F.when(F.col("v") > 0, F.col("v")).alias("iou"))
+    found = evaluation.epoch_means(images, "epoch", "batch", "loss", ["iou"])
+    return found.select("epoch", r6("loss"), r6("iou"))

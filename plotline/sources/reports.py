@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plotline.operators.survey import scrubbed
 
@@ -18,3 +19,13 @@ def write_table(df: DataFrame, path: str) -> None:
 def write_report(df: DataFrame, path: str) -> None:
     """One JSON document per row; NaN and infinite numbers become null, and nulls are written."""
     scrubbed(df).write.json(path, ignoreNullFields=False)
+
+
+def read_manifest(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """The samples of one part of training manifests, a JSON document each: their ``image_path, mask_path`` and file.
+
+    A manifest holds ``splits``, arrays of samples by name; a missing part has no samples.
+    """
+    sample = "struct<image_path:string,mask_path:string>"
+    found = spark.read.schema(f"splits map<string,array<{sample}>>").json(path, multiLine=True).withColumn("manifest", F.col("_metadata.file_path"))
+    return found.select("manifest", F.explode(F.try_element_at("splits", F.lit(split))).alias("s")).select("manifest", "s.*")

@@ -363,3 +363,28 @@ def test_thick_blobs_are_thinned(spark):
     cells = [(i, j) for i in range(60) for j in range(90) if (i - 20) ** 2 + (j - 20) ** 2 < 300 or 40 <= i < 55]
     left = {(r["row"], r["col"]) for r in raster.thin(spark.createDataFrame(cells, "row int, col int")).collect()}
     assert 0 < len(left) < 200
+
+
+def test_masks_after_blending(spark):
+    df = spark.createDataFrame([(0.5, 1.2, 2.6), (0.51, -0.1, 3.4)], "mask double, closeness double, class double")
+    found = augmentation.rethresholded(df, ["mask"], "closeness", "class").collect()
+    assert [tuple(r) for r in found] == [(0.0, 1.0, 3), (1.0, 0.0, 3)]
+
+
+def test_manifests_of_splits(spark, tmp_path):
+    import json
+
+    from plotline.sources.reports import read_manifest
+
+    (tmp_path / "a.json").write_text(json.dumps({"name": "x", "splits": {"train": [{"image_path": "i0", "mask_path": "m0"}, {"image_path": "i1", "mask_path": "m1"}], "val": []}}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"splits": {"train": [{"image_path": "i2", "mask_path": None}]}}))
+    assert sorted(r["image_path"] for r in read_manifest(spark, str(tmp_path), "train").collect()) == ["i0", "i1", "i2"]
+    assert read_manifest(spark, str(tmp_path), "val").count() == 0 and read_manifest(spark, str(tmp_path), "test").count() == 0
+
+
+def test_sets_of_rasters_that_do_not_fit(spark):
+    from plotline.operators.rasters_qc import misaligned
+
+    rows = [(1, "ORI", 9, 9, 0.0), (1, "DSM", 9, 9, 0.0), (1, "DTM", 9, 9, 0.0), (2, "DSM", 9, 9, 0.0), (2, "DTM", 8, 9, 0.0), (3, "ORI", 9, 9, 0.5), (3, "DSM", 9, 9, 0.0), (3, "DTM", 9, 9, 0.0), (4, "DTM", 9, 9, 0.0), (5, "ORI", 1, 1, 0.0)]
+    df = spark.createDataFrame(rows, "site int, type string, w int, h int, x0 double").selectExpr("*", "0D AS y0", "0.1D AS gsd")
+    assert {tuple(r) for r in misaligned(df, "site", "w", "h").collect()} == {(2, "models of unlike shape"), (3, "models not on the image's grid")}
