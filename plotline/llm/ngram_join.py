@@ -101,7 +101,7 @@ def sketch(shingles: np.ndarray, band: int, most: int | None) -> tuple[np.ndarra
     sums = np.zeros(used, np.uint64)
     np.bitwise_xor.at(sums, place[kept], mix64(shingles[kept]))
     empty = np.bincount(place[kept], minlength=used) == 0
-    salt = np.uint64(2 * band + (most is None)) * np.uint64(0xD1B54A32D192ED03)
+    salt = np.uint64((2 * band + (most is None)) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
     keys = mix64(sums + salt + np.arange(used, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     if used < blocks:
         return keys[~empty], -1
@@ -283,7 +283,7 @@ def _compared(members: DataFrame, nearest: bool) -> DataFrame:
     return ordered.mapInArrow(run, "src long, dst long").distinct()
 
 
-def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int = MAX_BLOCKS, large_group: int = LARGE_GROUP) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int | None = MAX_BLOCKS, large_group: int = LARGE_GROUP) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id``: one row per row of ``df``.
 
     Two documents link when 100 * shared >= 80 * united distinct shingles of five words (``_text``); a
@@ -292,7 +292,8 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int =
     links, itself included. Rows that repeat an id are one node, linked where any of
     them is. A row without an id takes no
     part: its class and component are null. An empty table gives an empty result. Other columns are
-    ignored.
+    ignored. With ``max_blocks`` None all sketches are whole, and no link is missed with certainty; a set of n shingles
+    then has 0.28 n blocks or so, in each of its bands, where it has 40 at most otherwise.
     """
     texts = as_bytes(df, id_col, text_col)
     sketches = checkpointed(arrow_pass(texts, partial(_sketches, most=max_blocks), SKETCH_SCHEMA))

@@ -7,7 +7,7 @@ import pytest
 
 from plotline.llm import queries
 from plotline.llm.decontaminate import contained_items, exact_shingles, without_items
-from plotline.llm.ngram_join import similar_groups
+from plotline.llm.ngram_join import MAX_BLOCKS, similar_groups
 from plotline.llm.substring_dedup import drop_repeats
 from tests.llm.conftest import prose
 
@@ -54,10 +54,11 @@ def planted_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "most"), [(1, MAX_BLOCKS), (2, MAX_BLOCKS), (1, None)])
+def test_groups_equal_brute_force(spark, seed, most):
+    """The largest sets have whole sketches of more than a hundred blocks."""
     texts = planted_texts(seed)
-    found = similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text").collect()
+    found = similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", "text", most).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == components(texts)
 
 
