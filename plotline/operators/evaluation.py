@@ -82,10 +82,14 @@ def cross_entropy(logits: Column, label: Column, ignore: int = -1) -> Column:
     return F.avg(F.when(label != ignore, F.log(total) + top - F.get(logits, label)))
 
 
+def cosine_rate(epoch: Column, epochs: int, start: float, floor: float) -> Column:
+    """Learning rate at an epoch, falling along half a cosine."""
+    return floor + (start - floor) * (1 + F.cos(math.pi * epoch / epochs)) / 2
+
+
 def cosine_schedule(spark: SparkSession, epochs: int, start: float, floor: float) -> DataFrame:
-    """Learning rate by epoch, falling along half a cosine."""
-    rate = floor + (start - floor) * (1 + F.cos(math.pi * F.col("id") / epochs)) / 2
-    return spark.range(epochs).select(F.col("id").alias("epoch"), rate.alias("lr"))
+    """Learning rate by epoch."""
+    return spark.range(epochs).select(F.col("id").alias("epoch"), cosine_rate(F.col("id"), epochs, start, floor).alias("lr"))
 
 
 def best_epoch(history: DataFrame, score: str = "f1", epoch: str = "epoch") -> DataFrame:

@@ -104,13 +104,18 @@ def overview_pyramid(spark, sf_dir):
     return raster.overviews(pixels(spark, sf_dir), 4).select("level", "row", "col", r6("v"))
 
 
-OFFSETS = "o(off) AS (SELECT unnest([0, 48, 96, 144, 176]))"
 
 
-@query("tile_index", f"""WITH {OFFSETS} SELECT (row_number() OVER (ORDER BY r.off, c.off) - 1)::INTEGER AS tile_id, c.off::INTEGER AS col_off, r.off::INTEGER AS row_off, 64 AS width, 64 AS height,
-  500000 + c.off * 0.05::DOUBLE AS minx, 500000 + (c.off + 64) * 0.05::DOUBLE AS maxx, 2000000 - r.off * 0.05::DOUBLE AS maxy, 2000000 - (r.off + 64) * 0.05::DOUBLE AS miny FROM o r, o c""")
+@query("tile_index", f"""WITH {PIXELS}, h AS (SELECT max(row) + 1 AS h FROM pixels), ro AS (SELECT DISTINCT least(g, h - 24) AS r0 FROM h, (SELECT unnest(generate_series(0, 2000000, 18)) AS g) WHERE g < h - 24 + 18),
+co AS (SELECT unnest([0, 18, 36, 40]) AS c0), t AS (SELECT (row_number() OVER (ORDER BY r0, c0) - 1)::INTEGER AS tile_id, r0, c0 FROM ro, co)
+SELECT tile_id, any_value(c0)::INTEGER AS col_off, any_value(r0)::INTEGER AS row_off, 500000 + any_value(c0) * 0.05::DOUBLE AS minx, 2000000 - any_value(r0) * 0.05::DOUBLE AS maxy, count(*) AS pixels, count(*) FILTER (v > 0.05::DOUBLE) AS set_pixels
+FROM t JOIN pixels ON row BETWEEN r0 AND r0 + 23 AND col BETWEEN c0 AND c0 + 23 GROUP BY tile_id""")
 def tile_index(spark, sf_dir):
-    return tiling.tiles(spark, 240, 240, 64, 0.25, 500000.0, 2000000.0, 0.05)
+    """Tiles over the raster with their place and the pixels that they hold."""
+    p = pixels(spark, sf_dir)
+    height = p.agg(F.max("row")).first()[0] + 1
+    placed = tiling.tiled_pixels(p, tiling.tiles(spark, WIDTH, height, 24, 0.25, 500000.0, 2000000.0, 0.05))
+    return placed.groupBy("tile_id", "col_off", "row_off", "minx", "maxy").agg(F.count("*").alias("pixels"), F.count(F.when(F.col("v") > 0.05, 1)).alias("set_pixels"))
 
 
 def stitch_sql(weight: str) -> str:
@@ -338,9 +343,12 @@ def tta_mean(spark, sf_dir):
     return evaluation.flipped_mean(p, WIDTH, height, p.withColumn("v", F.col("v") + 1), p.withColumn("v", F.col("v") - 2)).select("row", "col", r6("v"))
 
 
-@query("lr_schedule", "SELECT t AS epoch, round(1e-6 + (3e-4 - 1e-6) * (1 + cos(pi() * t / 50)) / 2, 9) AS lr FROM (SELECT unnest(generate_series(0, 49)) AS t)")
+@query("lr_schedule", "SELECT doc_id % 50 AS epoch, count(*) AS samples, round(1e-6 + (3e-4 - 1e-6) * (1 + cos(pi() * (doc_id % 50) / 50)) / 2, 9) AS lr FROM labels GROUP BY doc_id % 50")
 def lr_schedule(spark, sf_dir):
-    return evaluation.cosine_schedule(spark, 50, 3e-4, 1e-6).withColumn("lr", F.round("lr", 9))
+    """Learning rate of every epoch that labels are dealt to, and their number."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select((F.col("doc_id") % 50).alias("epoch"))
+    counts = labels.groupBy("epoch").agg(F.count("*").alias("samples"))
+    return counts.select("epoch", "samples", F.round(evaluation.cosine_rate(F.col("epoch"), 50, 3e-4, 1e-6), 9).alias("lr"))
 
 
 @query("best_checkpoint", "SELECT row_ AS epoch, f1 FROM (SELECT doc_id AS row_, CAST(doc_id % 37 AS DOUBLE) / 37::DOUBLE AS f1 FROM labels) ORDER BY f1 DESC, epoch LIMIT 1")

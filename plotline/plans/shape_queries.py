@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from plotline.functions.geometry import box_ring, ring_bounds
 from plotline.functions.projection import ALPHA, FALSE_EASTING, RADIUS, SCALE, N, central_meridian
-from plotline.operators import arrangement, augmentation, burning, faces, healing, network, raster, tracing, vectorise, watershed
+from plotline.operators import arrangement, augmentation, burning, delineation, faces, healing, network, raster, tracing, vectorise, watershed
 from plotline.operators.spatial_join import meeting_pairs
-from plotline.plans.parcel_queries import AREA, CUTS, PAIRS, turned
+from plotline.plans.parcel_queries import AREA, CUTS, PAIRS, network_lines, turned
 from plotline.plans.raster_queries import r6
 from plotline.plans.relations import PARCELS, PIXELS, parcels, pixels
 
@@ -260,3 +260,33 @@ def augmented_chips(spark, sf_dir):
     kept = p.join(F.broadcast(whole), F.floor(F.col("row") / SIZE) < F.col("whole"))
     chips = kept.select(chip.alias("chip"), (F.col("row") % SIZE).alias("row"), (F.col("col") % SIZE).alias("col"), red.alias("red"), (F.col("v") > 0.05).cast("int").alias("mask"))
     return augmentation.augmented(chips, ["red"], SIZE, SEED).select("chip", "row", "col", F.round("red", 6).alias("red"), "mask")
+
+
+# SQL can't express the watershed; footprints are tested on fixtures.
+@query("building_footprints")
+def building_footprints(spark, sf_dir):
+    """Footprints of the blobs of a mask: instances, polygons, squared shells, confidence and height."""
+    mask = raster.dilate(pixels(spark, sf_dir).select("row", "col", F.when(F.col("v") > 0.15, 0.5 + F.col("v")).otherwise(0.0).alias("v")))
+    p = mask.withColumnRenamed("v", "p").join(pixels(spark, sf_dir), ["row", "col"]).select("row", "col", "p", (20 * F.col("v")).alias("height"))
+    found = delineation.footprints(p)
+    return found.select("region", F.size("rings").alias("rings"), r6("area"), "confidence", "height")
+
+
+@query("delineated_parcels", """WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 10 <> 9), top AS (SELECT max(k // 50) + 1 AS n FROM p),
+c AS (SELECT i.i + 50 * j.j AS k FROM (SELECT unnest(generate_series(0, 49)) AS i) i, (SELECT unnest(generate_series(0, (SELECT n - 1 FROM top))) AS j) j),
+d AS (SELECT c.k, p.k IS NOT NULL AND c.k % 7 = 0 AS cut, p.k IS NOT NULL AND c.k % 5 = 0 AS house, p.k IS NOT NULL AND c.k % 17 = 0 AS road FROM c LEFT JOIN p USING (k)),
+f AS (SELECT 400::DOUBLE AS area, 80::DOUBLE AS perimeter, house::INTEGER AS buildings FROM d WHERE NOT cut AND NOT road
+  UNION ALL SELECT 200, 40 + sqrt(800), house::INTEGER FROM d WHERE cut UNION ALL SELECT 200, 40 + sqrt(800), 0 FROM d WHERE cut AND NOT road),
+m AS (SELECT *, 4 * pi() * area / (perimeter * perimeter) AS compact FROM f), s AS (SELECT *, least(0.95::DOUBLE, greatest(0.5::DOUBLE, 0.7::DOUBLE * compact + CASE WHEN buildings > 0 THEN 0.25::DOUBLE ELSE 0.1::DOUBLE END)) AS conf FROM m)
+SELECT round(area, 2) AS area, round(perimeter, 2) AS perimeter, round(compact, 4) AS compactness, buildings::BIGINT AS buildings, round(conf, 4) AS confidence, conf < 0.65::DOUBLE AS needs_gt FROM s""")
+def delineated_parcels(spark, sf_dir):
+    """Parcels from a network with diagonals and dead ends: faces that are mostly road go, houses count where they lie."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("long").alias("k")).where("k % 10 <> 9")
+    x, y = ((F.col("k") % 50) * 20).cast("double"), (F.floor(F.col("k") / 50) * 20).cast("double")
+    at = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    block = lambda a, b, c, d: F.array(F.array(at(a, b), at(c, b), at(c, d), at(a, d)))
+    houses = p.where("k % 5 = 0").select(F.col("k").alias("id"), block(8, 2, 12, 4).alias("rings"))
+    # Two strips that overlap cover seven tenths of a cell, and of its upper half nine tenths or so.
+    roads = p.where("k % 17 = 0").select(F.col("k").alias("line"), F.explode(F.array(block(0, 0, 10, 20), block(5, 0, 14, 20))).alias("rings"))
+    found = delineation.delineated(network_lines(spark, sf_dir), 20.0, roads, houses)
+    return found.select("area", "perimeter", "compactness", "buildings", "confidence", "needs_gt")
