@@ -62,8 +62,8 @@ def _extent(df: DataFrame) -> DataFrame:
     return df.withColumns({"x0": low("ax", "bx"), "y0": low("ay", "by"), "x1": high("ax", "bx"), "y1": high("ay", "by")})
 
 
-#: Cells per axis, about, into which a shape's extent is cut by its segments' number.
-MOST_CELLS = 256
+#: Cells per axis at most into which a shape's extent is cut by its segments' number; empty cells cost nothing.
+MOST_CELLS = 1 << 16
 
 
 def _cells(segments: DataFrame) -> DataFrame:
@@ -191,9 +191,9 @@ def stitched(edges: DataFrame) -> DataFrame:
     crossed = known.groupBy("shape", "bx", "by").agg(F.count("*").alias("n")).where("n > 1")
     if crossed.head(1):
         links = _parted(known, links)
-    final = known.join(ranked(links).select("link", F.col("chain").alias("ring"), "seq"), "link")
-    area = F.sum((F.col("ax") - F.col("bx")) * (F.col("ay") + F.col("by"))).over(Window.partitionBy("ring")) / 2
-    return final.select("shape", "ring", "seq", F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("u"), F.col("by").alias("v"), area.alias("area"))
+    final = written(known.join(ranked(links).select("link", F.col("chain").alias("ring"), "seq"), "link"))
+    areas = final.groupBy("ring").agg((F.sum((F.col("ax") - F.col("bx")) * (F.col("ay") + F.col("by"))) / 2).alias("area"))
+    return final.join(areas, "ring").select("shape", "ring", "seq", F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("bx").alias("u"), F.col("by").alias("v"), "area")
 
 
 def _crossing() -> Column:

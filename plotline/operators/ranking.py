@@ -6,7 +6,7 @@ logarithm of the longest chain; a round is one join of the links with themselves
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotline.operators.checkpoints import written
@@ -47,7 +47,9 @@ def ranked(links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    whole = Window.partitionBy("chain")
-    open_ = state.where("ptr is null").select("link", F.col("last").alias("chain"), "steps").withColumn("seq", F.max("steps").over(whole) - F.col("steps"))
-    rings = state.where("ptr is not null").select("link", F.col("low").alias("chain"), "at").withColumn("n", F.count("*").over(whole))
-    return open_.select("link", "chain", "seq", F.lit(False).alias("ring")).unionByName(rings.select("link", "chain", F.pmod(F.col("n") - F.col("at"), F.col("n")).alias("seq"), F.lit(True).alias("ring")))
+    ring = F.col("ptr").isNotNull()
+    placed = state.select("link", F.when(ring, F.col("low")).otherwise(F.col("last")).alias("chain"), "steps", "at", ring.alias("ring"))
+    # Counts are combined before they travel, and Spark can split a join of a long chain.
+    lengths = placed.groupBy("chain", "ring").agg(F.count("*").alias("n"), F.max("steps").alias("most"))
+    seq = F.when(F.col("ring"), F.pmod(F.col("n") - F.col("at"), F.col("n"))).otherwise(F.col("most") - F.col("steps"))
+    return placed.join(lengths, ["chain", "ring"]).select("link", "chain", seq.alias("seq"), "ring")
