@@ -68,5 +68,11 @@ def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     found = spark.read.schema(df.schema).parquet(folder)
     found._table_folder = folder
     if instead_of is not None:
-        remove_folder(spark, instead_of._table_folder)
+        release(instead_of)
     return found
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table of a frame that ``written`` returned, once nothing reads it; other frames stay as they are."""
+    if folder := getattr(df, "_table_folder", None):
+        remove_folder(df.sparkSession, folder)

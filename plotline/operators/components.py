@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotline.operators.checkpoints import checkpointed
+from plotline.operators.checkpoints import checkpointed, release
 
 MAX_ROUNDS = 60
 
@@ -57,7 +57,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", c
     before = _fingerprint(current)
     if before[0]:
         for _ in range(MAX_ROUNDS):
-            current = cut(_small_star(_large_star(current)))
+            last, current = current, cut(_small_star(_large_star(current)))
+            release(last)
             after = _fingerprint(current)
             if after == before:
                 break
