@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotline.llm._text import arrow_pass, as_bytes, list_of, mix64, shingle_set
-from plotline.operators.checkpoints import checkpointed
+from plotline.operators.checkpoints import checkpointed, written
 from plotline.operators.components import connected_components
 
 #: Similarity 0.8 as a ratio of whole numbers, so that the test is exact.
@@ -340,7 +340,7 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int |
     pairs = kept.join(centres.select("key", F.col("c.doc_id").alias("src"), F.col("c.n").alias("m")), "key").where((F.col("doc_id") != F.col("src")) & sizes_fit)
     near = checkpointed(_near(pairs.select("src", F.col("doc_id").alias("dst"), "m", "n"), bits))
     links = checkpointed(_verified(near, needed))
-    parts = connected_components(links)
+    parts = connected_components(links, cut=written)
 
     done = near
     for nearest in (True, False):
@@ -355,7 +355,7 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int |
         rest = checkpointed(_compared(members.join(open_keys, "key").join(bits, "doc_id"), nearest).join(done, ["src", "dst"], "left_anti"))
         found = checkpointed(_verified(rest, needed))
         done = done.unionByName(rest)
-        parts = connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found))
+        parts = connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found), cut=written)
     named = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         *member, "class_id", F.coalesce("component", "class_id").alias("component_id")
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotline.llm._text import arrow_pass, hash_shingles, hash_words, words_of
+from plotline.llm._text import arrow_pass, give_back, hash_shingles, hash_words, words_of
 from plotline.operators.checkpoints import checkpointed
 
 #: Documents that the scorer is fitted on, at most; chosen by a hash of the row from all documents.
@@ -227,6 +227,8 @@ def train(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, entri
     chosen = drawn.withColumn("upto", upto).where(F.col("upto") <= entries).select("votes", "buckets", "values").toArrow()
     columns = (chosen.column(c).to_pylist() for c in ("votes", "buckets", "values"))
     fitted = fit_scorer([(np.frombuffer(b, np.int32), np.frombuffer(v, np.float32), posterior[p]) for p, b, v in zip(*columns, strict=True)])
+    del chosen, columns
+    give_back()
     return model, fitted
 
 
