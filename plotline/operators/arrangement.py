@@ -36,24 +36,26 @@ def nonzero(w: Column) -> Column:
     return w > 0
 
 
-def ring_segments(shapes: DataFrame, shape: str, rings: Column, side: int = 0, turn: bool = True) -> DataFrame:
+def ring_segments(shapes: DataFrame, shape: str, rings: Column, side: int | None = 0, turn: bool = True) -> DataFrame:
     """``shape, side, ax, ay, bx, by`` of an array of rings, the first the shell, the others its holes.
 
     With ``turn`` shells run counter-clockwise and holes clockwise, whichever way they are given. Rings may
-    be closed or not; vertices are rounded; null vertices and rings are left out.
+    be closed or not; vertices are rounded; vertices that are null, infinite or no number and null rings are left
+    out. Without a ``side`` each ring's number is its own.
     """
     numbered = shapes.select(F.col(shape).cast("long").alias("shape"), F.posexplode(rings).alias("part", "ring"))
     at = lambda v, c: F.round(v[c], DIGITS) + 0.0
-    ring = F.filter(F.transform("ring", lambda v: F.struct(at(v, "x").alias("x"), at(v, "y").alias("y"))), lambda v: v["x"].isNotNull() & v["y"].isNotNull() & ~F.isnan(v["x"]) & ~F.isnan(v["y"]))
+    ring = F.filter(F.transform("ring", lambda v: F.struct(at(v, "x").alias("x"), at(v, "y").alias("y"))), lambda v: v["x"].isNotNull() & v["y"].isNotNull() & (F.abs(v["x"]) < float("inf")) & (F.abs(v["y"]) < float("inf")))
     held = numbered.withColumn("ring", ring).where(F.size("ring") > 1)
-    after = F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1))
+    after = F.concat(F.slice("ring", 2, F.greatest(F.size("ring") - 1, F.lit(0))), F.slice("ring", 1, 1))
     edges = F.zip_with("ring", after, lambda p, q: F.struct(p["x"].alias("ax"), p["y"].alias("ay"), q["x"].alias("bx"), q["y"].alias("by")))
     made = held.withColumn("edges", edges)
     if turn:
         area = F.aggregate("edges", F.lit(0.0), lambda s, e: s + (e["ax"] - e["bx"]) * (e["ay"] + e["by"]))
         back = lambda e: F.struct(e["bx"].alias("ax"), e["by"].alias("ay"), e["ax"].alias("bx"), e["ay"].alias("by"))
         made = made.withColumn("edges", F.when((area > 0) == (F.col("part") == 0), F.col("edges")).otherwise(F.transform("edges", back)))
-    return made.select("shape", F.lit(side).alias("side"), F.explode("edges").alias("e")).select("shape", "side", "e.*").where("ax <> bx or ay <> by")
+    own = F.col("part") if side is None else F.lit(side)
+    return made.select("shape", own.alias("side"), F.explode("edges").alias("e")).select("shape", "side", "e.*").where("ax <> bx or ay <> by")
 
 
 def _extent(df: DataFrame) -> DataFrame:

@@ -42,13 +42,26 @@ def healed_overlaps(parcels: DataFrame, cell: float, tolerance: float = 0.05) ->
     as 0.5.
     """
     known = written(parcels.select("id", "rings", F.coalesce("conf", F.lit(0.5)).alias("conf")))
-    pairs = overlaps(known, cell).where(F.col("shared") > tolerance)
+    lost = written(losers(overlaps(known, cell).where(F.col("shared") > tolerance)))
+    return healed(known, lost, remains(known, lost))
+
+
+def losers(pairs: DataFrame) -> DataFrame:
+    """``id, above``: of each pair the parcel that gives way, and the one that keeps the overlap."""
     first = F.col("a_conf") >= F.col("b_conf")
-    lost = written(pairs.select(F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("id"), F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("above")))
+    return pairs.select(F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("id"), F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("above"))
+
+
+def remains(known: DataFrame, lost: DataFrame) -> DataFrame:
+    """``id, rings, area``, a row per part: what parcels keep that give way; written. One that keeps nothing has no row."""
     own = known.join(lost.select("id").distinct(), "id", "left_semi")
     above = lost.join(known.select(F.col("id").alias("above"), "rings"), "above")
     segments = ring_segments(own, "id", F.col("rings"), 0).unionByName(ring_segments(above, "id", F.col("rings"), 1))
-    cut = written(combined(segments, lambda mine, theirs: nonzero(mine) & ~nonzero(theirs), 2).select(F.col("shape").alias("id"), "rings", "area"))
+    return written(combined(segments, lambda mine, theirs: nonzero(mine) & ~nonzero(theirs), 2).select(F.col("shape").alias("id"), "rings", "area"))
+
+
+def healed(known: DataFrame, lost: DataFrame, cut: DataFrame) -> DataFrame:
+    """``id, rings, area, clips``: the parts in ``cut``, and as they were the parcels that have none there."""
     clips = lost.groupBy("id").agg(F.count("*").alias("clips"))
     whole = known.join(cut.select("id").distinct(), "id", "left_anti").join(clips, "id", "left")
     stays = whole.select("id", "rings", polygon_area(F.col("rings")).alias("area"), F.coalesce("clips", F.lit(0)).cast("long").alias("clips"))

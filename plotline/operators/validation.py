@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotline.functions.geometry import BOX, aspect, box_area, box_perimeter, compactness, iou, iou_above, shared_area
@@ -67,19 +67,30 @@ def invalid_rule(parcels: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def overlap_rule(parcels: DataFrame, pairs: DataFrame) -> DataFrame:
-    found = overlap_pairs(pairs)
+def overlap_issues(found: DataFrame) -> DataFrame:
+    """Issues of pairs ``a_id, b_id`` that share the area ``shared``."""
     return _pair_issue(found, 2, "overlap", F.format_string("overlap of %.2f sqm", F.round("shared", 2)), "clip_overlap")
 
 
-def duplicate_rule(parcels: DataFrame, pairs: DataFrame) -> DataFrame:
-    found = duplicate_pairs(pairs)
+def overlap_rule(parcels: DataFrame, pairs: DataFrame) -> DataFrame:
+    return overlap_issues(overlap_pairs(pairs))
+
+
+def duplicate_issues(found: DataFrame) -> DataFrame:
+    """Issues of pairs ``a_id, b_id`` that are one parcel by their ``iou``."""
     return _pair_issue(found, 3, "duplicate", F.format_string("IoU %.3f", F.round("iou", 3)), "merge_duplicate")
 
 
+def duplicate_rule(parcels: DataFrame, pairs: DataFrame) -> DataFrame:
+    return duplicate_issues(duplicate_pairs(pairs))
+
+
 def shape_rule(parcels: DataFrame, pairs: DataFrame) -> DataFrame:
+    return shape_issues(parcels, box_area(), aspect(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+
+
+def shape_issues(parcels: DataFrame, area: Column, ratio: Column) -> DataFrame:
     """Slivers by area and needles by aspect; a parcel may be both."""
-    area, ratio = box_area(), aspect(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     of = lambda rule, kind, message, fix: [
         F.lit(rule).alias("rule"), F.col("id").alias("first_id"), F.lit(None).cast("long").alias("second_id"), F.lit(kind).alias("type"), F.lit("warning").alias("severity"),
         F.col("id").cast("string").alias("feature_ids"), message.alias("message"), F.lit(fix).alias("auto_fix"),
@@ -102,6 +113,11 @@ def issues(parcels: DataFrame, rules=RULES) -> DataFrame:
     for rule in rules:
         part = rule(parcels, pairs)
         found = part if found is None else found.unionByName(part)
+    return keyed(found)
+
+
+def keyed(found: DataFrame) -> DataFrame:
+    """Issues with ``issue_key``."""
     return found.withColumn("issue_key", F.format_string("issue_%d_%05d_%05d", "rule", "first_id", F.coalesce("second_id", F.lit(0))))
 
 
@@ -171,7 +187,13 @@ def heal_duplicates(parcels: DataFrame, threshold: float = DUPLICATE_IOU, folded
     that no earlier parcel has dropped. Parcels that pairs link, directly or not, are one component; those of up to
     ``folded`` pairs are folded in one task each, the others in rounds over all of them.
     """
-    pairs = checkpointed(duplicate_pairs(candidate_pairs(parcels), threshold).select("a_id", "b_id", (F.col("a_conf") >= F.col("b_conf")).alias("keep_a")))
+    pairs = duplicate_pairs(candidate_pairs(parcels), threshold).select("a_id", "b_id", (F.col("a_conf") >= F.col("b_conf")).alias("keep_a"))
+    return parcels.join(dropped_duplicates(pairs, folded), "id", "left_anti")
+
+
+def dropped_duplicates(pairs: DataFrame, folded: int = FOLDED) -> DataFrame:
+    """``id`` of the parcels that the fold over duplicates ``a_id, b_id, keep_a`` drops, as in ``heal_duplicates``."""
+    pairs = checkpointed(pairs)
     parts = connected_components(pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))).select(F.col("node").alias("a_id"), "component")
     placed = pairs.join(parts, "a_id")
     sizes = checkpointed(placed.groupBy("component").agg(F.count("*").alias("n")))
@@ -179,7 +201,7 @@ def heal_duplicates(parcels: DataFrame, threshold: float = DUPLICATE_IOU, folded
     large = sizes.where(F.col("n") > folded)
     if large.head(1):
         dropped = dropped.unionByName(_dropped_in_rounds(checkpointed(placed.join(large, "component").select("a_id", "b_id", "keep_a"))))
-    return parcels.join(dropped.distinct(), "id", "left_anti")
+    return dropped.distinct()
 
 
 def clipped_overlaps(parcels: DataFrame, tolerance: float = OVERLAP_AREA) -> DataFrame:

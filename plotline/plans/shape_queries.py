@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from plotline.functions.geometry import box_ring, ring_bounds
 from plotline.functions.projection import ALPHA, FALSE_EASTING, RADIUS, SCALE, N, central_meridian
-from plotline.operators import arrangement, augmentation, burning, delineation, faces, healing, network, raster, tracing, vectorise, watershed
+from plotline.operators import arrangement, augmentation, burning, delineation, faces, healing, network, polygon_rules, raster, tracing, vectorise, watershed
 from plotline.operators.spatial_join import meeting_pairs
-from plotline.plans.parcel_queries import AREA, CUTS, PAIRS, network_lines, turned
+from plotline.plans.parcel_queries import AREA, CUTS, ISSUES, PAIRS, network_lines, turned
 from plotline.plans.raster_queries import r6
 from plotline.plans.relations import PARCELS, PIXELS, parcels, pixels
 
@@ -125,6 +125,49 @@ def healed_rings(spark, sf_dir):
     return found.groupBy("id").agg(F.max("clips").alias("clips"), F.round(F.sum("area"), 4).alias("area"))
 
 
+def faulty(spark, sf_dir):
+    """Turned parcels, of which some have no shell, some two corners exchanged, some a hole beside the shell, both far from the rest."""
+    p, k = aslant(spark, sf_dir).select("id", "conf", "ring"), F.col("id") % 130
+    moved = lambda ring, dx, dy: F.transform(ring, lambda v: F.struct((v["x"] + dx).alias("x"), (v["y"] + dy).alias("y")))
+    bow = F.array(*[F.get(moved("ring", 0, -5000), F.lit(i)) for i in (0, 3, 1, 2)])
+    beside = F.array(moved("ring", 0, -9000), moved("ring", 100, -9000))
+    return p.select("id", "conf", F.when(k == 5, F.array(bow)).when(k == 20, None).when(k == 35, beside).otherwise(F.array("ring")).alias("rings"))
+
+
+FAULTY = PARCELS.replace("parcels AS", "every AS", 1) + ", whole AS (SELECT * FROM every WHERE id % 130 NOT IN (5, 20, 35))"
+# Duplicates of this relation are disjoint pairs, for which the fold is a comparison.
+KEPT = f"""{PAIRS.replace("parcels", "whole").replace("pairs AS", "all_pairs AS", 1)},
+gone AS (SELECT CASE WHEN a_conf >= b_conf THEN b_id ELSE a_id END AS id FROM all_pairs WHERE iou > 0.95::DOUBLE),
+parcels AS (SELECT * FROM whole WHERE id NOT IN (SELECT id FROM gone)), {PAIRS}, {CUTS}"""
+
+
+@query("polygon_issues", f"""WITH {FAULTY}, parcels AS (SELECT * FROM whole), {PAIRS}, {ISSUES}, f AS (
+SELECT * FROM issues UNION ALL
+SELECT 1, id, NULL, 'invalid', 'error', id::VARCHAR, CASE id % 130 WHEN 5 THEN 'ring meets itself' WHEN 20 THEN 'no geometry' ELSE 'rings overlap' END,
+  CASE id % 130 WHEN 20 THEN 'delete' ELSE 'make_valid' END FROM every WHERE id % 130 IN (5, 20, 35))
+SELECT *, printf('issue_%d_%05d_%05d', rule, first_id, coalesce(second_id, 0)) AS issue_key FROM f""")
+def polygon_issues(spark, sf_dir):
+    """All rules on polygons in any position, some of which are not valid."""
+    return polygon_rules.polygon_issues(faulty(spark, sf_dir), 40.0)
+
+
+@query("auto_fixed_polygons", f"""WITH {FAULTY}, {KEPT}
+SELECT id, coalesce(clips, 0) AS clips, round(coalesce(area, {AREA}), 4) AS area FROM parcels LEFT JOIN left_ USING (id) LEFT JOIN n USING (id)
+UNION ALL SELECT id, 0, round(CASE id % 130 WHEN 5 THEN 0.5::DOUBLE WHEN 20 THEN 0::DOUBLE ELSE 2::DOUBLE END * {AREA}, 4) FROM every WHERE id % 130 IN (5, 20, 35)""")
+def auto_fixed_polygons(spark, sf_dir):
+    """Polygons after repair, removal of duplicates and clipping."""
+    found, _ = polygon_rules.auto_fixed(faulty(spark, sf_dir), 40.0)
+    return found.groupBy("id").agg(F.max("clips").alias("clips"), F.round(F.sum("area"), 4).alias("area"))
+
+
+@query("auto_fix_audit", f"""WITH {FAULTY}, {KEPT}
+SELECT id, 'make_valid' AS action, NULL::BIGINT AS against FROM every WHERE id % 130 IN (5, 35) UNION ALL SELECT id, 'drop_duplicate', NULL FROM gone
+UNION ALL SELECT id, 'clip_overlap', other FROM over WHERE id IN (SELECT id FROM left_)""")
+def auto_fix_audit(spark, sf_dir):
+    """What the automatic fixes did to which polygon."""
+    return polygon_rules.auto_fixed(faulty(spark, sf_dir), 40.0)[1]
+
+
 @query("merged_sliver_rings", f"""WITH {PARCELS}, m AS (
   SELECT *, {AREA} AS area, {AREA} < 15 OR 4 * pi() * {AREA} / pow(2 * ((x1 - x0) + (y1 - y0)), 2) < 0.05::DOUBLE AS sliver FROM parcels), p AS (
   SELECT a.id, b.id AS n, a.area, greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) AS w, greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS h

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plotline.operators import arrangement, augmentation, burning, faces, healing, network, raster, tracing, vectorise, watershed
+from plotline.operators import arrangement, augmentation, burning, faces, healing, network, polygon_rules, raster, tracing, vectorise, watershed
 from plotline.operators.ranking import ranked
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -175,6 +175,50 @@ def test_healing_of_polygons(spark):
     assert found == {1: [(25.0, 0, 1)] * 2, 2: [(100.0, 0, 1)], 3: [(80.0, 1, 1)], 4: [(100.0, 0, 1)], 5: [(9.0, 1, 1)], 6: [(64.0, 0, 2)], 7: [(4.0, 0, 1)]}
 
 
+def test_reasons_for_polygons_that_are_not_valid(spark):
+    """One polygon per reason, and valid ones that look alike: touching holes, closed rings, repeated vertices."""
+    nan, diamond = float("nan"), [(0, 5), (5, 0), (10, 5), (5, 10)]
+    cases = [
+        (None, None), ([], None), (shape([]), None), (shape(square(0, 0, 4)), None), (shape([(0, 0), (4, 0), (4, 0), (4, 4), (0, 4), (0, 0)]), None),
+        (shape([(0, 0), (nan, 1), (4, 4)]), None), (shape([(0, 0), (float("inf"), 1), (4, 4)]), None), (shape([(0, 0), (4, 4), (0, 0)]), None), (shape(square(0, 0, 4), [(1, 1), (2, 2)]), None),
+        (shape([(0, 0), (0, 2), (2, 0), (2, 2)]), (1, 1)), (shape([(0, 0), (4, 0), (4, 4), (2, 4), (2, 6), (2, 4), (0, 4)]), (2, 4)), (shape([(0, 0), (1, 1), (2, 2)]), (1, 1)),
+        (shape([(0, 0), (4, 0), (2, 2), (4, 4), (0, 4), (2, 2)]), (2, 2)), (shape(square(0, 0, 10), [(0, 5), (5, 2), (5, 8)]), None), (shape(square(0, 0, 10), square(2, 2, 3), square(6, 6, 2)), None),
+        (shape(square(0, 0, 10), square(2, 2, 3), square(3, 3, 1)), (3, 3)), (shape(square(0, 0, 10), square(20, 0, 3)), (20, 0)), (shape(square(0, 0, 10), square(8, 2, 4)), (10, 2)),
+        (shape(square(0, 0, 10), square(7, 2, 3)), (7, 2)), (shape(square(0, 0, 10), diamond), (0, 5)), (shape(square(0, 0, 10), square(2, 2, 2), square(4, 4, 2)), None),
+        (shape(square(0, 0, 10), [(0, 5), (5, 2), (5, 5)], [(5, 5), (10, 5), (5, 8)]), (0, 5)), (shape(square(0, 0, 10), []), None),
+    ]
+    rows = [(i, rings) for i, (rings, _) in enumerate(cases)]
+    found = {r["id"]: r for r in polygon_rules.faults(spark.createDataFrame(rows, f"id long, rings {RINGS}")).collect()}
+    none, number, few, meets, over, apart = polygon_rules.FAULTS
+    assert {k: r["fault"] for k, r in found.items()} == {0: none, 1: none, 2: none, 5: number, 6: number, 7: few, 8: few, 9: meets, 10: meets, 11: meets, 12: meets, 15: over, 16: over, 17: over, 18: over, 19: apart, 21: apart}
+    for k, (_, at) in enumerate(cases):
+        if at and k != 18:
+            assert (found[k]["x"], found[k]["y"]) == at, k
+    assert polygon_rules.faults(spark.createDataFrame([], f"id long, rings {RINGS}")).count() == 0
+
+
+def test_automatic_fixes_of_polygons(spark):
+    """A figure of eight over a parcel, a duplicate of lower confidence that overlaps a third parcel, one wholly covered, ones beyond repair."""
+    rows = [
+        (1, shape([(0, 0), (0, 10), (10, 0), (10, 10)]), 0.5), (2, shape(square(-5, 0, 7, 10)), 0.9), (3, shape(square(100, 0, 10)), 0.4), (4, shape(square(100, 0, 10, 10.1)), 0.8),
+        (5, shape(square(109, 0, 10)), 0.6), (6, shape(square(200, 0, 10)), 0.9), (7, shape(square(202, 2, 2)), None), (8, None, 0.5), (9, shape([(0, 0), (1, 1)]), 0.5), (10, shape(square(300, 0, 1)), 0.5),
+    ]
+    parcels = spark.createDataFrame([(*r, "x") for r in rows], f"id long, rings {RINGS}, conf double, area string")
+    fixed, audit = polygon_rules.auto_fixed(parcels, 20.0)
+    found = {}
+    for r in fixed.collect():
+        found.setdefault(r["id"], []).append((round(r["area"], 6), r["clips"]))
+    assert {k: sorted(v) for k, v in found.items()} == {1: [(9.0, 1), (25.0, 1)], 2: [(70.0, 0)], 4: [(101.0, 0)], 5: [(90.0, 1)], 6: [(100.0, 0)], 7: [(4.0, 1)], 8: [(0.0, 0)], 9: [(0.0, 0)], 10: [(1.0, 0)]}
+    assert {tuple(r) for r in audit.collect()} == {(1, "make_valid", None), (3, "drop_duplicate", None), (1, "clip_overlap", 2), (5, "clip_overlap", 4)}
+    issues = {(r["rule"], r["feature_ids"], r["message"]) for r in polygon_rules.polygon_issues(parcels, 20.0).collect()}
+    assert issues == {
+        (1, "1", "ring meets itself"), (1, "8", "no geometry"), (1, "9", "too few points"), (2, "3,4", "overlap of 100.00 sqm"), (2, "3,5", "overlap of 10.00 sqm"), (2, "4,5", "overlap of 10.00 sqm"),
+        (2, "6,7", "overlap of 4.00 sqm"), (3, "3,4", "IoU 0.990"), (4, "10", "area of 1.00 sqm"),
+    }
+    empty = parcels.where("id < 0")
+    assert [x.count() for x in (*polygon_rules.auto_fixed(empty, 20.0), polygon_rules.polygon_issues(empty, 20.0))] == [0, 0, 0]
+
+
 def test_slivers_merge_to_polygons(spark):
     rows = [(1, 0.0, 0.0, 10.0, 10.0, 0.5), (2, 10.0, 0.0, 10.3, 10.0, 0.5), (3, 10.3, 0.0, 30.0, 10.0, 0.5)]
     p = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double, conf double")
