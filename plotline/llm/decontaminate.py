@@ -3,7 +3,8 @@
 Items are partitioned by the number of their word shingles. An item's sketch is its shingles of least hash; it
 has as many as the containment threshold allows to be missing, plus one: a document that holds at least ``threshold`` of the item's shingles then
 holds one of the sketch's, so that the search misses nothing. Documents too small for a partition skip
-it. Documents and sketches meet by hash in a join of Spark's, and each pair is verified by exact shingle
+it. An item of fewer words than a shingle is one shingle of its own width, and documents are cut to shingles
+of the widths that such items have as well. Documents and sketches meet by hash in a join of Spark's, and each pair is verified by exact shingle
 containment over the whole texts. Neither items nor documents pass through the driver; up to
 ``MAX_HASHES`` sketch hashes are carried to the tasks, so that only documents which hold one of them
 take part in the join, and beyond that all shingles do.
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plotline.llm._text import SHINGLE_WORDS, arrow_pass, as_bytes, hash_shingles, hash_words, list_of, shingle_set, words_of
+from plotline.llm._text import SHINGLE_WORDS, arrow_pass, as_bytes, hash_shingles, hash_words, list_of, words_of
 from plotline.operators.checkpoints import checkpointed
 
 THRESHOLD = 0.8
@@ -29,7 +30,7 @@ MAX_HASHES = 1 << 22
 #: Digests of documents to drop that are broadcast at most, 16 bytes each.
 MAX_DIGESTS = 1 << 18
 _BITS = 20
-ITEMS_SCHEMA = "item_id long, text binary, hashes array<long>"
+ITEMS_SCHEMA = "item_id long, text binary, hashes array<long>, width int"
 FOUND_SCHEMA = "doc_id long, n int, hits array<long>, packed binary"
 PAIRS_SCHEMA = "doc_id long, item_id long, item_shingles int, shared int"
 
@@ -40,8 +41,10 @@ def exact_shingles(words: list[bytes], width: int = SHINGLE_WORDS) -> set[tuple[
 
 
 def _item_shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-    hashes = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
-    return pa.record_batch([*batch.columns, list_of(hashes, pa.int64())], names=["item_id", "text", "hashes"])
+    words = [hash_words(words_of(t)) for t in batch.column(1).to_pylist()]
+    hashes = [np.unique(hash_shingles(w)).view(np.int64) for w in words]
+    width = pa.array([min(len(w), SHINGLE_WORDS) for w in words], pa.int32())
+    return pa.record_batch([*batch.columns, list_of(hashes, pa.int64()), width], names=["item_id", "text", "hashes", "width"])
 
 
 def sketched_items(items: DataFrame, item_id_col: str, item_text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +58,7 @@ def sketched_items(items: DataFrame, item_id_col: str, item_text_col: str, thres
     needed = lambda n: F.ceil(F.round(F.lit(threshold) * n, 9)).cast("int")
     n = F.size("hashes")
     known = checkpointed(known.where(n > 0).select(
-        F.monotonically_increasing_id().alias("item"), "item_id", "text", "hashes", needed(n).alias("needed"),
+        F.monotonically_increasing_id().alias("item"), "item_id", "text", "hashes", "width", needed(n).alias("needed"),
         needed(F.pow(F.lit(2.0), F.floor(F.log2(n)))).alias("least"), n.alias("n"),
     ))
     each = known.select("item", "n", "needed", "least", F.explode("hashes").alias("hash"))
@@ -82,8 +85,16 @@ class Filter:
         return maybe[(self.hashes[at] == maybe) & (self.least[at] <= len(shingles))]
 
 
-def _found(documents: DataFrame, sketches: DataFrame, max_hashes: int) -> DataFrame:
-    """Documents that hold a sketch hash, numbered, with these hashes and the compressed text; written."""
+def _widths(known: DataFrame, inside: int) -> list[int]:
+    """Numbers of words of the items that are shorter than a shingle and of ``inside`` words or more."""
+    return sorted(r[0] for r in known.where((F.col("width") >= inside) & (F.col("width") < SHINGLE_WORDS)).select("width").distinct().collect())
+
+
+def _found(documents: DataFrame, sketches: DataFrame, max_hashes: int, widths: list[int]) -> DataFrame:
+    """Documents that hold a sketch hash, numbered, with these hashes and the compressed text; written.
+
+    Hashes are those of a document's shingles and of its runs of as many words as ``widths`` say.
+    """
     each = sketches.groupBy("hash").agg(F.min("least").alias("least"))
     index = None
     if each.count() <= max_hashes:
@@ -95,10 +106,12 @@ def _found(documents: DataFrame, sketches: DataFrame, max_hashes: int) -> DataFr
         index, pack = shared.value, zstandard.ZstdCompressor(level=3).compress
         ids, sizes, found, texts = [], [], [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            shingles = hash_shingles(hash_words(words_of(text)))
+            words = hash_words(words_of(text))
+            shingles = hash_shingles(words)
             if not len(shingles) or index and len(shingles) < index.smallest:
                 continue
-            hits = index.hits(shingles) if index else np.unique(shingles)
+            each = [shingles, *(hash_shingles(words, w) for w in widths if w < min(len(words), SHINGLE_WORDS))]
+            hits = np.unique(np.concatenate([index.hits(h) for h in each] if index else each))
             if len(hits):
                 ids.append(doc_id)
                 sizes.append(len(shingles))
@@ -112,12 +125,14 @@ def _found(documents: DataFrame, sketches: DataFrame, max_hashes: int) -> DataFr
 
 
 def _verify(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    unpack, rows, last, own = zstandard.ZstdDecompressor().decompress, [], None, set()
-    for doc_id, packed, item_id, item, needed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    unpack, rows, last, words, own = zstandard.ZstdDecompressor().decompress, [], None, [], {}
+    for doc_id, packed, item_id, item, needed, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
         if packed != last:
-            last, own = packed, exact_shingles(words_of(unpack(packed)))
+            last, words, own = packed, words_of(unpack(packed)), {}
+        if width not in own:
+            own[width] = exact_shingles(words, width)
         wanted = exact_shingles(words_of(item))
-        if (shared := len(wanted & own)) >= needed:
+        if (shared := len(wanted & own[width])) >= needed:
             rows.append((doc_id, item_id, len(wanted), shared))
     if not rows:
         return None
@@ -127,31 +142,38 @@ def _verify(batch: pa.RecordBatch) -> pa.RecordBatch | None:
 
 def contained_items(
     docs: DataFrame, id_col: str, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str,
-    threshold: float = THRESHOLD, max_hashes: int = MAX_HASHES,
+    threshold: float = THRESHOLD, max_hashes: int = MAX_HASHES, inside: int = 1,
 ) -> DataFrame:
     """``doc_id, item_id, item_shingles, shared``: items of which a document holds ``threshold`` or more.
 
-    Shingles are five lower-cased words; a shorter text is one shingle, so that an item of fewer words is
-    found in equal texts only; a null or empty document or item holds nothing and is contained nowhere.
+    Shingles are five lower-cased words. An item of fewer words is one shingle, which a document holds that has
+    these words in a row; with fewer than ``inside`` words it is found in equal texts only. A null or empty document or item holds nothing and is contained nowhere.
     Repeated documents give repeated rows; repeated items count once; a null id stays null. Empty tables
     give an empty result; other columns are ignored.
     """
     known, sketches = sketched_items(items, item_id_col, item_text_col, threshold)
-    found = _found(as_bytes(docs, id_col, text_col), sketches, max_hashes)
+    found = _found(as_bytes(docs, id_col, text_col), sketches, max_hashes, _widths(known, inside))
     pairs = found.select("row", "n", F.explode("hits").alias("hash")).join(sketches, "hash").where("n >= least").select("row", "item").distinct()
     both = pairs.join(found.select("row", "doc_id", "packed"), "row").join(known, "item")
-    return arrow_pass(both.select("doc_id", "packed", "item_id", "text", "needed"), _verify, PAIRS_SCHEMA)
+    return arrow_pass(both.select("doc_id", "packed", "item_id", "text", "needed", _looked(inside)), _verify, PAIRS_SCHEMA)
 
 
-def without_items(docs: DataFrame, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str, threshold: float = THRESHOLD, max_hashes: int = MAX_HASHES) -> DataFrame:
+def _looked(inside: int):
+    """The width of the shingles among which an item is looked for."""
+    return F.when(F.col("width") >= inside, F.col("width")).otherwise(SHINGLE_WORDS).alias("width")
+
+
+def without_items(docs: DataFrame, text_col: str, items: DataFrame, item_id_col: str, item_text_col: str, threshold: float = THRESHOLD, max_hashes: int = MAX_HASHES, inside: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` without the rows that contain an item; all columns stay as they are.
 
+    Items of fewer than ``inside`` words are found in equal texts only, as words such as "yes" stand in clean documents.
+
     Texts stand for rows: equal texts contain the same items. A null text stays.
     """
     known, sketches = sketched_items(items, item_id_col, item_text_col, threshold)
-    found = _found(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), sketches, max_hashes)
+    found = _found(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")), sketches, max_hashes, _widths(known, inside))
     pairs = found.select("row", "n", F.explode("hits").alias("hash")).join(sketches, "hash").where("n >= least").select("row", "item").distinct()
-    both = pairs.join(found.select("row", "packed"), "row").join(known, "item").select("row", "packed", "item_id", "text", "needed")
+    both = pairs.join(found.select("row", "packed"), "row").join(known, "item").select("row", "packed", "item_id", "text", "needed", _looked(inside))
     bad = arrow_pass(both, _verify, PAIRS_SCHEMA).select(F.col("doc_id").alias("row")).distinct()
 
     def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -185,7 +207,10 @@ WITH t AS (
     THEN list_distinct(list_transform(generate_series(1, len(ws) - 4), lambda i: array_to_string(ws[i:i + 4], ' ')))
     ELSE [array_to_string(ws, ' ')] END AS sh FROM w WHERE len(ws) > 0
 ), b AS (SELECT id AS item_id, len(sh) AS q, unnest(sh) AS g FROM s WHERE side = 'b'),
-d AS (SELECT id AS doc_id, unnest(sh) AS g FROM s WHERE side = 'd')
+k AS (SELECT DISTINCT len(ws) AS width FROM w WHERE side = 'b' AND len(ws) BETWEEN 1 AND 4),
+d AS (SELECT id AS doc_id, unnest(sh) AS g FROM s WHERE side = 'd'
+  UNION ALL SELECT id, unnest(list_distinct(list_transform(generate_series(1, len(ws) - width + 1), lambda i: array_to_string(ws[i:i + width - 1], ' '))))
+  FROM w JOIN k ON width < len(ws) WHERE side = 'd')
 SELECT doc_id, item_id, CAST(q AS INTEGER) AS item_shingles, CAST(count(*) AS INTEGER) AS shared, round(count(*) / q, 6) AS containment
 FROM b JOIN d USING (g) GROUP BY doc_id, item_id, q HAVING count(*) >= ceil(round(0.8 * q, 9))
 """

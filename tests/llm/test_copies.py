@@ -203,12 +203,13 @@ def test_removal_equals_brute_force(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
 
 
-def leaks(docs, items, threshold=0.8):
+def leaks(docs, items, threshold=0.8, inside=1):
     found = set()
     for d, text in docs:
-        own = shingles(text)
+        words = (text or "").encode().lower().split()
         for i, item in items:
-            s = shingles(item)
+            s, width = shingles(item), len((item or "").split())
+            own = exact_shingles(words, width if inside <= width < 5 else 5)
             if s and len(own & s) >= threshold * len(s) - 1e-9:
                 found.add((d, i, len(s), len(own & s)))
     return found
@@ -217,15 +218,18 @@ def leaks(docs, items, threshold=0.8):
 def test_containment_equals_brute_force(spark):
     r = random.Random(8)
     items = [(i, prose(900 + i, n)) for i, n in enumerate((1, 3, 5, 6, 8, 15, 30, 60, 120))]
-    items += [(98, None), (99, ""), (0, items[0][1])]
+    items += [(98, None), (99, ""), (0, items[0][1]), (97, "what is two plus"), (96, "two Plus"), (95, "plus two")]
     docs = [(i, " ".join(edited(f"{prose(i, 200)} {items[i % 9][1].upper()} {prose(-i, 90)}".split(), i % 30, r))) for i in range(120)]
-    docs += [(500, None), (501, ""), (502, items[3][1])]
+    docs += [(500, None), (501, ""), (502, items[3][1]), (503, "So what is\nTWO plus two"), (504, "is two plus"), (505, "two plus"), (506, f"{prose(7, 30)} What is two plus")]
     made = [spark.createDataFrame(x, "doc_id long, text string") for x in (docs, items)]
     for max_hashes in (1 << 22, 10):
         found = contained_items(made[0], "doc_id", "text", made[1], "doc_id", "text", max_hashes=max_hashes).collect()
         assert {tuple(x) for x in found} == leaks(docs, items) and len(found) == len(leaks(docs, items))
+        assert {(d, i) for d, i, _, _ in leaks(docs, items)} >= {(503, 97), (503, 96), (503, 95), (504, 96), (505, 96), (506, 97)}
+        found = contained_items(made[0], "doc_id", "text", made[1], "doc_id", "text", max_hashes=max_hashes, inside=4).collect()
+        assert {tuple(x) for x in found} == leaks(docs, items, inside=4)
     kept = without_items(made[0], "text", made[1], "doc_id", "text", max_hashes=10)
-    assert {x["doc_id"] for x in kept.collect()} == {d for d, _ in docs} - {x[0] for x in leaks(docs, items)}
+    assert {x["doc_id"] for x in kept.collect()} == {d for d, _ in docs} - {x[0] for x in leaks(docs, items, inside=5)}
 
 
 def test_containment_of_odd_rows(odd, no_rows):
