@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotline.operators.checkpoints import dealt
 from plotline.operators.zonal import majority
 
 
@@ -33,7 +34,7 @@ def inside_pixels(shapes: DataFrame, key: str, rings: Column, x0: float = 0.0, y
     and fourth, ... crossing of a line lie the pixels. A centre on the left or lower edge counts, on the
     right or upper one not, so that neighbours share no pixel. Shapes of several rows under one key are one shape.
     """
-    edge = shapes.select(F.col(key), F.explode(_pixel_edges(rings, x0, y0, gsd)).alias("e")).select(key, "e.*").where("ay <> by")
+    edge = dealt(shapes).select(F.col(key), F.explode(_pixel_edges(rings, x0, y0, gsd)).alias("e")).select(key, "e.*").where("ay <> by")
     low, high = F.ceil(F.least("ay", "by") - 0.5), F.ceil(F.greatest("ay", "by") - 0.5) - 1
     lines = edge.withColumn("row", _rows(low, high))
     cross = F.col("ax") + (F.col("row") + 0.5 - F.col("ay")) / (F.col("by") - F.col("ay")) * (F.col("bx") - F.col("ax"))
@@ -52,7 +53,7 @@ def touched_pixels(segments: DataFrame, key: str, x0: float = 0.0, y0: float | N
     """
     x = lambda c: (F.col(c) - x0) / gsd
     y = lambda c: F.col(c) / gsd if y0 is None else (y0 - F.col(c)) / gsd
-    placed = segments.select(F.col(key), x("ax").alias("ax"), y("ay").alias("ay"), x("bx").alias("bx"), y("by").alias("by"))
+    placed = dealt(segments).select(F.col(key), x("ax").alias("ax"), y("ay").alias("ay"), x("bx").alias("bx"), y("by").alias("by"))
     # From the lower end to the upper one.
     up = F.col("ay") <= F.col("by")
     way = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
@@ -77,6 +78,7 @@ def ring_edges(shapes: DataFrame, key: str, rings: Column) -> DataFrame:
 
 def zone_classes(shapes: DataFrame, key: str, rings: Column, pixels: DataFrame, value: str, spare: int, spare_share: float = 0.5) -> DataFrame:
     """``key, value, share``: the most frequent value of the pixels in each shape; shapes without any take the spare one."""
-    inside = inside_pixels(shapes, key, rings).join(pixels.where(F.col(value).isNotNull()), ["row", "col"])
+    # Shapes are spelled out to pixels, of which Spark's estimate knows nothing; so neither side is broadcast.
+    inside = inside_pixels(shapes, key, rings).join(pixels.where(F.col(value).isNotNull()).hint("merge"), ["row", "col"])
     found = majority(inside, key, value)
     return shapes.select(key).distinct().join(found, key, "left").select(key, F.coalesce(value, F.lit(spare)).alias(value), F.coalesce("share", F.lit(spare_share)).alias("share"))

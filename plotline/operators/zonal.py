@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plotline.operators.checkpoints import dealt
+
 # Land-use classes by number.
 CLASSES = {0: "background", 1: "residential", 2: "commercial", 3: "institutional", 4: "open_land", 5: "vegetation", 6: "water", 7: "road", 8: "built_up_other"}
 
@@ -12,14 +14,15 @@ CLASSES = {0: "background", 1: "residential", 2: "commercial", 3: "institutional
 def burned(boxes: DataFrame, gsd: float = 1.0, x0: float = 0.0, y0: float | None = None) -> DataFrame:
     """Pixels whose centre lies in a box: ``row, col`` and the box's columns.
 
-    Boxes spell out their own rows and columns, so nothing is joined. With ``y0`` rows count down from the
+    Boxes spell out their own rows and columns, so nothing is joined; they are dealt to tasks before, as a small file
+    of them is read by one. With ``y0`` rows count down from the
     top; without it they count up with y.
     """
     low = lambda v: F.ceil(v / gsd - 0.5)
     high = lambda v: F.ceil(v / gsd - 0.5) - 1
     top, bottom = (F.col("y0"), F.col("y1")) if y0 is None else (y0 - F.col("y1"), y0 - F.col("y0"))
     span = lambda a, b: F.explode(F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<long>")))
-    return boxes.withColumn("row", span(low(top), high(bottom))).withColumn("col", span(low(F.col("x0") - x0), high(F.col("x1") - x0))).withColumns(
+    return dealt(boxes).withColumn("row", span(low(top), high(bottom))).withColumn("col", span(low(F.col("x0") - x0), high(F.col("x1") - x0))).withColumns(
         {"row": F.col("row").cast("int"), "col": F.col("col").cast("int")}
     )
 

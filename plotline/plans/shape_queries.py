@@ -189,7 +189,7 @@ def blobs(spark, sf_dir):
     """Set pixels of a mask that hangs together in places, with their distance to its edge and a height."""
     mask = raster.dilate(pixels(spark, sf_dir).select("row", "col", (F.col("v") > 0.15).cast("int").alias("v")))
     held = raster.distance_transform(mask.select("row", "col", (F.col("v") == 1).alias("inside"))).where("inside")
-    return held.join(pixels(spark, sf_dir), ["row", "col"]).select("row", "col", "distance", (20 * F.col("v")).alias("height"))
+    return held.join(pixels(spark, sf_dir).hint("merge"), ["row", "col"]).select("row", "col", "distance", (20 * F.col("v")).alias("height"))
 
 
 # SQL can't express the forest of lowest passes; the tests compare it with Kruskal's on small masks.
@@ -310,7 +310,7 @@ def augmented_chips(spark, sf_dir):
 def building_footprints(spark, sf_dir):
     """Footprints of the blobs of a mask: instances, polygons, squared shells, confidence and height."""
     mask = raster.dilate(pixels(spark, sf_dir).select("row", "col", F.when(F.col("v") > 0.15, 0.5 + F.col("v")).otherwise(0.0).alias("v")))
-    p = mask.withColumnRenamed("v", "p").join(pixels(spark, sf_dir), ["row", "col"]).select("row", "col", "p", (20 * F.col("v")).alias("height"))
+    p = mask.withColumnRenamed("v", "p").join(pixels(spark, sf_dir).hint("merge"), ["row", "col"]).select("row", "col", "p", (20 * F.col("v")).alias("height"))
     found = delineation.footprints(p)
     return found.select("region", F.size("rings").alias("rings"), r6("area"), "confidence", "height")
 
