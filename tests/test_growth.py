@@ -3,8 +3,12 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from plotline.operators import raster
+from plotline.functions.geometry import box_ring
+from plotline.operators import burning, network, raster
+from plotline.operators.spatial_join import meeting_pairs
+from plotline.plans import registry
 
 
 def plan_of(df):
@@ -28,3 +32,40 @@ def test_distances_of_a_tall_raster(spark):
     assert len(none) == 2000 and all(r["distance"] is None for r in none)
     # Such a frame is computed anew from every row of a column to its end.
     assert not re.search(r"currentrow\$\(\), unboundedfollowing\$\(\)", plan_of(made))
+
+
+def test_joins_of_spelled_out_pixels_are_not_broadcast(spark, sf_dir):
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 3.0, 2.0)], "id long, x0 double, y0 double, x1 double, y1 double").withColumn("ring", box_ring())
+    pixels = spark.createDataFrame([(0, 0, 7), (1, 2, 7), (1, 1, 8)], "row int, col int, class int")
+    found = burning.zone_classes(boxes, "id", F.array("ring"), pixels, "class", 4)
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 2 / 3)]
+    for df, pairs in ((found, 1), (registry.QUERIES["zonal_pixels"](spark, sf_dir), 1)):
+        assert plan_of(df).count("SortMergeJoin") >= pairs
+    assert "BroadcastHashJoin" not in plan_of(registry.QUERIES["zonal_pixels"](spark, sf_dir))
+
+
+def test_points_look_in_half_of_the_cells_around(spark):
+    rng = np.random.default_rng(3)
+    places = [(i, int(rng.integers(3)), float(x), float(y)) for i, (x, y) in enumerate(np.round(rng.uniform(-6, 6, (120, 2)), 1))]
+    made = network.bridges(spark.createDataFrame(places, "seq long, line long, x double, y double"), 2.5)
+    want = {(a[0], b[0]) for a in places for b in places if a[0] < b[0] and a[1] != b[1] and 0.05 < np.hypot(a[2] - b[2], a[3] - b[3]) <= 2.5}
+    got = [(r["a_seq"], r["b_seq"]) for r in made.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "BroadcastHashJoin" not in plan_of(made)
+
+
+def test_long_lines_share_their_vertices(spark):
+    # A third of a long line has no few decimals.
+    tall = 480060.0
+    lines = [(i, i * 20.0, 0.0, i * 20.0, tall) for i in range(3)] + [(10 + j, 0.0, j * tall / 7, 40.0, j * tall / 7) for j in range(8)]
+    pieces = network.noded(spark.createDataFrame(lines, "line long, ax double, ay double, bx double, by double"), 2000.0).collect()
+    ends = [{(round(p[f"{e}x"], 6), round(p[f"{e}y"], 6)) for p in pieces if (p["line"] < 10) == long for e in "ab"} for long in (True, False)]
+    assert len(pieces) == 3 * 7 + 8 * 2 and ends[0] == ends[1]
+
+
+def test_boxes_of_finer_grids_do_not_meet_on_coarser_ones(spark):
+    rows = [(i, i * 3.0, 0.0, i * 3.0 + 1, 1.0) for i in range(400)] + [(1000, 0.0, 0.5, 1200.0, 0.6)]
+    boxes = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+    made = meeting_pairs(boxes, boxes, 4.0, F.col("a_id") < F.col("b_id"))
+    assert sorted((r["a_id"], r["b_id"]) for r in made.collect()) == [(i, 1000) for i in range(400)]
+    assert "kind" in plan_of(made)
