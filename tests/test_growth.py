@@ -69,3 +69,8 @@ def test_boxes_of_finer_grids_do_not_meet_on_coarser_ones(spark):
     made = meeting_pairs(boxes, boxes, 4.0, F.col("a_id") < F.col("b_id"))
     assert sorted((r["a_id"], r["b_id"]) for r in made.collect()) == [(i, 1000) for i in range(400)]
     assert "kind" in plan_of(made)
+
+
+def test_rings_and_boxes_are_dealt_before_heavy_work(spark, sf_dir):
+    for name in ("ring_shapes", "rasterize_boxes", "boundary_cells"):
+        assert "REPARTITION_BY_NUM" in registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString(), name
