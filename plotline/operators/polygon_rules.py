@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plotline.functions.geometry import aspect, polygon_area
 from plotline.functions.overlay import ring_rectangle
-from plotline.operators.arrangement import DIGITS, made_valid, nonzero, outlined, ring_segments, sided_pieces, split_within
+from plotline.operators.arrangement import DIGITS, made_valid, nonzero, outlined, ring_segments, ring_sizes, sided_pieces, split_within
 from plotline.operators.checkpoints import written
 from plotline.operators.healing import healed, losers, overlaps, remains
 from plotline.operators.validation import DUPLICATE_IOU, OVERLAP_AREA, dropped_duplicates, duplicate_issues, keyed, overlap_issues, shape_issues
@@ -48,7 +48,7 @@ def faults(parcels: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     shown = known.where("fault is not null").select("id", "fault", none.alias("x"), none.alias("y"))
     sound = known.where("fault is null")
-    pieces = written(split_within(ring_segments(sound, "id", F.col("rings"), None)))
+    pieces = written(split_within(ring_segments(sound, "id", F.col("rings"), None), ring_sizes(sound, "id", "rings")))
     first = lambda df, fault: df.groupBy("shape").agg(F.min(F.struct("ax", "ay")).alias("v")).select(F.col("shape").alias("id"), F.lit(fault).alias("fault"), F.col("v.ax").alias("x"), F.col("v.ay").alias("y"))
     met = written(first(pieces.groupBy("shape", "side", "ax", "ay").agg(F.count("*").alias("n")).where("n > 1"), MEETS))
     found = shown.unionByName(met)

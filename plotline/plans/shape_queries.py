@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plotline.functions.geometry import box_ring, ring_bounds
 from plotline.functions.projection import ALPHA, FALSE_EASTING, RADIUS, SCALE, N, central_meridian
 from plotline.operators import arrangement, augmentation, burning, delineation, faces, healing, network, polygon_rules, raster, tracing, vectorise, watershed
+from plotline.operators.checkpoints import written
 from plotline.operators.spatial_join import meeting_pairs
 from plotline.plans.parcel_queries import AREA, CUTS, ISSUES, PAIRS, network_lines, turned
 from plotline.plans.raster_queries import r6
@@ -65,13 +66,13 @@ def overlay_areas(spark, sf_dir):
     """Union, intersection, difference and symmetric difference of all pairs of parcels that overlap, as polygons."""
     p = aslant(spark, sf_dir)
     pairs = meeting_pairs(p, p, 40.0, F.col("a_id") < F.col("b_id"))
-    named = pairs.select("a_id", "b_id", (F.col("a_id") * 1000000 + F.col("b_id")).alias("pair"), "a_rings", "b_rings")
-    pieces, found = arrangement.arranged(arrangement.both_segments(named, "pair", "a_rings", "b_rings"), 2), None
-    for how, name in (("intersection", "shared_area"), ("union", "union_area"), ("difference", "rest_area"), ("symmetric", "other_area")):
-        made = arrangement.outlined(pieces, arrangement.OVERLAYS[how], 2).groupBy(F.col("shape").alias("pair")).agg(F.sum("area").alias(name))
-        found = made if found is None else found.join(made, "pair", "left")
-    areas = [F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("union_area", "shared_area", "rest_area", "other_area")]
-    return named.select("pair", "a_id", "b_id").join(found, "pair").select("a_id", "b_id", *areas)
+    named = written(pairs.select("a_id", "b_id", F.monotonically_increasing_id().alias("pair"), "a_rings", "b_rings"))
+    hows = {"union": "union_area", "intersection": "shared_area", "difference": "rest_area", "symmetric": "other_area"}
+    segments, sizes = arrangement.both_segments(named, "pair", "a_rings", "b_rings"), arrangement.ring_sizes(named, "pair", "a_rings", "b_rings")
+    made = arrangement.outlines(segments, [arrangement.OVERLAYS[how] for how in hows], 2, sizes)
+    area = lambda k, name: F.coalesce(F.sum(F.when(F.col("which") == k, F.col("area"))), F.lit(0.0)).alias(name)
+    areas = made.groupBy(F.col("shape").alias("pair")).agg(*[area(k, name) for k, name in enumerate(hows.values())], F.bool_or(F.col("which") == 1).alias("meet")).where("meet")
+    return named.select("pair", "a_id", "b_id").join(areas, "pair").select("a_id", "b_id", *[F.round(c, 4).alias(c) for c in hows.values()])
 
 
 @query("dissolved_parcels", f"""WITH {PARCELS}, b AS (SELECT id // 10 AS block, x0, y0, x1, y1 FROM parcels),

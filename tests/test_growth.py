@@ -3,10 +3,11 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plotline.functions.geometry import box_ring
-from plotline.operators import burning, network, raster
+from plotline.operators import arrangement, burning, network, raster, small_shapes
 from plotline.operators.spatial_join import meeting_pairs
 from plotline.plans import registry
 
@@ -74,3 +75,37 @@ def test_boxes_of_finer_grids_do_not_meet_on_coarser_ones(spark):
 def test_rings_and_boxes_are_dealt_before_heavy_work(spark, sf_dir):
     for name in ("ring_shapes", "rasterize_boxes", "boundary_cells"):
         assert "REPARTITION_BY_NUM" in registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_small_shapes_are_arranged_without_a_shuffle(spark, monkeypatch):
+    """Shapes of few segments give what joins give, in the task where their rows are."""
+    rng = np.random.default_rng(11)
+    ring = lambda n: [(float(x), float(y)) for x, y in rng.integers(0, 9, (n, 2))]
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    rows = [(k, [ring(int(rng.integers(3, 7))) for _ in range(int(rng.integers(1, 3)))], [ring(5)]) for k in range(12)]
+    rows += [(90, [square(0.0, 8.0), square(1.0, 3.0), square(5.0, 7.0)], [square(2.0, 6.0)]), (91, None, [square(0.0, 1.0)]), (92, [square(0.0, 9.0)], [square(3.0, 4.0)])]
+    rings = "array<array<struct<x:double,y:double>>>"
+    pairs = spark.createDataFrame(rows, f"id long, a {rings}, b {rings}")
+    hows = list(arrangement.OVERLAYS.values())
+    made = lambda: arrangement.outlines(arrangement.both_segments(pairs, "id", "a", "b"), hows, 2, arrangement.ring_sizes(pairs, "id", "a", "b"))
+    shown = lambda df: sorted((r["shape"], r["which"], len(r["rings"]), r["area"], r["perimeter"]) for r in df.collect())
+    few, alone = made(), shown(made())
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString() and {k for k, *_ in alone} >= {90, 91, 92}
+    pieces = lambda: sorted(tuple(r) for r in arrangement.split_within(arrangement.both_segments(pairs, "id", "a", "b")).collect())
+    cut = pieces()
+    monkeypatch.setattr(arrangement, "FEW", 12)
+    joined = shown(made())
+    assert len(joined) == len(alone) and pieces() == cut
+    assert all(a[:3] == b[:3] and np.allclose(a[3:], b[3:], atol=1e-9) for a, b in zip(joined, alone, strict=True))
+
+
+def test_shapes_of_few_segments_in_many_blocks(monkeypatch):
+    """Blocks of few pairs and batches that end within a shape change nothing."""
+    rng = np.random.default_rng(2)
+    shape = np.sort(rng.integers(0, 30, 400))
+    columns = [shape, np.zeros(400, np.int32), *rng.integers(0, 12, (4, 400)).astype(float)]
+    whole = pa.record_batch([pa.array(c) for c in columns], names=["shape", "side", "ax", "ay", "bx", "by"])
+    run = lambda step: sorted(str(r) for b in small_shapes.polygon_batches([arrangement.even_odd], 1)([whole.slice(i, step) for i in range(0, 400, step)]) for r in b.drop_columns(["part"]).to_pylist())
+    want = run(400)
+    monkeypatch.setattr(small_shapes, "PAIRS", 50)
+    assert want and run(7) == want
