@@ -6,14 +6,14 @@ positions that order them; rules are unioned and numbered. Parcels are boxes wit
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotline.functions.geometry import BOX, aspect, box_area, box_perimeter, compactness, iou, iou_above, shared_area
-from plotline.operators.checkpoints import checkpointed
+from plotline.operators.checkpoints import checkpointed, dealt
 from plotline.operators.components import connected_components
 from plotline.operators.spatial_join import meeting_pairs
 
@@ -142,16 +142,21 @@ def summary(parcels: DataFrame, found: DataFrame) -> DataFrame:
 FOLDED = 20_000
 
 
-def _folded(pairs: pd.DataFrame) -> pd.DataFrame:
-    """``id`` of the parcels that the fold over one component's pairs drops."""
-    ordered, dropped = pairs.sort_values(["a_id", "b_id"]), set()
-    for a, own in ordered.groupby("a_id", sort=False):
-        if a in dropped:
-            continue
-        for b, keeps in zip(own["b_id"], own["keep_a"], strict=True):
-            if b not in dropped:
-                dropped.add(int(b if keeps else a))
-    return pd.DataFrame({"id": sorted(dropped)}, dtype="int64")
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id`` of the parcels that the fold over each component's pairs drops; pairs come in the order of component and ids."""
+    part, first, skip, dropped = None, None, False, set()
+    for batch in batches:
+        done = []
+        for component, a, b, keeps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if component != part:
+                done += dropped
+                part, first, dropped = component, None, set()
+            if a != first:
+                first, skip = a, a in dropped
+            if not skip and b not in dropped:
+                dropped.add(b if keeps else a)
+        yield pa.record_batch([pa.array(done, pa.int64())], names=["id"])
+    yield pa.record_batch([pa.array(list(dropped), pa.int64())], names=["id"])
 
 
 def _dropped_in_rounds(pairs: DataFrame) -> DataFrame:
@@ -185,7 +190,7 @@ def heal_duplicates(parcels: DataFrame, threshold: float = DUPLICATE_IOU, folded
     Pairs are taken in the order of ids. A parcel that an earlier one has dropped takes no pair of its own;
     else it drops each later parcel that it outranks, and is dropped itself by one that outranks it and
     that no earlier parcel has dropped. Parcels that pairs link, directly or not, are one component; those of up to
-    ``folded`` pairs are folded in one task each, the others in rounds over all of them.
+    ``folded`` pairs are streamed by tasks and folded one after another, the others in rounds over all of them.
     """
     pairs = duplicate_pairs(candidate_pairs(parcels), threshold).select("a_id", "b_id", (F.col("a_conf") >= F.col("b_conf")).alias("keep_a"))
     return parcels.join(dropped_duplicates(pairs, folded), "id", "left_anti")
@@ -197,7 +202,8 @@ def dropped_duplicates(pairs: DataFrame, folded: int = FOLDED) -> DataFrame:
     parts = connected_components(pairs.select(F.col("a_id").alias("src"), F.col("b_id").alias("dst"))).select(F.col("node").alias("a_id"), "component")
     placed = pairs.join(parts, "a_id")
     sizes = checkpointed(placed.groupBy("component").agg(F.count("*").alias("n")))
-    dropped = placed.join(sizes.where(F.col("n") <= folded), "component").groupBy("component").applyInPandas(_folded, "id long")
+    small = dealt(placed.join(sizes.where(F.col("n") <= folded), "component").select("component", "a_id", "b_id", "keep_a"), "component")
+    dropped = small.sortWithinPartitions("component", "a_id", "b_id").mapInArrow(_folded, "id long")
     large = sizes.where(F.col("n") > folded)
     if large.head(1):
         dropped = dropped.unionByName(_dropped_in_rounds(checkpointed(placed.join(large, "component").select("a_id", "b_id", "keep_a"))))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plotline.functions.geometry import box_ring
-from plotline.operators import arrangement, burning, network, raster, small_shapes
+from plotline.operators import arrangement, burning, network, raster, small_shapes, validation
 from plotline.operators.spatial_join import meeting_pairs
 from plotline.plans import registry
 
@@ -109,3 +109,14 @@ def test_shapes_of_few_segments_in_many_blocks(monkeypatch):
     want = run(400)
     monkeypatch.setattr(small_shapes, "PAIRS", 50)
     assert want and run(7) == want
+
+
+def test_duplicates_are_folded_across_batches(spark):
+    """Components are streamed, many in a task, wherever batches end."""
+    rows = [(1, 1, 2, True), (1, 1, 3, False), (1, 1, 4, True), (1, 2, 5, True), (1, 3, 6, True), (7, 7, 8, False), (9, 9, 10, True), (9, 10, 11, True)]
+    batch = pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], names=["component", "a_id", "b_id", "keep_a"])
+    for step in (1, 2, 8):
+        assert sorted(i for b in validation._folded([batch.slice(k, step) for k in range(0, 8, step)]) for i in b.column(0).to_pylist()) == [1, 2, 4, 6, 7, 10]
+    pairs = spark.createDataFrame(rows, "component long, a_id long, b_id long, keep_a boolean").drop("component")
+    made = validation.dropped_duplicates(pairs)
+    assert "MapInArrow" in plan_of(made) and sorted(r["id"] for r in made.collect()) == [1, 2, 4, 6, 7, 10]
