@@ -39,7 +39,7 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLES = 2
 ALPHA = 1.0
 #: Units whose lattices a worker keeps, characters of the rows that are sampled at once, and of units that are hashed at once.
-KEPT_UNITS = 120_000
+KEPT_UNITS = 300_000
 BLOCK_CHARS = 300_000
 SLICE_CHARS = 1 << 18
 #: Terms below this share (e ** -45) of a sum don't change it in double precision.
@@ -143,9 +143,33 @@ class Lattices:
         """Forget all units; their room stays."""
         for column in self.columns.values():
             column.size = 0
-        self.keys, self.places = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.keys, self.places, self.hits = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
         self._extend({})
 
+    def forget(self) -> None:
+        """Forget units that were met once since the last time, or all where more than half of them were met again."""
+        kept = np.flatnonzero(self.hits > 1)
+        if 2 * len(kept) > len(self.hits):
+            return self.clear()
+        nodes, edges, pieces = np.append(self.roots, len(self.first)), np.append(self.first, len(self.ids)).astype(np.int64), np.append(0, self.best_ends)
+        edges = edges[nodes]
+        sizes = lambda bounds: np.diff(bounds)[kept]
+        moved = lambda bounds: np.cumsum(sizes(bounds)) - sizes(bounds) - bounds[kept]
+        at = lambda bounds: np.arange(int(sizes(bounds).sum())) - np.repeat(moved(bounds), sizes(bounds))
+        node, edge = at(nodes), at(edges)
+        targets = self.targets[edge]
+        left = {
+            "roots": self.roots[kept] + moved(nodes), "first": self.first[node] + np.repeat(moved(edges), sizes(nodes)),
+            "targets": np.where(targets < 0, -1, targets + np.repeat(moved(nodes), sizes(edges))), "ids": self.ids[edge], "logs": self.logs[edge],
+            "rest": self.rest[edge], "upto": self.upto[edge], "best": self.best[at(pieces)], "best_ends": np.cumsum(sizes(pieces)),
+        }
+        numbers = np.full(len(self.hits), -1, np.int32)
+        numbers[kept] = np.arange(len(kept))
+        keys, places = self.keys, numbers[self.places]
+        self.clear()
+        self.keys, self.places, self.hits = keys[places >= 0], places[places >= 0], np.zeros(len(kept), np.int32)
+        self._extend(left)
+
     def _extend(self, more: dict[str, np.ndarray]) -> None:
         for name, values in more.items():
             self.columns[name].extend(values)
@@ -202,8 +226,11 @@ class Lattices:
             self._encode([text[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)])
             self._build(codes, sums, starts, ends)
             self.keys, self.places = np.insert(self.keys, slot[new], keys[new]), np.insert(self.places, slot[new], numbers)
+            self.hits = np.append(self.hits, np.zeros(len(new), np.int32))
             slot = np.searchsorted(self.keys, keys)
-        return self.places[slot][back]
+        places = self.places[slot]
+        self.hits[places] += 1
+        return places[back]
 
     def _encode(self, units: list[str]) -> None:
         """Encodings of units; the library puts a space before a text, so other units follow a line break, which is cut off."""
@@ -505,7 +532,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, se
     def rows(doc_ids: pa.Array, texts: list[str], lattices: Lattices) -> pa.RecordBatch:
         keys = np.array([xxh3_64_intdigest(f"{seed}:{d}".encode()) for d in doc_ids.to_pylist()], np.uint64)
         if len(lattices.roots) > KEPT_UNITS:
-            lattices.clear()
+            lattices.forget()
         units = lattices.units_of(texts)
         ids = [lattices.encoded(u) for u in units]
         back = [(lattices.processor.decode(i.tolist(), num_threads=1) if len(i) else "") == t for i, t in zip(ids, texts, strict=True)]
