@@ -78,9 +78,9 @@ def box_boundary_distance(x: Column, y: Column, prefix: str = "") -> Column:
     return F.when(inside, F.least(x - x0, x1 - x, y - y0, y1 - y)).otherwise(box_distance(x, y, prefix))
 
 
-def box_distance(x: Column, y: Column, prefix: str = "") -> Column:
-    """Distance of a point to a box, 0 inside."""
-    x0, y0, x1, y1 = box(prefix)
+def box_distance(x: Column, y: Column, prefix: str = "", of: Column | None = None) -> Column:
+    """Distance of a point to a box, 0 inside; the box's columns are fields of ``of`` if it is given."""
+    x0, y0, x1, y1 = box(prefix) if of is None else (of[prefix + c] for c in BOX)
     dx = F.greatest(x0 - x, x - x1, F.lit(0.0))
     dy = F.greatest(y0 - y, y - y1, F.lit(0.0))
     return F.sqrt(dx * dx + dy * dy)

@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotline.functions.geometry import BOX, box_distance, boxes_meet
-from plotline.operators.checkpoints import checkpointed
+from plotline.operators.checkpoints import checkpointed, dealt
 
 
 #: Each grid's cells are STEP times as wide as the next finer one's; a box covers SPAN cells of its own grid per axis, and one more.
 STEP, SPAN = 8, 4
+#: Boxes of a cell that a point looks at in one row.
+CROWD = 64
 
 
 def finite(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -122,10 +124,16 @@ def nearest_box(points: DataFrame, boxes: DataFrame, point_id: str, box_id: str,
         levels = sorted(r[0] for r in b.select(_level("b_", radius)).distinct().collect())
         width = radius * F.pow(F.lit(float(STEP)), F.col("level"))
         cells = lambda low, high: F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))  # noqa: B023, E731
-        probe = left.withColumn("level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("cx", cells(x - radius, x + radius)).withColumn("cy", cells(y - radius, y + radius))
-        grid = b.withColumn("level", _level("b_", radius)).withColumn("cx", cells(F.col("b_x0"), F.col("b_x1"))).withColumn("cy", cells(F.col("b_y0"), F.col("b_y1")))
-        near = probe.join(grid, ["level", "cx", "cy"]).withColumn("distance", box_distance(x, y, "b_")).where(F.col("distance") <= radius)
-        found = F.min(F.struct("distance", "b_id", *["b_" + c for c in BOX])).alias("best")
+        # Boxes are copied to the cells from which points see them; a point is one row a grid, and looks at its cell's boxes there, CROWD of them at once.
+        probe = dealt(left).withColumn("level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("cx", F.floor(x / width)).withColumn("cy", F.floor(y / width))
+        copies = b.withColumn("level", _level("b_", radius)).withColumn("cx", cells(F.col("b_x0") - radius, F.col("b_x1") + radius)).withColumn("cy", cells(F.col("b_y0") - radius, F.col("b_y1") + radius))
+        seen = copies.join(probe.select("level", "cx", "cy").distinct(), ["level", "cx", "cy"], "left_semi")
+        crowd = F.floor(F.row_number().over(Window.partitionBy("level", "cx", "cy").orderBy("b_id")) / CROWD)
+        grid = seen.withColumn("crowd", crowd).groupBy("level", "cx", "cy", "crowd").agg(F.collect_list(F.struct("b_id", *["b_" + c for c in BOX])).alias("boxes"))
+        of = lambda k: F.struct(box_distance(x, y, "b_", k).alias("distance"), k["b_id"].alias("b_id"), *[k["b_" + c].alias("b_" + c) for c in BOX])
+        least = F.array_min(F.filter(F.transform("boxes", of), lambda k: k["distance"] <= radius))
+        near = probe.join(grid, ["level", "cx", "cy"]).withColumn("least", least).where("least is not null")
+        found = F.min("least").alias("best")
         keep = [c for c in points.columns if c != point_id]
         best = checkpointed(
             near.groupBy(point_id).agg(*[F.first(c).alias(c) for c in keep], found)

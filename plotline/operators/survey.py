@@ -15,7 +15,7 @@ from plotline.operators.spatial_join import nearest_box
 
 def matched_points(points: DataFrame, parcels: DataFrame, cell: float = 25.0) -> DataFrame:
     """Each point with its nearest parcel and its offset from that parcel's boundary."""
-    near = nearest_box(points, parcels, "seq", "id", cell)
+    near = nearest_box(points.select("seq", "x", "y"), parcels, "seq", "id", cell)
     return near.withColumn("offset", box_boundary_distance(F.col("x"), F.col("y"), "b_")).select("seq", F.col("id").alias("parcel"), "offset")
 
 

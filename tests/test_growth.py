@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plotline.functions.geometry import box_ring
-from plotline.operators import arrangement, burning, network, raster, small_shapes, validation
+from plotline.operators import arrangement, burning, network, raster, small_shapes, spatial_join, validation
+from plotline.operators.checkpoints import checkpointed
 from plotline.operators.spatial_join import meeting_pairs
 from plotline.plans import registry
 
@@ -120,3 +121,17 @@ def test_duplicates_are_folded_across_batches(spark):
     pairs = spark.createDataFrame(rows, "component long, a_id long, b_id long, keep_a boolean").drop("component")
     made = validation.dropped_duplicates(pairs)
     assert "MapInArrow" in plan_of(made) and sorted(r["id"] for r in made.collect()) == [1, 2, 4, 6, 7, 10]
+
+
+def test_points_look_at_the_boxes_of_one_cell(spark, monkeypatch):
+    """A point is one row a grid, not one for every cell around it and every box near it."""
+    monkeypatch.setattr(spatial_join, "CROWD", 3)
+    rng = np.random.default_rng(8)
+    boxes = [(i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(rng.integers(0, 40, (60, 4)))]
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.integers(-60, 120, (80, 2)))]
+    counted: list[bool] = []
+    monkeypatch.setattr(spatial_join, "checkpointed", lambda df: (counted.append("array_min" in plan_of(df)), checkpointed(df))[1])
+    made = spatial_join.nearest_box(spark.createDataFrame(points, "seq long, x double, y double"), spark.createDataFrame(boxes, "id long, x0 double, y0 double, x1 double, y1 double"), "seq", "id", 5.0)
+    far = lambda p, b: (float(np.hypot(max(b[1] - p[1], p[1] - b[3], 0), max(b[2] - p[2], p[2] - b[4], 0))), b[0])
+    assert {r["seq"]: r["id"] for r in made.collect()} == {p[0]: min(far(p, b) for b in boxes)[1] for p in points}
+    assert any(counted)
