@@ -44,7 +44,8 @@ BLOCK_CHARS = 300_000
 SLICE_CHARS = 1 << 18
 #: Terms below this share (e ** -45) of a sum don't change it in double precision.
 NOTHING = -45.0
-_LEVELS = 160
+#: Levels whose masses are summed before it is seen whether more weigh anything, and so many of these that are looked up at once.
+_LEVELS, _STRIDES = 160, 3
 _SPACE = "▁"
 _BASE = 0x2545F4914F6CDD1D
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -95,11 +96,18 @@ class _Hashed:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
-        found = np.full(len(keys), -1, np.int64)
-        for k, table in enumerate(self.tables):
-            at = table[self._slots(keys, k)]
-            hit = (at >= 0) & (self.keys[at] == keys)
-            found[hit] = at[hit]
+        found = self.tables[0][self._slots(keys, 0)]
+        # A key of a later table stands where the earlier ones have another.
+        left = np.flatnonzero(found >= 0)
+        left = left[self.keys[found[left]] != keys[left]]
+        found[left] = -1
+        for k, table in enumerate(self.tables[1:], 1):
+            at = table[self._slots(keys[left], k)]
+            met = at >= 0
+            left, at = left[met], at[met]
+            hit = self.keys[at] == keys[left]
+            found[left[hit]] = at[hit]
+            left = left[~hit]
         return found
 
 
@@ -242,10 +250,18 @@ class Lattices:
 
     def encoded(self, units: np.ndarray) -> np.ndarray:
         """Piece ids of units, one after the other."""
-        ends = self.best_ends[units]
+        return self.encoded_texts([units])[0]
+
+    def encoded_texts(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Piece ids of each text's units."""
+        if not texts:
+            return []
+        units = np.concatenate(texts)
         starts = np.where(units > 0, self.best_ends[units - 1], 0)
-        counts = ends - starts
-        return self.best[np.arange(int(counts.sum())) + np.repeat(starts - np.cumsum(counts) + counts, counts)]
+        counts = self.best_ends[units] - starts
+        ends = np.cumsum(counts)
+        ids = self.best[np.arange(int(counts.sum())) + np.repeat(starts - ends + counts, counts)]
+        return np.split(ids, np.append(0, ends)[np.cumsum([len(t) for t in texts])][:-1])
 
     def _build(self, codes: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Lattices of the units between the given positions of a text."""
@@ -282,24 +298,31 @@ class Lattices:
         spans[at], ids[at], weight[at] = 1, -codes[place[lone]].astype(np.int32), _UNKNOWN
         # Log mass of what follows each position, from the units' ends backwards.
         mass, left = np.zeros(total + 1), rest[owner]
-        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
+        by_rest = np.argsort(rest.astype(np.uint16) if rest.max() < 1 << 16 else rest, kind="stable")
+        many = counts[by_rest]
+        ends_by_rest = np.cumsum(many)
+        order = np.arange(edges) + np.repeat(first[by_rest] - ends_by_rest + many, many)
         target = np.where(spans == left, total, owner + spans)
-        by_left, by_owner, by_target, by_weight = left[order], owner[order], target[order], weight[order]
-        bounds = np.flatnonzero(np.diff(by_left, prepend=-1, append=-1))
-        heads = np.flatnonzero(np.diff(by_owner, prepend=-1))
-        cuts = np.searchsorted(heads, bounds)
-        for low, high, a, b in zip(bounds[:-1], bounds[1:], cuts[:-1], cuts[1:], strict=True):
-            mass[by_owner[heads[a:b]]] = np.logaddexp.reduceat(by_weight[low:high] + mass[by_target[low:high]], heads[a:b] - low)
+        by_target, by_weight, heads = target[order], weight[order], ends_by_rest - many
+        cuts = np.flatnonzero(np.diff(rest[by_rest], prepend=-1, append=-1))
+        bounds = np.append(heads, edges)[cuts]
+        for low, high, a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            mass[by_rest[a:b]] = np.logaddexp.reduceat(by_weight[low:high] + mass[by_target[low:high]], heads[a:b] - low)
         logs = weight + mass[target] - mass[owner]
         # Summed node by node, so that a unit's sums don't depend on the units that are built with it.
         upto, other, widest = np.exp(logs), np.full(edges, -np.inf), int(counts.max())
+        # The edges that have so many of their node before them.
+        later, node = [first], np.arange(total)
+        for k in range(1, widest):
+            node = node[counts[node] > k]
+            later.append(first[node] + k)
         for k in range(1, widest):
-            edge = first[counts > k] + k
+            edge = later[k]
             upto[edge] += upto[edge - 1]
-            other[edge] = np.logaddexp(other[edge - 1], logs[edge - 1])
+            other[edge] = np.logaddexp(other[edge - 1], logs[edge - 1]) if k > 1 else logs[edge - 1]
         behind = np.full(edges, -np.inf)
-        for k in range(widest - 2, -1, -1):
-            edge = first[counts > k + 1] + k
+        for k in range(widest - 1, 0, -1):
+            edge = later[k] - 1
             behind[edge] = np.logaddexp(behind[edge + 1], logs[edge + 1])
         upto[first + counts - 1] = 2.0
         base = len(self.first)
@@ -363,7 +386,8 @@ class _Path:
 
     def __init__(self, lattices: Lattices, edges: np.ndarray, units: np.ndarray, value: float) -> None:
         self.edges, self.units, self.value = edges, units, value
-        self.before = np.append(0.0, np.cumsum(lattices.logs[edges]))
+        self.before = np.zeros(len(edges) + 1)
+        np.cumsum(lattices.logs[edges], out=self.before[1:])
 
     @property
     def log_p(self) -> float:
@@ -389,21 +413,25 @@ class _Subset:
 def _subset(lattices: Lattices, path: _Path, low: int, high: int, taken: tuple[int, ...] = ()) -> _Subset | None:
     """The subset with its masses; None where it has no segmentation."""
     parts, upto, scale = [], 0.0, None
-    for at in range(low, high, _LEVELS):
-        end = min(high, at + _LEVELS)
-        logs = path.before[at:end] + lattices.rest[path.edges[at:end]]
-        if taken and at == low:
+    for begin in range(low, high, _STRIDES * _LEVELS):
+        stop = min(high, begin + _STRIDES * _LEVELS)
+        all_logs = path.before[begin:stop] + lattices.rest[path.edges[begin:stop]]
+        if taken and begin == low:
             left = lattices.others(int(path.edges[low]), taken)
-            logs[0] = path.before[low] + (np.logaddexp.reduce(lattices.logs[left]) if left else -np.inf)
-        if scale is None:
-            if (most := float(logs.max())) == -np.inf:
-                parts.append(np.zeros(end - at))
-                continue
-            scale = most
-        parts.append(upto + np.cumsum(np.exp(logs - scale)))
-        upto = float(parts[-1][-1])
-        if upto and path.before[end] - scale < NOTHING + math.log(upto):  # all that is left weighs no more than this
-            break
+            all_logs[0] = path.before[low] + (np.logaddexp.reduce(lattices.logs[left]) if left else -np.inf)
+        chances = None if scale is None else np.exp(all_logs - scale)
+        for at in range(begin, stop, _LEVELS):
+            end = min(stop, at + _LEVELS)
+            if scale is None:
+                if (most := float(all_logs[at - begin : end - begin].max())) == -np.inf:
+                    parts.append(np.zeros(end - at))
+                    continue
+                scale = most
+                chances = np.exp(all_logs - scale)
+            parts.append(upto + chances[at - begin : end - begin].cumsum())
+            upto = float(parts[-1][-1])
+            if upto and path.before[end] - scale < NOTHING + math.log(upto):  # all that is left weighs no more than this
+                return _Subset(path, low, taken, np.concatenate(parts), scale)
     return None if not upto else _Subset(path, low, taken, np.concatenate(parts), scale)
 
 
@@ -534,7 +562,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, samples: int = SAMPLES, se
         if len(lattices.roots) > KEPT_UNITS:
             lattices.forget()
         units = lattices.units_of(texts)
-        ids = [lattices.encoded(u) for u in units]
+        ids = lattices.encoded_texts(units)
         back = [(lattices.processor.decode(i.tolist(), num_threads=1) if len(i) else "") == t for i, t in zip(ids, texts, strict=True)]
         drawn = sample_rows(lattices, units, keys, samples)
         flat = [s for found in drawn for s in found]

@@ -28,3 +28,16 @@ def test_units_met_again_are_kept_and_change_nothing():
 
     assert drawn(Lattices(model, 1.0), True) == drawn(Lattices(model, 1.0), False)
     assert piece_sampling.KEPT_UNITS > 120_000
+
+
+def test_later_tables_are_asked_for_few_keys_and_texts_are_encoded_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 1 << 63, 30_000).astype(np.uint64))
+    table, asked, slots = piece_sampling._Hashed(keys), [], piece_sampling._Hashed._slots
+    monkeypatch.setattr(piece_sampling._Hashed, "_slots", lambda self, k, n: asked.append((n, len(k))) or slots(self, k, n))
+    some = np.concatenate([keys, rng.integers(0, 1 << 63, 30_000).astype(np.uint64)])
+    assert (table.find(some) == np.concatenate([np.arange(len(keys)), np.full(30_000, -1)])).all()
+    assert len(table.tables) > 1 and all(n < len(some) / 8 for k, n in asked if k)
+    lattices = Lattices(Path(public_tokenizers.path(VOCABULARY)).read_bytes(), 1.0)
+    units = lattices.units_of(["the cat sat", "", "on a mat"])
+    assert [x.tolist() for x in lattices.encoded_texts(units)] == [lattices.encoded(u).tolist() for u in units]
