@@ -135,3 +135,26 @@ def test_points_look_at_the_boxes_of_one_cell(spark, monkeypatch):
     far = lambda p, b: (float(np.hypot(max(b[1] - p[1], p[1] - b[3], 0), max(b[2] - p[2], p[2] - b[4], 0))), b[0])
     assert {r["seq"]: r["id"] for r in made.collect()} == {p[0]: min(far(p, b) for b in boxes)[1] for p in points}
     assert any(counted)
+
+
+def test_thinning_takes_many_steps_a_round(spark, monkeypatch):
+    calls = []
+    for name in ("checkpointed", "written"):
+        cut = getattr(raster, name)
+        monkeypatch.setattr(raster, name, lambda *a, cut=cut: calls.append(1) or cut(*a))
+    shape = np.ones((290, 200), bool)
+    shape[100:104, 90:140] = shape[::37, ::41] = False
+    places = spark.range(shape.size).select((F.col("id") / 200).cast("int").alias("row"), (F.col("id") % 200 - 70).cast("int").alias("col"), "id")
+    lost = [int(i) for i in np.flatnonzero(~shape)]
+    made = raster.thin(places.where(~F.col("id").isin(lost)).select("row", "col"))
+    got = {(r["row"], r["col"] + 70) for r in made.collect()}
+    grid, idle, step = np.pad(shape.astype(int), 1), 0, 0
+    while idle < 2:
+        p2, p3, p4, p5, p6, p7, p8, p9 = ring = [np.roll(grid, (-i, -j), (0, 1)) for i, j in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
+        turns = sum((a == 0) & (b == 1) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+        free = (p2 * p4 * p6 + p4 * p6 * p8 if step == 0 else p2 * p4 * p8 + p2 * p6 * p8) == 0
+        goes = (grid == 1) & (sum(ring) >= 2) & (sum(ring) <= 6) & (turns == 1) & free
+        grid, idle, step = grid - goes, 0 if goes.any() else idle + 1, 1 - step
+    assert got == {(int(r), int(c)) for r, c in np.argwhere(grid[1:-1, 1:-1])} and made.dtypes == [("row", "int"), ("col", "int")]
+    wide = spark.range(150 * 150).select((F.col("id") / 150).cast("int").alias("row"), (F.col("id") % 150).cast("int").alias("col"))
+    assert 0 < raster.thin(wide).count() < 300 and len(calls) <= 8
