@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plotline.llm._text import arrow_pass, as_bytes, list_of, mix64, shingle_set
-from plotline.operators.checkpoints import checkpointed, written
+from plotline.operators.checkpoints import checkpointed, in_few_files, written
 from plotline.operators.components import connected_components
 
 #: Similarity 0.8 as a ratio of whole numbers, so that the test is exact.
@@ -283,6 +283,15 @@ def _compared(members: DataFrame, nearest: bool) -> DataFrame:
     return ordered.mapInArrow(run, "src long, dst long").distinct()
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """A checkpoint of keys and ids."""
+    return checkpointed(in_few_files(df))
+
+
+def _written_few(df: DataFrame) -> DataFrame:
+    return written(in_few_files(df))
+
+
 def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int | None = MAX_BLOCKS, large_group: int = LARGE_GROUP) -> DataFrame:
     """``doc_id, n_shingles, class_id, component_id``: one row per row of ``df``.
 
@@ -306,10 +315,10 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int |
         "key", "doc_id", F.when(F.col("at") >= F.get("cuts", F.lit(0)), 1).otherwise(0).alias("sketch")
     )
     # Written first, so that Spark deals out both sides of the join and can split a large group.
-    shared = checkpointed(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    shared = _kept(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     bounds = leaders.select("doc_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("spare").alias("sketch", "spare"))
     own = Window.partitionBy("doc_id", "sketch")
-    placed = checkpointed(
+    placed = _kept(
         keyed.join(shared.select("key", (F.col("members") > large_group).alias("large")), "key").withColumn("met", F.count(F.when(F.col("large"), 1)).over(own))
         .join(bounds, ["doc_id", "sketch"]).select(
             "key", "doc_id", "sketch", "n", "large", ((F.col("spare") < 0) & (F.col("met") > 0)).alias("crowded"), ((F.col("spare") >= 0) & (F.col("met") > F.col("spare"))).alias("remains")
@@ -317,45 +326,45 @@ def similar_groups(df: DataFrame, id_col: str, text_col: str, max_blocks: int |
     )
     wanted = _few(placed.select("doc_id").distinct())
     needed = checkpointed(arrow_pass(texts, _packed, "doc_id long, text binary").join(wanted, "doc_id", "left_semi"))
-    bits = checkpointed(leaders.join(wanted, "doc_id", "left_semi").select("doc_id", "bits"))
+    bits = _kept(leaders.join(wanted, "doc_id", "left_semi").select("doc_id", "bits"))
 
     # Sets of cut sketches that meet a large group are sketched again, with all blocks.
     crowded = placed.where("crowded").select("doc_id", "n", "sketch").distinct()
     again = needed.join(_few(crowded.groupBy("doc_id").agg(F.sort_array(F.collect_set("sketch")).alias("wanted"))), "doc_id").select("doc_id", "text", "wanted")
-    full = checkpointed(arrow_pass(again, _full_sketches, FULL_SCHEMA))
+    full = _kept(arrow_pass(again, _full_sketches, FULL_SCHEMA))
     full_keyed = full.select("doc_id", "sketch", F.explode("blocks").alias("key"))
-    full_shared = checkpointed(full_keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    full_shared = _kept(full_keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     small = full_keyed.join(full_shared.where(F.col("members") <= large_group), "key")
     large = full_keyed.join(full_shared.where(F.col("members") > large_group), "key").groupBy("doc_id", "sketch").agg(F.count("*").alias("full_large"))
     stays = full.select("doc_id", "sketch", "spare").join(large, ["doc_id", "sketch"]).where("full_large > spare").select("doc_id", "sketch", F.lit(True).alias("stays"))
-    kept = checkpointed(
+    kept = _kept(
         placed.join(stays, ["doc_id", "sketch"], "left").where(~F.col("large") | F.col("remains") | F.coalesce("stays", F.lit(False))).select("key", "doc_id", "n")
         .unionByName(small.join(crowded, ["doc_id", "sketch"]).select("key", "doc_id", "n"))
     )
     # The sizes of linked sets alone bound their similarity: the smaller has 0.8 of the larger or more.
     sizes_fit = F.least("n", "m") * DENOMINATOR >= F.greatest("n", "m") * NUMERATOR
-    centres = checkpointed(
+    centres = _kept(
         kept.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("members")).where("members > 1")
     )
     pairs = kept.join(centres.select("key", F.col("c.doc_id").alias("src"), F.col("c.n").alias("m")), "key").where((F.col("doc_id") != F.col("src")) & sizes_fit)
-    near = checkpointed(_near(pairs.select("src", F.col("doc_id").alias("dst"), "m", "n"), bits))
-    links = checkpointed(_verified(near, needed))
-    parts = connected_components(links, cut=written)
+    near = _kept(_near(pairs.select("src", F.col("doc_id").alias("dst"), "m", "n"), bits))
+    links = _kept(_verified(near, needed))
+    parts = connected_components(links, cut=_written_few)
 
     done = near
     for nearest in (True, False):
         # What a group still holds of different components.
-        members = checkpointed(
+        members = _kept(
             kept.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
         )
-        open_keys = checkpointed(
+        open_keys = _kept(
             members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
             .where("low <> high").select("key", "members")
         )
-        rest = checkpointed(_compared(members.join(open_keys, "key").join(bits, "doc_id"), nearest).join(done, ["src", "dst"], "left_anti"))
-        found = checkpointed(_verified(rest, needed))
+        rest = _kept(_compared(members.join(open_keys, "key").join(bits, "doc_id"), nearest).join(done, ["src", "dst"], "left_anti"))
+        found = _kept(_verified(rest, needed))
         done = done.unionByName(rest)
-        parts = connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found), cut=written)
+        parts = connected_components(parts.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(found), cut=_written_few)
     named = classes.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         *member, "class_id", F.coalesce("component", "class_id").alias("component_id")
     )

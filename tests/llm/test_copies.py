@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from plotline.llm import queries
+from plotline.llm import ngram_join, queries
 from plotline.llm.decontaminate import contained_items, exact_shingles, without_items
 from plotline.llm.ngram_join import MAX_BLOCKS, similar_groups
 from plotline.llm.substring_dedup import drop_repeats
@@ -238,3 +238,22 @@ def test_containment_of_odd_rows(odd, no_rows):
     for docs, items in ((odd, no_rows), (no_rows, odd), (no_rows, no_rows)):
         assert contained_items(docs, "doc_id", "text", items, "doc_id", "text").count() == 0
     assert without_items(odd, "text", no_rows, "doc_id", "text").count() == odd.count()
+
+
+def test_tables_of_keys_are_kept_in_few_files(spark, monkeypatch):
+    parts, cut = [], ngram_join.checkpointed
+    monkeypatch.setattr(ngram_join, "checkpointed", lambda df: parts.append((made := cut(df)).rdd.getNumPartitions()) or made)
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, f"{text} x{i % 3}") for i in range(12)], "doc_id long, text string")
+    names = {"spark.sql.shuffle.partitions": "160", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        found = ngram_join.similar_groups(docs, "doc_id", "text").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(found) == 12 and {r["component_id"] for r in found} == {0}
+    most = max(20, 4 * spark.sparkContext.defaultParallelism)
+    assert len(parts) > 10 and sum(n > most for n in parts) <= 1
