@@ -30,11 +30,18 @@ def regions(df: DataFrame, label: str = "label") -> DataFrame:
     Null labels are no regions. A pixel must be there once.
     """
     here = df.where(F.col(label).isNotNull()).select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), label)
-    near = _beside(here, label).withColumn("pixel", F.col("row") * F.lit(ROW) + F.col("col"))
-    dst = F.array_compact(F.array(F.when(F.col("right") == F.col(label), F.col("pixel") + 1), F.when(F.col("down") == F.col(label), F.col("pixel") + ROW)))
-    parts = connected_components(near.select(F.col("pixel").alias("src"), F.explode(dst).alias("dst")), cut=written)
-    numbered = here.withColumn("node", F.col("row") * F.lit(ROW) + F.col("col"))
-    return numbered.join(parts, "node", "left").select("row", "col", label, F.coalesce("component", "node").alias("region"))
+    # Runs of a label along a row hang together under their first pixel; only runs that touch are edges.
+    rows, cols = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+    goes_on = F.coalesce((F.lag("col").over(rows) == F.col("col") - 1) & (F.lag(label).over(rows) == F.col(label)), F.lit(False))
+    first = F.max(F.when(~F.col("goes_on"), F.col("col"))).over(rows.rowsBetween(Window.unboundedPreceding, 0))
+    runs = written(here.withColumn("goes_on", goes_on).withColumn("first", first).groupBy("row", "first").agg(F.max("col").alias("final"), F.min(label).alias(label)))
+    spelled = runs.select("row", "first", F.explode(F.sequence("first", "final")).alias("col"), label)
+    number = lambda row, col: row * F.lit(ROW) + col
+    below = F.when((F.lead("row").over(cols) == F.col("row") + 1) & (F.lead(label).over(cols) == F.col(label)), number(F.lead("row").over(cols), F.lead("first").over(cols)))
+    edges = spelled.select(number(F.col("row"), F.col("first")).alias("src"), below.alias("dst")).where("dst is not null")
+    parts = connected_components(edges, cut=written)
+    found = runs.withColumn("node", number(F.col("row"), F.col("first"))).join(parts, "node", "left")
+    return found.select("row", F.explode(F.sequence("first", "final")).alias("col"), label, F.coalesce("component", "node").alias("region"))
 
 
 def boundary_runs(pixels: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plotline.functions.geometry import box_ring
-from plotline.operators import arrangement, burning, network, raster, small_shapes, spatial_join, validation
+from plotline.operators import arrangement, burning, network, ranking, raster, small_shapes, spatial_join, validation
 from plotline.operators.checkpoints import checkpointed
 from plotline.operators.spatial_join import meeting_pairs
 from plotline.plans import registry
@@ -158,3 +158,18 @@ def test_thinning_takes_many_steps_a_round(spark, monkeypatch):
     assert got == {(int(r), int(c)) for r, c in np.argwhere(grid[1:-1, 1:-1])} and made.dtypes == [("row", "int"), ("col", "int")]
     wide = spark.range(150 * 150).select((F.col("id") / 150).cast("int").alias("row"), (F.col("id") % 150).cast("int").alias("col"))
     assert 0 < raster.thin(wide).count() < 300 and len(calls) <= 8
+
+
+def test_short_rings_leave_the_ranking_early(spark, monkeypatch):
+    counts, cut = [], ranking.written
+    monkeypatch.setattr(ranking, "written", lambda df, *a: counts.append((made := cut(df, *a)).count()) or made)
+    rng, links, want, number = np.random.default_rng(8), [], {}, 0
+    for n, ring in [(150, True), (60, False), *[(1 + k % 9, True) for k in range(120)], (1, False)]:
+        own = [int(i) for i in rng.permutation(n) + number]
+        number += n
+        links += [(a, own[i + 1] if i + 1 < n else own[0] if ring else None) for i, a in enumerate(own)]
+        low = own.index(min(own))
+        want |= {a: (min(own), (i - low) % n, True) if ring else (own[-1], i, False) for i, a in enumerate(own)}
+    found = ranking.ranked(spark.createDataFrame(links, "link long, next long")).collect()
+    assert len(found) == len(want) and {r["link"]: (r["chain"], r["seq"], r["ring"]) for r in found} == want
+    assert max(counts[-3:]) <= 150 + 61 < counts[0]
