@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from plotline.functions.geometry import box_ring
@@ -56,6 +57,32 @@ def test_points_look_in_half_of_the_cells_around(spark):
     assert "BroadcastHashJoin" not in plan_of(made)
 
 
+def test_pairs_of_crowded_places_are_whole_and_small(spark, tmp_path):
+    # More ends at a place than a row has, in one cell, around it and across the origin; some ends have no line or no place.
+    rng = np.random.default_rng(9)
+    spots = np.round(rng.uniform(-1.2, 1.2, (16, 2)), 2)
+    ends = [(1000 * k + i, (7 * k + i) % 50, float(x), float(y)) for k in range(spatial_join.CROWD + 6) for i, (x, y) in enumerate(spots)]
+    odd = [(None, 1, 0.0, 0.0), (7, None, 0.0, 0.0), (8, 1, None, 0.0), (9, 1, float("nan"), 0.0), (10, 1, float("inf"), 0.0), (0, 3, 0.5, 0.5)]
+    made = network.bridges(spark.createDataFrame(ends + odd, "seq long, line long, x double, y double").repartition(3), 1.5, digits=3)
+    made.select("a_seq", "b_seq", "distance").write.parquet(str(tmp_path / "pairs"))
+    got = pq.read_table(str(tmp_path / "pairs")).to_pandas().sort_values(["a_seq", "b_seq", "distance"]).to_numpy()
+    seq, line, x, y = np.array(sorted(ends + odd[-1:])).T
+    far = np.hypot(x[:, None] - x, y[:, None] - y)
+    a, b = np.nonzero((seq[:, None] < seq) & (line[:, None] != line) & (far > 0.05) & (far <= 1.5))
+    want = np.column_stack([seq[a], seq[b], far[a, b]])
+    want = want[np.lexsort(want.T[::-1])]
+    assert got.shape == want.shape and np.array_equal(got[:, :2], want[:, :2]) and np.abs(got[:, 2] - want[:, 2]).max() < 0.00051
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 1.2 * len(want)
+
+
+def test_tasks_of_pairs_grow_with_them(spark, monkeypatch):
+    monkeypatch.setattr(spatial_join, "NEAR", 100)
+    ends = spark.createDataFrame([(i, i, 0.1 * (i % 50), 0.0) for i in range(300)], "seq long, line long, x double, y double")
+    crowded, few = network.bridges(ends), network.bridges(ends.limit(5))
+    assert crowded.rdd.getNumPartitions() > 2 * few.rdd.getNumPartitions()
+    assert few.count() == 4 + 3 + 2 + 1
+
+
 def test_long_lines_share_their_vertices(spark):
     # A third of a long line has no few decimals.
     tall = 480060.0
